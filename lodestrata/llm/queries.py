@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .quality import op5_quality_rules
 from .simhash import op10_simhash
+from .substring import op3_substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
