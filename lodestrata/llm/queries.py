@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op8_language_id
 from .quality import op5_quality_rules
 from .simhash import op10_simhash
 from .substring import op3_substring_dedup
@@ -9,6 +10,7 @@ from .substring import op3_substring_dedup
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op8_language_id": op8_language_id,
     "op10_simhash": op10_simhash,
 }
 

@@ -85,9 +85,12 @@ def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[i
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes, and the index of each row's first word (with a final count)."""
-    inside = ~_SEPARATOR[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes, and the index of each row's first word (with a final count).
+
+    ``inside``: for each byte value whether words hold it, where words are other than the usual ones.
+    """
+    inside = ~_SEPARATOR[data] if inside is None else inside[data]
     n = len(data)
     if n == 0:
         empty = np.zeros(0, np.int64)
