@@ -155,13 +155,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     """Links ``a, b`` that connect what fingerprints at ``max_bits`` (at most 4) or fewer bits connect. ``fps``: distinct ``fp``."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the grid finds distances up to 4")
-    placed = cells(fps)
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    member = placed.join(sizes, "cell").select("cell", "fp", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    n = shuffle_partitions(fps.sparkSession)
+    placed = cells(fps.repartition(n, "fp"))
+    hot = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int").alias("blocks")
+    member = placed.join(hot, "cell", "left").select("cell", "fp", blocks)
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     member = member.select("cell", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     member = member.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-    n = shuffle_partitions(fps.sparkSession)
     dealt = member.repartition(n, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
     return dealt.mapInArrow(_links_of_groups(max_bits), "a long, b long")
 
