@@ -9,8 +9,9 @@
    covered windows into maximal word intervals and cuts them out.
 
 A window is known by a 64-bit hash within a bucket chosen by an independent second hash. With buckets in
-proportion to the data that makes about 70 to 80 bits in all. There are ``BUCKETS_PER_PARTITION`` buckets for
-each shuffle partition, so a group holds megabytes when partitions are sized as usual.
+proportion to the data that makes about 70 to 80 bits in all. There are ``BUCKETS_PER_PARTITION`` buckets of
+hashes and ``SLOTS_PER_PARTITION`` of documents for each shuffle partition, so a group holds megabytes when
+partitions are sized as usual, and a packed row of removals is not split too finely.
 
 Defined results: a null or empty text has no words and keeps the empty text; a row with a null id has nothing
 removed and removes nothing; rows that repeat an id are one document to each other (no smaller id), each is
@@ -33,6 +34,7 @@ from .textblocks import blocks, column_bytes, mix, span_hashes, window_hashes, w
 
 WINDOW = 50
 BUCKETS_PER_PARTITION = 4
+SLOTS_PER_PARTITION = 1
 FLUSH_WINDOWS = 1_500_000
 
 _PACKED = "bucket int, kind int, ids binary, counts binary, data binary"
@@ -74,7 +76,7 @@ def merged(starts: np.ndarray, width: int) -> np.ndarray:
     return np.stack([starts[new], np.r_[starts[new[1:] - 1], starts[-1]] + width], axis=1)
 
 
-def _windows(buckets: int, width: int, flush: int):
+def _windows(buckets: int, slots: int, width: int, flush: int):
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Entries of one flush: (ids, hash, second hash, first word) per window."""
         ids, h, g, at = (np.concatenate(x) for x in zip(*held))
@@ -91,7 +93,7 @@ def _windows(buckets: int, width: int, flush: int):
         gone = order[lost]
         gone = gone[np.lexsort((at[gone], ids[gone]))]
         gone_ids, gone_at = ids[gone], at[gone]
-        rows += _pack(1, _doc_slot(gone_ids, buckets), gone_ids, gone_at.astype(np.int64))
+        rows += _pack(1, _doc_slot(gone_ids, slots), gone_ids, gone_at.astype(np.int64))
         if rows:
             yield _batch(rows)
 
@@ -121,7 +123,7 @@ def _windows(buckets: int, width: int, flush: int):
     return run
 
 
-def _judge(buckets: int):
+def _judge(slots: int):
     """Kind 0 entries of one bucket of hashes to the entries that other documents than the first must lose."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -137,13 +139,13 @@ def _judge(buckets: int):
         lost = ids > np.repeat(least, np.diff(np.r_[begins, len(ids)]))
         ids, hashes = ids[lost], hashes[lost]
         order = np.argsort(ids, kind="stable")
-        rows = list(_pack(0, _doc_slot(ids[order], buckets), ids[order], hashes[order]))
+        rows = list(_pack(0, _doc_slot(ids[order], slots), ids[order], hashes[order]))
         return pa.Table.from_batches([_batch(rows)] if rows else [], schema=pa.schema(list(zip(["bucket", "kind", "ids", "counts", "data"], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))))
 
     return run
 
 
-def _zip_texts(buckets: int):
+def _zip_texts(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -152,7 +154,7 @@ def _zip_texts(buckets: int):
             raw, at = data.tobytes(), offsets.tolist()
             spread = np.where(np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), np.arange(len(ids)) + len(raw))
             packed = pa.array([packer.compress(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_doc_slot(spread, buckets)), ids, packed, *batch.columns[2:]], names=["slot", "doc_id", "packed", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([pa.array(_doc_slot(spread, slots)), ids, packed, *batch.columns[2:]], names=["slot", "doc_id", "packed", *batch.schema.names[2:]])
 
     return run
 
@@ -212,11 +214,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``carry``, a struct ``carried`` of these columns. A text that loses nothing is kept as it is; else the kept
     words are joined by one space.
     """
-    buckets = BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+    partitions = shuffle_partitions(docs.sparkSession)
+    buckets, slots = BUCKETS_PER_PARTITION * partitions, SLOTS_PER_PARTITION * partitions
     named = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    entries = docs.select(*named).mapInArrow(_windows(buckets, window, FLUSH_WINDOWS), _PACKED)
+    entries = docs.select(*named).mapInArrow(_windows(buckets, slots, window, FLUSH_WINDOWS), _PACKED)
     # Both kinds leave one pass over the texts: kind 1 is already judged and meets the rest in the second deal.
-    judged = entries.groupBy("kind", "bucket").applyInArrow(_either(_judge(buckets)), _PACKED)
+    judged = entries.groupBy("kind", "bucket").applyInArrow(_either(_judge(slots)), _PACKED)
     fields = [T.StructField("slot", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())]
     out = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType())]
     out += T._parse_datatype_string("removed array<struct<start:bigint,end:bigint>>, kept_text string").fields
@@ -225,7 +228,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         carried = docs.select(named[-1]).schema["carried"]
         fields.append(carried)
         out.append(carried)
-    texts = docs.select(*named).mapInArrow(_zip_texts(buckets), T.StructType(fields))
+    texts = docs.select(*named).mapInArrow(_zip_texts(slots), T.StructType(fields))
     both = texts.groupBy("slot").cogroup(judged.groupBy("bucket"))
     return both.applyInArrow(_cut_out(window), T.StructType(out))
 
