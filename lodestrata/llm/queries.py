@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import op8_language_id
 from .packing import op9_packing
+from .pii import op6_pii
 from .quality import op5_quality_rules
 from .simhash import op10_simhash
 from .substring import op3_substring_dedup
@@ -11,6 +12,7 @@ from .substring import op3_substring_dedup
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
