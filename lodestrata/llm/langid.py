@@ -25,6 +25,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import cut, shuffle_partitions, table
 from .textblocks import blocks, span_hashes, word_spans
@@ -224,15 +225,23 @@ def _scorer(path: str, langs: list[str], model: np.ndarray):
                         k = int(total[r].argmax())
                         best.append(langs[k])
                         score.append(float(1 / np.exp(total[r] - total[r, k]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            columns = [batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]])
 
     return run
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row; the score is the posterior under equal priors."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    return chosen.mapInArrow(_scorer(public_tokenizers.path(vocabulary), *model), "doc_id long, held_out boolean, lang_pred string, score double")
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every row; the score is the posterior under equal priors.
+
+    With ``carry``, a struct ``carried`` of these columns comes along, whatever their names.
+    """
+    chosen = [F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.lower(F.col(text_col).cast("string")).alias("text")]
+    out = T._parse_datatype_string("doc_id long, held_out boolean, lang_pred string, score double").fields
+    if carry is not None:
+        chosen.append(F.struct(*[F.col(c) for c in carry]).alias("carried"))
+        out.append(docs.select(chosen[-1]).schema["carried"])
+    return docs.select(*chosen).mapInArrow(_scorer(public_tokenizers.path(vocabulary), *model), T.StructType(out))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
