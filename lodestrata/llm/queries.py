@@ -8,9 +8,11 @@ from .pii import op6_pii
 from .quality import op5_quality_rules
 from .simhash import op10_simhash
 from .substring import op3_substring_dedup
+from .topk import op4_exact_topk
 
 QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
     "op8_language_id": op8_language_id,
