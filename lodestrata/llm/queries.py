@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op1_html_extraction
 from .langid import op8_language_id
 from .packing import op9_packing
 from .pii import op6_pii
@@ -11,6 +12,7 @@ from .substring import op3_substring_dedup
 from .topk import op4_exact_topk
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
