@@ -9,6 +9,7 @@ from .pii import op6_pii
 from .quality import op5_quality_rules
 from .simhash import op10_simhash
 from .substring import op3_substring_dedup
+from .tokencount import op7_token_counts
 from .topk import op4_exact_topk
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
     "op6_pii": op6_pii,
+    "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
