@@ -7,6 +7,7 @@ from .langid import op8_language_id
 from .packing import op9_packing
 from .pii import op6_pii
 from .quality import op5_quality_rules
+from .sampling import op2_sentencepiece_sampling
 from .simhash import op10_simhash
 from .substring import op3_substring_dedup
 from .tokencount import op7_token_counts
@@ -14,6 +15,7 @@ from .topk import op4_exact_topk
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_rules": op5_quality_rules,
