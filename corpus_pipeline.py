@@ -37,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that also stand in a document with a smaller id. Every document stays, if with an empty text."""
-    found = substring.substring_dedup(docs, carry=docs.columns)
-    text = F.when(F.col("carried.text").isNotNull(), F.col("kept_text"))
+    found = substring.substring_dedup(docs, carry=[c for c in docs.columns if c != "text"])
+    text = F.col("kept_text")
     return _replaced(found, docs.columns, {"text": text, "n_chars": F.length(text).cast("long")})
 
 

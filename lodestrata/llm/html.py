@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import table
+from .session import table, text_batches
 from .textblocks import column_bytes
 
 MIN_PAGES = 4
@@ -317,6 +317,7 @@ def style_nodes(features: DataFrame) -> DataFrame:
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """``main_text`` and a struct ``carried`` of the columns in ``carry`` (all by default) for every row."""
+    text_batches(pages.sparkSession)
     columns = pages.columns if carry is None else carry
     url, source = F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     carried = F.struct(*[F.col(c) for c in columns]).alias("carried")

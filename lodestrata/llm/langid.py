@@ -22,12 +22,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import cut, shuffle_partitions, table
+from .session import cut, shuffle_partitions, table, text_batches
 from .textblocks import blocks, span_hashes, word_spans
 from .trie import ByteTrie, sentence_pieces
 
@@ -37,7 +38,7 @@ ROUNDS = 2
 FALLBACK = 1e-7
 SMOOTHING = 0.1
 LONGEST = 48
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Scores are kept near 1 by this factor for each byte, taken out of the logarithm at the end.
 _TILT = float(np.exp(2.2))
@@ -165,7 +166,7 @@ def _counter(path: str, langs: list[str], model: np.ndarray):
         for batch in batches:
             of = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()])
             for k in np.unique(of[of >= 0]):
-                for _, _, data, offsets in blocks(batch.column(1).filter(pa.array(of == k)), BLOCK_BYTES):
+                for _, _, data, offsets in blocks(pc.utf8_lower(batch.column(1).filter(pa.array(of == k))), BLOCK_BYTES):
                     starts, ends, inverse, _ = _unique_words(data, offsets)
                     times = np.bincount(inverse, minlength=len(starts))
                     total[k] += expected_counts(path, data, starts, ends, times, model[k if len(model) > 1 else 0])
@@ -178,6 +179,7 @@ def _counter(path: str, langs: list[str], model: np.ndarray):
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from about ``sample_docs`` documents of each language."""
     path = public_tokenizers.path(vocabulary)
+    text_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not sizes:
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     langs = [r["lang"] for r in sizes]
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["n"])))])
     draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.lower(F.col(text_col)).alias("text"))
+    chosen = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     chosen = cut(chosen.repartition(shuffle_partitions(docs.sparkSession)))
     model = start(path)
     live = (model[0] > 0).astype(float)
@@ -202,12 +204,16 @@ def _has_letter(raw: bytes, ascii_letter: bool) -> bool:
     return ascii_letter or any(c.isalpha() for c in raw.decode("utf-8", "replace") if c > "\x7f")
 
 
-def _scorer(path: str, langs: list[str], model: np.ndarray):
+def _scorer(path: str, langs: list[str], model: np.ndarray, text_in_carried: int | None):
+    """The text is the third column, or the field of that number in ``carried``, which then is the third."""
+    own = text_in_carried is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = _LETTERS & (np.arange(256) < 128)
         for batch in batches:
             best, score = [], []
-            for _, _, data, offsets in blocks(batch.column(2), BLOCK_BYTES):
+            text = batch.column(2) if own else pc.struct_field(batch.column(2), [text_in_carried]).cast(pa.string())
+            for _, _, data, offsets in blocks(pc.utf8_lower(text), BLOCK_BYTES):
                 starts, ends, inverse, first_words = _unique_words(data, offsets)
                 rows = len(offsets) - 1
                 plain = np.diff(np.r_[0, np.cumsum(letter[data])][offsets]) > 0
@@ -225,8 +231,8 @@ def _scorer(path: str, langs: list[str], model: np.ndarray):
                         k = int(total[r].argmax())
                         best.append(langs[k])
                         score.append(float(1 / np.exp(total[r] - total[r, k]).sum()))
-            columns = [batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64()), *batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]])
+            columns = [batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:][own:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[2:][own:]])
 
     return run
 
@@ -236,12 +242,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     With ``carry``, a struct ``carried`` of these columns comes along, whatever their names.
     """
-    chosen = [F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.lower(F.col(text_col).cast("string")).alias("text")]
+    text_batches(docs.sparkSession)
+    chosen = [F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out")]
     out = T._parse_datatype_string("doc_id long, held_out boolean, lang_pred string, score double").fields
+    in_carried = carry.index(text_col) if carry is not None and text_col in carry else None
+    if in_carried is None:
+        chosen.append(F.col(text_col).cast("string").alias("text"))
     if carry is not None:
         chosen.append(F.struct(*[F.col(c) for c in carry]).alias("carried"))
         out.append(docs.select(chosen[-1]).schema["carried"])
-    return docs.select(*chosen).mapInArrow(_scorer(public_tokenizers.path(vocabulary), *model), T.StructType(out))
+    return docs.select(*chosen).mapInArrow(_scorer(public_tokenizers.path(vocabulary), *model, in_carried), T.StructType(out))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

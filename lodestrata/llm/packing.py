@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut, shuffle_partitions, table
+from .session import cut, shuffle_partitions, table, text_batches
 from .textblocks import column_bytes
 
 CAPACITY = 2048
@@ -37,27 +37,31 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = b"<|endoftext|>"
 
 
-@lru_cache(maxsize=2)
-def _encoders(tokenizer: str, ranks: str):
-    """The reference tokenizer, and the same vocabulary and pattern in a faster library.
+@lru_cache(maxsize=1)
+def _whole(tokenizer: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer)
+
+
+@lru_cache(maxsize=1)
+def _fast(ranks: str):
+    """The tokenizer's vocabulary and pattern in a faster library.
 
     Both give the same ids for every text without a special token (tests compare them); texts that hold one go
-    to the reference tokenizer.
+    to the tokenizer itself, which is loaded only then.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     pairs = (line.split() for line in open(ranks, "rb"))
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-    return Tokenizer.from_file(tokenizer), fast
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
 def encode(raw: bytes, tokenizer: str | None = None, ranks: str | None = None) -> list[int]:
-    whole, fast = _encoders(tokenizer or public_tokenizers.path(TOKENIZER), ranks or public_tokenizers.path(RANKS))
     text = raw.decode("utf-8", "replace")
     if SPECIAL in raw:
-        return whole.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary(text)
+        return _whole(tokenizer or public_tokenizers.path(TOKENIZER)).encode(text, add_special_tokens=False).ids
+    return _fast(ranks or public_tokenizers.path(RANKS)).encode_ordinary(text)
 
 
 def _pieces(capacity: int, with_ids: bool):
@@ -92,6 +96,7 @@ def _pieces(capacity: int, with_ids: bool):
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces ``doc_id, piece, start, length, ids_crc32`` (and ``ids``); of a cut document only the first may be short."""
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(_pieces(capacity, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

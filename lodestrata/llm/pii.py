@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import table
+from .session import table, text_batches
 from .textblocks import column_bytes
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -155,12 +155,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``spans`` (array of kind, start, end) of every row."""
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(_find, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``text_col`` replaced; null texts stay null and other columns are untouched."""
+    text_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

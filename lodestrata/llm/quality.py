@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import table
+from .session import table, text_batches
 from .textblocks import blocks, mix, span_hashes, window_hashes, word_spans
 
 REPEAT_WINDOW = 8
@@ -141,6 +141,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the measurements, and ``failed_bits`` (long): bit k is set where rule k fails."""
+    text_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
     measured = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_measure, schema)
     bits = F.lit(0).cast("long")

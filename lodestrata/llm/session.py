@@ -29,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Arrow batches that suit long texts: no more than ``rows`` rows and about ``size`` bytes.
+
+    The JVM and the Python worker each hold a batch or two, so this bounds memory besides the heap.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(name)).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .session import cut, shuffle_partitions, table
+from .session import cut, shuffle_partitions, table, text_batches
 from .textblocks import column_bytes
 
 SHINGLE_WORDS = 4
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(raw[a:b], width) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

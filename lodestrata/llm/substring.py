@@ -13,7 +13,7 @@ proportion to the data that makes about 70 to 80 bits in all. There are ``BUCKET
 hashes and ``SLOTS_PER_PARTITION`` of documents for each shuffle partition, so a group holds megabytes when
 partitions are sized as usual, and a packed row of removals is not split too finely.
 
-Defined results: a null or empty text has no words and keeps the empty text; a row with a null id has nothing
+Defined results: a null or empty text has no words and is kept as it is; a row with a null id has nothing
 removed and removes nothing; rows that repeat an id are one document to each other (no smaller id), each is
 returned. Columns in ``carry`` come through unchanged, whatever their names.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import shuffle_partitions, table
+from .session import shuffle_partitions, table, text_batches
 from .textblocks import blocks, column_bytes, mix, span_hashes, window_hashes, word_spans
 
 WINDOW = 50
@@ -153,7 +153,8 @@ def _zip_texts(slots: int):
             data, offsets = column_bytes(batch.column(1))
             raw, at = data.tobytes(), offsets.tolist()
             spread = np.where(np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), np.arange(len(ids)) + len(raw))
-            packed = pa.array([packer.compress(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())
+            there = batch.column(1).is_valid().to_pylist()
+            packed = pa.array([packer.compress(raw[a:b]) if ok else None for a, b, ok in zip(at, at[1:], there)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(_doc_slot(spread, slots)), ids, packed, *batch.columns[2:]], names=["slot", "doc_id", "packed", *batch.schema.names[2:]])
 
     return run
@@ -171,14 +172,14 @@ def _cut_out(width: int):
         unpack = zstandard.ZstdDecompressor().decompress
         n_words, spans, kept = [], [], []
         for one, packed in zip(docs.column("doc_id").to_pylist(), docs.column("packed").to_pylist()):
-            raw = unpack(packed) if packed else b""
+            raw = unpack(packed) if packed is not None else b""
             words = raw.split()
             lost = hashes.get(one, []) if one is not None else []
             lost_at = begins.get(one, []) if one is not None else []
             n_words.append(len(words))
             if not lost and not lost_at:
                 spans.append([])
-                kept.append(raw)
+                kept.append(raw if packed is not None else None)
                 continue
             gone = np.zeros(max(0, len(words) - width + 1), dtype=bool)
             if lost:
@@ -214,6 +215,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``carry``, a struct ``carried`` of these columns. A text that loses nothing is kept as it is; else the kept
     words are joined by one space.
     """
+    text_batches(docs.sparkSession)
     partitions = shuffle_partitions(docs.sparkSession)
     buckets, slots = BUCKETS_PER_PARTITION * partitions, SLOTS_PER_PARTITION * partitions
     named = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
@@ -246,4 +248,4 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     # A text that lost nothing is unchanged, so its words are joined here.
     joined = F.trim(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "))
     kept = F.when(F.size("removed") > 0, F.col("kept_text")).otherwise(joined)
-    return found.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2(F.coalesce(kept, F.lit("")).cast("binary"), 256).alias("kept_sha256"))

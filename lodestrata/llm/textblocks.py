@@ -107,7 +107,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by prefix sums of a polynomial over coded bytes."""
+    """64-bit hashes of byte spans in ascending order, by prefix sums of a polynomial over coded bytes."""
+    if len(data) > BLOCK_BYTES and len(starts) > 1:
+        # A stretch at a time: the sums take several times the memory of the bytes.
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)))
+        parts = []
+        for a, b in zip(cuts, [*cuts[1:], len(starts)]):
+            if b > a:
+                low = starts[a]
+                parts.append(_span_hashes(data[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low))
+        return np.concatenate(parts)
+    return _span_hashes(data, starts, ends)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _BYTE_POWERS(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=sums[1:])

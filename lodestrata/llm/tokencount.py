@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import table
+from .session import table, text_batches
 from .textblocks import blocks, span_hashes, word_spans
 
 VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
 LONGEST = 64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -183,6 +183,7 @@ def _counter(path: str):
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every row."""
     path = vocabulary_path or public_tokenizers.path(VOCABULARY)
+    text_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     return chosen.mapInArrow(_counter(path), "doc_id long, n_words long, n_tokens long")
 
