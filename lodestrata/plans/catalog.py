@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -26,9 +27,19 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
+MODULES = ("q_relational",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"lodestrata.plans.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
