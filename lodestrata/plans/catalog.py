@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-FLAGSHIP = "order_revenue_summary"
+FLAGSHIP = "R01_cadence"
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-MODULES = ("q_relational",)
+MODULES = ("q_relational", "q_stats")
 
 
 def _load() -> None:
