@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-MODULES = ("q_relational", "q_stats")
+MODULES = ("q_relational", "q_stats", "q_match", "q_state")
 
 
 def _load() -> None:
