@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import cut, shuffle_partitions, table, text_batches
+from .session import cut, release, shuffle_partitions, table, text_batches
 from .textblocks import blocks, span_hashes, word_spans
 from .trie import ByteTrie, sentence_pieces
 
@@ -38,7 +38,7 @@ ROUNDS = 2
 FALLBACK = 1e-7
 SMOOTHING = 0.1
 LONGEST = 48
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Scores are kept near 1 by this factor for each byte, taken out of the logarithm at the end.
 _TILT = float(np.exp(2.2))
@@ -83,7 +83,7 @@ def _lattice(trie: ByteTrie, words: np.ndarray):
         alive = np.arange(rows)
         node = np.zeros(rows, np.int32)
         for j in range(i, length):
-            node = trie.step[node, words[alive, j]]
+            node = trie.step(node, words[alive, j])
             on = node >= 0
             if not on.all():
                 alive, node = alive[on], node[on]
@@ -111,7 +111,7 @@ def _forward(trie: ByteTrie, words: np.ndarray, scaled: np.ndarray, keep: list |
     return alpha
 
 
-def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 15):
+def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 13):
     """(word numbers, bytes with a leading space) of words of one length at a time."""
     lengths = ends - starts
     order = np.argsort(lengths, kind="stable")
@@ -139,7 +139,7 @@ def expected_counts(path: str, data: np.ndarray, starts: np.ndarray, ends: np.nd
     trie = _trie(path)
     scaled = (probabilities * _TILT**trie.widths)[:, None]
     counts = np.zeros(len(probabilities))
-    for which, words in _by_length(data, starts, ends, 1 << 13):
+    for which, words in _by_length(data, starts, ends, 1 << 11):
         edges: list = []
         alpha = _forward(trie, words, scaled, edges)[:, :, 0]
         beta = np.zeros_like(alpha)
@@ -170,6 +170,7 @@ def _counter(path: str, langs: list[str], model: np.ndarray):
                     starts, ends, inverse, _ = _unique_words(data, offsets)
                     times = np.bincount(inverse, minlength=len(starts))
                     total[k] += expected_counts(path, data, starts, ends, times, model[k if len(model) > 1 else 0])
+            release()
         k, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece])], names=["k", "piece", "n"])
 
@@ -232,6 +233,7 @@ def _scorer(path: str, langs: list[str], model: np.ndarray, text_in_carried: int
                         best.append(langs[k])
                         score.append(float(1 / np.exp(total[r] - total[r, k]).sum()))
             columns = [batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64()), *batch.columns[2:][own:]]
+            release()
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[2:][own:]])
 
     return run

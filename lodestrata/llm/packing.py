@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut, shuffle_partitions, table, text_batches
+from .session import cut, release, shuffle_partitions, table, text_batches
 from .textblocks import column_bytes
 
 CAPACITY = 2048
@@ -89,6 +89,7 @@ def _pieces(capacity: int, with_ids: bool):
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
+            release()
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import shutil
 import tempfile
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +45,20 @@ def text_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) ->
             spark.conf.set(name, str(most))
 
 
+def release() -> None:
+    """Give memory that freed arrays leave behind back to the system.
+
+    Python workers live on from task to task, and share an executor's memory with the JVM.
+    """
+    pa.default_memory_pool().release_unused()
+    _libc().malloc_trim(0)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    return ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

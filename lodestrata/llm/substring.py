@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import shuffle_partitions, table, text_batches
+from .session import release, shuffle_partitions, table, text_batches
 from .textblocks import blocks, column_bytes, mix, span_hashes, window_hashes, word_spans
 
 WINDOW = 50
 BUCKETS_PER_PARTITION = 4
 SLOTS_PER_PARTITION = 1
-FLUSH_WINDOWS = 1_500_000
+FLUSH_WINDOWS = 600_000
 
 _PACKED = "bucket int, kind int, ids binary, counts binary, data binary"
 
@@ -94,6 +94,7 @@ def _windows(buckets: int, slots: int, width: int, flush: int):
         gone = gone[np.lexsort((at[gone], ids[gone]))]
         gone_ids, gone_at = ids[gone], at[gone]
         rows += _pack(1, _doc_slot(gone_ids, slots), gone_ids, gone_at.astype(np.int64))
+        release()
         if rows:
             yield _batch(rows)
 
@@ -140,6 +141,7 @@ def _judge(slots: int):
         ids, hashes = ids[lost], hashes[lost]
         order = np.argsort(ids, kind="stable")
         rows = list(_pack(0, _doc_slot(ids[order], slots), ids[order], hashes[order]))
+        release()
         return pa.Table.from_batches([_batch(rows)] if rows else [], schema=pa.schema(list(zip(["bucket", "kind", "ids", "counts", "data"], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())))))
 
     return run

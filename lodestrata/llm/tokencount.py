@@ -32,7 +32,7 @@ from .textblocks import blocks, span_hashes, word_spans
 VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
 LONGEST = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -10,15 +10,14 @@ SPACE = b" "
 
 
 class ByteTrie:
-    """``step`` holds the child of every node and symbol (-1: none), ``piece`` the piece that ends at a node (-1: none)."""
+    """Nodes are numbered with the leaves last; ``piece`` has the piece that ends at a node (-1: none)."""
 
-    def __init__(self, pieces: list[bytes], symbols: int = 256, ends: list[bool] | None = None):
-        """With ``ends``, piece k is followed by the extra symbol 256 where ``ends[k]``."""
+    def __init__(self, pieces: list[bytes]):
         children: list[dict[int, int]] = [{}]
         piece = [-1]
         for k, p in enumerate(pieces):
             node = 0
-            for b in (*p, 256) if ends and ends[k] else p:
+            for b in p:
                 nxt = children[node].get(b)
                 if nxt is None:
                     nxt = children[node][b] = len(children)
@@ -26,11 +25,21 @@ class ByteTrie:
                     piece.append(-1)
                 node = nxt
             piece[node] = k
-        self.step = np.full((len(children), symbols), -1, dtype=np.int32)
-        for node, kids in enumerate(children):
-            if kids:
-                self.step[node, list(kids)] = list(kids.values())
-        self.piece = np.array(piece, dtype=np.int32)
+        inner = [n for n, kids in enumerate(children) if kids]
+        place = np.empty(len(children), np.int32)
+        place[inner] = np.arange(len(inner))
+        place[[n for n, kids in enumerate(children) if not kids]] = np.arange(len(inner), len(children))
+        # One row for all leaves, from which nothing leads on.
+        self._rows = np.full((len(inner) + 1, 256), -1, dtype=np.int32)
+        for row, n in enumerate(inner):
+            self._rows[row, list(children[n])] = place[list(children[n].values())]
+        self._leaves = len(inner)
+        self.piece = np.empty(len(children), np.int32)
+        self.piece[place] = piece
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Child of each node by a byte, -1 where there is none."""
+        return self._rows[np.minimum(node, self._leaves), byte]
 
 
 @lru_cache(maxsize=4)
