@@ -165,7 +165,7 @@ def g08(spark, sf_dir):
 @query("G06_barrier_buffer")
 def g06(spark, sf_dir):
     g = tiles(spark, sf_dir).withColumn("wall", F.col("class") == 0)
-    return G.flood(g, g.where("row = 10 and col = 10"), "wall")
+    return G.flood(g, g.where("row % 4 = 0 and col % 6 = 0"), "wall")
 
 
 @query(
