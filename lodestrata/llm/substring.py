@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +50,12 @@ def _doc_slot(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    new = values[1:] != values[:-1]
+    return np.flatnonzero(np.r_[True, new.any(axis=1) if values.ndim > 1 else new])
 
 
 def _pack(kind: int, bucket: np.ndarray, ids: np.ndarray, data: np.ndarray) -> Iterator[tuple]:
-    """Rows of ``_PACKED`` from entries in ascending order of id."""
+    """Rows of ``_PACKED`` from entries in ascending order of id. An id is a number or a row of numbers."""
     order = np.argsort(bucket, kind="stable")
     bucket, ids, data = bucket[order], ids[order], data[order]
     begins = _runs(bucket) if len(bucket) else []
@@ -68,6 +70,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "kind", "ids", "counts", "data"])
 
 
+def _mark(text) -> int:
+    """Signed 64-bit hash that tells the texts of one id apart."""
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def merged(starts: np.ndarray, width: int) -> np.ndarray:
     """Maximal intervals (n, 2) of words that windows at ascending ``starts`` cover."""
     if not len(starts):
@@ -78,8 +85,8 @@ def merged(starts: np.ndarray, width: int) -> np.ndarray:
 
 def _windows(buckets: int, slots: int, width: int, flush: int):
     def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Entries of one flush: (ids, hash, second hash, first word) per window."""
-        ids, h, g, at = (np.concatenate(x) for x in zip(*held))
+        """Entries of one flush: (ids, hash, second hash, first word, hash of the text) per window."""
+        ids, h, g, at, mark = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(ids, kind="stable")
         order = order[np.argsort(h[order], kind="stable")]
         hs, gs, by = h[order], g[order], ids[order]
@@ -91,9 +98,10 @@ def _windows(buckets: int, slots: int, width: int, flush: int):
             keep = keep[np.argsort(ids[keep], kind="stable")]
         rows = list(_pack(0, _slot(g[keep], buckets), ids[keep], h[keep]))
         gone = order[lost]
-        gone = gone[np.lexsort((at[gone], ids[gone]))]
-        gone_ids, gone_at = ids[gone], at[gone]
-        rows += _pack(1, _doc_slot(gone_ids, slots), gone_ids, gone_at.astype(np.int64))
+        gone = gone[np.lexsort((at[gone], mark[gone], ids[gone]))]
+        # Places hold for one text, and rows that repeat an id may have several.
+        whose = np.stack([ids[gone], mark[gone]], axis=1)
+        rows += _pack(1, _doc_slot(ids[gone], slots), whose, at[gone].astype(np.int64))
         release()
         if rows:
             yield _batch(rows)
@@ -113,7 +121,8 @@ def _windows(buckets: int, slots: int, width: int, flush: int):
                 g = window_hashes(words, first_words, width, 1)[0]
                 row = np.repeat(np.arange(b - a), counts)
                 use = known[a:b][row]
-                held.append((ids[a:b][row][use], h[use], g[use], (at - first_words[:-1][row])[use].astype(np.int32)))
+                mark = np.array([_mark(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:])])
+                held.append((ids[a:b][row][use], h[use], g[use], (at - first_words[:-1][row])[use].astype(np.int32), mark[row][use]))
                 n += len(held[-1][0])
                 if n >= flush:
                     yield from settle(held)
@@ -165,11 +174,12 @@ def _zip_texts(slots: int):
 def _cut_out(width: int):
     def run(docs: pa.Table, removals: pa.Table) -> pa.Table:
         hashes: dict[int, list] = {}
-        begins: dict[int, list] = {}
+        begins: dict[tuple[int, int], list] = {}
         for kind, i, c, d in zip(*(removals.column(x).to_pylist() for x in ("kind", "ids", "counts", "data"))):
             into, values = (begins, np.frombuffer(d, np.int64)) if kind else (hashes, np.frombuffer(d, np.uint64))
             ends = np.cumsum(np.frombuffer(c, np.int32))
-            for one, b, n in zip(np.frombuffer(i, np.int64).tolist(), ends.tolist(), np.frombuffer(c, np.int32).tolist()):
+            whose = np.frombuffer(i, np.int64)
+            for one, b, n in zip(map(tuple, whose.reshape(-1, 2).tolist()) if kind else whose.tolist(), ends.tolist(), np.frombuffer(c, np.int32).tolist()):
                 into.setdefault(one, []).append(values[b - n : b])
         unpack = zstandard.ZstdDecompressor().decompress
         n_words, spans, kept = [], [], []
@@ -177,7 +187,7 @@ def _cut_out(width: int):
             raw = unpack(packed) if packed is not None else b""
             words = raw.split()
             lost = hashes.get(one, []) if one is not None else []
-            lost_at = begins.get(one, []) if one is not None else []
+            lost_at = begins.get((one, _mark(raw)), []) if one is not None else []
             n_words.append(len(words))
             if not lost and not lost_at:
                 spans.append([])

@@ -46,6 +46,21 @@ def test_op3_over_partitions(spark, docs):
     assert one == many
 
 
+def test_op3_texts_of_one_id(spark):
+    """Rows that repeat an id and differ in text, one of them shorter than the places cut from the other."""
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(1, " ".join(shared)), (5, " ".join([f"a{k}" for k in range(90)] + shared)), (5, " ".join(f"b{k}" for k in range(55))), (5, " ".join(shared[:55]))]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = sorted((r["doc_id"], r["n_words"], len(r["kept_text"].split())) for r in substring.substring_dedup(frame).collect())
+        assert found == [(1, 60, 60), (5, 55, 0), (5, 55, 55), (5, 150, 90)]
+
+
+def test_op6_long_numbers():
+    text = "0" * 6000 + ".1.2.3 and 1.2.3." + "9" * 6000
+    assert [s for s in pii.find_spans(text) if s[0] == "ip"] == [("ip", 0, 6006)]
+
+
 def test_op4(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
     ids = vectors.vec_id.to_numpy()
