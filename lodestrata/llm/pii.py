@@ -87,7 +87,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             # Each pattern starts at the first digit of a run, or at the first one after the span before.
             if at >= done["ip"] and (m := _IP.match(text, at)):
                 done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.groups()):
                     spans.append(("ip", at, m.end()))
             if at >= done["card"] and (m := _CARD.match(text, at)):
                 done["card"] = m.end()
