@@ -38,6 +38,20 @@ def utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
     return 500_000 + 0.9996 * a * east, 0.9996 * a * north
 
 
+def lambert(lat: Column, lon: Column, lat1: float, lat2: float, lat0: float, lon0: float, radius: float = SEMI_MAJOR, flattening: float = FLATTENING) -> tuple[Column, Column]:
+    """Easting and northing of a Lambert conformal conic with two standard parallels, from ``lat0, lon0``; no flattening gives the sphere's."""
+    e = math.sqrt(flattening * (2 - flattening))
+    phi1, phi2, phi0 = (math.radians(p) for p in (lat1, lat2, lat0))
+    m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+    t = lambda p: math.tan(math.pi / 4 - p / 2) / ((1 - e * math.sin(p)) / (1 + e * math.sin(p))) ** (e / 2)
+    n = math.sin(phi1) if lat1 == lat2 else math.log(m(phi1) / m(phi2)) / math.log(t(phi1) / t(phi2))
+    reach = radius * m(phi1) / (n * t(phi1) ** n)
+    phi = F.radians(lat)
+    here = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - e * F.sin(phi)) / (1 + e * F.sin(phi)), F.lit(e / 2))
+    rho, theta = reach * F.pow(here, F.lit(n)), n * F.radians(lon - lon0)
+    return rho * F.sin(theta), reach * t(phi0) ** n - rho * F.cos(theta)
+
+
 def affine(x: Column, y: Column, a: tuple[float, float, float], b: tuple[float, float, float]) -> tuple[Column, Column]:
     """``a0 + a1 x + a2 y`` and ``b0 + b1 x + b2 y``."""
     return a[0] + a[1] * x + a[2] * y, b[0] + b[1] * x + b[2] * y

@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-MODULES = ("q_relational", "q_stats", "q_match", "q_state", "q_grid", "q_sources")
+MODULES = ("q_relational", "q_stats", "q_match", "q_state", "q_grid", "q_lines", "q_sources")
 
 
 def _load() -> None:
