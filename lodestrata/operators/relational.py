@@ -157,11 +157,22 @@ def recursive_closure(edges: DataFrame, source: str, target: str, most: int = 50
     raise RuntimeError(f"paths longer than {most}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir`` (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where none is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrata-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def with_guardrails(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns that are false by contract: what the rows do not authorise anyone to assert."""
+    return df.withColumns({n: F.lit(False) for n in names})

@@ -235,11 +235,11 @@ def j17(spark, sf_dir):
 
 @query(
     "J18_S19_range_expansion",
-    """WITH r AS (SELECT p_partkey, p_partkey * 3 AS low, p_partkey * 3 + p_size % 5 - 1 AS high FROM part WHERE p_partkey <= 500),
+    """WITH r AS (SELECT p_partkey, p_partkey * 3 AS low, p_partkey * 3 + p_size % 5 - 1 AS high FROM part),
     m AS (SELECT p_partkey, unnest(generate_series(low, high)) AS member FROM r) SELECT m.p_partkey, m.member, o_orderstatus FROM m JOIN orders ON o_orderkey = member""",
 )
 def j18(spark, sf_dir):
-    ranges = table(spark, sf_dir, "part").where("p_partkey <= 500").select("p_partkey", (F.col("p_partkey") * 3).alias("low"), (F.col("p_partkey") * 3 + F.col("p_size") % 5 - 1).alias("high"))
+    ranges = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 3).alias("low"), (F.col("p_partkey") * 3 + F.col("p_size") % 5 - 1).alias("high"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("member"), "o_orderstatus")
     return R.expand_range(ranges, "low", "high", "member").join(orders, "member").select("p_partkey", "member", "o_orderstatus")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lodestrata.operators import relational as R
 from lodestrata.sources import readers as S
+from lodestrata.streaming import sessions
 
 from .catalog import query
 from .tables import table
@@ -33,3 +37,51 @@ def s08(spark, sf_dir):
     body = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2).alias("line"), F.array(F.col("n_nationkey").cast("string"), F.col("n_name")).alias("cells"))
     top = spark.createDataFrame([(0, ["a title"]), (1, ["key", " name "])], "line int, cells array<string>")
     return S.headed_sheet(top.unionByName(body), "line", "cells", "key").select("line", F.element_at("record", "name").alias("name"))
+
+
+@query("S05_geojson_sequence", """SELECT n_nationkey AS id, n_name AS name, 'Point' AS geometry_type, '[' || n_regionkey || ',' || n_nationkey || ']' AS coordinates FROM nation""")
+def s05(spark, sf_dir):
+    feature = F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("n_regionkey", "n_nationkey").alias("coordinates")).alias("geometry"),
+    ))
+    path = f"{R.shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").select(F.concat(F.lit("\x1e"), feature).alias("value")).write.text(path)
+    return S.geojson_sequence(spark, path, "id int, name string")
+
+
+@query("S07_csv_filtered", """SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0""")
+def s07(spark, sf_dir):
+    path = f"{R.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").write.csv(path, header=True)
+    return S.csv_rows(spark, path, "s_suppkey bigint, s_name string, s_acctbal double", F.col("s_acctbal") > 0)
+
+
+@query("S13_grid_records", """SELECT event_id, CAST(value AS DOUBLE) AS value FROM events WHERE (event_type = 'click' AND user_id % 3 = 0 AND event_id % 2 = 0) OR (event_type = 'view' AND user_id % 3 = 1 AND event_id % 2 = 1)""")
+def s13(spark, sf_dir):
+    level, forecast = F.concat(F.lit("level "), F.col("user_id") % 3), F.when(F.col("event_id") % 2 == 0, "anl").otherwise("1 hour fcst")
+    records = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("variable"), level.alias("level"), forecast.alias("forecast"), F.col("value").cast("double").alias("value"))
+    return S.grid_records(records, [("click", "level 0", "anl"), ("view", "level 1", "1 hour fcst")]).select("event_id", "value")
+
+
+@query("S18_inline_values", """SELECT c_custkey, v.weight FROM customer JOIN (VALUES ('BUILDING', 3), ('MACHINERY', 1)) v(segment, weight) ON c_mktsegment = v.segment""")
+def s18(spark, sf_dir):
+    values = spark.createDataFrame([("BUILDING", 3), ("MACHINERY", 1)], "segment string, weight int")  # two rows
+    return table(spark, sf_dir, "customer").join(F.broadcast(values), F.col("c_mktsegment") == F.col("segment")).select("c_custkey", "weight")
+
+
+@query("P16_guardrails", """SELECT o_custkey, count(*) AS n, false AS future_order_assertion_authorized, false AS contact_authorized FROM orders GROUP BY o_custkey""")
+def p16(spark, sf_dir):
+    counted = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return R.with_guardrails(counted, "future_order_assertion_authorized", "contact_authorized")
+
+
+@query("T01_available_now", """SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def t01(spark, sf_dir):
+    """A scheduled refresh: what is new since the last run goes through a stream that ends when it is done."""
+    folder = f"{R.shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    events.write.parquet(f"{folder}/landed")
+    stream = sessions.event_stream(spark, f"{folder}/landed", events.schema, files_per_batch=64)
+    sessions.upsert_batches(stream, f"{folder}/table", ["user_id"], f"{folder}/state").awaitTermination()
+    return sessions.latest_batch(spark, f"{folder}/table").select("user_id", "event_id", "event_type")

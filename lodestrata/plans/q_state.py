@@ -12,10 +12,10 @@ from .tables import table
 
 def base_and_delta(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return orders.where("o_orderkey % 3 <> 0"), orders.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("X")).withColumn("o_totalprice", F.col("o_totalprice") - 100000)
+    return orders.where("o_orderpriority <> '3-MEDIUM'"), orders.where("o_orderstatus <> 'F'").withColumn("o_orderstatus", F.lit("X")).withColumn("o_totalprice", F.col("o_totalprice") - 100000)
 
 
-_SPLIT = """b AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), d AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice - 100000 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)"""
+_SPLIT = """b AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '3-MEDIUM'), d AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice - 100000 AS o_totalprice FROM orders WHERE o_orderstatus <> 'F')"""
 
 
 @query("K01_upsert", f"""WITH {_SPLIT} SELECT * FROM d UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d)""")
@@ -39,7 +39,7 @@ def k02(spark, sf_dir):
 @query("K03_T04_changed_rows", f"""WITH {_SPLIT}, n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE (SELECT any_value(o_orderstatus) FROM orders o WHERE o.o_orderkey = d.o_orderkey) END AS o_orderstatus FROM d) SELECT n.* FROM n LEFT JOIN b USING (o_orderkey) WHERE n.o_orderstatus IS DISTINCT FROM b.o_orderstatus""")
 def k03(spark, sf_dir):
     old, _ = base_and_delta(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
     return S.changed_rows(old, orders, ["o_orderkey"], ["o_orderstatus"])
 
 
@@ -123,8 +123,8 @@ def t11(spark, sf_dir):
     """Only changed keys are classified again and merged into the standing result."""
     customers = table(spark, sf_dir, "customer")
     grade = F.when(F.col("c_acctbal") > 5000, "high").when(F.col("c_acctbal") > 0, "mid").otherwise("low")
-    standing = customers.select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "old").otherwise(grade).alias("class"))
-    again = customers.where("c_custkey % 10 = 0").select("c_custkey", grade.alias("class"))
+    standing = customers.select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "old").otherwise(grade).alias("class"))
+    again = customers.where("c_mktsegment = 'BUILDING'").select("c_custkey", grade.alias("class"))
     return S.upsert(standing, again, ["c_custkey"])
 
 

@@ -49,37 +49,52 @@ def in_box(df: DataFrame, box: str, xmin: float, ymin: float, xmax: float, ymax:
     return df.where((F.col(f"{box}.xmin") <= xmax) & (F.col(f"{box}.xmax") >= xmin) & (F.col(f"{box}.ymin") <= ymax) & (F.col(f"{box}.ymax") >= ymin))
 
 
+def grid_records(df: DataFrame, wanted: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Rows of decoded grid messages whose (variable, level, forecast) is wanted. The test is on plain columns, so a scan can skip by it."""
+    any_of = F.lit(False)
+    for variable, level, forecast in wanted:
+        any_of = any_of | ((F.col("variable") == variable) & (F.col("level") == level) & (F.col("forecast") == forecast))
+    return df.where(any_of)
+
+
 class Page(InputPartition):
-    def __init__(self, number: int, path: str):
-        self.number, self.path = number, path
+    def __init__(self, offset: int, url: str):
+        self.offset, self.url = offset, url
 
 
 class PagedReader(DataSourceReader):
-    """One partition for each page; a page is a JSON array of features with ``id`` and ``name``."""
+    """One partition for each page of a feature service; a page is a JSON array of features with ``id`` and ``name``, or an object that has it as ``features``."""
 
     def __init__(self, options: dict):
-        self.path, self.pages = options["path"], int(options.get("pages", "1"))
+        self.url, self.size, self.total = options["url"], int(options.get("pageSize", "1000")), int(options["total"])
+        if self.size < 1:
+            raise ValueError("pageSize must be positive")
 
     def partitions(self) -> list[InputPartition]:
-        return [Page(n, f"{self.path}/page-{n}.json") for n in range(self.pages)]
+        return [Page(at, self.url.format(offset=at, limit=self.size)) for at in range(0, self.total, self.size)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         import json
+        from urllib.request import urlopen
 
-        with open(partition.path, encoding="utf-8") as file:
-            for feature in json.load(file):
-                yield partition.number, feature.get("id"), feature.get("name")
+        with urlopen(partition.url, timeout=60) as answer:
+            page = json.load(answer)
+        for feature in page if isinstance(page, list) else page.get("features", []):
+            yield partition.offset, feature.get("id"), feature.get("name")
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged_features").options(path=…, pages=…)``."""
+    """``spark.read.format("paged_features").options(url="…?resultOffset={offset}&resultRecordCount={limit}", pageSize=…, total=…)``.
+
+    A page is read by one task, which is run again if its executor is lost.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "paged_features"
 
     def schema(self) -> str:
-        return "page int, id long, name string"
+        return "at long, id long, name string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)

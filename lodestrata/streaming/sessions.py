@@ -36,3 +36,11 @@ def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: st
         whole.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_batch(spark, path: str) -> DataFrame:
+    """The table that the last micro-batch of ``upsert_batches`` left under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    last = max(int(name) for f in written if (name := f.getPath().getName()).isdigit())
+    return spark.read.parquet(f"{path}/{last}")

@@ -162,10 +162,7 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "a.geojsonseq").write_text('\x1e{"type":"Feature","properties":{"name":"x"},"geometry":{"type":"Point","coordinates":[1,2]}}\n\x1e\n\x1enot json\n')
     found = readers.geojson_sequence(spark, str(tmp_path / "a.geojsonseq"), "name string").collect()
     assert [tuple(r) for r in found] == [("x", "Point", "[1,2]")]
-    for n in range(2):
-        (tmp_path / f"page-{n}.json").write_text(json.dumps([{"id": 10 * n + k, "name": "f"} for k in range(3)]))
-    spark.dataSource.register(readers.PagedSource)
-    assert spark.read.format("paged_features").options(path=str(tmp_path), pages="2").load().count() == 6
+    assert paged(spark) == [(at, at + k, f"f{at + k}") for at in (0, 3, 6) for k in range(3 if at < 6 else 1)]
     (tmp_path / "c.csv").write_text("id,kind\n1,keep\n2,drop\n")
     assert readers.csv_rows(spark, str(tmp_path / "c.csv"), "id int, kind string", F.col("kind") == "keep").count() == 1
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, p string")
@@ -175,6 +172,33 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sorted((r["k"], r["p"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(2, "b"), (7, "a")]
 
 
+def paged(spark):
+    """All rows of a local feature service with seven features in pages of three."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
+            features = [{"id": k, "name": f"f{k}"} for k in range(7)][asked["offset"] :][: asked["limit"]]
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"features": features}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(readers.PagedSource)
+        url = f"http://127.0.0.1:{server.server_port}/?offset={{offset}}&limit={{limit}}"
+        return sorted(map(tuple, spark.read.format("paged_features").options(url=url, pageSize="3", total="7").load().collect()))
+    finally:
+        server.shutdown()
+
+
 def test_streams(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
