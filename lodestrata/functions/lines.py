@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,11 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def segments(line: Column) -> Column:
     """Neighbouring points as structs ``p, q``."""
     most = F.greatest(F.lit(0), F.size(line) - 1)
@@ -58,10 +63,16 @@ def locate(line: Column, x: Column, y: Column) -> Column:
 
 def interpolate(line: Column, fraction: Column) -> Column:
     """The point at a fraction of a line's length."""
-    lengths = along(line)
+    return _bound(along(line), lambda lengths: _interpolate(line, lengths, fraction))
+
+
+def _interpolate(line: Column, lengths: Column, fraction: Column) -> Column:
     target = fraction * F.element_at(lengths, -1)
     cuts = F.zip_with(segments(line), F.slice(lengths, F.lit(1), F.greatest(F.lit(0), F.size(line) - 1)), lambda s, before: F.struct(s["p"].alias("p"), s["q"].alias("q"), before.alias("before"), _length(s).alias("long")))
-    at = F.get(F.filter(cuts, lambda c: c["before"] + c["long"] >= target), F.lit(0))
+    return _bound(F.get(F.filter(cuts, lambda c: c["before"] + c["long"] >= target), F.lit(0)), lambda at: _on_segment(line, at, target))
+
+
+def _on_segment(line: Column, at: Column, target: Column) -> Column:
     t = F.coalesce((target - at["before"]) / F.nullif(at["long"], F.lit(0.0)), F.lit(0.0))
     found = point(at["p"]["x"] + t * (at["q"]["x"] - at["p"]["x"]), at["p"]["y"] + t * (at["q"]["y"] - at["p"]["y"]))
     return F.when(at.isNull(), F.element_at(line, -1)).otherwise(found)
@@ -69,11 +80,14 @@ def interpolate(line: Column, fraction: Column) -> Column:
 
 def substring(line: Column, low: Column, high: Column) -> Column:
     """The part of a line between two fractions of its length."""
-    lengths = along(line)
+    return _bound(along(line), lambda lengths: _substring(line, lengths, low, high))
+
+
+def _substring(line: Column, lengths: Column, low: Column, high: Column) -> Column:
     total = F.element_at(lengths, -1)
     placed = F.zip_with(line, lengths, lambda p, before: F.struct(p.alias("p"), before.alias("before")))
     middle = F.transform(F.filter(placed, lambda v: (v["before"] > low * total) & (v["before"] < high * total)), lambda v: v["p"])
-    return F.concat(F.array(interpolate(line, low)), middle, F.array(interpolate(line, high)))
+    return F.concat(F.array(_interpolate(line, lengths, low)), middle, F.array(_interpolate(line, lengths, high)))
 
 
 def hausdorff(a: Column, b: Column) -> Column:
@@ -188,9 +202,9 @@ def centroid(ring: Column) -> Column:
         w = p["x"] * q["y"] - q["x"] * p["y"]
         return F.struct((a["x"] + (p["x"] + q["x"]) * w).alias("x"), (a["y"] + (p["y"] + q["y"]) * w).alias("y"), (a["twice"] + w).alias("twice"))
 
-    part = F.nullif
-    found = F.aggregate(edges_of(ring), zero, step, lambda a: F.struct((a["x"] / part(3 * a["twice"], F.lit(0.0))).alias("x"), (a["y"] / part(3 * a["twice"], F.lit(0.0))).alias("y")))
-    return F.when(found["x"].isNotNull(), found).otherwise(F.element_at(ring, 1))
+    mean = lambda a, k: a[k] / F.nullif(3 * a["twice"], F.lit(0.0))
+    found = F.aggregate(edges_of(ring), zero, step, lambda a: F.struct(mean(a, "x").alias("x"), mean(a, "y").alias("y")))
+    return _bound(found, lambda c: F.when(c["x"].isNotNull(), c).otherwise(F.element_at(ring, 1)))
 
 
 def point_on_surface(ring: Column) -> Column:
@@ -199,14 +213,20 @@ def point_on_surface(ring: Column) -> Column:
     # Half height may run through a corner, so the two heights nearest to it are parted.
     ys = F.transform(ring, lambda p: p["y"])
     half = (box["ymin"] + box["ymax"]) / 2
-    above = F.array_min(F.filter(ys, lambda v: v > half))
-    below = F.array_max(F.filter(ys, lambda v: v <= half))
-    level = (above + below) / 2
+    level = _bound(half, lambda h: (F.array_min(F.filter(ys, lambda v: v > h)) + F.array_max(F.filter(ys, lambda v: v <= h))) / 2)
+    return _bound(level, lambda y: _widest(ring, y))
+
+
+def _widest(ring: Column, level: Column) -> Column:
     crossed = F.filter(edges_of(ring), lambda e: (e["p"]["y"] > level) != (e["q"]["y"] > level))
     xs = F.array_sort(F.transform(crossed, lambda e: e["p"]["x"] + (level - e["p"]["y"]) / F.nullif(e["q"]["y"] - e["p"]["y"], F.lit(0.0)) * (e["q"]["x"] - e["p"]["x"])))
-    stretch = F.filter(F.zip_with(F.slice(xs, F.lit(1), F.greatest(F.lit(0), F.size(xs) - 1)), F.transform(F.slice(xs, F.lit(2), F.greatest(F.lit(0), F.size(xs) - 1)), lambda v: v), lambda a, b: F.struct((b - a).alias("w"), ((a + b) / 2).alias("x"))), lambda s: in_ring(s["x"], level, ring))
-    widest = F.array_max(stretch)
-    return F.when(widest.isNotNull(), point(widest["x"], level)).otherwise(F.element_at(ring, 1))
+
+    def stretches(x):
+        most = F.greatest(F.lit(0), F.size(x) - 1)
+        return F.zip_with(F.slice(x, F.lit(1), most), F.slice(x, F.lit(2), most), lambda a, b: F.struct((b - a).alias("w"), ((a + b) / 2).alias("x")))
+
+    inside = F.array_max(F.filter(_bound(xs, stretches), lambda s: in_ring(s["x"], level, ring)))
+    return _bound(inside, lambda w: F.when(w.isNotNull(), point(w["x"], level)).otherwise(F.element_at(ring, 1)))
 
 
 def clip_to_box(ring: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
@@ -225,13 +245,13 @@ def _cut(ring: Column, key: str, limit: float, sign: int) -> Column:
         crossing = point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"]))
         return F.when(inside(p) & inside(q), F.array(q)).when(inside(p), F.array(crossing)).when(inside(q), F.array(crossing, q)).otherwise(F.array().cast(f"array<{POINT}>"))
 
-    return F.flatten(F.transform(edges_of(ring), kept))
+    return _bound(ring, lambda r: F.flatten(F.transform(edges_of(r), kept)))
 
 
 def ring_share(ring: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
     """Share of a ring's area inside a box."""
-    whole = ring_area(ring)
-    return F.when(whole > 0, ring_area(clip_to_box(ring, xmin, ymin, xmax, ymax)) / whole).otherwise(0.0)
+    whole, inside = ring_area(ring), _bound(clip_to_box(ring, xmin, ymin, xmax, ymax), ring_area)
+    return F.when(whole > 0, inside / whole).otherwise(0.0)
 
 
 def as_text(line: Column) -> Column:

@@ -144,11 +144,11 @@ def null_rules(spark, sf_dir):
 @query(
     "V02_json_and_arrays",
     """SELECT c_custkey, '{' || CASE WHEN c_acctbal > 0 THEN '"k":' || c_nationkey || ',' ELSE '' END || '"s":"' || c_mktsegment || '"}' AS stripped, array_to_string(list_transform([c_mktsegment, 'x'], lambda v: CASE WHEN v = 'x' THEN 'y' ELSE v END), ',') AS replaced,
-round(CAST(c_acctbal AS DECIMAL(38,12)), 1) AS rounded FROM customer""",
+CAST(round(CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(38,12)), 1) AS DOUBLE) AS rounded FROM customer""",
 )
 def json_arrays(spark, sf_dir):
     record = F.struct(F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).alias("k"), F.col("c_mktsegment").alias("s"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey", V.strip_nulls(record).alias("stripped"), F.array_join(V.array_replace(F.array("c_mktsegment", F.lit("x")), F.lit("x"), F.lit("y")), ",").alias("replaced"),
-        V.round_half_up(F.col("c_acctbal"), 1).alias("rounded"),
+        V.round_half_up(F.col("c_acctbal"), 1).cast("double").alias("rounded"),
     )
