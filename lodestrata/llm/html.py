@@ -7,8 +7,9 @@ ids from the root), and each style node gets two importances from the pages that
 * content: 1 minus the mean entropy of its texts over the pages; a text on every page has entropy 1.
 
 On each page the importance of a branch is composed from the leaves up, and branches of low importance go, after
-menus, forms, adverts and the like that tags, roles, classes and ids name. What <article> or <main> mark, where
-they hold text, is all that stays.
+menus, forms, adverts and the like that tags, roles, classes and ids name. <article> and <main> are evidence: what
+they mark is all that stays if one of them weighs as much (text times content importance) as all that is left
+outside, and a menu, form or box named as noise is kept only for an article that outweighs the rest of the page.
 
 Statistics are sums over (style node, feature) counts, so a host with a third of all pages is spread over as many
 groups as it has nodes and texts. Nothing is dropped from a page on the word of fewer than ``MIN_PAGES`` pages,
@@ -170,17 +171,45 @@ class Page:
         return f"{tag}[{';'.join(sorted(names))}]", noise, named
 
     def _settle(self, by_tags: list[bool], named: list[int]) -> list[bool]:
-        """Noise of each element: its own or from above. A name is not believed of an element that holds an article, nor is a header inside one."""
+        """Noise of each element: its own or from above. A header inside an article is none, nor is what holds the main article.
+
+        An element holds the main article if it is in no article, and the largest unnamed article or main in it has at
+        least half the text of any article outside, and as much as all text outside that is in no article and no noise.
+        """
         n = len(self.tag)
-        holds, inside, noise = [False] * n, [False] * n, [False] * n
+        text, end = [0] * n, list(range(1, n + 1))
+        for k, t in self.blocks:
+            text[k] += len(t)
+        own = text[:]
+        holds, within, inside, suspect, lost = [0] * n, [False] * n, [False] * n, [False] * n, [False] * n
         for k in range(n - 1, 0, -1):
-            if holds[k] or self.tag[k] in ("article", "main") and not named[k]:
-                holds[self.parent[k]] = True
+            up = self.parent[k]
+            text[up] += text[k]
+            end[up] = max(end[up], end[k])
+            mark = text[k] if self.tag[k] in ("article", "main") and not named[k] else 0
+            holds[up] = max(holds[up], holds[k], mark)
+        before, plain = [0] * (n + 1), [0] * (n + 1)
         for k in range(1, n):
             up = self.parent[k]
             inside[k] = inside[up] or self.tag[k] in ("article", "main")
-            believed = named[k] > 1 or named[k] == 1 and not inside[up]
-            noise[k] = noise[up] or (by_tags[k] or believed) and not holds[k]
+            within[k] = within[up] or self.tag[k] == "article"
+            suspect[k] = by_tags[k] or named[k] > 1 or named[k] == 1 and not inside[up]
+            lost[k] = lost[up] or suspect[k] and not holds[k]
+            article = self.tag[k] == "article" and not named[k] and not lost[k]
+            before[k + 1] = max(before[k], text[k] if article else 0)
+            plain[k + 1] = plain[k] + (0 if within[k] or lost[k] else own[k])
+        plain = [x + own[0] * (k > 0) for k, x in enumerate(plain)]
+        after = [0] * (n + 1)
+        for k in range(n - 1, 0, -1):
+            article = self.tag[k] == "article" and not named[k] and not lost[k]
+            after[k] = max(after[k + 1], text[k] if article else 0)
+        noise = [False] * n
+        for k in range(1, n):
+            if suspect[k] and holds[k] and not within[self.parent[k]]:
+                others = max(before[k], after[end[k]])
+                outside = plain[n] - (plain[end[k]] - plain[k])
+                suspect[k] = 2 * holds[k] < others or holds[k] < outside
+            noise[k] = noise[self.parent[k]] or suspect[k]
         return noise
 
     def features(self) -> Iterator[tuple[int, int, int]]:
@@ -221,14 +250,6 @@ def main_text(packed: bytes, known: dict[int, tuple[float, float]]) -> str:
     own = [0] * n
     for k, text in blocks:
         own[k] += len(text)
-    inside = [False] * n
-    for wanted in ("article", "main"):
-        for k in range(1, n):
-            inside[k] = inside[parent[k]] or tag[k] == wanted
-        if any(inside[k] for k, _ in blocks):
-            break
-    else:
-        inside = [True] * n
     weight = list(own)
     total = sum(own)
     most: dict[int, int] = {}
@@ -256,7 +277,19 @@ def main_text(packed: bytes, known: dict[int, tuple[float, float]]) -> str:
     gone = [False] * n
     for k in range(1, n):
         gone[k] = gone[parent[k]] or low[k]
-    return "\n\n".join(t for k, t in blocks if inside[k] and not gone[k])
+    left = [(k, t) for k, t in blocks if not gone[k]]
+    for wanted in ("article", "main"):
+        mark = [0] * n  # the outermost wanted element that holds it
+        for k in range(1, n):
+            mark[k] = mark[parent[k]] or (k if tag[k] == wanted else 0)
+        mass: dict[int, float] = {}
+        for k, text in left:
+            mass[mark[k]] = mass.get(mark[k], 0.0) + len(text) * known.get(key[k], (1.0, 1.0))[1]
+        outside = mass.pop(0, 0.0)
+        if mass and max(mass.values()) >= outside:
+            left = [(k, t) for k, t in left if mark[k]]
+            break
+    return "\n\n".join(t for _, t in left)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:

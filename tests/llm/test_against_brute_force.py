@@ -327,3 +327,30 @@ def test_style_tree_leaves_copies_alone(spark):
     rows = [(k, f"http://site.example/{k}", site(1)) for k in range(8)]
     found = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert all("Paragraph 1 0" in r["main_text"] for r in found.collect())
+
+
+STORY = "".join(f"<p>The story goes on with sentence {n} and some more words.</p>" for n in range(6))
+TEASERS = "".join(f"<article class=card><p>Teaser {n} of another page</p></article>" for n in range(3))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class=post>{STORY}</div><section class=related>{TEASERS}</section>",
+        f"<div class=post>{STORY}</div><aside>{TEASERS}</aside><nav>{TEASERS}</nav>",
+        f"<article>{STORY}</article><section class=related>{TEASERS}</section>",
+        f"<article>{STORY}<div class=comments><article><p>A comment that is{' very' * 80} long</p></article></div></article>",
+        f"<div class=sidebar-layout><article>{STORY}</article></div><div class=comments>{TEASERS * 9}</div>",
+        f"<form id=aspnet><main><div class=post>{STORY}</div></main></form>",
+        f"<div class=post>{STORY}</div>",
+    ],
+)
+def test_articles_are_evidence_only(body):
+    found = html.main_text(html.Page(f"<html><body>{body}</body></html>", "h").pack(), {})
+    assert found == "\n\n".join(f"The story goes on with sentence {n} and some more words." for n in range(6))
+
+
+def test_unnamed_teasers_do_not_replace_the_story():
+    teasers = "".join(f"<article><p>Teaser {n} of another page</p></article>" for n in range(30))
+    found = html.main_text(html.Page(f"<html><body><div class=post>{STORY}</div><div>{teasers}</div></body></html>", "h").pack(), {})
+    assert all(f"sentence {n} " in found for n in range(6))
