@@ -12,8 +12,9 @@ they mark is all that stays if one of them weighs as much (text times content im
 outside, and a menu, form or box named as noise is kept only for an article that outweighs the rest of the page.
 
 Statistics are sums over (style node, feature) counts, so a host with a third of all pages is spread over as many
-groups as it has nodes and texts. Nothing is dropped from a page on the word of fewer than ``MIN_PAGES`` pages,
-and nothing where the main texts themselves repeat over the host (copies of one page say nothing about style).
+groups as it has nodes and texts. Pages of a host with the same texts are copies and count once, since copies say
+nothing about style; two different pages are the least that can repeat anything. A page on which everything would
+go keeps everything.
 
 Defined results: null, empty or textless html gives the empty text; a null url has no host, so no style tree;
 rows with null or repeated ids get a result each; an empty table gives no rows.
@@ -35,11 +36,8 @@ from pyspark.sql import functions as F
 from .session import table, text_batches
 from .textblocks import column_bytes
 
-MIN_PAGES = 4
 THRESHOLD = 0.2
 GAMMA = 0.9
-#: A branch with more than this share of a page's text is never removed by importance.
-MOST_SHARE = 0.5
 
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base col embed hr input link meta param source track".split())
@@ -231,6 +229,10 @@ class Page:
             for f in found:
                 yield key, 1, f
 
+    def content(self) -> int:
+        """Equal for pages with the same texts."""
+        return _hash("\n".join(t for k, t in self.blocks if not self.noise[k]))
+
     def pack(self) -> bytes:
         """What ``main_text`` needs: the tree without noise and the blocks in it."""
         new, parent, tag, key = {0: 0}, [-1], ["#root"], [self.key[0]]
@@ -251,33 +253,28 @@ def main_text(packed: bytes, known: dict[int, tuple[float, float]]) -> str:
     for k, text in blocks:
         own[k] += len(text)
     weight = list(own)
-    total = sum(own)
-    most: dict[int, int] = {}
-    for k in range(n):
-        most[key[k]] = most.get(key[k], 0) + own[k]
     low = [False] * n
-    main = max(most, key=most.get, default=None)
-    if known and total and known.get(main, (1.0, 1.0))[1] >= THRESHOLD:
+    if known:
         below: list[list[float]] = [[] for _ in range(n)]
-        importance = [1.0] * n
-        for k in range(n - 1, -1, -1):
+        holds = [False] * n  # a branch of importance
+        for k in range(n - 1, 0, -1):
+            if not weight[k]:
+                continue
             presentation, content = known.get(key[k], (1.0, 1.0))
             parts = below[k] + [content] * bool(own[k])
+            importance = content
             if below[k]:
                 fade = GAMMA ** len(parts)
-                importance[k] = (1 - fade) * presentation + fade * sum(parts) / len(parts)
-            elif parts:
-                importance[k] = content
-            else:
-                importance[k] = 1.0
-            if k:
-                weight[parent[k]] += weight[k]
-                below[parent[k]].append(importance[k])
-            low[k] = importance[k] < THRESHOLD and weight[k] <= MOST_SHARE * total
+                importance = (1 - fade) * presentation + fade * sum(parts) / len(parts)
+            low[k] = importance < THRESHOLD and not holds[k] and not (own[k] and content >= THRESHOLD)
+            up = parent[k]
+            weight[up] += weight[k]
+            below[up].append(importance)
+            holds[up] |= not low[k]
     gone = [False] * n
     for k in range(1, n):
         gone[k] = gone[parent[k]] or low[k]
-    left = [(k, t) for k, t in blocks if not gone[k]]
+    left = [(k, t) for k, t in blocks if not gone[k]] or blocks
     for wanted in ("article", "main"):
         mark = [0] * n  # the outermost wanted element that holds it
         for k in range(1, n):
@@ -300,19 +297,22 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, kind, feature), and rows of kind -1 that tell which pages have a node."""
+    """Rows (page, content, node, kind, feature)."""
     for batch in batches:
-        row, node, kind, feature = [], [], [], []
+        row, same, node, kind, feature = [], [], [], [], []
         for k, (source, host) in enumerate(_rows(batch)):
             if not host:
                 continue
-            for a, b, c in Page(source, host).features():
+            page = Page(source, host)
+            content = page.content()
+            for a, b, c in page.features():
                 row.append(k)
+                same.append(content)
                 node.append(a)
                 kind.append(b)
                 feature.append(c)
-        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["page", "node", "kind", "feature"])
+        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(same, pa.int64()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page", "content", "node", "kind", "feature"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,8 +333,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def style_nodes(features: DataFrame) -> DataFrame:
-    """``node, pages, presentation, content`` of the style nodes that ``MIN_PAGES`` or more pages have."""
-    counted = features.groupBy("node", "kind", "feature").agg(F.count("*").alias("n"))
+    """``node, pages, presentation, content`` of the style nodes that two or more different pages have."""
+    once = features.select("content", "node", "kind", "feature").distinct()
+    counted = once.groupBy("node", "kind", "feature").agg(F.count("*").alias("n"))
     shape, text = F.col("kind") == 0, F.col("kind") == 1
     sums = counted.groupBy("node").agg(
         F.sum(F.when(shape, F.col("n"))).alias("pages"),
@@ -345,7 +346,7 @@ def style_nodes(features: DataFrame) -> DataFrame:
     base = F.log(F.col("pages").cast("double"))
     presentation = (base - F.col("n_log_n") / F.col("pages")) / base
     content = F.when(F.col("texts") > 0, 1 - F.col("logs") / F.col("texts") / base).otherwise(1.0)
-    return sums.where(F.col("pages") >= MIN_PAGES).select("node", "pages", presentation.alias("presentation"), content.alias("content"))
+    return sums.where(F.col("pages") > 1).select("node", "pages", presentation.alias("presentation"), content.alias("content"))
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
@@ -357,7 +358,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     # Rows with equal url and html have equal nodes, so they may share a key.
     whole = pages.select(F.xxhash64(url, source).alias("page"), url, source, carried)
     kept = whole.select("carried").schema["carried"].dataType.simpleString()
-    features = whole.drop("carried").mapInArrow(_features, "page long, node long, kind int, feature long")
+    features = whole.drop("carried").mapInArrow(_features, "page long, content long, node long, kind int, feature long")
     facts = style_nodes(features)
     having = features.where("kind = 0").select("page", "node").distinct()
     known = having.join(facts, "node").groupBy("page").agg(F.collect_list(F.struct("node", "presentation", "content")).alias("nodes"))

@@ -354,3 +354,25 @@ def test_unnamed_teasers_do_not_replace_the_story():
     teasers = "".join(f"<article><p>Teaser {n} of another page</p></article>" for n in range(30))
     found = html.main_text(html.Page(f"<html><body><div class=post>{STORY}</div><div>{teasers}</div></body></html>", "h").pack(), {})
     assert all(f"sentence {n} " in found for n in range(6))
+
+
+def repeated(k):
+    """A short article beside a longer notice and other boxes that the host repeats."""
+    boxes = "".join(f"<div class=box-{c}><p>Box {c} of the site</p><span></span></div>" for c in "abcdefgh")
+    notice = "".join(f"<p>The terms of use of this site, clause {n}, are long and on every page.</p>" for n in range(9))
+    return f"<html><body><div class=story-x><p>Short news {k}.</p></div>{boxes}<div class=terms-x>{notice}</div></body></html>"
+
+
+@pytest.mark.parametrize("pages, copies", [(12, 1), (2, 1), (3, 9)])
+def test_style_tree_removes_what_outweighs_the_article(spark, pages, copies):
+    rows = [(k, f"http://short.example/{k}/{c}", repeated(k)) for k in range(pages) for c in range(copies if not k else 1)]
+    found = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {(r["page_id"], r["main_text"]) for r in found.select("carried.page_id", "main_text").collect()} == {(k, f"Short news {k}.") for k in range(pages)}
+    assert found.count() == len(rows)
+
+
+def test_style_tree_keeps_a_page_of_repeated_text_only(spark):
+    rows = [(k, f"http://short.example/{k}", repeated(k) if k else repeated(k).replace("<p>Short news 0.</p>", "")) for k in range(6)]
+    found = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    texts = {r["page_id"]: r["main_text"] for r in found.select("carried.page_id", "main_text").collect()}
+    assert "clause 8" in texts[0] and texts[1] == "Short news 1."
