@@ -6,7 +6,7 @@ The distributions are fitted by expectation-maximisation: forward and backward s
 count. A byte that no piece covers has the small probability ``FALLBACK``, so every word has a segmentation.
 
 Words are runs of ASCII letters and non-ASCII bytes of the lower-cased text. Equal words of a block are scored
-once, and words of one length go through the lattice together. Runs over ``LONGEST`` bytes are scored in parts.
+once, and words of one length go through the lattice together; runs over ``LONGEST`` bytes go singly.
 
 Fitting reads about ``SAMPLE_DOCS`` documents per language, chosen by a hash of the id; scoring reads everything.
 The fitted model has one probability per language and piece, a size that does not grow with the corpus.
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .session import cut, release, shuffle_partitions, table, text_batches
 from .textblocks import blocks, span_hashes, word_spans
-from .trie import ByteTrie, sentence_pieces
+from .trie import ByteTrie, log_sums, sentence_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 2000
@@ -66,12 +66,6 @@ def start(path: str) -> np.ndarray:
 def _unique_words(data: np.ndarray, offsets: np.ndarray):
     """Spans of the distinct words of a block, the word number of each occurrence and the occurrences' row bounds."""
     starts, ends, first_words = word_spans(data, offsets, _LETTERS)
-    parts = -(-(ends - starts) // LONGEST)
-    if len(parts) and parts.max() > 1:
-        of = np.repeat(np.arange(len(starts)), parts)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        first_words = np.r_[0, np.cumsum(parts)][first_words]
-        starts, ends = starts[of] + k * LONGEST, np.minimum(starts[of] + (k + 1) * LONGEST, ends[of])
     _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     return starts[first], ends[first], inverse, first_words
 
@@ -112,7 +106,7 @@ def _forward(trie: ByteTrie, words: np.ndarray, scaled: np.ndarray, keep: list |
 
 
 def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 13):
-    """(word numbers, bytes with a leading space) of words of one length at a time."""
+    """(word numbers, bytes with a leading space) of words of one length up to ``LONGEST`` at a time."""
     lengths = ends - starts
     order = np.argsort(lengths, kind="stable")
     begins = np.searchsorted(lengths[order], np.arange(1, LONGEST + 2))
@@ -124,6 +118,12 @@ def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int
             yield which, words
 
 
+def _long(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(word number, bytes with a leading space) of each word over ``LONGEST``."""
+    for k in np.flatnonzero(ends - starts > LONGEST).tolist():
+        yield k, np.r_[np.uint8(32), data[starts[k] : ends[k]]]
+
+
 def word_scores(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """Log-probability of each word (row) under each model (column)."""
     trie = _trie(path)
@@ -131,6 +131,10 @@ def word_scores(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarra
     out = np.empty((len(starts), len(probabilities)))
     for which, words in _by_length(data, starts, ends):
         out[which] = np.log(_forward(trie, words, scaled)[-1]) - words.shape[1] * np.log(_TILT)
+    with_byte = np.vstack([scaled, np.full(scaled.shape[1], FALLBACK * _TILT)])
+    for k, word in _long(data, starts, ends):
+        for *_, sums in log_sums(trie, word, with_byte):
+            out[k] = sums[-1] - len(word) * np.log(_TILT)
     return out
 
 
@@ -151,6 +155,20 @@ def expected_counts(path: str, data: np.ndarray, starts: np.ndarray, ends: np.nd
                 share = scaled[piece, 0] * beta[j, at]
                 beta[i, at] += share
                 counts += np.bincount(piece, share * alpha[i, at], len(counts))
+    with_byte = np.vstack([scaled, [[FALLBACK * _TILT]]])
+    for k, word in _long(data, starts, ends):
+        stretches = list(log_sums(trie, word, with_byte))
+        sums = np.r_[0.0, *[s[-1][:, 0] for s in stretches]]
+        reached = [0.0] * len(word) + [float(times[k])]  # expected times that a piece ends there
+        for low, high, begin, first, piece, _ in reversed(stretches):
+            width = np.diff(begin)
+            share = np.exp(sums[first] - np.repeat(sums[low + 1 : high + 1], width)) * with_byte[piece, 0]
+            shares, firsts, at = share.tolist(), first.tolist(), begin.tolist()
+            for j in range(high, low, -1):
+                for a in range(at[j - low - 1], at[j - low]):
+                    reached[firsts[a]] += reached[j] * shares[a]
+            share *= np.repeat(reached[low + 1 : high + 1], width)
+            counts += np.bincount(piece[piece >= 0], share[piece >= 0], len(counts))
     return counts
 
 

@@ -16,8 +16,8 @@ All noise comes from a hash of the row key and the place, so a row's samples do
 
 Defined results: a null or empty text has one segmentation, the empty one, with inclusion score 0; a text with
 fewer than k segmentations gives all; alternatives of a unit with less than ``FLOOR`` of its probability are not
-sampled; rows with a null id share one key, rows that repeat an id their noise. Units over ``LONGEST`` bytes are
-cut into parts.
+sampled; rows with a null id share one key, rows that repeat an id their noise. Units of up to ``LONGEST`` bytes go
+through the lattice by length, longer ones singly and whole.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .session import table, text_batches
 from .textblocks import blocks, mix, span_hashes
-from .trie import ByteTrie, sentence_pieces
+from .trie import ByteTrie, log_sums, sentence_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
@@ -165,6 +165,68 @@ class Lattice:
         return out
 
 
+class LongLattice:
+    """``Lattice`` of one unit of any length: arcs by end in flat arrays, forward sums as logarithms."""
+
+    def __init__(self, v: Vocabulary, word: np.ndarray):
+        self.length, self.scaled = len(word), v.scaled
+        starts, ids, widths, sums = [], [], [], [[0.0]]
+        with_byte = np.r_[v.scaled, FALLBACK * _TILT][:, None]
+        for _, _, begin, first, piece, logs in log_sums(v.trie, word, with_byte):
+            starts.append(first.astype(np.int32))
+            ids.append(np.where(piece < 0, v.byte_ids[word[first]], piece).astype(np.int32))
+            widths.append(np.diff(begin))
+            sums.append(logs[:, 0])
+        self.starts, self.ids, self.sums = np.concatenate(starts), np.concatenate(ids), np.concatenate(sums)
+        self.begin = np.r_[0, 0, np.cumsum(np.concatenate(widths))]
+
+    def _options(self, j: int) -> tuple[list[int], list[int], list[float]]:
+        """Arcs that end at ``j``: starts, pieces and shares of what is there."""
+        here = slice(self.begin[j], self.begin[j + 1])
+        start, ids = self.starts[here], self.ids[here]
+        return start.tolist(), ids.tolist(), (np.exp(self.sums[start] - self.sums[j]) * self.scaled[ids]).tolist()
+
+    def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = np.full((len(word), self.length + 1), -1, np.int32)
+        log_prob = np.full(len(word), -self.sums[-1])
+        for r in range(len(word)):
+            noise, j = uniform(seed[r] + np.arange(self.length + 1, dtype=np.uint64)), self.length
+            while j:
+                starts, ids, shares = self._options(j)
+                left, k = float(noise[j]) * sum(shares), 0
+                while k < len(shares) - 1 and left >= shares[k]:
+                    left -= shares[k]
+                    k += 1
+                pieces[r, j] = ids[k]
+                j = starts[k]
+            log_prob[r] += np.log(self.scaled[pieces[r][pieces[r] >= 0]]).sum()
+        return pieces, log_prob
+
+    def draw_other(self, word: int, seed: np.uint64, excluded: list[np.ndarray]) -> tuple[np.ndarray, float]:
+        found, j = np.full(self.length + 1, -1, np.int32), self.length
+        prefixes = []
+        for e in excluded:
+            ends = np.flatnonzero(e >= 0)
+            prefixes.append(dict(zip(ends.tolist(), np.cumsum(np.log(self.scaled[e[ends]])).tolist())))
+        live = list(range(len(excluded)))
+        while j:
+            options = []
+            for i, piece, share in zip(*self._options(j)):
+                same = [e for e in live if excluded[e][j] == piece]
+                options.append((i, piece, max(0.0, share - sum(float(np.exp(prefixes[e][j] - self.sums[j])) for e in same)), same))
+            left = float(uniform(np.array([seed + np.uint64(j)]))[0]) * sum(o[2] for o in options)
+            chosen = max(options, key=lambda o: o[2])
+            for option in options:
+                if option[2] > 0:
+                    chosen = option
+                    if left < option[2]:
+                        break
+                left -= option[2]
+            found[j] = chosen[1]
+            live, j = chosen[3], chosen[0]
+        return found, float(np.log(self.scaled[found[found >= 0]]).sum() - self.sums[-1])
+
+
 def uniform(seed: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit seeds."""
     return ((mix(mix(seed) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
@@ -186,17 +248,13 @@ class Block:
         bounds = offsets + np.r_[0, np.cumsum(np.diff(offsets) > 0)]
         starts = np.flatnonzero(_CUT[text])
         ends = np.r_[starts[1:], len(text)] if len(starts) else starts
-        parts = -(-(ends - starts) // LONGEST)
-        of = np.repeat(np.arange(len(starts)), parts)
-        step = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts, ends = starts[of] + step * LONGEST, np.minimum(starts[of] + (step + 1) * LONGEST, ends[of])
         self.first = np.searchsorted(starts, bounds)
         self.row = np.repeat(np.arange(self.rows), np.diff(self.first))
         self.place = np.arange(len(starts)) - self.first[:-1][self.row]
         _, first, inverse = np.unique(span_hashes(text, starts, ends), return_index=True, return_inverse=True)
         lengths = (ends - starts)[first]
         order = np.argsort(lengths, kind="stable")
-        self.lattices: list[Lattice] = []
+        self.lattices: list[Lattice | LongLattice] = []
         self.lattice_of, self.word_of = np.zeros(len(first), np.int32), np.zeros(len(first), np.int64)
         begins = np.searchsorted(lengths[order], np.arange(1, LONGEST + 2))
         for length in range(1, LONGEST + 1):
@@ -204,6 +262,9 @@ class Block:
                 which = order[a : min(a + (1 << 14), begins[length])]
                 self.lattice_of[which], self.word_of[which] = len(self.lattices), np.arange(len(which))
                 self.lattices.append(Lattice(v, text[starts[first][which][:, None] + np.arange(length)]))
+        for k in order[begins[LONGEST] :].tolist():
+            self.lattice_of[k] = len(self.lattices)
+            self.lattices.append(LongLattice(v, text[starts[first[k]] : starts[first[k]] + lengths[k]]))
         self.unit_lattice, self.unit_word = self.lattice_of[inverse], self.word_of[inverse]
         self.seeds = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 

@@ -376,3 +376,66 @@ def test_style_tree_keeps_a_page_of_repeated_text_only(spark):
     found = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
     texts = {r["page_id"]: r["main_text"] for r in found.select("carried.page_id", "main_text").collect()}
     assert "clause 8" in texts[0] and texts[1] == "Short news 1."
+
+
+CHINESE = "中文字符串没有空格所以整句是一个很长的单位" * 2
+
+
+@pytest.mark.parametrize("word", [CHINESE.encode(), b"http" + b"information" * 12, "naïve".encode() * 20])
+def test_long_words_are_summed_whole(word, monkeypatch):
+    """Forward sums, expected counts and stretches of a long word against plain sums over all its segmentations."""
+    from lodestrata.llm import trie as tries
+
+    path = public_tokenizers.path(langid.VOCABULARY)
+    pieces = langid.sentence_pieces(path)
+    known = {p: k for k, p in enumerate(pieces) if p}
+    p = np.repeat(langid.start(path), 2, axis=0)
+    p[1] = p[0] ** 0.5 / (p[0] ** 0.5).sum()
+    text, longest = b" " + word, max(map(len, pieces))
+    n = len(text)
+
+    def sums(text, of):
+        """Scaled by 30 a byte, to stay in range."""
+        out = [1.0]
+        for j in range(1, len(text) + 1):
+            total = langid.FALLBACK * 30.0 * out[j - 1]
+            for i in range(max(0, j - longest), j):
+                k = known.get(text[i:j] if of > 0 else text[i:j][::-1])
+                total += 0.0 if k is None else p[abs(of) - 1, k] * 30.0 ** (j - i) * out[i]
+            out.append(total)
+        return out
+
+    data = np.frombuffer(word, np.uint8)
+    start, end = np.array([0]), np.array([len(word)])
+    ahead, back = sums(text, 1), sums(text[::-1], -1)[::-1]
+    want = np.zeros(len(pieces))
+    for i in range(n):
+        for j in range(i + 1, min(n, i + longest) + 1):
+            k = known.get(text[i:j])
+            if k is not None:
+                want[k] += 3 * ahead[i] * back[j] / ahead[n] * p[0, k] * 30.0 ** (j - i)
+    for stretch in (tries.STRETCH, 29):
+        monkeypatch.setattr(tries, "STRETCH", stretch)
+        found = langid.word_scores(path, data, start, end, p)[0]
+        assert found == pytest.approx([math.log(sums(text, m)[n]) - n * math.log(30.0) for m in (1, 2)])
+        assert langid.expected_counts(path, data, start, end, np.array([3]), p[0]) == pytest.approx(want, abs=1e-9)
+
+
+def test_long_units_are_sampled_whole(monkeypatch):
+    """The long lattice has the sums and draws of the other one, and pieces go over what was a cut."""
+    v = sampling.vocabulary(public_tokenizers.path(sampling.VOCABULARY), 0.25)
+    word = np.frombuffer(b" the", np.uint8)
+    short, long_ = sampling.Lattice(v, word[None, :]), sampling.LongLattice(v, word)
+    assert long_.sums == pytest.approx(np.log(short.sums[:, 0]))
+    seeds = np.arange(3000, dtype=np.uint64) * np.uint64(977)
+    a, b = short.draw(np.zeros(3000, int), seeds), long_.draw(np.zeros(3000, int), seeds)
+    assert (a[0] == b[0]).all() and a[1] == pytest.approx(b[1])
+    for excluded in ([a[0][0]], [a[0][0], short.draw_other(0, np.uint64(5), [a[0][0]])[0]]):
+        for seed in range(50):
+            x, y = short.draw_other(0, np.uint64(seed), excluded), long_.draw_other(0, np.uint64(seed), excluded)
+            assert (x[0] == y[0]).all() and x[1] == pytest.approx(y[1])
+    text = b"information" * 9
+    block = sampling.Block(sampling.vocabulary(public_tokenizers.path(sampling.VOCABULARY), 1.0), np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([1]))
+    ids = next(iter(block.samples(2)))[3]
+    ends = np.cumsum([len(block_piece) for block_piece in (v.bytes[k] for k in ids)])
+    assert len(block.row) == 1 and ends[-1] == len(text) + 1 and 48 not in ends
