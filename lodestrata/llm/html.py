@@ -1,23 +1,32 @@
 """Main text of web pages with a site style tree.
 
-A page is parsed into a tree of block elements. The pages of a host are merged by style path (tags, classes and
-ids from the root), and each style node gets two importances from the pages that have it:
+A page is parsed once into a tree of block elements. The pages of a host are merged by style path (tags, classes and
+ids from the root, and whether an element has blocks of its own in it), and each style node gets from its pages:
 
 * presentation: the entropy of the child sequences it has there, 1 where one page has it;
-* content: 1 minus the mean entropy of its texts over the pages; a text on every page has entropy 1.
+* content: 1 minus the mean entropy of its texts over the pages; a text on every page has entropy 1;
+* link: the part of its text that is in links; share: its part of the text of the pages that have it.
 
-On each page the importance of a branch is composed from the leaves up, and branches of low importance go, after
-menus, forms, adverts and the like that tags, roles, classes and ids name. <article> and <main> are evidence: what
-they mark is all that stays if one of them weighs as much (text times content importance) as all that is left
-outside, and a menu, form or box named as noise is kept only for an article that outweighs the rest of the page.
+On each page importance is composed from the leaves up. A leaf has its content, less what is in links; a branch has
+``(1 - g**l) * presentation + g**l * (mean of its parts)``, with l the number of its child sequences on the site. The
+main branch is found from the root: as long as one block container holds ``MAIN`` of the importance of what it is
+in, the search goes into it. Branches outside it count less the smaller their share of the site's text is; a branch
+of low importance with nothing important in it goes, wherever it is.
+
+Tags, roles, classes and ids are evidence: they multiply the importance of an element by ``AGAINST``. None removes an
+element that holds the main branch, and a name alone removes nothing but comments, which have no other mark: a
+``related`` box goes if it also repeats, links or is small. <article> and <main>, unless repeated, raise the chance to
+be the main branch. Only what is never text by the standard (scripts, controls, hidden elements) goes by itself.
 
 Statistics are sums over (style node, feature) counts, so a host with a third of all pages is spread over as many
 groups as it has nodes and texts. Pages of a host with the same texts are copies and count once, since copies say
 nothing about style; two different pages are the least that can repeat anything. A page on which everything would
 go keeps everything.
 
-Defined results: null, empty or textless html gives the empty text; a null url has no host, so no style tree;
-rows with null or repeated ids get a result each; an empty table gives no rows.
+Defined results: null, empty or textless html gives the empty text; a null url has no host, so no style tree; then,
+and for style nodes of one page, the page itself is the site. Rows with null or repeated ids get a result each; an
+empty table gives no rows. Unclosed tags, quotes and comments end where the standard says or, where that is the end
+of the page, at the next ``>``; scanning is linear in the length of the page.
 """
 
 from __future__ import annotations
@@ -27,6 +36,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -38,27 +48,36 @@ from .textblocks import column_bytes
 
 THRESHOLD = 0.2
 GAMMA = 0.9
-
+MAIN = 0.6
+#: A container outside the main branch with this share of its pages' text or more counts in full.
+FULL_SHARE = 0.15
+#: What an article or main that is not repeated counts for as main branch, and what containers outside it then do.
+ARTICLE = 8.0
+OUTSIDE_ARTICLE = 0.5
+SALTS = 8
+
+# Element names of the HTML standard by their role in a page.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base col embed hr input link meta param source track".split())
-NOISE_TAGS = set("head nav footer aside form button select option optgroup label fieldset dialog menu menuitem audio video canvas map noframes frameset".split())
+RAW = "script style textarea title".split()
+FOREIGN = "noscript template svg math iframe object".split()
+NEVER_TEXT = set("head button select option optgroup datalist audio video canvas map noframes frameset".split())
+ASIDE_TAGS = set("nav footer aside form label fieldset dialog menu menuitem".split())
+ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+CONTAINERS = set("html body div section aside nav header footer article main form fieldset details dialog center".split())
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
-NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NOISE_NAMES = set(
+SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}}
+COMMENT_NAMES = set("comment comments disqus respond replies reply".split())
+ASIDE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification "
     "alert popup modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar comment comments disqus respond replies reply share sharing social related recommended recommendations "
-    "pagination pager login toolbar search searchbox form hidden".split()
+    "footer header masthead topbar share sharing social related recommended recommendations pagination pager login toolbar search searchbox form".split()
 )
+#: What evidence leaves of an element's importance.
+AGAINST = {"never": 0.0, "tag": 0.15, "comment": 0.15, "name": 0.35, "repeated": 0.5}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|textarea|title|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[/!?a-zA-Z][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW + FOREIGN}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME_PART = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -76,217 +95,321 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """``("text", piece, "")``, ``("open", tag, attributes)`` and ``("close", tag, "")`` in order, in linear time."""
+    at, n, trust_quotes, unclosed = 0, len(source), True, set()
+    while at < n:
+        begin = source.find("<", at)
+        if begin < 0:
+            break
+        mark = source[begin + 1 : begin + 2]
+        if not (mark.isascii() and mark.isalpha()) and mark not in ("/", "!", "?") or not mark:
+            yield "text", source[at : begin + 1], ""
+            at = begin + 1
+            continue
+        if begin > at:
+            yield "text", source[at:begin], ""
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+            continue
+        end = source.find(">", begin)
+        if end < 0:
+            at = n  # what never closes is dropped, as the standard has it
+            break
+        name = _NAME.match(source, begin + 1 + (mark == "/"))
+        if mark in "!?" or name is None:
+            at = end + 1
+            continue
+        tag = name[0].lower()
+        if mark == "/":
+            at = end + 1
+            yield "close", tag, ""
+            continue
+        if trust_quotes and ('"' in source[begin:end] or "'" in source[begin:end]):
+            far = _quoted_end(source, name.end(), end)
+            trust_quotes = far >= 0  # one scan to the end of the page at most
+            end = far if far >= 0 else end
+        at = end + 1
+        closing = _CLOSE.get(tag)
+        if closing is not None and tag not in unclosed and source[end - 1] != "/":
+            found = closing.search(source, at)
+            if found or tag in RAW:
+                stop = source.find(">", found.end()) if found else -1
+                at = n if stop < 0 else stop + 1
+                continue
+            unclosed.add(tag)
+        yield "open", tag, source[name.end() : end]
+    if at < n:
+        yield "text", source[at:], ""
+
+
+def _quoted_end(source: str, at: int, end: int) -> int:
+    """The first ``>`` outside quotes from ``at`` on, -1 if there is none; ``end`` is the first ``>`` of all."""
+    while True:
+        double, single = source.find('"', at, end), source.find("'", at, end)
+        quote = max(double, single) if min(double, single) < 0 else min(double, single)
+        if quote < 0:
+            return end
+        close = source.find(source[quote], quote + 1)
+        if close < 0:
+            return -1
+        at = close + 1
+        if at > end:
+            end = source.find(">", at)
+            if end < 0:
+                return -1
+
+
 class Page:
     """Block elements of a page in document order, and its text blocks.
 
-    ``parent``, ``key`` (style path), ``tag`` and ``noise`` go by element; ``blocks`` are (element, text).
+    ``parent``, ``tag``, ``key`` (style path) and ``weight`` (what evidence leaves) go by element; ``blocks`` are
+    (element, text, part in links).
     """
 
     def __init__(self, source: str, host: str):
-        self.parent, self.tag, self.key, by_tags, named = [-1], ["#root"], [_hash(host)], [False], [0]
-        self.blocks: list[tuple[int, str]] = []
-        stack, pieces, at = [0], [], 0
+        self.parent, self.tag, self.weight = [-1], ["#root"], [1.0]
+        self.blocks: list[tuple[int, str, float]] = []
+        styles, stack, open_at = [host], [0], {}
+        pieces: list[str] = []
+        linked, length, link_depth, in_article = 0, 0, 0, 0
 
         def flush() -> None:
+            nonlocal linked, length
             if pieces:
                 text = " ".join(html.unescape("".join(pieces)).split())
                 if text:
-                    self.blocks.append((stack[-1], text))
+                    self.blocks.append((stack[-1], text, linked / max(1, length)))
                 pieces.clear()
-
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
-                pieces.append(source[at : m.start()])
-            at = m.end()
-            tag = m[3]
-            if tag is None:
+                linked = length = 0
+
+        def close(k: int) -> None:
+            nonlocal link_depth, in_article
+            while len(stack) > k:
+                tag = self.tag[stack.pop()]
+                open_at[tag].pop()
+                in_article -= tag in ("article", "main")
+            if link_depth > len(stack):
+                link_depth = 0
+
+        for kind, what, attributes in tokens(source):
+            if kind == "text":
+                pieces.append(what)
+                size = len(what.strip())
+                length += size
+                linked += size if link_depth else 0
                 continue
-            tag = tag.lower()
+            tag = what
             if tag in INLINE:
                 if tag == "br":
                     pieces.append(" ")
+                elif tag == "a":
+                    link_depth = len(stack) if kind == "open" else 0
                 continue
             if tag in ("td", "th"):
                 pieces.append(" ")
                 continue
             flush()
-            if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        del stack[k:]
-                        break
+            if kind == "close":
+                if open_at.get(tag):
+                    close(open_at[tag][-1])
                 continue
             if tag in VOID:
                 continue
-            if tag in ENDS_P and self.tag[stack[-1]] == "p":
-                stack.pop()
+            above = self.tag[stack[-1]]
             ends = SAME_ENDS.get(tag)
-            if ends and self.tag[stack[-1]] == "p":
-                stack.pop()
+            if above == "p" and (tag in ENDS_P or ends) or tag == "body" and above == "head":
+                close(len(stack) - 1)
             if ends and self.tag[stack[-1]] in ends:
-                stack.pop()
-            if tag == "body" and self.tag[stack[-1]] == "head":
-                stack.pop()
-            style, by_tag, by_name = self._style(tag, m[4])
-            up = stack[-1]
-            self.parent.append(up)
+                close(len(stack) - 1)
+            style, weight = self._style(tag, attributes, in_article > 0)
+            self.parent.append(stack[-1])
             self.tag.append(tag)
-            self.key.append(_hash(f"{self.key[up]}/{style}"))
-            by_tags.append(by_tag)
-            named.append(by_name)
-            if m[4].endswith("/") and tag not in ENDS_P:
+            self.weight.append(weight)
+            styles.append(style)
+            if attributes.endswith("/") and tag not in ENDS_P:
                 continue
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(len(self.tag) - 1)
-        if at < len(source):
-            pieces.append(source[at:])
+            in_article += tag in ("article", "main")
         flush()
-        self.noise = self._settle(by_tags, named)
-        if any(named) and all(self.noise[k] for k, _ in self.blocks):  # a name of the whole layout
-            self.noise = self._settle(by_tags, [0] * len(named))
+        inner = [False] * len(self.tag)
+        for up in self.parent[1:]:
+            inner[up] = True
+        self.key = [_hash(host)]
+        for k in range(1, len(self.tag)):
+            self.key.append(_hash(f"{self.key[self.parent[k]]}/{styles[k]}{'+' if inner[k] else ''}"))
 
     @staticmethod
-    def _style(tag: str, attributes: str) -> tuple[str, bool, int]:
-        """Style of an element, whether its tag or role names it noise, and whether its class or id does (1: a header)."""
-        noise, named, names = tag in NOISE_TAGS, 0, []
+    def _style(tag: str, attributes: str, in_article: bool) -> tuple[str, float]:
+        """Style of an element, and what its tag, role, class and id leave of its importance."""
+        against = {"never"} if tag in NEVER_TEXT else {"tag"} if tag in ASIDE_TAGS or tag == "header" and not in_article else set()
+        names = []
         for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
             what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if what in ("class", "id"):
                 names.append(what + "=" + " ".join(sorted(_DIGITS.sub("0", value).split())))
-                found = NOISE_NAMES.intersection(_NAME_PART.split(_CAMEL.sub(" ", value).lower()))
-                named = max(named, 1 if found == {"header"} else 2 if found else 0)
+                parts = set(_NAME_PART.split(_CAMEL.sub(" ", value).lower()))
+                if parts & COMMENT_NAMES:
+                    against.add("comment")
+                if parts & ASIDE_NAMES and not (in_article and tag == "header"):
+                    against.add("name")
             elif what == "role":
-                noise |= value.strip().lower() in NOISE_ROLES
-            elif what == "hidden":
-                noise = True
-            elif what == "aria-hidden":
-                noise |= value.strip().lower() == "true"
-            else:
-                noise |= "display:none" in value.replace(" ", "").lower()
+                if value.strip().lower() in ASIDE_ROLES:
+                    against.add("tag")
+            elif what == "hidden" or what == "aria-hidden" and value.strip().lower() == "true":
+                against.add("never")
+            elif what == "style" and "display:none" in value.replace(" ", "").lower():
+                against.add("never")
         if tag in ("html", "body", "main"):
-            noise, named = False, 0
-        elif tag == "header":
-            named = max(named, 1)
-        return f"{tag}[{';'.join(sorted(names))}]", noise, named
-
-    def _settle(self, by_tags: list[bool], named: list[int]) -> list[bool]:
-        """Noise of each element: its own or from above. A header inside an article is none, nor is what holds the main article.
-
-        An element holds the main article if it is in no article, and the largest unnamed article or main in it has at
-        least half the text of any article outside, and as much as all text outside that is in no article and no noise.
+            against = set()
+        return f"{tag}[{';'.join(sorted(names))}]", min([AGAINST[a] for a in against], default=1.0)
+
+    def sums(self) -> tuple[list[int], list[float], int]:
+        """Characters and linked characters of each branch, and of the page."""
+        chars, links = [0] * len(self.tag), [0.0] * len(self.tag)
+        for k, text, part in self.blocks:
+            chars[k] += len(text)
+            links[k] += len(text) * part
+        for k in range(len(self.tag) - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+            links[self.parent[k]] += links[k]
+        return chars, links, chars[0]
+
+    def features(self) -> np.ndarray:
+        """Rows (style node, kind, feature, characters, linked characters, characters of the page) as integers.
+
+        Kind 0 is the child sequence, once a node, with its sums; kind 1 are its texts, each once.
         """
-        n = len(self.tag)
-        text, end = [0] * n, list(range(1, n + 1))
-        for k, t in self.blocks:
-            text[k] += len(t)
-        own = text[:]
-        holds, within, inside, suspect, lost = [0] * n, [False] * n, [False] * n, [False] * n, [False] * n
-        for k in range(n - 1, 0, -1):
-            up = self.parent[k]
-            text[up] += text[k]
-            end[up] = max(end[up], end[k])
-            mark = text[k] if self.tag[k] in ("article", "main") and not named[k] else 0
-            holds[up] = max(holds[up], holds[k], mark)
-        before, plain = [0] * (n + 1), [0] * (n + 1)
-        for k in range(1, n):
-            up = self.parent[k]
-            inside[k] = inside[up] or self.tag[k] in ("article", "main")
-            within[k] = within[up] or self.tag[k] == "article"
-            suspect[k] = by_tags[k] or named[k] > 1 or named[k] == 1 and not inside[up]
-            lost[k] = lost[up] or suspect[k] and not holds[k]
-            article = self.tag[k] == "article" and not named[k] and not lost[k]
-            before[k + 1] = max(before[k], text[k] if article else 0)
-            plain[k + 1] = plain[k] + (0 if within[k] or lost[k] else own[k])
-        plain = [x + own[0] * (k > 0) for k, x in enumerate(plain)]
-        after = [0] * (n + 1)
-        for k in range(n - 1, 0, -1):
-            article = self.tag[k] == "article" and not named[k] and not lost[k]
-            after[k] = max(after[k + 1], text[k] if article else 0)
-        noise = [False] * n
-        for k in range(1, n):
-            if suspect[k] and holds[k] and not within[self.parent[k]]:
-                others = max(before[k], after[end[k]])
-                outside = plain[n] - (plain[end[k]] - plain[k])
-                suspect[k] = 2 * holds[k] < others or holds[k] < outside
-            noise[k] = noise[self.parent[k]] or suspect[k]
-        return noise
-
-    def features(self) -> Iterator[tuple[int, int, int]]:
-        """(style node, kind, feature): kind 0 the child sequence, once a node; kind 1 its texts, each once."""
+        chars, links, total = self.sums()
+        never = [False] * len(self.tag)
         children: dict[int, list[str]] = {}
-        texts: dict[int, set[int]] = {}
-        for k in range(1, len(self.tag)):
-            if not self.noise[k]:
+        size: dict[int, list[float]] = {}
+        for k in range(len(self.tag)):
+            never[k] = k > 0 and (never[self.parent[k]] or not self.weight[k])
+            if not never[k] and chars[k]:
                 children.setdefault(self.key[k], [])
-                above = children.setdefault(self.key[self.parent[k]], [])
-                if not above or above[-1] != self.tag[k]:
-                    above.append(self.tag[k])
-        for k, text in self.blocks:
-            if not self.noise[k]:
+                if k:
+                    children[self.key[self.parent[k]]].append(self.tag[k])
+                held = size.setdefault(self.key[k], [0, 0.0])
+                held[0] += chars[k]
+                held[1] += links[k]
+        texts: dict[int, set[int]] = {}
+        for k, text, _ in self.blocks:
+            if not never[k]:
                 texts.setdefault(self.key[k], set()).add(_hash(text))
-        for key, tags in children.items():
-            yield key, 0, _hash(" ".join(tags))
-        for key, found in texts.items():
-            for f in found:
-                yield key, 1, f
+        rows = [(key, 0, _hash(" ".join(tags)), size[key][0], round(size[key][1]), total) for key, tags in children.items()]
+        rows += [(key, 1, f, 0, 0, 0) for key, found in texts.items() for f in sorted(found)]
+        return np.array(rows, np.int64).reshape(-1, 6)
 
     def content(self) -> int:
         """Equal for pages with the same texts."""
-        return _hash("\n".join(t for k, t in self.blocks if not self.noise[k]))
+        return _hash("\n".join(t for _, t, _ in self.blocks))
 
     def pack(self) -> bytes:
-        """What ``main_text`` needs: the tree without noise and the blocks in it."""
-        new, parent, tag, key = {0: 0}, [-1], ["#root"], [self.key[0]]
-        for k in range(1, len(self.tag)):
-            if not self.noise[k]:
+        """What ``main_text`` needs: the elements that hold text, and the blocks."""
+        chars, _, _ = self.sums()
+        new, parent, tag, key, weight = {}, [], [], [], []
+        for k in range(len(self.tag)):
+            if chars[k] or not k:
                 new[k] = len(parent)
-                parent.append(new[self.parent[k]])
+                parent.append(new[self.parent[k]] if k else -1)
                 tag.append(self.tag[k])
                 key.append(self.key[k])
-        return json.dumps([parent, tag, key, [(new[k], t) for k, t in self.blocks if k in new]], ensure_ascii=False).encode("utf-8", "surrogatepass")
+                weight.append(self.weight[k])
+        place = {x: i for i, x in enumerate(dict.fromkeys(key))}
+        blocks = [(new[k], t, round(part, 3)) for k, t, part in self.blocks]
+        return json.dumps([parent, tag, list(place), [place[x] for x in key], weight, blocks], ensure_ascii=False).encode("utf-8", "surrogatepass")
 
 
-def main_text(packed: bytes, known: dict[int, tuple[float, float]]) -> str:
-    """The blocks that stay, joined by empty lines. ``known``: presentation and content importance by style node."""
-    parent, tag, key, blocks = json.loads(packed)
+def _own_facts(key: list[int], chars: list[int], links: list[float]) -> dict[int, tuple]:
+    """(presentation, content, shapes, link, share) of a page's style nodes where it is all that is known of the site."""
+    held: dict[int, list[float]] = {}
+    for k, c in enumerate(chars):
+        one = held.setdefault(key[k], [0, 0.0])
+        one[0] += c
+        one[1] += links[k]
+    return {x: (1.0, 1.0, 1, b / max(1, a), a / max(1, chars[0])) for x, (a, b) in held.items()}
+
+
+def main_text(packed: bytes, known: dict[int, tuple]) -> tuple[str, int]:
+    """The blocks that stay, joined by empty lines, and the number of branches removed.
+
+    ``known``: presentation, content, shapes, link and share by style node.
+    """
+    parent, tag, keys, place, weight, blocks = json.loads(packed)
     n = len(parent)
-    own = [0] * n
-    for k, text in blocks:
+    key = [keys[x] for x in place]
+    chars, links, own = [0] * n, [0.0] * n, [0] * n
+    never = [False] * n
+    for k in range(1, n):
+        never[k] = never[parent[k]] or not weight[k]
+    blocks = [b for b in blocks if not never[b[0]]]
+    for k, text, part in blocks:
         own[k] += len(text)
-    weight = list(own)
-    low = [False] * n
-    if known:
-        below: list[list[float]] = [[] for _ in range(n)]
-        holds = [False] * n  # a branch of importance
-        for k in range(n - 1, 0, -1):
-            if not weight[k]:
-                continue
-            presentation, content = known.get(key[k], (1.0, 1.0))
-            parts = below[k] + [content] * bool(own[k])
-            importance = content
-            if below[k]:
-                fade = GAMMA ** len(parts)
-                importance = (1 - fade) * presentation + fade * sum(parts) / len(parts)
-            low[k] = importance < THRESHOLD and not holds[k] and not (own[k] and content >= THRESHOLD)
-            up = parent[k]
-            weight[up] += weight[k]
-            below[up].append(importance)
-            holds[up] |= not low[k]
-    gone = [False] * n
+        links[k] += len(text) * part
+    chars = own[:]
+    below: list[list[int]] = [[] for _ in range(n)]
+    for k in range(n - 1, 0, -1):
+        chars[parent[k]] += chars[k]
+        links[parent[k]] += links[k]
+        if chars[k]:
+            below[parent[k]].append(k)
+    facts = _own_facts(key, chars, links) | known
+    presentation, content, shapes, link, share = zip(*(facts[x] for x in key))
+
+    # Importance of leaves and, weighted with their text and evidence, of branches: what the main branch is chosen by.
+    leaf = [content[k] * (1 - link[k]) for k in range(n)]
+    mass = [0.0] * n
+    for k in range(n - 1, -1, -1):
+        mass[k] = weight[k] * (mass[k] + own[k] * leaf[k])
+        if k:
+            mass[parent[k]] += mass[k]
+    path, main = [0], 0
+    while True:
+        worth: dict[int, list[float]] = {}
+        for c in below[main]:
+            worth.setdefault(key[c], []).append(mass[c] / chars[c])
+        pooled = lambda c: share[c] * sum(worth[key[c]]) / len(worth[key[c]])
+        candidates = [(pooled(c) * (ARTICLE if tag[c] in ("article", "main") else 1.0), c) for c in below[main] if tag[c] in CONTAINERS and len(worth[key[c]]) == 1]
+        best, chosen = max(candidates, default=(0.0, 0))
+        rest = sum(pooled(c) for c in {key[c]: c for c in below[main] if c != chosen}.values()) + own[main] * leaf[main] / max(1, chars[0])
+        if not chosen or best < MAIN * (best + rest):
+            break
+        main = chosen
+        path.append(main)
+        if tag[main] in ("article", "main"):
+            break
+    for k in range(n):
+        articles = [c for c in below[k] if tag[c] == "article"]
+        for c in articles if len(articles) > 1 else ():  # items of a list, each an article elsewhere
+            weight[c] *= AGAINST["repeated"]
+    on_path, inside, suspect = set(path), [k == main for k in range(n)], [False] * n
+    low, holds, gone = [False] * n, [False] * n, [False] * n
+    for k in range(1, n):
+        inside[k] = inside[k] or inside[parent[k]]
+        suspect[k] = k not in on_path and (suspect[parent[k]] or weight[k] < 1)
+    # In the main branch links count half, unless evidence is against what holds them.
+    part_of = [content[k] * (1 - link[k] * (0.5 if inside[k] and not suspect[k] else 1.0)) for k in range(n)]
+    composed: list[float] = [0.0] * n
+    for k in range(n - 1, 0, -1):
+        if not chars[k]:
+            continue
+        parts = [composed[c] for c in below[k]] + [part_of[k]] * bool(own[k])
+        fade = GAMMA ** shapes[k] if below[k] else 1.0
+        composed[k] = ((1 - fade) * presentation[k] + fade * sum(parts) / len(parts)) * weight[k]
+        if k not in on_path and parent[k] in on_path and not inside[k] and tag[k] in CONTAINERS:
+            composed[k] *= min(1.0, share[k] / FULL_SHARE) * (OUTSIDE_ARTICLE if tag[main] in ("article", "main") else 1.0)
+            low[k] = composed[k] < THRESHOLD
+        else:
+            low[k] = composed[k] < THRESHOLD and (weight[k] < 1 or not holds[k])
+        low[k] = low[k] and k not in on_path
+        holds[parent[k]] |= not low[k]
     for k in range(1, n):
         gone[k] = gone[parent[k]] or low[k]
-    left = [(k, t) for k, t in blocks if not gone[k]] or blocks
-    for wanted in ("article", "main"):
-        mark = [0] * n  # the outermost wanted element that holds it
-        for k in range(1, n):
-            mark[k] = mark[parent[k]] or (k if tag[k] == wanted else 0)
-        mass: dict[int, float] = {}
-        for k, text in left:
-            mass[mark[k]] = mass.get(mark[k], 0.0) + len(text) * known.get(key[k], (1.0, 1.0))[1]
-        outside = mass.pop(0, 0.0)
-        if mass and max(mass.values()) >= outside:
-            left = [(k, t) for k, t in left if mark[k]]
-            break
-    return "\n\n".join(t for _, t in left)
+    left = [t for k, t, _ in blocks if not gone[k] and part_of[k] >= THRESHOLD]
+    return "\n\n".join(left or [t for _, t, _ in blocks]), sum(low[k] and not gone[parent[k]] for k in range(1, n))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
@@ -296,76 +419,105 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
         yield data[a:b].tobytes().decode("utf-8", "replace"), host_of(url)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page, content, node, kind, feature)."""
+_FEATURES = ["node", "kind", "feature", "chars", "links", "total"]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one parse. ``parsed``: number of features, hash of the texts, the features (none without a host), the tree.
+
+    All is one column, so that no reader of the exchange prunes another one's and makes an exchange of its own.
+    """
+    packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        row, same, node, kind, feature = [], [], [], [], []
-        for k, (source, host) in enumerate(_rows(batch)):
-            if not host:
-                continue
+        parsed = []
+        for source, host in _rows(batch):
             page = Page(source, host)
-            content = page.content()
-            for a, b, c in page.features():
-                row.append(k)
-                same.append(content)
-                node.append(a)
-                kind.append(b)
-                feature.append(c)
-        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(same, pa.int64()), pa.array(node, pa.int64()), pa.array(kind, pa.int32()), pa.array(feature, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["page", "content", "node", "kind", "feature"])
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=3)
+            features = page.features() if host else np.zeros((0, len(_FEATURES)), np.int64)
+            head = np.array([len(features), page.content()], np.int64)
+            parsed.append(b"".join((head.tobytes(), features.tobytes(), packer.compress(page.pack()))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parsed, pa.binary()), batch.column(3)], names=["page", "parsed", "carried"])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [packer.compress(Page(source, host).pack()) for source, host in _rows(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(3)], names=["page", "packed", "carried"])
+        held, content, count = [np.zeros((0, len(_FEATURES)), np.int64)], [], []
+        for parsed in batch.column(1).to_pylist():
+            n, same = np.frombuffer(parsed, np.int64, 2).tolist()
+            held.append(np.frombuffer(parsed, np.int64, n * len(_FEATURES), 16).reshape(-1, len(_FEATURES)))
+            content.append(same)
+            count.append(n)
+        rows, count = np.concatenate(held), np.array(count, np.int64)
+        columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(np.repeat(np.array(content, np.int64), count))]
+        columns += [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(_FEATURES))]
+        yield pa.RecordBatch.from_arrays(columns, names=["page", "content", *_FEATURES])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        found = []
-        for packed, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            known = {x["node"]: (x["presentation"], x["content"]) for x in nodes or ()}
-            found.append(main_text(unpack(packed), known))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(2)], names=["main_text", "carried"])
+        texts, removed = [], []
+        for parsed, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            known = {x["node"]: (x["presentation"], x["content"], x["shapes"], x["link"], x["share"]) for x in nodes or ()}
+            tree = parsed[16 + 8 * len(_FEATURES) * int.from_bytes(parsed[:8], "little") :]
+            text, n = main_text(unpack(tree), known)
+            texts.append(text)
+            removed.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int32()), batch.column(2)], names=["main_text", "n_removed", "carried"])
+
+
+def features_of(parsed: DataFrame) -> DataFrame:
+    return parsed.mapInArrow(_features, "page long, content long, " + ", ".join(f"{c} long" for c in _FEATURES))
 
 
 def style_nodes(features: DataFrame) -> DataFrame:
-    """``node, pages, presentation, content`` of the style nodes that two or more different pages have."""
-    once = features.select("content", "node", "kind", "feature").distinct()
-    counted = once.groupBy("node", "kind", "feature").agg(F.count("*").alias("n"))
+    """``node, pages, presentation, content, shapes, link, share`` of the style nodes that two or more different pages have."""
+    once = features.select("content", *_FEATURES).distinct()
+    total = lambda c: F.sum(c).alias(c)
+    counted = once.groupBy("node", "kind", "feature").agg(F.count("*").alias("n"), total("chars"), total("links"), total("total"))
     shape, text = F.col("kind") == 0, F.col("kind") == 1
     sums = counted.groupBy("node").agg(
         F.sum(F.when(shape, F.col("n"))).alias("pages"),
+        F.sum(shape.cast("int")).alias("shapes"),
         F.sum(F.when(shape, F.col("n") * F.log(F.col("n").cast("double")))).alias("n_log_n"),
         F.sum(F.when(text, F.log(F.col("n").cast("double")))).alias("logs"),
         F.sum(text.cast("long")).alias("texts"),
+        total("chars"),
+        total("links"),
+        total("total"),
     )
     base = F.log(F.col("pages").cast("double"))
     presentation = (base - F.col("n_log_n") / F.col("pages")) / base
     content = F.when(F.col("texts") > 0, 1 - F.col("logs") / F.col("texts") / base).otherwise(1.0)
-    return sums.where(F.col("pages") > 1).select("node", "pages", presentation.alias("presentation"), content.alias("content"))
+    part = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).alias
+    return sums.where(F.col("pages") > 1).select(
+        "node", "pages", presentation.alias("presentation"), content.alias("content"), "shapes", part("links", "chars")("link"), part("chars", "total")("share")
+    )
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """``main_text`` and a struct ``carried`` of the columns in ``carry`` (all by default) for every row."""
+    """``main_text``, ``n_removed`` (branches) and a struct ``carried`` of the columns in ``carry`` (all by default) for every row.
+
+    The parsed pages are dealt once, and both the statistics and the extraction read that one exchange. ``pages``
+    should come from a file or a checkpoint: rows are told apart by their place in it.
+    """
     text_batches(pages.sparkSession)
     columns = pages.columns if carry is None else carry
     url, source = F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     carried = F.struct(*[F.col(c) for c in columns]).alias("carried")
-    # Rows with equal url and html have equal nodes, so they may share a key.
-    whole = pages.select(F.xxhash64(url, source).alias("page"), url, source, carried)
+    # A key of its own for each row, so that copies of a page are spread.
+    whole = pages.select(F.monotonically_increasing_id().alias("page"), url, source, carried)
     kept = whole.select("carried").schema["carried"].dataType.simpleString()
-    features = whole.drop("carried").mapInArrow(_features, "page long, content long, node long, kind int, feature long")
+    parsed = whole.mapInArrow(_parse, f"page long, parsed binary, carried {kept}").repartition("page")
+    features = features_of(parsed)
     facts = style_nodes(features)
-    having = features.where("kind = 0").select("page", "node").distinct()
-    known = having.join(facts, "node").groupBy("page").agg(F.collect_list(F.struct("node", "presentation", "content")).alias("nodes"))
-    packed = whole.mapInArrow(_packed, f"page long, packed binary, carried {kept}")
-    return packed.join(known, "page", "left").select("packed", "nodes", "carried").mapInArrow(_extract, f"main_text string, carried {kept}")
+    # The nodes of a hot host are in a third of all pages: they meet their facts in SALTS groups.
+    salt = F.pmod(F.col("page"), F.lit(SALTS)).cast("int").alias("salt")
+    having = features.where("kind = 0").select("page", "node", salt)
+    spread = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    known = having.join(spread, ["node", "salt"]).groupBy("page").agg(F.collect_list(F.struct("node", "presentation", "content", "shapes", "link", "share")).alias("nodes"))
+    return parsed.join(known, "page", "left").select("parsed", "nodes", "carried").mapInArrow(_extract, f"main_text string, n_removed int, carried {kept}")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
     found = extract_main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
-    return found.select("carried.page_id", "carried.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+    return found.select("carried.page_id", "carried.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"), "n_removed")

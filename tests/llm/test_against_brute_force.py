@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.llm import components, html, langid, packing, pii, quality, queries, sampling, simhash, substring, tokencount
 
@@ -298,16 +299,98 @@ def test_sampling_ignores_neighbours(spark, docs):
     assert one == many
 
 
-def test_op1(spark, sf_dir):
+def article(source):
     import html as entities
 
+    inside = re.search("<article>(.*?)</article>", source, re.S)
+    parts = re.split("</?(?:p|h1)>", inside[1]) if inside else []
+    want = [" ".join(entities.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in parts]
+    return [w for w in want if w]
+
+
+def test_op1(spark, sf_dir):
     pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    for r in queries.op1_html_extraction(spark, sf_dir).collect():
-        inside = re.search("<article>(.*?)</article>", pages[r["page_id"]], re.S)
-        parts = re.split("</?(?:p|h1)>", inside[1]) if inside else []
-        want = [" ".join(entities.unescape(re.sub("<[^>]*>", "", p.replace("<br>", " "))).split()) for p in parts]
-        assert r["text"] == "\n\n".join(w for w in want if w)
+    found = queries.op1_html_extraction(spark, sf_dir).collect()
+    for r in found:
+        assert r["text"] == "\n\n".join(article(pages[r["page_id"]]))
         assert r["n_chars"] == len(r["text"])
+    assert sum(r["n_removed"] for r in found) >= 3 * len(found)  # menu, advert and footer of each page
+
+
+def test_op1_without_articles_and_names(spark, sf_dir):
+    """The style tree finds the text where nothing is named: <article> is a <div> and classes are gone."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    plain = F.regexp_replace(F.regexp_replace("html", "<(/?)article>", "<$1div>"), ' class="[^"]*"', "")
+    want = {r["page_id"]: article(r["html"] or "") for r in pages.collect()}
+    right = found = wanted = 0
+    for r in html.extract_main_text(pages.withColumn("html", plain)).select("carried.page_id", "main_text").collect():
+        a, b = collections.Counter(r["main_text"].split("\n\n")), collections.Counter(want[r["page_id"]])
+        size = lambda c: sum(len(x) * n for x, n in c.items())
+        right, found, wanted = right + size(a & b), found + size(a), wanted + size(b)
+    assert right >= 0.98 * found and right >= 0.99 * wanted
+
+
+def plain_style_nodes(pages):
+    """Facts of style nodes from the definition, page by page, over pages of one host."""
+    once = {p.content(): p for p in pages}.values()
+    shapes, texts, sums = collections.defaultdict(list), collections.defaultdict(lambda: collections.defaultdict(int)), collections.defaultdict(lambda: [0, 0, 0])
+    for page in once:
+        for node, kind, feature, chars, links, total in page.features().tolist():
+            if kind:
+                texts[node][feature] += 1
+            else:
+                shapes[node].append(feature)
+                sums[node] = [a + b for a, b in zip(sums[node], (chars, links, total))]
+    out = {}
+    for node, found in shapes.items():
+        n = len(found)
+        if n > 1:
+            entropy = -sum(c / n * math.log(c / n, n) for c in collections.Counter(found).values())
+            repeat = [math.log(c, n) for c in texts[node].values()]
+            chars, links, total = sums[node]
+            out[node] = (n, entropy, 1 - sum(repeat) / len(repeat) if repeat else 1.0, len(set(found)), links / max(1, chars), chars / max(1, total))
+    return out
+
+
+def test_style_nodes_follow_the_definition(spark):
+    rows = [(k, f"http://site.example/{k}", site(k // 2, "<ul><li><a>next</a></ul>" * (k % 3))) for k in range(12)]
+    want = plain_style_nodes([html.Page(source, html.host_of(url)) for _, url, source in rows])
+    frame = spark.createDataFrame(rows, "page long, url string, html string").withColumn("carried", F.lit(1)).repartition(3)
+    parsed = frame.mapInArrow(html._parse, "page long, parsed binary, carried int")
+    found = {r["node"]: tuple(r)[1:] for r in html.style_nodes(html.features_of(parsed)).collect()}
+    assert found.keys() == want.keys() and len(found) > 5
+    for node, facts in want.items():
+        assert found[node] == pytest.approx(facts, abs=1e-9)
+
+
+def test_pages_are_parsed_once(spark, sf_dir):
+    plan = queries.op1_html_extraction(spark, sf_dir)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert text.count("_parse(") == 1 and "ReusedExchange" in text
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a " * 350_000, "<script " * 130_000, "<div>" * 200_000, "<div>" * 100_000 + "</p></b></i>" * 40_000, "<svg>" * 200_000, '<a ">" ' * 160_000, "<!--" * 250_000, "<p class='" * 100_000, "<" * 1_000_000],
+)
+def test_broken_markup_is_linear(source):
+    import time
+
+    begin = time.process_time()
+    html.main_text(html.Page(source + "<p>text", "h").pack(), {})
+    assert time.process_time() - begin < 4
+
+
+@pytest.mark.parametrize(
+    "name, kept",
+    [("<p class='share price'>The share price rose by five points today.</p>", True), ("<p class='banner-history'>The banner was made in 1900 by hand.</p>", True),
+     ("<div class='related-work'><p>Work by others that this story builds on, told at some length.</p></div>", True), ("<div class='related'><a href=x>Work by others that this story links to</a></div>", False)],
+)
+def test_names_alone_remove_nothing(name, kept):
+    for box in ("article", "div"):
+        found, _ = html.main_text(html.Page(f"<html><body><{box} class=post>{STORY}{name}</{box}></body></html>", "h").pack(), {})
+        assert ("five points" in found or "by hand" in found or "Work by" in found) == kept
 
 
 def site(k, extra=""):
@@ -346,13 +429,13 @@ TEASERS = "".join(f"<article class=card><p>Teaser {n} of another page</p></artic
     ],
 )
 def test_articles_are_evidence_only(body):
-    found = html.main_text(html.Page(f"<html><body>{body}</body></html>", "h").pack(), {})
+    found, _ = html.main_text(html.Page(f"<html><body>{body}</body></html>", "h").pack(), {})
     assert found == "\n\n".join(f"The story goes on with sentence {n} and some more words." for n in range(6))
 
 
 def test_unnamed_teasers_do_not_replace_the_story():
     teasers = "".join(f"<article><p>Teaser {n} of another page</p></article>" for n in range(30))
-    found = html.main_text(html.Page(f"<html><body><div class=post>{STORY}</div><div>{teasers}</div></body></html>", "h").pack(), {})
+    found, _ = html.main_text(html.Page(f"<html><body><div class=post>{STORY}</div><div>{teasers}</div></body></html>", "h").pack(), {})
     assert all(f"sentence {n} " in found for n in range(6))
 
 
