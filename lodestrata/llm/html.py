@@ -266,53 +266,16 @@ class Page:
             against = set()
         return f"{tag}[{';'.join(sorted(names))}]", min([AGAINST[a] for a in against], default=1.0)
 
-    def sums(self) -> tuple[list[int], list[float], int]:
-        """Characters and linked characters of each branch, and of the page."""
-        chars, links = [0] * len(self.tag), [0.0] * len(self.tag)
-        for k, text, part in self.blocks:
-            chars[k] += len(text)
-            links[k] += len(text) * part
-        for k in range(len(self.tag) - 1, 0, -1):
-            chars[self.parent[k]] += chars[k]
-            links[self.parent[k]] += links[k]
-        return chars, links, chars[0]
-
-    def features(self) -> np.ndarray:
-        """Rows (style node, kind, feature, characters, linked characters, characters of the page) as integers.
-
-        Kind 0 is the child sequence, once a node, with its sums; kind 1 are its texts, each once.
-        """
-        chars, links, total = self.sums()
-        never = [False] * len(self.tag)
-        children: dict[int, list[str]] = {}
-        size: dict[int, list[float]] = {}
-        for k in range(len(self.tag)):
-            never[k] = k > 0 and (never[self.parent[k]] or not self.weight[k])
-            if not never[k] and chars[k]:
-                children.setdefault(self.key[k], [])
-                if k:
-                    children[self.key[self.parent[k]]].append(self.tag[k])
-                held = size.setdefault(self.key[k], [0, 0.0])
-                held[0] += chars[k]
-                held[1] += links[k]
-        texts: dict[int, set[int]] = {}
-        for k, text, _ in self.blocks:
-            if not never[k]:
-                texts.setdefault(self.key[k], set()).add(_hash(text))
-        rows = [(key, 0, _hash(" ".join(tags)), size[key][0], round(size[key][1]), total) for key, tags in children.items()]
-        rows += [(key, 1, f, 0, 0, 0) for key, found in texts.items() for f in sorted(found)]
-        return np.array(rows, np.int64).reshape(-1, 6)
-
-    def content(self) -> int:
-        """Equal for pages with the same texts."""
-        return _hash("\n".join(t for _, t, _ in self.blocks))
-
     def pack(self) -> bytes:
-        """What ``main_text`` needs: the elements that hold text, and the blocks."""
-        chars, _, _ = self.sums()
+        """What is known of the page: the elements that hold text, and the blocks."""
+        used = [False] * len(self.tag)
+        for k, _, _ in self.blocks:
+            used[k] = True
+        for k in range(len(self.tag) - 1, 0, -1):
+            used[self.parent[k]] |= used[k]
         new, parent, tag, key, weight = {}, [], [], [], []
         for k in range(len(self.tag)):
-            if chars[k] or not k:
+            if used[k] or not k:
                 new[k] = len(parent)
                 parent.append(new[self.parent[k]] if k else -1)
                 tag.append(self.tag[k])
@@ -323,14 +286,55 @@ class Page:
         return json.dumps([parent, tag, list(place), [place[x] for x in key], weight, blocks], ensure_ascii=False).encode("utf-8", "surrogatepass")
 
 
-def _own_facts(key: list[int], chars: list[int], links: list[float]) -> dict[int, tuple]:
-    """(presentation, content, shapes, link, share) of a page's style nodes where it is all that is known of the site."""
-    held: dict[int, list[float]] = {}
-    for k, c in enumerate(chars):
-        one = held.setdefault(key[k], [0, 0.0])
-        one[0] += c
-        one[1] += links[k]
-    return {x: (1.0, 1.0, 1, b / max(1, a), a / max(1, chars[0])) for x, (a, b) in held.items()}
+class Tree:
+    """A packed page without what is never text, with the characters, linked and not, of each element and branch."""
+
+    def __init__(self, packed: bytes):
+        self.parent, self.tag, keys, place, self.weight, blocks = json.loads(packed)
+        n = len(self.parent)
+        self.key = [keys[x] for x in place]
+        never, self.links, self.own = [False] * n, [0.0] * n, [0] * n
+        for k in range(1, n):
+            never[k] = never[self.parent[k]] or not self.weight[k]
+        self.blocks = [b for b in blocks if not never[b[0]]]
+        for k, text, part in self.blocks:
+            self.own[k] += len(text)
+            self.links[k] += len(text) * part
+        self.chars = self.own[:]
+        for k in range(n - 1, 0, -1):
+            self.chars[self.parent[k]] += self.chars[k]
+            self.links[self.parent[k]] += self.links[k]
+        self.below: list[list[int]] = [[] for _ in range(n)]
+        for k in range(1, n):
+            if self.chars[k]:
+                self.below[self.parent[k]].append(k)
+
+    def sizes(self) -> dict[int, tuple[int, float]]:
+        """Characters and linked characters by style node."""
+        held: dict[int, tuple[int, float]] = {}
+        for k, c in enumerate(self.chars):
+            if c:
+                a, b = held.get(self.key[k], (0, 0.0))
+                held[self.key[k]] = (a + c, b + self.links[k])
+        return held
+
+    def features(self) -> list[tuple]:
+        """Rows (style node, kind, feature, characters, linked characters, characters of the page).
+
+        Kind 0 is the child sequence, once a node, with its sums; kind 1 are its texts, each once.
+        """
+        sizes = self.sizes()
+        children: dict[int, list[str]] = {}
+        for k, c in enumerate(self.chars):
+            if c:
+                children.setdefault(self.key[k], []).extend(self.tag[x] for x in self.below[k])
+        texts = dict.fromkeys((self.key[k], _hash(t)) for k, t, _ in self.blocks)
+        rows = [(key, 0, _hash(" ".join(tags)), sizes[key][0], round(sizes[key][1]), self.chars[0]) for key, tags in children.items()]
+        return rows + [(key, 1, text, 0, 0, 0) for key, text in texts]
+
+    def content(self) -> int:
+        """Equal for pages with the same texts."""
+        return _hash("\n".join(t for _, t, _ in self.blocks))
 
 
 def main_text(packed: bytes, known: dict[int, tuple]) -> tuple[str, int]:
@@ -338,26 +342,12 @@ def main_text(packed: bytes, known: dict[int, tuple]) -> tuple[str, int]:
 
     ``known``: presentation, content, shapes, link and share by style node.
     """
-    parent, tag, keys, place, weight, blocks = json.loads(packed)
+    tree = Tree(packed)
+    parent, tag, key, weight, own, chars, below, blocks = tree.parent, tree.tag, tree.key, tree.weight, tree.own, tree.chars, tree.below, tree.blocks
     n = len(parent)
-    key = [keys[x] for x in place]
-    chars, links, own = [0] * n, [0.0] * n, [0] * n
-    never = [False] * n
-    for k in range(1, n):
-        never[k] = never[parent[k]] or not weight[k]
-    blocks = [b for b in blocks if not never[b[0]]]
-    for k, text, part in blocks:
-        own[k] += len(text)
-        links[k] += len(text) * part
-    chars = own[:]
-    below: list[list[int]] = [[] for _ in range(n)]
-    for k in range(n - 1, 0, -1):
-        chars[parent[k]] += chars[k]
-        links[parent[k]] += links[k]
-        if chars[k]:
-            below[parent[k]].append(k)
-    facts = _own_facts(key, chars, links) | known
-    presentation, content, shapes, link, share = zip(*(facts[x] for x in key))
+    facts = {x: (1.0, 1.0, 1, b / max(1, a), a / max(1, chars[0])) for x, (a, b) in tree.sizes().items()} | known
+    none = (1.0, 1.0, 1, 0.0, 0.0)
+    presentation, content, shapes, link, share = zip(*(facts.get(x, none) for x in key))
 
     # Importance of leaves and, weighted with their text and evidence, of branches: what the main branch is chosen by.
     leaf = [content[k] * (1 - link[k]) for k in range(n)]
@@ -423,32 +413,31 @@ _FEATURES = ["node", "kind", "feature", "chars", "links", "total"]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The one parse. ``parsed``: number of features, hash of the texts, the features (none without a host), the tree.
+    """The one parse. ``parsed`` begins with 1 where the page has a host.
 
-    All is one column, so that no reader of the exchange prunes another one's and makes an exchange of its own.
+    All is one column, so that no reader of the exchange prunes what another one needs and makes an exchange of its own.
     """
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        parsed = []
-        for source, host in _rows(batch):
-            page = Page(source, host)
-            features = page.features() if host else np.zeros((0, len(_FEATURES)), np.int64)
-            head = np.array([len(features), page.content()], np.int64)
-            parsed.append(b"".join((head.tobytes(), features.tobytes(), packer.compress(page.pack()))))
+        parsed = [(b"1" if host else b"0") + packer.compress(Page(source, host).pack()) for source, host in _rows(batch)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parsed, pa.binary()), batch.column(3)], names=["page", "parsed", "carried"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        held, content, count = [np.zeros((0, len(_FEATURES)), np.int64)], [], []
+        rows, count, content = [], [], []
         for parsed in batch.column(1).to_pylist():
-            n, same = np.frombuffer(parsed, np.int64, 2).tolist()
-            held.append(np.frombuffer(parsed, np.int64, n * len(_FEATURES), 16).reshape(-1, len(_FEATURES)))
-            content.append(same)
-            count.append(n)
-        rows, count = np.concatenate(held), np.array(count, np.int64)
-        columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(np.repeat(np.array(content, np.int64), count))]
-        columns += [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(_FEATURES))]
+            found = []
+            if parsed[:1] == b"1":
+                tree = Tree(unpack(parsed[1:]))
+                found = tree.features()
+                content += [tree.content()] * len(found)
+            count.append(len(found))
+            rows += found
+        values = np.array(rows, np.int64).reshape(-1, len(_FEATURES))
+        columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(content, pa.int64())]
+        columns += [pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(_FEATURES))]
         yield pa.RecordBatch.from_arrays(columns, names=["page", "content", *_FEATURES])
 
 
@@ -458,8 +447,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, removed = [], []
         for parsed, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             known = {x["node"]: (x["presentation"], x["content"], x["shapes"], x["link"], x["share"]) for x in nodes or ()}
-            tree = parsed[16 + 8 * len(_FEATURES) * int.from_bytes(parsed[:8], "little") :]
-            text, n = main_text(unpack(tree), known)
+            text, n = main_text(unpack(parsed[1:]), known)
             texts.append(text)
             removed.append(n)
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(removed, pa.int32()), batch.column(2)], names=["main_text", "n_removed", "carried"])

@@ -332,10 +332,10 @@ def test_op1_without_articles_and_names(spark, sf_dir):
 
 def plain_style_nodes(pages):
     """Facts of style nodes from the definition, page by page, over pages of one host."""
-    once = {p.content(): p for p in pages}.values()
+    once = {p.content(): p for p in (html.Tree(page.pack()) for page in pages)}.values()
     shapes, texts, sums = collections.defaultdict(list), collections.defaultdict(lambda: collections.defaultdict(int)), collections.defaultdict(lambda: [0, 0, 0])
     for page in once:
-        for node, kind, feature, chars, links, total in page.features().tolist():
+        for node, kind, feature, chars, links, total in page.features():
             if kind:
                 texts[node][feature] += 1
             else:
