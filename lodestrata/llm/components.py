@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import remove, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,21 +29,31 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def connected_components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """``node, component`` for every node of ``links`` (``a``, ``b``): the smallest node reachable.
+def connected_components(links: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """``node, component, least`` for every node of ``links`` (``a``, ``b``): the reachable node of the least value, and that value.
 
-    Each round takes the least label among a node's neighbours, then the label of that label; rounds end when
-    no label changes. Labels are kept in the checkpoint folder between rounds.
+    ``values`` has one row ``node, value`` for each node; without it a node is its own value. A label is a value with
+    its node. Each round every node takes the least label among its neighbours and hands it to the node its own label
+    names, then takes the label of that label's node; labels only fall, and rounds end when none does. Since whole
+    trees of labels are joined, rounds grow with the logarithm of a component's size, not with its length. Labels
+    are kept as tables in the checkpoint folder between rounds. Joins meet one row on the side of the labels, and
+    what nodes are handed is pre-aggregated, so a node with very many links is split by adaptive execution.
     """
+    spark = links.sparkSession
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut(ends.distinct())
-    labels = cut(edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component"), F.lit(True).alias("changed")))
-    for _ in range(max_rounds):
-        if labels.where("changed").isEmpty():
-            return labels.select("node", "component")
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", "near").alias("low"), F.col("component").alias("was"))
-        up = labels.select(F.col("node").alias("up"), F.col("component").alias("over"))
-        jumped = lower.join(up, lower["low"] == up["up"], "left").select("node", F.least("low", "over").alias("component"), "was")
-        labels = cut(jumped.select("node", "component", (F.col("component") != F.col("was")).alias("changed")))
-    raise RuntimeError("components did not settle")
+    edges, _ = stored(ends.distinct())
+    label = lambda value, node: F.struct(F.col(value).alias("value"), F.col(node).alias("of"))
+    nodes = edges.select(F.col("a").alias("node")).distinct()
+    begun = nodes.withColumn("value", F.col("node")) if values is None else nodes.join(values, "node")
+    labels, path = stored(begun.select("node", label("value", "node").alias("label"), F.lit(True).alias("changed")))
+    while not labels.where("changed").isEmpty():
+        heard = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        told = labels.join(heard, labels["node"] == heard["a"]).select(F.col("label.of").alias("a"), "near")
+        offers = heard.unionByName(told).groupBy("a").agg(F.min("near").alias("near"))
+        lower = labels.join(offers, labels["node"] == offers["a"], "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("was"))
+        over = lower.select(F.col("node").alias("up"), F.col("low").alias("over"))
+        jumped = lower.join(over, lower["low"]["of"] == over["up"]).select("node", F.least("low", "over").alias("label"), "was")
+        before = path
+        labels, path = stored(jumped.select("node", "label", (F.col("label") != F.col("was")).alias("changed")))
+        remove(spark, before)
+    return labels.select("node", F.col("label.of").alias("component"), F.col("label.value").alias("least"))

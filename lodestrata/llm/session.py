@@ -7,6 +7,7 @@ import ctypes
 import ctypes.util
 import shutil
 import tempfile
+import uuid
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,6 +34,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared checkpoint folder and read again, and the table's path.
+
+    For loops: unlike a checkpoint, a table has a size of its own, where the estimates of a checkpoint multiply from
+    round to round.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def text_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Arrow batches that suit long texts: no more than ``rows`` rows and about ``size`` bytes.
 

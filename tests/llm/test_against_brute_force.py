@@ -270,6 +270,40 @@ def test_simhash_links_planted_and_hot_cells(spark):
         assert {v: found.get(v, v) for v in values} == {v: want.get(v, v) for v in values}
 
 
+def test_fingerprints_are_dealt_before_they_are_spread(spark):
+    fps = spark.range(5000).select(F.xxhash64("id").alias("fp")).distinct()
+    dealt = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count("Generate explode") >= 2 and "hashpartitioning(xxhash64(fp" in dealt
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = simhash.cells(fps.repartition(n, F.xxhash64("fp"))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == n and max(r["count"] for r in sizes) < 1.5 * 5000 * simhash.CELLS / n
+
+
+def test_embedding_counts_segments_and_bounds_the_distance(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**32, 300).tolist()
+    found = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k long, h long").orderBy("k").select(simhash.embedding(F.col("h"))).collect()]
+
+    def plain(h):
+        bit = [h >> k & 1 for k in range(32)]
+        rows = [bit[k] + bit[k + 1] for k in range(0, 32, 2)]
+        columns = [bit[k + j] + bit[k + j + 2] for k in range(0, 32, 4) for j in (0, 1)]
+        return rows + columns
+
+    counts = [[v % 2**64 >> 2 * k & 3 for k in range(32)] for v in found]
+    assert counts == [plain(h) for h in x]
+    for a, b in zip(x, x[1:]):
+        assert sum(abs(p - q) for p, q in zip(plain(a), plain(b))) <= 2 * (a ^ b).bit_count()
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    n = 700
+    path = [(k, k + 1) for k in range(n)] + [(5000, 5000 + k) for k in range(1, 300)]
+    values = spark.createDataFrame([(k, -k % 9000) for k in [*range(n + 1), *range(5000, 5300)]], "node long, value long")
+    found = {r["node"]: (r["component"], r["least"]) for r in components.connected_components(spark.createDataFrame(path, "a long, b long"), values).collect()}
+    assert {found[k] for k in range(n + 1)} == {(0, 0)} and {found[k] for k in range(5000, 5300)} == {(5299, 3701)}
+
+
 def test_sampling_is_without_replacement():
     """First draws follow the lattice, and inclusion scores make unbiased totals."""
     v = sampling.vocabulary(public_tokenizers.path(sampling.VOCABULARY), 0.25)
