@@ -1,7 +1,8 @@
 """SentencePiece sampling without replacement, and decoding.
 
-A text is cut before every space and line feed (a space is put in front of it), and each unit has the lattice of
-its segmentations into vocabulary pieces and single bytes. A segmentation's probability is the product of its
+A text gets a space in front and is cut before every line feed and every run of spaces. No piece of the vocabulary holds
+a space after another byte or a line feed (checked when it is loaded), so none goes over a cut, and the lattice of the
+text is the product of the lattices of its units: their segmentations into vocabulary pieces and single bytes. A segmentation's probability is the product of its
 pieces', normalised over the lattice.
 
 Sampling is a perturbed A-star search. The perturbed score of a set of segmentations (the largest log-probability
@@ -15,9 +16,9 @@ without replacement. The score left over after k gives each sample's inclusion s
 All noise comes from a hash of the row key and the place, so a row's samples do not depend on its neighbours.
 
 Defined results: a null or empty text has one segmentation, the empty one, with inclusion score 0; a text with
-fewer than k segmentations gives all; alternatives of a unit with less than ``FLOOR`` of its probability are not
-sampled; rows with a null id share one key, rows that repeat an id their noise. Units of up to ``LONGEST`` bytes go
-through the lattice by length, longer ones singly and whole.
+fewer than k segmentations gives all; rows with a null id share one key, rows that repeat an id their noise. What is
+left of a unit's probability is added up from the alternatives where a difference would lose digits, so none is too
+small to be drawn. Units of up to ``LONGEST`` bytes go through the lattice by length, longer ones singly and whole.
 """
 
 from __future__ import annotations
@@ -39,13 +40,12 @@ from .trie import ByteTrie, log_sums, sentence_pieces
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 FALLBACK = 1e-7
-FLOOR = 1e-12
+#: Below this part of a unit's probability, what is left is added up from the alternatives, not subtracted.
+SUBTRACT = 1e-6
 LONGEST = 48
 BLOCK_BYTES = 2 << 20
 
 _TILT = float(np.exp(2.2))
-_CUT = np.zeros(256, bool)
-_CUT[[10, 32]] = True
 
 
 class Vocabulary:
@@ -56,6 +56,8 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = sentence_pieces(path)
+        if any(b"\n" in w or b" " in w.lstrip(b" ") for w in pieces):
+            raise ValueError("the vocabulary has pieces that go over a cut")
         self.trie = ByteTrie(pieces)
         self.trie.piece[0] = -1
         p = np.array([(k + 100.0) ** -sharpness if w else 0.0 for k, w in enumerate(pieces)])
@@ -101,6 +103,20 @@ class Lattice:
             self.arcs[j].sort(key=lambda a: a[0])  # long pieces first: they carry most of the mass
             for i, _, weight in self.arcs[j]:
                 self.sums[j] += self.sums[i] * weight
+        #: Words with more than one segmentation.
+        self.many = sum((weight > 0).astype(np.int32) for arcs in self.arcs for _, _, weight in arcs) > self.length
+
+    def options(self, word: int, j: int) -> list[tuple[int, int, float]]:
+        """Arcs that end at ``j``: start, piece and share of what is there."""
+        total = self.sums[j, word]
+        return [(i, int(ids[word]), float(self.sums[i, word] * w / total)) for i, ids, weight in self.arcs[j] if (w := weight[word])]
+
+    def log_prob(self, word: int, pieces: np.ndarray) -> float:
+        out, at = -float(np.log(self.sums[self.length, word])), 0
+        for j in np.flatnonzero(pieces >= 0).tolist():
+            out += float(np.log(next(w[word] for i, ids, w in self.arcs[j] if i == at and ids[word] == pieces[j])))
+            at = j
+        return out
 
     def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A segmentation for each entry of ``word``: pieces by their end (-1: none), and its log-probability."""
@@ -131,40 +147,6 @@ class Lattice:
                     left = left - share
         return pieces, log_prob
 
-    def draw_other(self, word: int, seed: np.uint64, excluded: list[np.ndarray]) -> tuple[np.ndarray, float]:
-        """A segmentation of one word that is none of ``excluded`` (pieces by end), by its share of what is left."""
-        found = np.full(self.length + 1, -1, np.int32)
-        log_prob, j = -float(np.log(self.sums[self.length, word])), self.length
-        weights = [self._prefixes(word, e) for e in excluded]
-        live = list(range(len(excluded)))
-        while j:
-            options = []
-            for i, ids, weight in self.arcs[j]:
-                if weight[word]:
-                    same = [e for e in live if excluded[e][j] == ids[word]]
-                    options.append((i, int(ids[word]), float(weight[word]), max(0.0, float(self.sums[i, word] * weight[word]) - sum(weights[e][j] for e in same)), same))
-            mass = sum(o[3] for o in options)
-            left = float(uniform(np.array([seed + np.uint64(j)]))[0]) * mass
-            chosen = max(options, key=lambda o: o[3])
-            for option in options:
-                if option[3] > 0:
-                    chosen = option
-                    if left < option[3]:
-                        break
-                left -= option[3]
-            found[j] = chosen[1]
-            log_prob += float(np.log(chosen[2]))
-            live, j = chosen[4], chosen[0]
-        return found, log_prob
-
-    def _prefixes(self, word: int, pieces: np.ndarray) -> dict[int, float]:
-        out, product, at = {}, 1.0, 0
-        for j in np.flatnonzero(pieces >= 0).tolist():
-            product *= next(float(w[word]) for i, ids, w in self.arcs[j] if i == at and ids[word] == pieces[j])
-            out[j], at = product, j
-        return out
-
-
 class LongLattice:
     """``Lattice`` of one unit of any length: arcs by end in flat arrays, forward sums as logarithms."""
 
@@ -179,12 +161,15 @@ class LongLattice:
             sums.append(logs[:, 0])
         self.starts, self.ids, self.sums = np.concatenate(starts), np.concatenate(ids), np.concatenate(sums)
         self.begin = np.r_[0, 0, np.cumsum(np.concatenate(widths))]
+        self.many = np.array([len(self.ids) > self.length])
 
-    def _options(self, j: int) -> tuple[list[int], list[int], list[float]]:
-        """Arcs that end at ``j``: starts, pieces and shares of what is there."""
+    def options(self, word: int, j: int) -> list[tuple[int, int, float]]:
         here = slice(self.begin[j], self.begin[j + 1])
         start, ids = self.starts[here], self.ids[here]
-        return start.tolist(), ids.tolist(), (np.exp(self.sums[start] - self.sums[j]) * self.scaled[ids]).tolist()
+        return list(zip(start.tolist(), ids.tolist(), (np.exp(self.sums[start] - self.sums[j]) * self.scaled[ids]).tolist()))
+
+    def log_prob(self, word: int, pieces: np.ndarray) -> float:
+        return float(np.log(self.scaled[pieces[pieces >= 0]]).sum() - self.sums[-1])
 
     def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pieces = np.full((len(word), self.length + 1), -1, np.int32)
@@ -192,39 +177,68 @@ class LongLattice:
         for r in range(len(word)):
             noise, j = uniform(seed[r] + np.arange(self.length + 1, dtype=np.uint64)), self.length
             while j:
-                starts, ids, shares = self._options(j)
-                left, k = float(noise[j]) * sum(shares), 0
-                while k < len(shares) - 1 and left >= shares[k]:
-                    left -= shares[k]
+                arcs = self.options(0, j)
+                left, k = float(noise[j]) * sum(a[2] for a in arcs), 0
+                while k < len(arcs) - 1 and left >= arcs[k][2]:
+                    left -= arcs[k][2]
                     k += 1
-                pieces[r, j] = ids[k]
-                j = starts[k]
+                pieces[r, j] = arcs[k][1]
+                j = arcs[k][0]
             log_prob[r] += np.log(self.scaled[pieces[r][pieces[r] >= 0]]).sum()
         return pieces, log_prob
 
-    def draw_other(self, word: int, seed: np.uint64, excluded: list[np.ndarray]) -> tuple[np.ndarray, float]:
-        found, j = np.full(self.length + 1, -1, np.int32), self.length
-        prefixes = []
-        for e in excluded:
-            ends = np.flatnonzero(e >= 0)
-            prefixes.append(dict(zip(ends.tolist(), np.cumsum(np.log(self.scaled[e[ends]])).tolist())))
-        live = list(range(len(excluded)))
+
+class Others:
+    """The segmentations of one word of a lattice that are none of ``excluded`` (pieces by end).
+
+    States are (end, excluded ones that agree from there on). Each has its arcs and the part of the mass of the
+    prefixes up to there that no excluded one takes, a sum of positive terms.
+    """
+
+    def __init__(self, lattice: Lattice | LongLattice, word: int, excluded: list[np.ndarray]):
+        self.lattice, self.word = lattice, word
+        self.start = (lattice.length, tuple(range(len(excluded))))
+        self.arcs: dict[tuple, list[tuple]] = {}
+        todo = [self.start]
+        while todo:
+            state = todo.pop()
+            j, live = state
+            found = []
+            for i, piece, share in lattice.options(word, j):
+                same = tuple(e for e in live if excluded[e][j] == piece)
+                found.append((i, piece, share, same))
+                if same and i:
+                    todo.append((i, same))
+            self.arcs[state] = found
+        self.part: dict[tuple, float] = {}
+        for state in sorted(self.arcs):
+            self.part[state] = sum(share * self._part(i, same) for i, _, share, same in self.arcs[state])
+
+    def _part(self, i: int, same: tuple) -> float:
+        return 1.0 if not same else self.part[i, same] if i else 0.0
+
+    def left(self) -> float:
+        """The probability of all of them."""
+        return self.part[self.start]
+
+    def draw(self, seed: np.uint64) -> tuple[np.ndarray, float]:
+        """One of them, by its share of what is left: pieces by end, and its log-probability."""
+        found = np.full(self.lattice.length + 1, -1, np.int32)
+        j, live = self.start
         while j:
-            options = []
-            for i, piece, share in zip(*self._options(j)):
-                same = [e for e in live if excluded[e][j] == piece]
-                options.append((i, piece, max(0.0, share - sum(float(np.exp(prefixes[e][j] - self.sums[j])) for e in same)), same))
-            left = float(uniform(np.array([seed + np.uint64(j)]))[0]) * sum(o[2] for o in options)
-            chosen = max(options, key=lambda o: o[2])
-            for option in options:
-                if option[2] > 0:
-                    chosen = option
-                    if left < option[2]:
+            arcs = self.arcs[j, live] if live else [(*a, ()) for a in self.lattice.options(self.word, j)]
+            weights = [share * self._part(i, same) for i, _, share, same in arcs]
+            left = float(uniform(np.array([seed + np.uint64(j)]))[0]) * sum(weights)
+            chosen = weights.index(max(weights))
+            for k, weight in enumerate(weights):
+                if weight > 0:
+                    chosen = k
+                    if left < weight:
                         break
-                left -= option[2]
-            found[j] = chosen[1]
-            live, j = chosen[3], chosen[0]
-        return found, float(np.log(self.scaled[found[found >= 0]]).sum() - self.sums[-1])
+                left -= weight
+            found[j] = arcs[chosen][1]
+            j, live = arcs[chosen][0], arcs[chosen][3]
+        return found, self.lattice.log_prob(self.word, found)
 
 
 def uniform(seed: np.ndarray) -> np.ndarray:
@@ -246,7 +260,9 @@ class Block:
         self.rows, self.keys = len(offsets) - 1, keys
         text = np.insert(data, offsets[:-1][full], 32)
         bounds = offsets + np.r_[0, np.cumsum(np.diff(offsets) > 0)]
-        starts = np.flatnonzero(_CUT[text])
+        cut = (text == 10) | (text == 32) & (np.r_[np.uint8(0), text[:-1]] != 32)
+        cut[bounds[:-1][full]] = True
+        starts = np.flatnonzero(cut)
         ends = np.r_[starts[1:], len(text)] if len(starts) else starts
         self.first = np.searchsorted(starts, bounds)
         self.row = np.repeat(np.arange(self.rows), np.diff(self.first))
@@ -266,6 +282,10 @@ class Block:
             self.lattice_of[k] = len(self.lattices)
             self.lattices.append(LongLattice(v, text[starts[first[k]] : starts[first[k]] + lengths[k]]))
         self.unit_lattice, self.unit_word = self.lattice_of[inverse], self.word_of[inverse]
+        self.many = np.zeros(len(self.row), bool)
+        for k, lattice in enumerate(self.lattices):
+            here = self.unit_lattice == k
+            self.many[here] = lattice.many[self.unit_word[here]]
         self.seeds = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
     def draw(self, units: np.ndarray, turn: int, pieces: list, log_prob: np.ndarray) -> None:
@@ -304,7 +324,7 @@ class Block:
         parts: list = []
         self.draw(units, 0, parts, log_prob)
         score = gumbel_below(self.seeds, np.zeros(self.rows), -none)
-        rest = -np.expm1(log_prob)
+        rest = self._left(log_prob, parts)
         # A set: (sample it follows, first differing unit, probability left of that unit, excluded pieces); by row, best first.
         agenda: list[list[tuple]] = [[] for _ in range(self.rows)]
         drawn = [(parts, log_prob)]
@@ -336,20 +356,31 @@ class Block:
                     new_parts += [(who[on], matrix[on]) for who, matrix in old_parts if (on := copied[who]).any()]
             fresh = np.flatnonzero((units > from_unit[self.row]) & active[self.row])
             self.draw(fresh, turn, new_parts, new_log)
-            rest = -np.expm1(new_log)
+            rest = self._left(new_log, new_parts, fresh)
             for r, c in enumerate(chosen):
                 if c:
                     unit, left, excluded = c[2], c[3], c[4]
                     lattice = self.lattices[self.unit_lattice[unit]]
                     seed = np.uint64((int(self.seeds[r]) + 0xA0761D6478BD642F * (turn + 1)) % (1 << 63))
-                    pieces, lp = lattice.draw_other(int(self.unit_word[unit]), seed, excluded)
+                    word = int(self.unit_word[unit])
+                    pieces, lp = Others(lattice, word, excluded).draw(seed)
                     new_parts.append((np.array([unit]), pieces[None, :]))
                     new_log[unit] = lp
                     rest[unit] = left - np.exp(lp)
+                    if rest[unit] < SUBTRACT and turn + 1 < k + 1:
+                        rest[unit] = Others(lattice, word, [*excluded, pieces]).left()
             drawn.append((new_parts, new_log))
             self._excluded = {c[2]: c[4] for c in chosen if c}
             yield (active.copy(), self._sums(new_log), score.copy(), *self.flat(new_parts))
 
+    def _left(self, log_prob: np.ndarray, parts: list, units: np.ndarray | None = None) -> np.ndarray:
+        """What each unit's segmentation leaves of its probability: 0 where there is no other one."""
+        rest = np.where(self.many, -np.expm1(log_prob), 0.0)
+        little = np.flatnonzero(self.many & (rest < SUBTRACT)) if units is None else units[self.many[units] & (rest[units] < SUBTRACT)]
+        for unit, pieces in self._pieces_of(parts, little).items() if len(little) else ():
+            rest[unit] = Others(self.lattices[self.unit_lattice[unit]], int(self.unit_word[unit]), [pieces]).left()
+        return rest
+
     def _sums(self, log_prob: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, log_prob, self.rows) if len(self.row) else np.zeros(self.rows)
 
@@ -358,7 +389,7 @@ class Block:
         parts, log_prob = drawn[turn]
         total = np.r_[0, np.cumsum(log_prob)]
         prefix = total[:-1] - total[self.first[:-1]][self.row]
-        use = np.flatnonzero((np.arange(len(self.row)) >= from_unit[self.row]) & active[self.row] & (rest > FLOOR))
+        use = np.flatnonzero((np.arange(len(self.row)) >= from_unit[self.row]) & active[self.row] & (rest > 0))
         row = self.row[use]
         noise = self.seeds[row] ^ mix(self.place[use].astype(np.uint64) + np.uint64((turn + 1) << 40))
         value = gumbel_below(noise, prefix[use] + np.log(rest[use]), score[row])

@@ -326,6 +326,59 @@ def test_sampling_is_without_replacement():
     assert totals.mean() == pytest.approx(1, abs=0.1)
 
 
+def all_segmentations(v, text):
+    """Every segmentation of ``text`` with a space in front, as {ids: probability}, from the vocabulary alone."""
+    text = b" " + text
+    known = {w: k for k, w in enumerate(v.bytes) if w and len(w) > 1 or k not in set(v.byte_ids.tolist())}
+    weight = lambda k, n: v.scaled[k] / sampling._TILT**n
+
+    def of(at):
+        if at == len(text):
+            return [((), 1.0)]
+        out = [((k, *rest), weight(k, 1) * p) for k in [int(v.byte_ids[text[at]])] for rest, p in of(at + 1)]
+        for j in range(at + 1, len(text) + 1):
+            k = known.get(text[at:j])
+            if k is not None and v.bytes[k]:
+                out += [((k, *rest), weight(k, j - at) * p) for rest, p in of(j)]
+        return out
+
+    found = dict(of(0))
+    total = sum(found.values())
+    return {ids: p / total for ids, p in found.items()}
+
+
+@pytest.mark.parametrize("text", [b"the", b"a  b", b"of   it"])
+def test_sampling_against_enumeration(text):
+    """Probabilities, distinctness and the set of all segmentations, runs of spaces included."""
+    v = sampling.vocabulary(public_tokenizers.path(sampling.VOCABULARY), 1.0)
+    want = all_segmentations(v, text)
+    block = sampling.Block(v, np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([7]))
+    k = len(want) + 2 if len(want) < 60 else 60
+    found = list(block.samples(k))
+    left = found.pop()
+    got = {tuple(pieces.tolist()): math.exp(log_prob[0]) for active, log_prob, _, pieces, _ in found if active[0]}
+    assert len(got) == min(k, len(want)) and got.keys() <= want.keys()
+    for ids, p in got.items():
+        assert p == pytest.approx(want[ids], rel=1e-9)
+    assert (left[0] == -np.inf) == (k >= len(want))
+
+
+def test_tiny_alternatives_are_left_and_drawn():
+    """Alternatives far below the digits of 1 - p."""
+    v = sampling.Vocabulary(public_tokenizers.path(sampling.VOCABULARY), 1.0)
+    piece = v.bytes.index(b" the")
+    v.scaled[:] = np.where(np.arange(len(v.scaled)) == piece, v.scaled[piece], v.scaled * 1e-9)
+    word = np.frombuffer(b" the", np.uint8)
+    for lattice in (sampling.Lattice(v, word[None, :]), sampling.LongLattice(v, word)):
+        only = np.full(5, -1, np.int32)
+        only[4] = piece
+        left = sampling.Others(lattice, 0, [only]).left()
+        assert 0 < left < 1e-12
+        assert sampling.Others(lattice, 0, [only]).draw(np.uint64(1))[0][4] != piece
+    block = sampling.Block(v, np.frombuffer(b"the", np.uint8), np.array([0, 3]), np.array([1]))
+    assert sum(bool(f[0][0]) for f in list(block.samples(4))[:-1]) == 4
+
+
 def test_sampling_ignores_neighbours(spark, docs):
     frame = spark.createDataFrame([(i, docs[i]) for i in sorted(docs)[:60]], "doc_id long, text string")
     one = sorted(map(tuple, sampling.sample_segmentations(frame.coalesce(1)).select("doc_id", "sample", "ids_crc32").collect()))
@@ -547,9 +600,9 @@ def test_long_units_are_sampled_whole(monkeypatch):
     seeds = np.arange(3000, dtype=np.uint64) * np.uint64(977)
     a, b = short.draw(np.zeros(3000, int), seeds), long_.draw(np.zeros(3000, int), seeds)
     assert (a[0] == b[0]).all() and a[1] == pytest.approx(b[1])
-    for excluded in ([a[0][0]], [a[0][0], short.draw_other(0, np.uint64(5), [a[0][0]])[0]]):
+    for excluded in ([a[0][0]], [a[0][0], sampling.Others(short, 0, [a[0][0]]).draw(np.uint64(5))[0]]):
         for seed in range(50):
-            x, y = short.draw_other(0, np.uint64(seed), excluded), long_.draw_other(0, np.uint64(seed), excluded)
+            x, y = (sampling.Others(z, 0, excluded).draw(np.uint64(seed)) for z in (short, long_))
             assert (x[0] == y[0]).all() and x[1] == pytest.approx(y[1])
     text = b"information" * 9
     block = sampling.Block(sampling.vocabulary(public_tokenizers.path(sampling.VOCABULARY), 1.0), np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([1]))
