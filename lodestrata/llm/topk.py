@@ -3,16 +3,17 @@
 Queries and candidates are dealt into blocks, and every block of queries meets every block of candidates once a
 pass. A pass scores everything and counts scores in bins; the counts of all blocks give, for each query, the bin
 that holds its kth score. The next pass splits that bin, until a bin is one score wide. The last pass lets
-through the scores above the kth value and, of those equal to it, the smallest ids. A block passes on no bins
-below its own kth score, so what is shuffled is at most k rows for each query and block.
+through the scores above the kth value and, of those equal to it, the smallest ids. A histogram counts every score
+from the bin of the block's own kth score up. No query's kth score lies below that of a block, so the sums are whole
+global histograms from the bin looked for up, and at most k bins go out for each query and block.
 
 Scores are whole numbers: component x counts as floor(256 * x). Blocks multiply in double precision where that
 is exact, else in integers.
 
-Defined results: vectors that are null or empty, or hold a null or non-finite component, take no part, nor do
-rows with a null id; vectors of different lengths are not compared; rows that repeat an id are each a candidate,
-each a query of its own, and none is a neighbour of its own id; fewer than k candidates are all returned; scores
-beyond the 64-bit range count as its ends.
+Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows with a null
+id; vectors of different lengths are not compared; rows that repeat an id are each a candidate and each a query of its
+own, and only a query's own row is not a candidate of it; fewer than k candidates are all returned; scores beyond the
+64-bit range count as its ends.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ _LOW = np.iinfo(np.int64).min
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id, v`` (array of double) of the rows that take part."""
+    """``id, v`` (array of double) of the rows that take part, computed once, with a number ``row`` that tells rows apart."""
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return x.where(F.col("id").isNotNull() & (F.size("v") > 0) & finite)
+    return cut(x.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite).withColumn("row", F.monotonically_increasing_id()))
 
 
 def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -52,7 +53,7 @@ def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarra
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    bound = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if bound < 2**53:
         return (q @ c.T).astype(np.int64)
     if bound < 2**62:
@@ -63,7 +64,8 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _chunks(queries: pa.Table, candidates: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Query rows, candidate ids in ascending order, scores and whether each pair counts."""
-    own, ids = np.asarray(queries.column("id")), np.asarray(candidates.column("id"))
+    own, ids = np.asarray(queries.column("row")), np.asarray(candidates.column("id"))
+    number = np.asarray(candidates.column("row"))
     theirs = _by_length(candidates.column("v")) if candidates.num_rows else {}
     for n, (rows, q) in (_by_length(queries.column("v")) if queries.num_rows else {}).items():
         if n not in theirs:
@@ -73,11 +75,11 @@ def _chunks(queries: pa.Table, candidates: pa.Table) -> Iterator[tuple[np.ndarra
         there, c = there[order], c[order]
         for a in range(0, len(rows), _CHUNK):
             part = rows[a : a + _CHUNK]
-            yield part, ids[there], _product(q[a : a + _CHUNK], c), own[part][:, None] != ids[there][None, :]
+            yield part, ids[there], _product(q[a : a + _CHUNK], c), own[part][:, None] != number[there][None, :]
 
 
 def _histogram(k: int, shift: int):
-    """Bins (``score >> shift``) of each query's best scores inside its range, with counts."""
+    """Bins (``score >> shift``) of each query's scores inside its range, from the block's own kth best up, with counts."""
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         keys, low, width = (np.asarray(queries.column(x)) for x in ("query", "low", "wide"))
@@ -88,10 +90,10 @@ def _histogram(k: int, shift: int):
                 counts &= np.where(span < 64, (scores >> np.minimum(span, 63)) == low[rows][:, None], True)
             bins = np.where(counts, scores >> shift, _LOW)
             most = min(k, bins.shape[1])
-            best = np.partition(bins, bins.shape[1] - most, axis=1)[:, bins.shape[1] - most :]
-            at, place = np.nonzero(best != _LOW)
+            least = np.partition(bins, bins.shape[1] - most, axis=1)[:, bins.shape[1] - most]
+            at, place = np.nonzero((bins != _LOW) & (bins >= least[:, None]))
             out_q.append(keys[rows][at])
-            out_bin.append(best[at, place])
+            out_bin.append(bins[at, place])
         q, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_bin))
         pairs, n = np.unique(np.stack([q, b], axis=1), axis=0, return_counts=True) if len(q) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
         return pa.table({"query": pa.array(pairs[:, 0]), "bin": pa.array(pairs[:, 1]), "n": pa.array(n.astype(np.int64))})
@@ -118,9 +120,12 @@ def _select(k: int):
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, rank, vec_id, score``: each query's ``k`` best candidates of another id. Both: see ``usable``."""
+    """``query_id, rank, vec_id, score``: each query's ``k`` best candidates. Both: rows of one ``usable`` table, so
+    that ``row`` tells a query's own row."""
     spark = queries.sparkSession
-    asked = cut(queries.select(F.monotonically_increasing_id().alias("query"), "id", "v"))
+    # Both may come from one table: columns get names of their own, so that the two sides can be told apart.
+    candidates = candidates.toDF(*[f"_{c}" for c in candidates.columns]).select(*[F.col(f"_{c}").alias(c) for c in candidates.columns])
+    asked = cut(queries.select(F.monotonically_increasing_id().alias("query"), "id", "row", "v"))
     largest = F.transform("v", lambda c: F.abs(c))
     extent = candidates.agg(F.count("*").alias("n"), F.max(F.array_max(largest)).alias("x"), F.max(F.size("v")).alias("size")).first()
     most = asked.agg(F.count("*").alias("n"), F.max(F.array_max(largest)).alias("x")).first()
@@ -128,11 +133,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     if not extent["n"] or not most["n"]:
         return spark.createDataFrame([], schema)
     query_blocks, blocks = -(-most["n"] // QUERY_BLOCK), -(-extent["n"] // CANDIDATE_BLOCK)
-    bits = min(63, 1 + math.ceil(math.log2(max(2.0, (SCALE * extent["x"] + 1) * (SCALE * most["x"] + 1) * extent["size"]))))
+    bits = min(63, 1 + math.ceil(math.log2(max(2.0, (SCALE * (extent["x"] or 0) + 1) * (SCALE * (most["x"] or 0) + 1) * extent["size"]))))
 
     number = F.monotonically_increasing_id()
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = candidates.select("id", "v", F.pmod(number, F.lit(blocks)).cast("int").alias("block")).select("*", everywhere(query_blocks).alias("query_block"))
+    dealt = candidates.select("id", "row", "v", F.pmod(number, F.lit(blocks)).cast("int").alias("block")).select("*", everywhere(query_blocks).alias("query_block"))
 
     def met(state: DataFrame, run, schema: str) -> DataFrame:
         """``run`` over each block of queries, with their state, and each block of candidates."""
@@ -156,8 +161,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 def _locate(ordered: DataFrame, shift: int) -> DataFrame:
     """The bin with each query's ``need``-th score from the top, and the rank wanted inside it.
 
-    A query's list holds at most k entries from each block of candidates, and the ranks looked for end where
-    scores do, so a query with fewer candidates than k comes down to its lowest score.
+    A query's list holds at most k bins from each block of candidates, and the ranks looked for end where scores do, so a query with fewer candidates than k comes down to its lowest score.
     """
     total = F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + b["n"])
     start = F.struct(F.lit(0).cast("long").alias("above"), F.lit(None).cast("long").alias("low"), F.lit(0).cast("long").alias("need"))
