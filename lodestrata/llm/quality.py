@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,8 +71,27 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _START = np.ones(256, bool)  # bytes that begin a code point
 _START[0x80:0xC0] = False
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.array([chr(k).isalpha() for k in range(0x110000)])
+
+
+def letter_starts(data: np.ndarray) -> np.ndarray:
+    """For each byte whether a letter begins there; bytes that are no UTF-8 begin none."""
+    out = _ASCII_LETTER[data]
+    if (data > 127).any():
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        wide = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
+        wide[(points >= 0xDC80) & (points <= 0xDCFF)] = 1  # a byte that is no UTF-8
+        starts = np.cumsum(wide) - wide
+        out[starts] = _letters()[points]
+    return out
+
 
 
 def _total(flags: np.ndarray) -> np.ndarray:
@@ -94,7 +114,7 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     lengths = points[ends] - points[starts]
     out = {"n_words": n_words, "word_chars": np.bincount(word_row, lengths, rows).astype(np.int64)}
     out["n_symbols"] = np.diff(_total(_SYMBOL[data])[offsets])
-    letters = _total(_LETTER[data])
+    letters = _total(letter_starts(data))
     out["n_letter_words"] = np.bincount(word_row[letters[ends] > letters[starts]], minlength=rows)
     longest = np.zeros(rows, np.int64)
     np.maximum.at(longest, word_row, lengths)
