@@ -14,14 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+NO_ESTIMATE = 1 << 50
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
     if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lodestrata-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
@@ -77,6 +82,17 @@ def _libc():
     return ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
 
 
+def partitions_for(df: DataFrame, partition_bytes: int = 8 << 20) -> int:
+    """Partitions that hold about ``partition_bytes`` each of what ``df`` reads, by Catalyst's estimate of its size.
+
+    At least one for each core. Where there is no estimate (rows from the driver or a checkpoint, products of joins: all
+    beyond ``NO_ESTIMATE``), the session's number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return shuffle_partitions(spark) if size > NO_ESTIMATE else max(spark.sparkContext.defaultParallelism, -(-size // partition_bytes))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

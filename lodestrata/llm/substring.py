@@ -8,10 +8,12 @@
 3. One group per bucket of documents brings texts (zstd-packed for the shuffle) and removals together, merges
    covered windows into maximal word intervals and cuts them out.
 
-A window is known by a 64-bit hash within a bucket chosen by an independent second hash. With buckets in
-proportion to the data that makes about 70 to 80 bits in all. There are ``BUCKETS_PER_PARTITION`` buckets of
-hashes and ``SLOTS_PER_PARTITION`` of documents for each shuffle partition, so a group holds megabytes when
-partitions are sized as usual, and a packed row of removals is not split too finely.
+There are as many partitions of hashes and of documents as the size of the table asks for (``partitions_for``), each
+with ``BUCKETS_PER_PARTITION`` buckets of hashes and one slot of documents, so that a group stays at megabytes at any
+size of the table. A window is known by a 64-bit hash within a bucket chosen by an independent second hash. The buckets
+grow with the data: a table of n windows of about 8 bytes has n / 250,000 of them, so the windows that two different
+texts are expected to share by chance are n * n / 2**65 / (n / 250,000), less than one for 10**14 windows (at 100 TB
+there are about 2 * 10**13). Texts are not compared again.
 
 Defined results: a null or empty text has no words and is kept as it is; a row with a null id has nothing
 removed and removes nothing; rows that repeat an id are one document to each other (no smaller id), each is
@@ -30,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import release, shuffle_partitions, table, text_batches
+from .session import partitions_for, release, table, text_batches
 from .textblocks import blocks, column_bytes, mix, span_hashes, window_hashes, word_spans
 
 WINDOW = 50
 BUCKETS_PER_PARTITION = 4
-SLOTS_PER_PARTITION = 1
 FLUSH_WINDOWS = 600_000
 
 _PACKED = "bucket int, kind int, ids binary, counts binary, data binary"
@@ -228,12 +229,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words are joined by one space.
     """
     text_batches(docs.sparkSession)
-    partitions = shuffle_partitions(docs.sparkSession)
-    buckets, slots = BUCKETS_PER_PARTITION * partitions, SLOTS_PER_PARTITION * partitions
     named = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    slots = partitions_for(docs.select(*named))
+    buckets = BUCKETS_PER_PARTITION * slots
     entries = docs.select(*named).mapInArrow(_windows(buckets, slots, window, FLUSH_WINDOWS), _PACKED)
     # Both kinds leave one pass over the texts: kind 1 is already judged and meets the rest in the second deal.
-    judged = entries.groupBy("kind", "bucket").applyInArrow(_either(_judge(slots)), _PACKED)
+    judged = entries.repartition(slots, "bucket").groupBy("kind", "bucket").applyInArrow(_either(_judge(slots)), _PACKED)
     fields = [T.StructField("slot", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("packed", T.BinaryType())]
     out = [T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType())]
     out += T._parse_datatype_string("removed array<struct<start:bigint,end:bigint>>, kept_text string").fields
@@ -243,7 +244,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fields.append(carried)
         out.append(carried)
     texts = docs.select(*named).mapInArrow(_zip_texts(slots), T.StructType(fields))
-    both = texts.groupBy("slot").cogroup(judged.groupBy("bucket"))
+    both = texts.repartition(slots, "slot").groupBy("slot").cogroup(judged.repartition(slots, "bucket").groupBy("bucket"))
     return both.applyInArrow(_cut_out(window), T.StructType(out))
 
 

@@ -1,5 +1,6 @@
 """Operators on awkward tables: nulls, empty and long texts, repeated rows, no rows, clashing extra columns."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,17 @@ def test_quality_defined_results(awkward):
     assert by[8]["n_words"] == 30_000 and not by[8]["failed_bits"] & quality.BASE
 
 
+def test_letters_are_those_of_unicode(spark):
+    for text in ("naïve «—» 中文 🙂🙂 ελ … 123 ß", "", "—" * 9, "é"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at = [len(text[:k].encode()) for k, c in enumerate(text) if c.isalpha()]
+        assert np.flatnonzero(quality.letter_starts(data)).tolist() == at
+    broken = np.frombuffer(b"a\xff\xc3 b\xe4\xb8 " + "ü".encode(), np.uint8)
+    assert np.flatnonzero(quality.letter_starts(broken)).tolist() == [0, 4, 8]
+    odd = spark.createDataFrame([(1, "— « » … 🙂 ¿ § € " * 5), (2, "это слова и буквы да " * 5)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_letter_words"] for r in quality.ledger(odd).collect()} == {1: 0, 2: 25}
+
+
 def test_quality_ablation_counts(spark):
     book = spark.createDataFrame([(0b01,), (0b10,), (0b11,), (0,), (0,)], "failed_bits long")
     found = {r["rule"]: tuple(r)[1:] for r in quality.ablation(book, "base").collect()}
@@ -179,6 +191,9 @@ def test_topk_defined_results(spark):
     assert found == [(50, 1, 1, 65536), (50, 2, 2, 65536), (50, 3, 2, 65536)]
     all_ = rows(topk.top_k(vectors.where("id = 50"), vectors, 99), "rank", "vec_id", "score")
     assert [r[1] for r in sorted(all_)] == [1, 2, 2, 3, 9]
+    twice = topk.usable(spark.createDataFrame([(50, [1.0]), (50, [2.0]), (1, [3.0]), (100, []), (2, [])], "vec_id long, embedding array<double>"))
+    found = rows(topk.top_k(twice.where("id % 50 = 0"), twice, 3), "query_id", "rank", "vec_id", "score")
+    assert sorted(found) == [(50, 1, 1, 196608), (50, 1, 1, 393216), (50, 2, 50, 131072), (50, 2, 50, 131072), (100, 1, 2, 0)]
     assert topk.top_k(vectors.where("false"), vectors).count() == 0
 
 
