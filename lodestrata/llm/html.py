@@ -424,21 +424,22 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page with a host: its features, its host and a hash of its texts."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        rows, count, content = [], [], []
-        for parsed in batch.column(1).to_pylist():
-            found = []
+        where, rows, count, content, host = [], [], [0], [], []
+        for k, parsed in enumerate(batch.column(1).to_pylist()):
             if parsed[:1] == b"1":
                 tree = Tree(unpack(parsed[1:]))
-                found = tree.features()
-                content += [tree.content()] * len(found)
-            count.append(len(found))
-            rows += found
+                where.append(k)
+                rows += tree.features()
+                count.append(len(rows))
+                content.append(tree.content())
+                host.append(tree.key[0])
         values = np.array(rows, np.int64).reshape(-1, len(_FEATURES))
-        columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(content, pa.int64())]
-        columns += [pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(_FEATURES))]
-        yield pa.RecordBatch.from_arrays(columns, names=["page", "content", *_FEATURES])
+        each = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(_FEATURES))], names=_FEATURES)
+        columns = [batch.column(0).take(pa.array(where, pa.int64())), pa.array(content, pa.int64()), pa.array(host, pa.int64()), pa.ListArray.from_arrays(pa.array(count, pa.int32()), each)]
+        yield pa.RecordBatch.from_arrays(columns, names=["page", "content", "host", "features"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,12 +455,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features_of(parsed: DataFrame) -> DataFrame:
-    return parsed.mapInArrow(_features, "page long, content long, " + ", ".join(f"{c} long" for c in _FEATURES))
+    """``page, content, host, features`` of the parsed pages that have a host."""
+    each = ", ".join(f"{c}: long" for c in _FEATURES)
+    return parsed.mapInArrow(_features, f"page long, content long, host long, features array<struct<{each}>>")
 
 
 def style_nodes(features: DataFrame) -> DataFrame:
     """``node, pages, presentation, content, shapes, link, share`` of the style nodes that two or more different pages have."""
-    once = features.select("content", *_FEATURES).distinct()
+    # Of pages of a host with the same texts one counts, the same one whatever the order.
+    once = features.groupBy("host", "content").agg(F.min_by("features", F.xxhash64("features")).alias("features")).select(F.inline("features"))
     total = lambda c: F.sum(c).alias(c)
     counted = once.groupBy("node", "kind", "feature").agg(F.count("*").alias("n"), total("chars"), total("links"), total("total"))
     shape, text = F.col("kind") == 0, F.col("kind") == 1
@@ -500,7 +504,8 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     facts = style_nodes(features)
     # The nodes of a hot host are in a third of all pages: they meet their facts in SALTS groups.
     salt = F.pmod(F.col("page"), F.lit(SALTS)).cast("int").alias("salt")
-    having = features.where("kind = 0").select("page", "node", salt)
+    shapes = F.filter("features", lambda x: x["kind"] == 0)
+    having = features.select("page", F.explode(F.transform(shapes, lambda x: x["node"])).alias("node"), salt)
     spread = facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     known = having.join(spread, ["node", "salt"]).groupBy("page").agg(F.collect_list(F.struct("node", "presentation", "content", "shapes", "link", "share")).alias("nodes"))
     return parsed.join(known, "page", "left").select("parsed", "nodes", "carried").mapInArrow(_extract, f"main_text string, n_removed int, carried {kept}")

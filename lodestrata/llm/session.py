@@ -82,7 +82,7 @@ def _libc():
     return ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
 
 
-def partitions_for(df: DataFrame, partition_bytes: int = 8 << 20) -> int:
+def partitions_for(df: DataFrame, partition_bytes: int = 4 << 20) -> int:
     """Partitions that hold about ``partition_bytes`` each of what ``df`` reads, by Catalyst's estimate of its size.
 
     At least one for each core. Where there is no estimate (rows from the driver or a checkpoint, products of joins: all

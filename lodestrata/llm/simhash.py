@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .session import cut, shuffle_partitions, table, text_batches
+from .session import cut, shuffle_partitions, stored, table, text_batches
 from .textblocks import column_bytes
 
 SHINGLE_WORDS = 4
@@ -178,8 +178,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, fp, component_id`` of every row: the smallest id reachable over links of ``max_bits`` or fewer bits."""
     marked = cut(fingerprints(docs, id_col, text_col))
     classes = marked.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes, _ = stored(classes)
     linked = connected_components(links(classes.select("fp"), max_bits), classes.select(F.col("fp").alias("node"), F.col("first_id").alias("value")))
     named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
+    # A table, so that the join meets a plain exchange on both sides and a fingerprint that very many rows share is split.
+    named, _ = stored(named)
     return marked.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
