@@ -101,6 +101,46 @@ def contour_interval(relief: Column) -> Column:
     return F.when(relief > 220, 20).otherwise(10)
 
 
+def contours(grid: DataFrame) -> DataFrame:
+    """Contour segments ``grid_id, row, col, level, major, segment, r1, c1, r2, c2`` of every level by each grid's relief.
+
+    Levels are multiples of the interval, every 50 is major. A level crosses the side of a square where one end is
+    below it and the other is not; the crossing point is interpolated. A square with four crossings is resolved by
+    its centre: from that level up the first and last two sides are joined, below it the outer and inner ones.
+    """
+    extent = grid.groupBy("grid_id").agg(contour_interval(F.max("value") - F.min("value")).cast("double").alias("step"))
+    corners = focal(grid.select(*CELL, "value"), [(0, 1), (1, 1), (1, 0)], at_offset(0, 1).alias("se"), at_offset(1, 1).alias("ne"), at_offset(1, 0).alias("nw"))
+    squares = corners.where("value is not null and se is not null and ne is not null and nw is not null").join(broadcast_if_small(extent), "grid_id")
+    low, high = F.floor(F.least("value", "se", "ne", "nw") / F.col("step")) + 1, F.floor(F.greatest("value", "se", "ne", "nw") / F.col("step"))
+    crossed = squares.where(low <= high).withColumn("level", F.explode(F.sequence(low, high))).withColumn("level", F.col("level") * F.col("step"))
+    ends = [("value", 0, 0), ("se", 0, 1), ("ne", 1, 1), ("nw", 1, 0)]
+    points = []
+    for (a, ar, ac), (b, br, bc) in zip(ends, [*ends[1:], ends[0]]):
+        t = (F.col("level") - F.col(a)) / (F.col(b) - F.col(a))
+        point = F.struct((F.col("row") + ar + (br - ar) * t).alias("r"), (F.col("col") + ac + (bc - ac) * t).alias("c"))
+        points.append(F.when((F.col(a) < F.col("level")) != (F.col(b) < F.col("level")), point))
+    centre = (F.col("value") + F.col("se") + F.col("ne") + F.col("nw")) / 4
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    side = [F.col("p")[k] for k in range(4)]
+    saddle = F.when(centre >= F.col("level"), F.array(pair(side[0], side[1]), pair(side[2], side[3]))).otherwise(F.array(pair(side[0], side[3]), pair(side[1], side[2])))
+    met = F.array_compact("p")
+    joined = F.when(F.size(met) == 4, saddle).otherwise(F.array(pair(F.get(met, F.lit(0)), F.get(met, F.lit(1)))))
+    found = crossed.withColumn("p", F.array(*points)).select(*CELL, "level", F.posexplode(joined).alias("segment", "s"))
+    ends_ = [F.round(F.col(f"s.{e}.{x}"), 9).alias(f"{x}{k}") for k, e in ((1, "a"), (2, "b")) for x in "rc"]
+    return found.select(*CELL, "level", (F.col("level") % 50 == 0).alias("major"), "segment", *ends_)
+
+
+def contour_lines(segments: DataFrame) -> DataFrame:
+    """Lines ``grid_id, level, line, place, r, c`` of the segments of ``contours``; ends that meet have equal coordinates."""
+    from .kernels import stitch
+
+    scale = 1_000_000
+    node = lambda k: F.shiftleft(F.round(F.col(f"r{k}") * scale).cast("long"), 32) + F.round(F.col(f"c{k}") * scale).cast("long")
+    pairs = segments.select("grid_id", F.col("level").cast("long").alias("level"), node(1).alias("a"), node(2).alias("b")).where("a <> b")
+    lines = stitch(pairs, ("grid_id", "level"))
+    return lines.select("grid_id", "level", "line", "place", (F.shiftright("node", 32) / scale).alias("r"), (F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)) / scale).alias("c"))
+
+
 def edges(grid: DataFrame, column: str = "class") -> DataFrame:
     """Classes of the cells on both sides of every inner edge, each edge once."""
     pairs = scatter(grid, [(0, 1), (1, 0)], column).withColumnRenamed(column, "other")

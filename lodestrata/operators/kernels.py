@@ -25,10 +25,14 @@ def _array(pdf: pd.DataFrame, column: str = "value") -> tuple[np.ndarray, int, i
     return out, r0, c0
 
 
-def fill(height: np.ndarray) -> np.ndarray:
-    """Heights with every pit raised to its lowest outlet; missing cells and the rim let water out."""
+def fill(height: np.ndarray, with_source: bool = False):
+    """Heights with every pit raised to its lowest outlet; missing cells and the rim let water out.
+
+    ``with_source`` adds the flat index of the cell from which each was reached, -1 at the rim.
+    """
     rows, cols = height.shape
     out, done, heap = height.copy(), np.isnan(height), []
+    came = np.full(height.shape, -1)
     for r in range(rows):
         for c in range(cols):
             if not done[r, c] and any(not (0 <= r + i < rows and 0 <= c + j < cols) or np.isnan(height[r + i, c + j]) for i, j in AROUND):
@@ -41,8 +45,9 @@ def fill(height: np.ndarray) -> np.ndarray:
             if 0 <= y < rows and 0 <= x < cols and not done[y, x]:
                 done[y, x] = True
                 out[y, x] = max(out[y, x], level)
+                came[y, x] = r * cols + c
                 heapq.heappush(heap, (out[y, x], y, x))
-    return out
+    return (out, came) if with_source else out
 
 
 def priority_flood(grid: DataFrame) -> DataFrame:
@@ -56,6 +61,36 @@ def priority_flood(grid: DataFrame) -> DataFrame:
     return grid.select("grid_id", "row", "col", F.col("value").cast("double").alias("value")).groupBy("grid_id").applyInPandas(run, "grid_id long, row long, col long, value double, filled double")
 
 
+def route(height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Filled heights and, by flat index, where the water of each cell goes: -1 off the grid.
+
+    It goes to the steepest lower neighbour on the filled surface, on a flat (a filled pit) to the cell from which the
+    flood came; so all water reaches the rim.
+    """
+    rows, cols = height.shape
+    filled, came = fill(height, True)
+    to = downstream(filled).ravel()
+    flat = (to < 0) & (came.ravel() >= 0)
+    to[flat] = came.ravel()[flat]
+    return filled, to
+
+
+def gathered(to: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What flows through each cell: its own weight and that of all above it."""
+    total, waiting = weight.copy(), np.zeros(len(to), np.int64)
+    np.add.at(waiting, to[to >= 0], 1)
+    ready = np.flatnonzero(waiting == 0).tolist()
+    while ready:
+        k = ready.pop()
+        below = to[k]
+        if below >= 0:
+            total[below] += total[k]
+            waiting[below] -= 1
+            if not waiting[below]:
+                ready.append(below)
+    return total
+
+
 def downstream(height: np.ndarray) -> np.ndarray:
     """Flat index of the steepest lower neighbour of each cell, -1 for none."""
     rows, cols = height.shape
@@ -72,30 +107,26 @@ def downstream(height: np.ndarray) -> np.ndarray:
 
 
 def flow_accumulation(grid: DataFrame) -> DataFrame:
-    """``grid_id, row, col, cells``: cells that drain through each cell, itself included, highest first."""
+    """``grid_id, row, col, cells``: cells that drain through each cell of the filled surface, itself included."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         height, r0, c0 = _array(pdf)
-        to = downstream(height).ravel()
-        total = (~np.isnan(height)).astype(np.int64).ravel()
-        for k in np.argsort(-np.nan_to_num(height.ravel(), nan=-np.inf), kind="stable"):
-            if to[k] >= 0:
-                total[to[k]] += total[k]
+        total = gathered(route(height)[1], (~np.isnan(height)).astype(np.int64).ravel())
         return pdf[["grid_id", "row", "col"]].assign(cells=total.reshape(height.shape)[pdf.row - r0, pdf.col - c0])
 
     return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, row long, col long, cells long")
 
 
 def flow_paths(grid: DataFrame, least_cells: int, most_paths: int = 12) -> DataFrame:
-    """Paths down from the heads of streams of ``least_cells`` or more: ``grid_id, path, step, row, col``, the ``most_paths`` longest of a grid."""
+    """Paths down from the heads of streams of ``least_cells`` or more: ``grid_id, path, step, row, col``, the ``most_paths`` longest of a grid.
+
+    Streams run over the filled surface, so every path ends at the rim.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         height, r0, c0 = _array(pdf)
-        to = downstream(height).ravel()
-        total = (~np.isnan(height)).astype(np.int64).ravel()
-        for k in np.argsort(-np.nan_to_num(height.ravel(), nan=-np.inf), kind="stable"):
-            if to[k] >= 0:
-                total[to[k]] += total[k]
+        to = route(height)[1]
+        total = gathered(to, (~np.isnan(height)).astype(np.int64).ravel())
         stream = total >= least_cells
         fed = np.zeros(len(to), bool)
         fed[to[stream & (to >= 0)]] = True
@@ -112,6 +143,59 @@ def flow_paths(grid: DataFrame, least_cells: int, most_paths: int = 12) -> DataF
     return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, path int, step int, row long, col long")
 
 
+#: Names of the eight sectors from north, clockwise.
+SECTORS = ["north", "northeast", "east", "southeast", "south", "southwest", "west", "northwest"]
+
+
+def sector(dr: float, dc: float, middle: float = 0.12) -> str:
+    """Direction of a place by its offset from the centre in parts of the grid's extent; rows grow to the north."""
+    if abs(dr) < middle and abs(dc) < middle:
+        return "central"
+    return SECTORS[int(np.floor(np.degrees(np.arctan2(dc, dr)) % 360 / 45 + 0.5)) % 8]
+
+
+def anatomy(grid: DataFrame, near: int = 2) -> DataFrame:
+    """Outlets, highest and lowest place of the cells marked ``inside``: ``grid_id, kind, direction, row, col, cells, percent``.
+
+    Water of an inside cell leaves at the first cell outside on its way over the filled surface; cells that leave at
+    places within ``near`` rows and columns of each other make one outlet, named by the place that takes most (of equal
+    ones the first in row order). ``kind`` is ``outlet``, ``high`` or ``low``; ``percent`` is of the inside cells.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        height, r0, c0 = _array(pdf)
+        rows, cols = height.shape
+        to = route(height)[1].tolist()
+        inside = np.zeros(height.size, bool)
+        inside[((pdf.row - r0) * cols + pdf.col - c0)[pdf.inside.to_numpy(bool)]] = True
+        cells = np.flatnonzero(inside & ~np.isnan(height.ravel()))
+        left: dict[int, int] = {}
+        for k in cells.tolist():
+            while k >= 0 and inside[k]:
+                k = to[k]
+            if k >= 0:
+                left[k] = left.get(k, 0) + 1
+        direction = lambda k: sector((k // cols - (rows - 1) / 2) / max(1, rows - 1), (k % cols - (cols - 1) / 2) / max(1, cols - 1))
+        found, waiting = [], set(left)
+        while waiting:
+            todo, members = [min(waiting)], []
+            waiting.discard(todo[0])
+            while todo:
+                k = todo.pop()
+                members.append(k)
+                close = [x for x in waiting if abs(x // cols - k // cols) <= near and abs(x % cols - k % cols) <= near]
+                waiting.difference_update(close)
+                todo += close
+            found.append(("outlet", min(members, key=lambda k: (-left[k], k)), sum(left[k] for k in members)))
+        if len(cells):
+            values = height.ravel()[cells]
+            found += [("high", int(cells[values.argmax()]), 1), ("low", int(cells[values.argmin()]), 1)]
+        out = [(int(pdf.grid_id.iloc[0]), kind, direction(k), k // cols + r0, k % cols + c0, n, 100 * n / len(cells)) for kind, k, n in found]
+        return pd.DataFrame(out, columns=["grid_id", "kind", "direction", "row", "col", "cells", "percent"])
+
+    return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, kind string, direction string, row long, col long, cells long, percent double")
+
+
 def stitch(segments: DataFrame, keys: Sequence[str] = ("grid_id",)) -> DataFrame:
     """Lines from segments ``a, b`` (end points as numbers): ``line, place, node``; open lines from an end, closed ones from their least node."""
 

@@ -49,6 +49,26 @@ def session_metrics(events: DataFrame, keys: Sequence[str], order: Sequence[str]
     )
 
 
+def follows(events: DataFrame, key: str, order: Sequence[str], column: str, wanted: Sequence[str]) -> DataFrame:
+    """``key, follows``: whether ``wanted`` occurs in order, other elements between allowed.
+
+    Each step is the least place after the step before, a pre-aggregated minimum, so no key's events are gathered.
+    """
+    place = F.struct(*order)
+    reached = events.groupBy(key).agg(F.min(F.when(F.col(column) == wanted[0], place)).alias("at"))
+    for x in wanted[1:]:
+        later = events.where(F.col(column) == x).select(key, place.alias("next")).join(reached.withColumnRenamed("at", "was"), key).where(F.col("next") > F.col("was"))
+        found = later.groupBy(key).agg(F.min("next").alias("at"))
+        reached = reached.select(key).join(found, key, "left")
+    return reached.select(key, F.col("at").isNotNull().alias("follows"))
+
+
+def repeat_counts(events: DataFrame, key: str, order: Sequence[str], column: str) -> DataFrame:
+    """``key, repeats``: places where an element equals the one before; a sorted pass that spills."""
+    before = F.lag(column).over(Window.partitionBy(key).orderBy(*order))
+    return events.select(key, (F.col(column) == before).alias("same")).groupBy(key).agg(F.count_if("same").alias("repeats"))
+
+
 def has_subsequence(sequence: Column, wanted: Sequence[str]) -> Column:
     """Whether ``wanted`` occurs in order, other elements between allowed."""
     listed = F.array(*[F.lit(x) for x in wanted])

@@ -24,7 +24,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], merge: dict[str,
     ``merge`` gives columns that both sides decide, as expressions over ``old.x`` and ``new.x``.
     """
     merge = merge or {}
-    joined = old.alias("old").join(new.alias("new"), [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys], "full_outer").withColumn("__in", F.col(f"new.{keys[0]}").isNotNull())
+    marked = new.withColumn("__in", F.lit(True))  # a mark of its own, since keys may be null
+    joined = old.alias("old").join(marked.alias("new"), [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys], "full_outer")
     pick = lambda c: F.when(F.col("__in"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}"))
     return joined.select(*[(merge[c] if c in merge else pick(c)).alias(c) for c in old.columns])
 

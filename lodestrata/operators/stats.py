@@ -95,3 +95,16 @@ def banded(value: Column, *bands: tuple[float, object], otherwise=None) -> Colum
 def robust_scale(value: Column, low: Column, high: Column) -> Column:
     """``value`` between two percentiles as 0 to 1, cut off outside; null where they coincide."""
     return F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))))
+
+
+def at_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """``key`` and, for each rank from 0 (an expression over the number ``n`` of a key's values), the value in that place.
+
+    Values are counted first, and ranks are looked up in a running count, so that no key's values are gathered.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__c"))
+    run = F.sum("__c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = counted.groupBy(key).agg(F.sum("__c").alias("n"))
+    placed = counted.withColumn("__end", run).join(sizes, key)
+    inside = lambda r: (r >= F.col("__end") - F.col("__c")) & (r < F.col("__end"))
+    return placed.groupBy(key).agg(*[F.max(F.when(inside(r), F.col(value))).alias(name) for name, r in ranks.items()])

@@ -77,7 +77,8 @@ def x13(spark, sf_dir):
     return both.select(*G.CELL, G.landform(F.col("fine"), F.col("coarse"), F.coalesce("slope", F.lit(0.0))).alias("form"))
 
 
-@query("X14_patch_sizes")
+@query("X14_patch_sizes", f"""WITH RECURSIVE {_G}, w AS (SELECT grid_id, row, col, class, row AS r, col AS c FROM g UNION SELECT w.grid_id, w.row, w.col, w.class, g.row, g.col FROM w JOIN g ON g.grid_id = w.grid_id AND g.class = w.class AND abs(g.row - w.r) <= 1 AND abs(g.col - w.c) <= 1),
+m AS (SELECT grid_id, row, col, class, min((r, c)) AS first FROM w GROUP BY ALL) SELECT grid_id, first[1] AS row, first[2] AS col, class, count(*) AS area FROM m GROUP BY ALL""")
 def x14_sizes(spark, sf_dir):
     return G.patches(tiles(spark, sf_dir)).groupBy("grid_id", "patch.row", "patch.col", "class").agg(F.count("*").alias("area"))
 
@@ -122,12 +123,12 @@ def x16(spark, sf_dir):
 
 @query(
     "G17_nearest_class",
-    f"""WITH {_G}, a AS (SELECT * FROM g WHERE row % 5 = 0 AND col % 5 = 0), d AS (SELECT a.grid_id, a.row, a.col, min(sqrt((a.row - g.row) ** 2 + (a.col - g.col) ** 2)) FILTER (WHERE g.class = 2) AS d FROM a LEFT JOIN g ON g.grid_id = a.grid_id AND (a.row - g.row) ** 2 + (a.col - g.col) ** 2 <= 2.25 GROUP BY ALL)
+    f"""WITH {_G}, a AS (SELECT * FROM g), d AS (SELECT a.grid_id, a.row, a.col, min(sqrt((a.row - g.row) ** 2 + (a.col - g.col) ** 2)) FILTER (WHERE g.class = 2) AS d FROM a LEFT JOIN g ON g.grid_id = a.grid_id AND (a.row - g.row) ** 2 + (a.col - g.col) ** 2 <= 2.25 GROUP BY ALL)
     SELECT grid_id, row, col, round(d, 6) AS distance, CASE WHEN d IS NULL THEN 1.5::DOUBLE END AS distance_lower_bound FROM d""",
 )
 def g17(spark, sf_dir):
     g = tiles(spark, sf_dir)
-    found = G.nearest_class(g, g.where("row % 5 = 0 and col % 5 = 0"), 1.5, 2)
+    found = G.nearest_class(g, g, 1.5, 2)
     return found.select(*G.CELL, F.round("distance", 6).alias("distance"), "distance_lower_bound")
 
 
@@ -162,7 +163,7 @@ def g08(spark, sf_dir):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("grid_id")), 6))
 
 
-@query("G06_barrier_buffer")
+@query("G06_barrier_buffer", f"""WITH RECURSIVE {_G}, w AS (SELECT grid_id, row, col FROM g WHERE row % 4 = 0 AND col % 6 = 0 AND class <> 0 UNION SELECT g.grid_id, g.row, g.col FROM w JOIN g ON g.grid_id = w.grid_id AND abs(g.row - w.row) + abs(g.col - w.col) = 1 AND g.class <> 0) SELECT * FROM w""")
 def g06(spark, sf_dir):
     g = tiles(spark, sf_dir).withColumn("wall", F.col("class") == 0)
     return G.flood(g, g.where("row % 4 = 0 and col % 6 = 0"), "wall")
@@ -240,12 +241,19 @@ def x33(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("species")).agg(F.count("*").alias("n"), F.round(F.percentile("p_retailprice", 0.5), 6).alias("median"), F.max("p_retailprice").alias("most"))
 
 
-@query("X06_priority_flood")
+# A cell's filled height is the least level at which it is joined to the rim by cells of that level or lower.
+_FILLED = f"""{_G}, {_H}, lv AS (SELECT DISTINCT grid_id, value AS level FROM h),
+rim AS (SELECT a.* FROM h a JOIN (SELECT x.grid_id, x.row, x.col FROM h x JOIN h y ON y.grid_id = x.grid_id AND abs(y.row - x.row) <= 1 AND abs(y.col - x.col) <= 1 GROUP BY ALL HAVING count(*) < 9) b USING (grid_id, row, col)),
+w AS (SELECT rim.grid_id, row, col, level FROM rim JOIN lv ON lv.grid_id = rim.grid_id AND rim.value <= level UNION SELECT h.grid_id, h.row, h.col, w.level FROM w JOIN h ON h.grid_id = w.grid_id AND abs(h.row - w.row) <= 1 AND abs(h.col - w.col) <= 1 AND h.value <= w.level),
+filled AS (SELECT grid_id, row, col, h.value, min(level) AS filled FROM h JOIN w USING (grid_id, row, col) GROUP BY ALL)"""
+
+
+@query("X06_priority_flood", f"""WITH RECURSIVE {_FILLED} SELECT * FROM filled""")
 def x06(spark, sf_dir):
     return K.priority_flood(heights(spark, sf_dir))
 
 
-@query("X08_X09_flow_accumulation")
+@query("X08_flow_accumulation")
 def x08(spark, sf_dir):
     return K.flow_accumulation(heights(spark, sf_dir))
 
@@ -255,11 +263,39 @@ def x10(spark, sf_dir):
     return K.flow_paths(heights(spark, sf_dir), 3)
 
 
-@query("X03_stitch_contours")
+@query("X09_terrain_anatomy")
+def x09(spark, sf_dir):
+    """The inner cells of each tile are the property; where their water leaves it, by direction."""
+    inside = F.col("row").between(3, 16) & F.col("col").between(2, 15)
+    return K.anatomy(heights(spark, sf_dir).withColumn("inside", inside))
+
+
+_CONTOURS = f"""{_G}, x AS (SELECT grid_id, CASE WHEN max(value) - min(value) > 220 THEN 20 ELSE 10 END::DOUBLE AS step FROM g GROUP BY grid_id),
+q AS (SELECT a.grid_id, a.row, a.col, a.value AS sw, b.value AS se, c.value AS ne, d.value AS nw, step FROM g a JOIN g b ON b.grid_id = a.grid_id AND b.row = a.row AND b.col = a.col + 1 JOIN g c ON c.grid_id = a.grid_id AND c.row = a.row + 1 AND c.col = a.col + 1 JOIN g d ON d.grid_id = a.grid_id AND d.row = a.row + 1 AND d.col = a.col JOIN x ON x.grid_id = a.grid_id),
+l AS (SELECT *, unnest(range(CAST(floor(least(sw, se, ne, nw) / step) AS BIGINT) + 1, CAST(floor(greatest(sw, se, ne, nw) / step) AS BIGINT) + 1)) * step AS level FROM q),
+p AS (SELECT *, (sw < level) <> (se < level) AS k0, (se < level) <> (ne < level) AS k1, (ne < level) <> (nw < level) AS k2, (nw < level) <> (sw < level) AS k3,
+ {{'r': row::DOUBLE, 'c': col + (level - sw) / (se - sw)}} AS p0, {{'r': row + (level - se) / (ne - se), 'c': (col + 1)::DOUBLE}} AS p1, {{'r': (row + 1)::DOUBLE, 'c': col + 1 - (level - ne) / (nw - ne)}} AS p2, {{'r': row + 1 - (level - nw) / (sw - nw), 'c': col::DOUBLE}} AS p3 FROM l),
+s AS (SELECT grid_id, row, col, level, 0 AS segment, CASE WHEN k0 THEN p0 WHEN k1 THEN p1 ELSE p2 END AS a, CASE WHEN k0 AND k1 AND k2 AND k3 THEN CASE WHEN (sw + se + ne + nw) / 4 >= level THEN p1 ELSE p3 END WHEN k3 THEN p3 WHEN k2 THEN p2 ELSE p1 END AS b FROM p
+UNION ALL SELECT grid_id, row, col, level, 1, CASE WHEN (sw + se + ne + nw) / 4 >= level THEN p2 ELSE p1 END, CASE WHEN (sw + se + ne + nw) / 4 >= level THEN p3 ELSE p2 END FROM p WHERE k0 AND k1 AND k2 AND k3)"""
+
+
+@query("X02_contour_segments", f"""WITH {_CONTOURS} SELECT grid_id, row, col, level, level % 50 = 0 AS major, CAST(segment AS INTEGER) AS segment, round(a.r, 9) AS r1, round(a.c, 9) AS c1, round(b.r, 9) AS r2, round(b.c, 9) AS c2 FROM s""")
+def x02_segments(spark, sf_dir):
+    return G.contours(tiles(spark, sf_dir))
+
+
+@query("X04_contour_product", f"""WITH {_CONTOURS} SELECT s.grid_id, level, any_value(step) AS step, any_value(level % 50 = 0) AS major, count(*) AS n_segments, round(sum(sqrt((a.r - b.r) ** 2 + (a.c - b.c) ** 2)), 4) AS length FROM s JOIN x ON x.grid_id = s.grid_id GROUP BY s.grid_id, level""")
+def x04(spark, sf_dir):
+    g = tiles(spark, sf_dir)
+    step = g.groupBy("grid_id").agg(G.contour_interval(F.max("value") - F.min("value")).cast("double").alias("step"))
+    span = F.sqrt((F.col("r1") - F.col("r2")) ** 2 + (F.col("c1") - F.col("c2")) ** 2)
+    found = G.contours(g).groupBy("grid_id", "level", "major").agg(F.count("*").alias("n_segments"), F.round(F.sum(span), 4).alias("length"))
+    return found.join(step, "grid_id").select("grid_id", "level", "step", "major", "n_segments", "length")
+
+
+@query("X03_contour_lines")
 def x03(spark, sf_dir):
-    """Unlike neighbours of the class grid as segments between cell numbers, stitched to lines."""
-    e = G.edges(tiles(spark, sf_dir)).where("one <> other").select("grid_id", (F.col("row") * 20 + F.col("col")).alias("a"), (F.col("row") * 20 + F.col("col") + 1).alias("b"))
-    return K.stitch(e.distinct())
+    return G.contour_lines(G.contours(tiles(spark, sf_dir)))
 
 
 @query("X19_horizon")

@@ -167,9 +167,9 @@ def r19(spark, sf_dir):
     SELECT user_id, coalesce(b IS NOT NULL AND list_position(seq[b+1:], 'purchase') > 0, false) AS follows, CAST(len(list_filter(range(1, len(seq)), lambda i: seq[i] = seq[i+1])) AS INTEGER) AS repeats FROM q""",
 )
 def r20(spark, sf_dir):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda e: e["event_type"])
-    seq = table(spark, sf_dir, "events").groupBy("user_id").agg(ordered.alias("seq"))
-    return seq.select("user_id", K.has_subsequence(F.col("seq"), ["view", "click", "purchase"]).alias("follows"), K.repeats(F.col("seq")).alias("repeats"))
+    events = table(spark, sf_dir, "events")
+    follows = K.follows(events, "user_id", ["ts", "event_id"], "event_type", ["view", "click", "purchase"])
+    return follows.join(K.repeat_counts(events, "user_id", ["ts", "event_id"], "event_type"), "user_id").select("user_id", "follows", F.col("repeats").cast("int").alias("repeats"))
 
 
 _RULES = """r(rule, kind, least, state) AS (VALUES ('buys', 'purchase', 12, NULL), ('errs', 'error', 20, NULL), ('looks', 'view', 1, 'blocked'), ('other', 'refund', 1, NULL))"""
@@ -201,7 +201,7 @@ def r21(spark, sf_dir):
 @query(
     "R09_R10_classifier_gates",
     """SELECT p_partkey, service, state FROM (SELECT p_partkey, 'polish' AS service, CASE WHEN p_type LIKE '%POLISHED%' THEN 'supported' WHEN p_type LIKE '%BRUSHED%' THEN 'investigate' ELSE 'insufficient' END AS state FROM part
-    UNION ALL SELECT p_partkey, 'plate', CASE WHEN p_type LIKE '%PLATED%' AND p_size > 20 THEN 'supported' WHEN p_type LIKE '%PLATED%' THEN 'investigate' ELSE 'insufficient' END FROM part) WHERE state <> 'insufficient' OR p_partkey % 2 = 0""",
+    UNION ALL SELECT p_partkey, 'plate', CASE WHEN p_type LIKE '%PLATED%' AND p_size > 20 THEN 'supported' WHEN p_type LIKE '%PLATED%' THEN 'investigate' ELSE 'insufficient' END FROM part)""",
 )
 def r09(spark, sf_dir):
     kind = F.col("p_type")
@@ -209,7 +209,7 @@ def r09(spark, sf_dir):
         "polish": F.when(kind.like("%POLISHED%"), "supported").when(kind.like("%BRUSHED%"), "investigate").otherwise("insufficient"),
         "plate": F.when(kind.like("%PLATED%") & (F.col("p_size") > 20), "supported").when(kind.like("%PLATED%"), "investigate").otherwise("insufficient"),
     }
-    return K.classify(table(spark, sf_dir, "part"), ["p_partkey"], gates).where((F.col("state") != "insufficient") | (F.col("p_partkey") % 2 == 0))
+    return K.classify(table(spark, sf_dir, "part"), ["p_partkey"], gates)
 
 
 @query(
@@ -247,8 +247,9 @@ def r28(spark, sf_dir):
     """WITH s AS (SELECT p_brand, list_sort(list(p_retailprice)) AS v FROM part GROUP BY p_brand) SELECT p_brand, v[CAST(floor((len(v) - 1) * 0.9 + 0.5) AS INTEGER) + 1] AS nearest_p90, v[len(v) // 2 + 1] AS floor_median FROM s""",
 )
 def r29(spark, sf_dir):
-    lists = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_retailprice").alias("v"))
-    return lists.select("p_brand", S.nearest_rank(F.col("v"), 0.9).alias("nearest_p90"), S.floor_median(F.col("v")).alias("floor_median"))
+    n = F.col("n")
+    ranks = {"nearest_p90": F.floor((n - 1) * 0.9 + 0.5), "floor_median": F.floor(n / 2)}
+    return S.at_ranks(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", ranks)
 
 
 @query(

@@ -64,7 +64,9 @@ def test_upsert_merges_and_keeps_the_rest(spark):
     old = spark.createDataFrame([(1, "a", 5), (2, "b", 9), (None, "n", 0)], "k int, v string, c int")
     new = spark.createDataFrame([(2, "B", 3), (3, "C", 1), (None, "N", 4)], "k int, v string, c int")
     found = state.upsert(old, new, ["k"], {"c": F.greatest(F.col("old.c"), F.col("new.c"))})
-    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "a", 5), (2, "B", 9), (3, "C", 1)] + [tuple(r) for r in found.where("k is null").collect()], key=repr)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(1, "a", 5), (2, "B", 9), (3, "C", 1), (None, "N", 4)], key=repr)
+    added = state.upsert(old.where("k is not null"), new, ["k"])
+    assert sorted(map(tuple, added.collect()), key=repr) == sorted([(1, "a", 5), (2, "B", 3), (3, "C", 1), (None, "N", 4)], key=repr)
     assert state.changed_rows(old, new, ["k"], ["v"]).where("k is not null").count() == 2
 
 
