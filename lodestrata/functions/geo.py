@@ -85,6 +85,11 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.size(F.filter(edges_of(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
 
 
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point is inside a polygon or MultiPolygon given by all its rings: an odd number of them holds it, so holes count out."""
+    return F.size(F.filter(rings, lambda ring: in_ring(x, y, ring))) % 2 == 1
+
+
 def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(edges_of(ring), F.lit(0.0), lambda a, e: a + e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"])) / 2
 

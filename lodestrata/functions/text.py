@@ -11,7 +11,15 @@ ENTRANCE = r"^(north|south|east|west|main)\s+(entrance|gate)\s+(of|to)\s+"
 LEGAL_FORMS = r"\b(inc|incorporated|llc|ltd|limited|corp|corporation|co|company|gmbh)\b"
 #: Street words and their short forms.
 STREET_WORDS = {"street": "st", "avenue": "ave", "road": "rd", "drive": "dr", "boulevard": "blvd", "lane": "ln", "north": "n", "south": "s", "east": "e", "west": "w"}
-ORGANISATION_WORDS = ("inc", "llc", "ltd", "corp", "company", "bank", "trust", "city", "county", "school", "church", "university")
+#: Words that mark an organisation.
+ORGANISATION_WORDS = (
+    "llc pllc lp llp inc incorporated corp corporation company co holdings properties property realty".split()
+    + ["real estate"]
+    + "partners partnership group services service construction contracting contractors engineering electric electrical mechanical heating cooling hvac".split()
+    + "solar energy power coop cooperative builders building roofing plumbing bank trust churc church ministry temple association foundation authority".split()
+    + "district school university college city county government commonwealth municipal apartments league".split()
+)
+ORGANISATION = "(^|[^a-z])(" + "|".join(ORGANISATION_WORDS) + ")([^a-z]|$)"
 
 
 def collapse(text: Column) -> Column:
@@ -58,10 +66,9 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def party_kind(name: Column) -> Column:
-    """``organisation`` by its words, ``person`` for two or three plain words, else ``unknown``."""
-    text = identity_text(name)
-    organisation = text.rlike(r"\b(" + "|".join(ORGANISATION_WORDS) + r")\b")
-    return F.when(text.isNull(), "unknown").when(organisation, "organisation").when(text.rlike(r"^[a-z]+( [a-z]+){1,2}$"), "person").otherwise("unknown")
+    """``organization`` by its words, ``unknown`` for null or blank, else ``person_or_household``."""
+    blank = name.isNull() | (F.trim(name) == "")
+    return F.when(blank, "unknown").when(F.lower(name).rlike(ORGANISATION), "organization").otherwise("person_or_household")
 
 
 def identity_confidence(text: Column, phrase: Column, core: Column) -> Column:
@@ -73,11 +80,19 @@ def identity_confidence(text: Column, phrase: Column, core: Column) -> Column:
 
 
 def signals(df: DataFrame, keys: Sequence[str], text: str, families: dict[str, str], context: int = 20) -> DataFrame:
-    """One row for each match of each family's pattern: its number, the match and text around its first place."""
-    listed = F.array(*[F.struct(F.lit(f).alias("family"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found")) for f, p in families.items()])
-    each = df.select(*keys, F.col(text).alias("__text"), F.inline(listed)).select(*keys, "__text", "family", F.posexplode("found").alias("place", "match"))
-    at = F.instr(F.col("__text"), F.col("match"))
-    around = F.substring(F.col("__text"), F.greatest(F.lit(1), at - context), F.length("match") + 2 * context)
+    """One row for each match of each family's pattern: its number, the match and the text around its own place.
+
+    A match begins after all the text between matches and all the matches before it. Patterns match no empty text.
+    """
+    of = lambda f, p: F.struct(F.lit(f).alias("family"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found"), F.split(F.col(text), p, -1).alias("between"))
+    listed = df.select(*keys, F.col(text).alias("__text"), F.inline(F.array(*[of(f, p) for f, p in families.items()]))).where(F.size("found") > 0)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("begins"))
+    steps = F.arrays_zip(F.slice("between", 1, F.size("found")).alias("b"), F.col("found").alias("f"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x["b"]) + F.length(x["f"])).alias("at"), F.array_append(s["begins"], s["at"] + F.length(x["b"])).alias("begins"))
+    begins = F.aggregate(steps, start, step, lambda s: s["begins"])
+    each = listed.select(*keys, "__text", "family", F.posexplode(F.arrays_zip(F.col("found").alias("match"), begins.alias("at"))).alias("place", "m"))
+    each = each.select(*keys, "__text", "family", "place", "m.match", "m.at")
+    around = F.substring(F.col("__text"), F.greatest(F.lit(1), F.col("at") - context), F.length("match") + 2 * context)
     return each.select(*keys, "family", (F.col("place") + 1).alias("place"), "match", around.alias("context"))
 
 

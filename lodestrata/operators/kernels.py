@@ -302,6 +302,12 @@ def regression_tree(df: DataFrame, key: str, features: Sequence[str], target: st
     return df.select(key, *features, target).groupBy(key).applyInPandas(run, f"{key} {kind}, rule string, n long, mean double")
 
 
+def quadratic(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with the squares and products of ``features``, and the names of all of them."""
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    return df.withColumns({f"{a}*{b}": F.col(a).cast("double") * F.col(b) for a, b in pairs}), [*features, *(f"{a}*{b}" for a, b in pairs)]
+
+
 def ridge(df: DataFrame, features: Sequence[str], target: str, penalty: float, folds: str | None = None) -> dict:
     """Standardised ridge coefficients, and with ``folds`` the error on each left-out fold.
 
@@ -335,9 +341,10 @@ def ridge(df: DataFrame, features: Sequence[str], target: str, penalty: float, f
     raw, intercept = solve(whole)
     out = {"coefficients": dict(zip(features, raw.tolist())), "intercept": intercept, "n": int(whole[0])}
     if folds:
-        out["fold_mse"] = {}
+        out["fold_mse"], out["fold_coefficients"] = {}, {}
         for fold, part in parts.items():
             b, a = solve(whole - part)
+            out["fold_coefficients"][fold] = b.tolist()
             _, mean, product = moments(part)
             w = np.r_[-b, 1.0]
             out["fold_mse"][fold] = float(w @ product @ w - 2 * a * (w @ mean) + a * a)

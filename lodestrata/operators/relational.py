@@ -139,7 +139,7 @@ def update_from(df: DataFrame, changes: DataFrame, on: Sequence[str], columns: S
     return joined.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def recursive_closure(edges: DataFrame, source: str, target: str, most: int = 50) -> DataFrame:
+def recursive_closure(edges: DataFrame, source: str, target: str) -> DataFrame:
     """``root, node, depth`` over all paths' nodes, each at its least depth; cycles end as no new pair comes.
 
     Pairs found so far are kept in the checkpoint folder when the chain of joins gets long.
@@ -147,23 +147,27 @@ def recursive_closure(edges: DataFrame, source: str, target: str, most: int = 50
     step = edges.select(F.col(source).alias("root"), F.col(target).alias("node")).distinct()
     reached = frontier = step.withColumn("depth", F.lit(1))
     hop = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct()
-    for depth in range(2, most + 1):
+    depth = 1
+    while True:
+        depth += 1
         new = frontier.join(hop, "node").select("root", F.col("next").alias("node")).distinct()
         frontier = new.join(reached, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
         frontier = checkpointed(frontier)
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
-    raise RuntimeError(f"paths longer than {most}")
 
 
 def shared_folder(spark) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestrata-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
     return sc.getCheckpointDir()
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.functions import geo
 
@@ -53,13 +54,18 @@ def distance_confidence(d: Column) -> Column:
 
 
 def polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float) -> DataFrame:
-    """Points with the polygons they are inside of; polygons enter the cells of their bounding box."""
-    low = lambda k: F.array_min(F.transform(ring, lambda p: p[k]))
-    high = lambda k: F.array_max(F.transform(ring, lambda p: p[k]))
+    """Points with the polygons they are inside of; polygons enter the cells of their bounding box.
+
+    ``ring`` is a column of one ring, or of all rings of a polygon with holes or of a MultiPolygon.
+    """
+    many = isinstance(polygons.schema[ring].dataType.elementType, T.ArrayType)
+    corners = F.flatten(ring) if many else F.col(ring)
+    low = lambda k: F.array_min(F.transform(corners, lambda p: p[k]))
+    high = lambda k: F.array_max(F.transform(corners, lambda p: p[k]))
     boxed = polygons.withColumns({"__xmin": low("x"), "__xmax": high("x"), "__ymin": low("y"), "__ymax": high("y")})
     cells = box_cells(boxed, "__", size).drop("__xmin", "__xmax", "__ymin", "__ymax")
     own = points.withColumn("__cx", F.floor(F.col(x) / size)).withColumn("__cy", F.floor(F.col(y) / size))
-    return own.join(cells, ["__cx", "__cy"]).where(geo.in_ring(F.col(x), F.col(y), F.col(ring))).drop("__cx", "__cy")
+    return own.join(cells, ["__cx", "__cy"]).where((geo.in_rings if many else geo.in_ring)(F.col(x), F.col(y), F.col(ring))).drop("__cx", "__cy")
 
 
 def best_and_second(pairs: DataFrame, key: Sequence[str], other: str, score: str) -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import distinct_on
+from .relational import checkpointed, distinct_on
 
 #: Minutes of a lease.
 LEASE_MINUTES = 45
@@ -125,22 +125,27 @@ def dependency_reasons(products: DataFrame, dependencies: DataFrame, recorded: D
     return products.join(found, "product", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
 
 
-def manifest(spark, dependencies: dict[str, list[str]], own: dict[str, str]) -> dict[str, str]:
-    """Identity of each product over its own and its dependencies' identities; the registry is a small constant graph."""
-    import hashlib
+def manifests(own: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """``product, identity``: SHA-256 over a product's own text and its dependencies' identities, ``own|a=…|b=…`` by name.
 
-    done: dict[str, str] = {}
-
-    def resolve(name: str, above: tuple[str, ...]) -> str:
-        if name in above:
-            raise ValueError("a cycle: " + " > ".join([*above, name]))
-        if name not in done:
-            parts = [own.get(name, ""), *(f"{d}={resolve(d, (*above, name))}" for d in sorted(dependencies.get(name, [])))]
-            done[name] = hashlib.sha256("|".join(parts).encode()).hexdigest()
-        return done[name]
-
-    for name in sorted({*dependencies, *own}):
-        resolve(name, ())
+    ``own`` has ``product, own`` for every product, ``dependencies`` has ``product, dependency``. Each round resolves the
+    products whose dependencies all are; rounds grow with the depth of the graph. A cycle resolves nothing and raises.
+    """
+    waiting = own.select("product", F.coalesce("own", F.lit("")).alias("own"))
+    wanted = dependencies.groupBy("product").agg(F.count("*").alias("wanted"))
+    done = own.select("product", F.lit("").alias("identity")).where("false")
+    while True:
+        part = F.struct("dependency", F.col("identity").alias("id"))
+        met = dependencies.join(done.select(F.col("product").alias("dependency"), "identity"), "dependency").groupBy("product").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        each = waiting.join(wanted, "product", "left").join(met, "product", "left").where(F.coalesce("wanted", F.lit(0)) == F.coalesce(F.size("parts"), F.lit(0)))
+        lines = F.transform(F.coalesce("parts", F.array().cast(met.schema["parts"].dataType)), lambda p: F.concat(p["dependency"], F.lit("="), p["id"]))
+        ready = checkpointed(each.select("product", F.sha2(F.array_join(F.concat(F.array("own"), lines), "|").cast("binary"), 256).alias("identity")))
+        if ready.isEmpty():
+            break
+        done = checkpointed(done.unionByName(ready))
+        waiting = checkpointed(waiting.join(ready.select("product"), "product", "left_anti"))
+    if not waiting.isEmpty():
+        raise ValueError("products that depend on themselves or on what is not there")
     return done
 
 

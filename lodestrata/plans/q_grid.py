@@ -68,7 +68,15 @@ def x12(spark, sf_dir):
     return G.focal_mean(heights(spark, sf_dir), 3.0).select(*G.CELL, F.round("focal_mean", 6).alias("focal_mean"), "relief")
 
 
-@query("X13_landforms")
+_POSITION = "SELECT a.grid_id, a.row, a.col, CASE WHEN count(*) >= 5 THEN any_value(a.value) - avg(b.value) END AS d FROM h a JOIN h b ON a.grid_id = b.grid_id AND (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= {} GROUP BY ALL"
+
+
+@query(
+    "X13_landforms",
+    f"""WITH {_G}, {_H}, w2 AS ({_POSITION.format(4)}), w5 AS ({_POSITION.format(25)}), z AS (SELECT grid_id, row, col, (w2.d - avg(w2.d) OVER g) / nullif(stddev_pop(w2.d) OVER g, 0) AS fine, (w5.d - avg(w5.d) OVER g) / nullif(stddev_pop(w5.d) OVER g, 0) AS coarse FROM w2 JOIN w5 USING (grid_id, row, col) WINDOW g AS (PARTITION BY grid_id)),
+    s AS (SELECT h.grid_id, h.row, h.col, coalesce(100 * sqrt(((e.value - w.value) / 2) ** 2 + ((s.value - n.value) / 2) ** 2), 0) AS slope FROM h LEFT JOIN h e ON e.grid_id = h.grid_id AND e.row = h.row AND e.col = h.col + 1 LEFT JOIN h w ON w.grid_id = h.grid_id AND w.row = h.row AND w.col = h.col - 1 LEFT JOIN h n ON n.grid_id = h.grid_id AND n.row = h.row - 1 AND n.col = h.col LEFT JOIN h s ON s.grid_id = h.grid_id AND s.row = h.row + 1 AND s.col = h.col)
+    SELECT grid_id, row, col, CAST(CASE WHEN abs(fine) < 0.5 AND abs(coarse) < 0.5 AND slope < 5 THEN 4 WHEN abs(fine) < 0.5 AND slope < 7.5 AND coarse BETWEEN 0.5 AND 1 THEN 5 WHEN fine >= 1 THEN 2 WHEN fine <= -1 THEN 3 WHEN abs(fine - coarse) >= 1 THEN 6 ELSE 1 END AS INTEGER) AS form FROM z JOIN s USING (grid_id, row, col)""",
+)
 def x13(spark, sf_dir):
     h = heights(spark, sf_dir)
     fine = G.position_index(h, 2.0, "fine").select(*G.CELL, "fine")
@@ -333,7 +341,15 @@ def x17(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(solar.position(F.col("ts"), lat, lon)[0], 4).alias("zenith"))
 
 
-@query("X18_sun_events")
+_NOON = _SUN.replace("epoch_us(ts) / 86400000000.0::DOUBLE", "epoch_us(date_trunc('day', ts) + INTERVAL 12 HOUR) / 86400000000.0::DOUBLE")
+
+
+@query(
+    "X18_sun_events",
+    f"""WITH {_NOON}, g AS (SELECT *, 1 / (cos(radians(lat)) * cos(de)) AS s, tan(radians(lat)) * tan(de) AS q, (epoch_us(ts) / 60000000.0::DOUBLE) % 1440 AS minute, 720 - 4 * lon - eq AS noon FROM f),
+    h AS (SELECT *, degrees(acos(cos(radians(90.833::DOUBLE)) * s - q)) AS up, degrees(acos(cos(radians(96.0::DOUBLE)) * s - q)) AS civil FROM g)
+    SELECT event_id, round(up * 8 / 60, 3) AS day_hours, CASE WHEN minute BETWEEN noon - 4 * up AND noon + 4 * up THEN 'day' WHEN minute BETWEEN noon - 4 * civil AND noon - 4 * up THEN 'dawn' WHEN minute BETWEEN noon + 4 * up AND noon + 4 * civil THEN 'dusk' ELSE 'night' END AS phase FROM h""",
+)
 def x18(spark, sf_dir):
     lat, lon, day = 20 + F.col("user_id") % 40, F.lit(-100.0) + F.col("user_id") % 50, F.col("ts").cast("date")
     rise, set_, hours = solar.events(day, lat, lon)
@@ -361,3 +377,20 @@ def r27(spark, sf_dir):
 def r25(spark, sf_dir):
     found = K.ridge(table(spark, sf_dir, "part"), ["p_partkey"], "p_retailprice", 0.0)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in found["coefficients"].items()], "feature string, coefficient double")
+
+
+@query(
+    "R25_quadratic_ridge_folds",
+    """WITH d AS (SELECT p_size::DOUBLE AS x, p_size::DOUBLE * p_size AS z, p_retailprice AS y, p_partkey // 40 % 5 AS fold FROM part), f AS (SELECT DISTINCT fold FROM d),
+    m AS (SELECT f.fold, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS vx, var_pop(z) AS vz, var_pop(y) AS vy, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM f JOIN d ON d.fold <> f.fold GROUP BY f.fold),
+    r AS (SELECT *, xz / sqrt(vx * vz) AS rxz, xy / sqrt(vx * vy) AS rx, zy / sqrt(vz * vy) AS rz, 1 + 5.0::DOUBLE / n AS k FROM m),
+    b AS (SELECT *, (k * rx - rxz * rz) / (k * k - rxz * rxz) * sqrt(vy / vx) AS b1, (k * rz - rxz * rx) / (k * k - rxz * rxz) * sqrt(vy / vz) AS b2 FROM r)
+    SELECT fold, round(any_value(b1), 4) AS linear, round(any_value(b2), 6) AS square, round(avg((y - my - b1 * (x - mx) - b2 * (z - mz)) ** 2), 2) AS mse FROM b JOIN d USING (fold) GROUP BY fold""",
+)
+def r25_folds(spark, sf_dir):
+    """Standardised ridge with a square term; folds are spatial blocks of keys, each predicted by the others."""
+    fold = (F.floor(F.col("p_partkey") / 40) % 5).alias("fold")
+    df, features = K.quadratic(table(spark, sf_dir, "part").select("p_size", "p_retailprice", fold), ["p_size"])
+    found = K.ridge(df, features, "p_retailprice", 5.0, "fold")
+    rows = [(int(k), round(b[0], 4), round(b[1], 6), round(found["fold_mse"][k], 2)) for k, b in found["fold_coefficients"].items()]
+    return spark.createDataFrame(rows, "fold long, linear double, square double, mse double")

@@ -44,12 +44,12 @@ def m04(spark, sf_dir):
 
 @query(
     "M10_party_kind",
-    rf"""WITH t AS (SELECT n_nationkey, {_NORMAL.format("n_name || CASE n_nationkey % 3 WHEN 0 THEN ' Bank' WHEN 1 THEN ' Smith' ELSE '' END")} AS x FROM nation)
-    SELECT n_nationkey, CASE WHEN regexp_matches(x, '\b(inc|llc|ltd|corp|company|bank|trust|city|county|school|church|university)\b') THEN 'organisation' WHEN regexp_matches(x, '^[a-z]+( [a-z]+)(1,2)$'.replace('(1,2)', chr(123) || '1,2' || chr(125))) THEN 'person' ELSE 'unknown' END AS kind FROM t""",
+    f"""SELECT p_partkey, CASE WHEN regexp_matches(lower(x), '{X.ORGANISATION}') THEN 'organization' ELSE 'person_or_household' END AS kind FROM (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' Bank' WHEN 1 THEN ' real estate' WHEN 2 THEN ' Smith' ELSE ' co-op' END AS x FROM part)""",
 )
 def m10(spark, sf_dir):
-    ending = F.when(F.col("n_nationkey") % 3 == 0, " Bank").when(F.col("n_nationkey") % 3 == 1, " Smith").otherwise("")
-    return table(spark, sf_dir, "nation").select("n_nationkey", X.party_kind(F.concat("n_name", ending)).alias("kind"))
+    k = F.col("p_partkey") % 4
+    ending = F.when(k == 0, " Bank").when(k == 1, " real estate").when(k == 2, " Smith").otherwise(" co-op")
+    return table(spark, sf_dir, "part").select("p_partkey", X.party_kind(F.concat("p_name", ending)).alias("kind"))
 
 
 @query(
@@ -63,8 +63,10 @@ def m11(spark, sf_dir):
 
 @query(
     "R05_signals",
-    r"""WITH f AS (SELECT doc_id, text, unnest([{'family': 'mail', 'found': regexp_extract_all(text, '[A-Za-z0-9.]+@[a-z0-9.]+')}, {'family': 'number', 'found': regexp_extract_all(text, '[0-9]{4,}')}]) AS s FROM documents),
-    m AS (SELECT doc_id, text, s.family AS family, unnest(s.found) AS match, generate_subscripts(s.found, 1) AS place FROM f) SELECT doc_id, family, CAST(place AS INTEGER) AS place, match, substr(text, greatest(1, instr(text, match) - 20), length(match) + 40) AS context FROM m""",
+    r"""WITH f AS (SELECT doc_id, text, 'mail' AS family, regexp_extract_all(text, '[A-Za-z0-9.]+@[a-z0-9.]+') AS found, regexp_split_to_array(text, '[A-Za-z0-9.]+@[a-z0-9.]+') AS between FROM documents
+    UNION ALL SELECT doc_id, text, 'number', regexp_extract_all(text, '[0-9]{4,}'), regexp_split_to_array(text, '[0-9]{4,}') FROM documents),
+    m AS (SELECT *, unnest(found) AS match, generate_subscripts(found, 1) AS place FROM f), o AS (SELECT *, 1 + list_sum(list_transform(between[1:place], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:place - 1], lambda x: length(x))), 0) AS begins FROM m)
+    SELECT doc_id, family, CAST(place AS INTEGER) AS place, match, substr(text, CAST(greatest(1, begins - 20) AS BIGINT), length(match) + 40) AS context FROM o""",
 )
 def r05(spark, sf_dir):
     return X.signals(table(spark, sf_dir, "documents"), ["doc_id"], "text", {"mail": "[A-Za-z0-9.]+@[a-z0-9.]+", "number": "[0-9]{4,}"})
@@ -209,6 +211,19 @@ def g05(spark, sf_dir):
     return G.polygon_join(left, diamonds, "x", "y", "ring", 500.0).where("x <> u and y <> v").select("c_custkey", "s_suppkey")
 
 
+@query(
+    "G05_holes_and_parts",
+    f"""WITH {_POINTS}, d AS (SELECT c_custkey, s_suppkey, x, y, u, v, abs(x - u) + abs(y - v) AS r, abs(x - u - 700) + abs(y - v) AS far FROM c, s) SELECT c_custkey, s_suppkey FROM d WHERE ((r < 300.5 AND r > 100.5) OR far < 80.5) AND x <> u AND y <> v AND x <> u + 700""",
+)
+def g05_parts(spark, sf_dir):
+    """A diamond with a hole and a second part beside it, as one MultiPolygon; points on axes are left out."""
+    left, right = points(spark, sf_dir)
+    corner = lambda dx, dy: F.struct((F.col("u") + dx).alias("x"), (F.col("v") + dy).alias("y"))
+    diamond = lambda at, r: F.array(corner(at + r, 0.0), corner(at, r), corner(at - r, 0.0), corner(at, -r))
+    shapes = right.withColumn("rings", F.array(diamond(0.0, 300.5), diamond(0.0, 100.5), diamond(700.0, 80.5)))
+    return G.polygon_join(left, shapes, "x", "y", "rings", 500.0).where("x <> u and y <> v and x <> u + 700").select("c_custkey", "s_suppkey")
+
+
 @query(
     "G13_G14_G15_distances_projection",
     """WITH n AS (SELECT n_nationkey, 30 + n_nationkey * 1.5 AS lat, -88.0 + n_nationkey * 0.1 AS lon FROM nation)

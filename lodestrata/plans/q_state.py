@@ -181,10 +181,26 @@ def i06(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", status.alias("status"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("I05_manifest", """SELECT 'leaf' AS product, sha256('a') AS identity UNION ALL SELECT 'mid', sha256('b|leaf=' || sha256('a')) UNION ALL SELECT 'top', sha256('c|leaf=' || sha256('a') || '|mid=' || sha256('b|leaf=' || sha256('a')))""")
+@query(
+    "I05_manifest",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_brand || ':' || p_size AS own FROM part), m(k, identity) AS (SELECT k, sha256(own) FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.k = p.k // 2) OR k // 2 = k UNION ALL SELECT p.k, sha256(p.own || '|' || m.k || '=' || m.identity) FROM m JOIN p ON p.k // 2 = m.k AND p.k <> m.k) SELECT CAST(k AS VARCHAR) AS product, identity FROM m""",
+)
 def i05(spark, sf_dir):
-    found = S.manifest(spark, {"top": ["mid", "leaf"], "mid": ["leaf"]}, {"leaf": "a", "mid": "b", "top": "c"})
-    return spark.createDataFrame(sorted(found.items()), "product string, identity string")
+    """Every part depends on the part of half its key, where there is one."""
+    parts = table(spark, sf_dir, "part")
+    own = parts.select(F.col("p_partkey").cast("string").alias("product"), F.concat_ws(":", "p_brand", "p_size").alias("own"))
+    up = parts.select(F.col("p_partkey").cast("string").alias("product"), F.floor(F.col("p_partkey") / 2).alias("h"), "p_partkey").where("h <> p_partkey")
+    there = parts.select(F.col("p_partkey").alias("h"))
+    return S.manifests(own, up.join(there, "h").select("product", F.col("h").cast("string").alias("dependency")))
+
+
+@query(
+    "K01_upsert_null_keys",
+    """WITH b AS (SELECT nullif(n_nationkey % 10, 3) AS k, n_name AS v FROM nation WHERE n_nationkey < 8), d AS (SELECT nullif(n_nationkey % 10, 3) AS k, lower(n_name) AS v FROM nation WHERE n_nationkey BETWEEN 13 AND 19) SELECT k, v FROM d UNION ALL SELECT b.k, b.v FROM b WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.k IS NOT DISTINCT FROM b.k)""",
+)
+def k01_null(spark, sf_dir):
+    n, k = table(spark, sf_dir, "nation"), F.nullif(F.col("n_nationkey") % 10, F.lit(3)).alias("k")
+    return S.upsert(n.where("n_nationkey < 8").select(k, F.col("n_name").alias("v")), n.where("n_nationkey between 13 and 19").select(k, F.lower("n_name").alias("v")), ["k"])
 
 
 @query("K08_I09_content_manifest", """SELECT n_regionkey, count(*) AS n, sha256(string_agg(n_nationkey || ':' || n_name, ';' ORDER BY n_nationkey)) AS content_sha FROM nation GROUP BY n_regionkey""")

@@ -82,8 +82,8 @@ def test_status_drifts_by_reason(spark):
     assert value(spark, state.reference_status(yes, yes, yes, same)) == "stale"
     assert value(spark, state.reference_status(yes, no, no, other)) == "stale"
     assert value(spark, state.reference_status(no, no, no, same)) == "unavailable"
-    with pytest.raises(ValueError, match="cycle"):
-        state.manifest(spark, {"a": ["b"], "b": ["a"]}, {})
+    with pytest.raises(ValueError, match="depend on themselves"):
+        state.manifests(spark.createDataFrame([("a", "1"), ("b", "2")], "product string, own string"), spark.createDataFrame([("a", "b"), ("b", "a")], "product string, dependency string"))
 
 
 @pytest.mark.parametrize(("best", "second", "want"), [(0.95, 0.1, "verified"), (0.95, 0.3, "ambiguous"), (0.8, 0.0, "ambiguous"), (None, 0.0, "unmatched")])
