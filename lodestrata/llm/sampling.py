@@ -76,7 +76,10 @@ def vocabulary(path: str, sharpness: float) -> Vocabulary:
 
 
 class Lattice:
-    """Lattices of words of one length: forward sums (position, word) and, by end, the arcs (start, pieces, weights)."""
+    """Lattices of words of one length: forward sums (position, word) and, by end, the arcs (start, pieces, weights).
+
+    ``shares`` has, by end, what each arc adds to the sum there.
+    """
 
     def __init__(self, v: Vocabulary, words: np.ndarray):
         rows, self.length = words.shape
@@ -99,10 +102,12 @@ class Lattice:
             self.arcs[i + 1].append((i, v.byte_ids[words[:, i]], np.full(rows, FALLBACK * _TILT)))
         self.sums = np.zeros((self.length + 1, rows))
         self.sums[0] = 1
+        self.shares: list[list[np.ndarray]] = [[] for _ in range(self.length + 1)]
         for j in range(1, self.length + 1):
             self.arcs[j].sort(key=lambda a: a[0])  # long pieces first: they carry most of the mass
             for i, _, weight in self.arcs[j]:
-                self.sums[j] += self.sums[i] * weight
+                self.shares[j].append(self.sums[i] * weight)
+                self.sums[j] += self.shares[j][-1]
         #: Words with more than one segmentation.
         self.many = sum((weight > 0).astype(np.int32) for arcs in self.arcs for _, _, weight in arcs) > self.length
 
@@ -131,7 +136,7 @@ class Lattice:
             w = word[here]
             left = uniform(seed[here] + np.uint64(j)) * self.sums[j, w]
             for k, (i, ids, weight) in enumerate(self.arcs[j]):
-                share = self.sums[i, w] * weight[w]
+                share = self.shares[j][k][w]
                 last = k == len(self.arcs[j]) - 1
                 done = (share > 0) & ((left < share) | last)
                 if done.any():
@@ -243,7 +248,7 @@ class Others:
 
 def uniform(seed: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit seeds."""
-    return ((mix(mix(seed) + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return ((mix(seed + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 def gumbel_below(seed: np.ndarray, place: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -282,10 +287,10 @@ class Block:
             self.lattice_of[k] = len(self.lattices)
             self.lattices.append(LongLattice(v, text[starts[first[k]] : starts[first[k]] + lengths[k]]))
         self.unit_lattice, self.unit_word = self.lattice_of[inverse], self.word_of[inverse]
-        self.many = np.zeros(len(self.row), bool)
-        for k, lattice in enumerate(self.lattices):
-            here = self.unit_lattice == k
-            self.many[here] = lattice.many[self.unit_word[here]]
+        begins = np.cumsum([0, *(len(x.many) for x in self.lattices)])
+        many = np.concatenate([np.zeros(0, bool), *(x.many for x in self.lattices)])
+        self.many = many[begins[self.unit_lattice] + self.unit_word]
+        self._known: dict[tuple, float] = {}  # what is left of equal segmentations of equal units
         self.seeds = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
     def draw(self, units: np.ndarray, turn: int, pieces: list, log_prob: np.ndarray) -> None:
@@ -378,7 +383,11 @@ class Block:
         rest = np.where(self.many, -np.expm1(log_prob), 0.0)
         little = np.flatnonzero(self.many & (rest < SUBTRACT)) if units is None else units[self.many[units] & (rest[units] < SUBTRACT)]
         for unit, pieces in self._pieces_of(parts, little).items() if len(little) else ():
-            rest[unit] = Others(self.lattices[self.unit_lattice[unit]], int(self.unit_word[unit]), [pieces]).left()
+            lattice, word = int(self.unit_lattice[unit]), int(self.unit_word[unit])
+            key = (lattice, word, pieces.tobytes())
+            if key not in self._known:
+                self._known[key] = Others(self.lattices[lattice], word, [pieces]).left()
+            rest[unit] = self._known[key]
         return rest
 
     def _sums(self, log_prob: np.ndarray) -> np.ndarray:
@@ -393,10 +402,15 @@ class Block:
         row = self.row[use]
         noise = self.seeds[row] ^ mix(self.place[use].astype(np.uint64) + np.uint64((turn + 1) << 40))
         value = gumbel_below(noise, prefix[use] + np.log(rest[use]), score[row])
-        order = np.lexsort((-value, row))
-        use, row, value = use[order], row[order], value[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        best = rank < keep
+        # The best ``keep`` of each row, one at a time: rows are in order, and few are kept.
+        begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        size, open_, best = np.diff(np.r_[begins, len(row)]), value.copy(), []
+        for _ in range(keep if len(row) else 0):
+            top = np.flatnonzero((open_ == np.repeat(np.maximum.reduceat(open_, begins), size)) & (open_ > -np.inf))
+            top = top[np.r_[True, row[top[1:]] != row[top[:-1]]]] if len(top) else top
+            open_[top] = -np.inf
+            best.append(top)
+        best = np.sort(np.concatenate(best)) if best else np.zeros(0, np.int64)
         use, row, value = use[best], row[best], value[best]
         chosen = self._pieces_of(parts, use)
         for u, r, x in zip(use.tolist(), row.tolist(), value.tolist()):
