@@ -185,3 +185,51 @@ def test_exposure_adds_up_a_day(spark, sf_dir, heights):
                 z, s = math.radians(zenith), math.radians(20)
                 total += max(0.0, math.cos(z) * math.cos(s) + math.sin(z) * math.sin(s) * math.cos(math.radians(azimuth - c % 4 * 90))) * 0.8 * 0.9
         assert row["sun_hours"] == pytest.approx(total / 4, abs=1e-5)
+
+
+def plain_tree(rows, depth, least, cuts=9):
+    """Leaves (bounds by feature, n, mean) of a least-squares tree, by trying every cut of every feature."""
+    features = len(rows[0]) - 1
+    spread = lambda part: sum((r[-1] - sum(q[-1] for q in part) / len(part)) ** 2 for r in part) if len(part) < 2 else float(np.var([r[-1] for r in part])) * len(part)
+    best = None
+    if depth and len(rows) >= 2 * least:
+        for f in range(features):
+            ordered = sorted(r[f] for r in rows)
+            for cut in sorted({ordered[(len(ordered) - 1) * k // (cuts + 1)] for k in range(1, cuts + 1)}):
+                low, high = [r for r in rows if r[f] <= cut], [r for r in rows if r[f] > cut]
+                if len(low) >= least and len(high) >= least:
+                    cost = spread(low) + spread(high)
+                    if best is None or cost < best[0] - 1e-9:
+                        best = (cost, low, high)
+    if best is None or best[0] >= spread(rows) - 1e-9:
+        return [(len(rows), sum(r[-1] for r in rows) / len(rows))]
+    return plain_tree(best[1], depth - 1, least, cuts) + plain_tree(best[2], depth - 1, least, cuts)
+
+
+def test_regression_tree(spark, sf_dir):
+    found, rows = collections.defaultdict(list), collections.defaultdict(list)
+    for r in catalog.queries()["R26_regression_tree"](spark, sf_dir).collect():
+        found[r[0]].append((r["n"], round(r["mean"], 3)))
+    for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect():
+        rows[r["c_mktsegment"]].append((r["c_nationkey"], r["c_custkey"], r["c_acctbal"]))
+    assert found.keys() == rows.keys()
+    for key, part in rows.items():
+        assert sorted(found[key]) == sorted((n, round(m, 3)) for n, m in plain_tree(part, 3, 20))
+
+
+def test_permutation_null(spark, sf_dir):
+    """The correlation of block means by hand, and its place among plain shuffles of runs of blocks."""
+    blocks = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect():
+        blocks[r["p_partkey"] // 20].append((r["p_size"], r["p_retailprice"]))
+    x, y = (np.array([np.mean([v[k] for v in blocks[b]]) for b in sorted(blocks)]) for k in (0, 1))
+    truth = float(np.corrcoef(x, y)[0, 1])
+    for r in catalog.queries()["R27_permutation_null"](spark, sf_dir).collect():
+        assert r["r"] == pytest.approx(truth)
+        draw, beyond = np.random.default_rng(5), 0
+        for _ in range(2000):
+            runs = [y[k : k + r["scale"]] for k in range(0, len(y), r["scale"])]
+            shuffled = np.concatenate([runs[k] for k in draw.permutation(len(runs))])
+            beyond += abs(np.corrcoef(x, shuffled)[0, 1]) >= abs(truth) - 1e-12
+        share = beyond / 2000
+        assert abs(r["p"] - share) <= 5 * math.sqrt(max(share * (1 - share), 0.01) / 100)
