@@ -280,3 +280,18 @@ def flood(grid: DataFrame, seeds: DataFrame, barrier: str) -> DataFrame:
     joined = patches(grid.where(~F.col(barrier)).withColumn("__free", F.lit(1)), "__free", FOUR)
     lit = joined.join(seeds.select(*CELL), CELL, "left_semi").select("grid_id", "patch").distinct()
     return joined.join(lit, ["grid_id", "patch"], "left_semi").select(*CELL)
+
+
+def barrier_buffer(grid: DataFrame, origins: DataFrame, barrier: str, radius: float, cell: float = 1.0) -> DataFrame:
+    """``id, grid_id, row, col``: cells within ``radius`` of an origin (``id, grid_id, row, col``) that hang together with it without a barrier.
+
+    A buffer, less the barriers, of which the part that touches the origin stays. An origin on a barrier has no cells. One
+    origin's buffer is a group, so groups are bounded by ``radius``.
+    """
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in disc(radius, cell)])
+    spread = origins.select(F.col("id").cast("long").alias("id"), *CELL).withColumn("__at", F.explode(steps))
+    around = spread.select("id", "grid_id", (F.col("row") + F.col("__at.r")).alias("row"), (F.col("col") + F.col("__at.c")).alias("col"))
+    free = around.join(grid.where(~F.coalesce(F.col(barrier), F.lit(False))).select(*CELL), CELL)
+    joined = patches(free.select(F.col("id").alias("grid_id"), "row", "col", F.lit(1).alias("__free")), "__free", FOUR).withColumnRenamed("grid_id", "id")
+    own = joined.join(origins.select(F.col("id").cast("long").alias("id"), "row", "col", "grid_id"), ["id", "row", "col"]).select("id", "grid_id", "patch")
+    return joined.join(own, ["id", "patch"]).select("id", *CELL)

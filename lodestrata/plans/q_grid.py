@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.functions import lines as L
+from lodestrata.functions import overlay as O
 from lodestrata.functions import solar
 from lodestrata.operators import grid as G
 from lodestrata.operators import kernels as K
+from lodestrata.operators import spatial as S
 
 from .catalog import query
 from .tables import table
@@ -177,6 +180,50 @@ def g06(spark, sf_dir):
     return G.flood(g, g.where("row % 4 = 0 and col % 6 = 0"), "wall")
 
 
+@query(
+    "G06_barrier_buffer_by_origin",
+    f"""WITH RECURSIVE {_G}, o AS (SELECT p_partkey AS id, grid_id, row, col FROM g, part WHERE p_partkey // 400 = grid_id AND p_partkey % 400 // 20 = row AND p_partkey % 20 = col AND class = 2 AND row BETWEEN 8 AND 11),
+    w AS (SELECT id, grid_id, row, col, row AS r0, col AS c0 FROM o UNION SELECT w.id, g.grid_id, g.row, g.col, r0, c0 FROM w JOIN g ON g.grid_id = w.grid_id AND abs(g.row - w.row) + abs(g.col - w.col) = 1 AND g.class <> 0 AND (g.row - r0) ** 2 + (g.col - c0) ** 2 <= 9) SELECT id, grid_id, row, col FROM w""",
+)
+def g06_origins(spark, sf_dir):
+    g = tiles(spark, sf_dir).withColumn("wall", F.col("class") == 0)
+    origins = g.where("class = 2 and row between 8 and 11").withColumn("id", F.col("grid_id") * 400 + F.col("row") * 20 + F.col("col"))
+    return G.barrier_buffer(g, origins, "wall", 3.0)
+
+
+# Parcels in the form of an L (a box less its upper right corner) and zones with a square hole, both over whole numbers.
+_L = """l AS (SELECT p_partkey AS id, (p_partkey * 37 % 97)::DOUBLE AS x, (p_partkey * 91 % 89)::DOUBLE AS y, (p_size % 7 + 4)::DOUBLE AS w FROM part),
+z AS (SELECT s_suppkey AS zone, (s_suppkey * 13 % 90)::DOUBLE AS u, (s_suppkey * 29 % 80)::DOUBLE AS v FROM supplier)"""
+
+
+def _box(x, y, w, h):
+    """Area that a box shares with the zone's square without its hole, as SQL."""
+    side = lambda at, n, low, high: f"greatest(0, least({at} + {n}, {high}) - greatest({at}, {low}))"
+    return f"({side(x, w, 'u', 'u + 12')} * {side(y, h, 'v', 'v + 12')} - {side(x, w, 'u + 4', 'u + 8')} * {side(y, h, 'v + 4', 'v + 8')})"
+
+
+@query(
+    "G08_clip_area_and_length",
+    f"""WITH {_L}, a AS (SELECT id, zone, {_box("x", "y", "w", "w")} - {_box("x + w / 2", "y + w / 2", "w / 2", "w / 2")} AS area, w, greatest(0, least(x + w + 0.25, u + 12) - greatest(x + 0.25, u)) - CASE WHEN y + 0.5 > v + 4 AND y + 0.5 < v + 8 THEN greatest(0, least(x + w + 0.25, u + 8) - greatest(x + 0.25, u + 4)) ELSE 0 END AS reach, y + 0.5 > v AND y + 0.5 < v + 12 AS level FROM l, z WHERE x <= u + 12 AND u <= x + w AND y <= v + 12 AND v <= y + w)
+    SELECT id, zone, round(area, 6) AS area, round(area / (0.75 * w * w), 6) AS share, round(CASE WHEN level THEN reach ELSE 0 END, 6) AS length FROM a""",
+)
+def g08_clip(spark, sf_dir):
+    """Area, share of the parcel and length of a line through it inside each zone whose box meets the parcel's."""
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    parcels = table(spark, sf_dir, "part").select(k.alias("id"), (k * 37 % 97).cast("double").alias("axmin"), (k * 91 % 89).cast("double").alias("aymin"), (F.col("p_size") % 7 + 4).cast("double").alias("w"))
+    parcels = parcels.withColumns({"axmax": F.col("axmin") + F.col("w"), "aymax": F.col("aymin") + F.col("w")})
+    zones = table(spark, sf_dir, "supplier").select(s.alias("zone"), (s * 13 % 90).cast("double").alias("bxmin"), (s * 29 % 80).cast("double").alias("bymin"))
+    zones = zones.withColumns({"bxmax": F.col("bxmin") + 12, "bymax": F.col("bymin") + 12})
+    at = lambda box, *steps: F.array(*[L.point(F.col(f"{box}xmin") + dx, F.col(f"{box}ymin") + dy) for dx, dy in steps])
+    w = F.col("w")
+    ell = F.array(at("a", (0, 0), (w, 0), (w, w / 2), (w / 2, w / 2), (w / 2, w), (0, w)))
+    holed = F.array(at("b", (0, 0), (12, 0), (12, 12), (0, 12)), at("b", (4, 4), (4, 8), (8, 8), (8, 4)))
+    pairs = S.box_join(parcels, zones, "a", "b", 16.0).withColumns({"ell": ell, "holed": holed})
+    area = O.shared_area(F.col("ell"), F.col("holed"))
+    length = O.shared_length(at("a", (0.25, 0.5), (w + 0.25, 0.5)), F.col("holed"))
+    return pairs.select("id", "zone", F.round(area, 6).alias("area"), F.round(area / O.shape_area(F.col("ell")), 6).alias("share"), F.round(length, 6).alias("length"))
+
+
 @query(
     "X23_bilinear",
     f"""WITH {_G}, {_H}, p AS (SELECT p_partkey AS id, p_partkey // 400 AS grid_id, (p_partkey % 37) / 2 AS x, (p_partkey % 29) / 2 AS y FROM part), f AS (SELECT *, CAST(floor(x) AS BIGINT) AS c, CAST(floor(y) AS BIGINT) AS r FROM p)

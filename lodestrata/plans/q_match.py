@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -235,7 +237,20 @@ def g13(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.round(geo.haversine_miles(lat, lon, F.lit(40.0), F.lit(-86.0)), 4).alias("miles"), F.round(x, 6).alias("ax"), F.round(y, 6).alias("ay"))
 
 
-@query("G15_utm")
+def _utm_sql() -> str:
+    """The same series in SQL, for zone 16."""
+    n = geo.FLATTENING / (2 - geo.FLATTENING)
+    a = geo.SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    east = " + ".join(["eta", *[f"{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(alpha, 1)]])
+    north = " + ".join(["xi", *[f"{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(alpha, 1)]])
+    return f"""WITH p AS (SELECT n_nationkey, sin(radians(30 + n_nationkey * 1.5)) AS s, radians((-88.0 + n_nationkey * 0.1) + 87) AS lam FROM nation),
+    q AS (SELECT n_nationkey, lam, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS t FROM p), r AS (SELECT n_nationkey, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM q)
+    SELECT n_nationkey, round(500000 + {0.9996 * a!r}::DOUBLE * ({east}), 3) AS east, round({0.9996 * a!r}::DOUBLE * ({north}), 3) AS north FROM r"""
+
+
+@query("G15_utm", _utm_sql())
 def g15(spark, sf_dir):
     east, north = geo.utm(30 + F.col("n_nationkey") * 1.5, -88.0 + F.col("n_nationkey") * 0.1, 16)
     return table(spark, sf_dir, "nation").select("n_nationkey", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
