@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -57,6 +58,127 @@ def grid_records(df: DataFrame, wanted: Sequence[tuple[str, str, str]]) -> DataF
     return df.where(any_of)
 
 
+def record_ranges(index: DataFrame, file: str, line: str, wanted: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``file, record, variable, level, forecast, start, stop`` of the wanted messages of a grid file, from the lines of its index.
+
+    A line is ``record:start:d=time:variable:level:forecast:``. A message ends before the next one starts; the last one of a
+    file has no ``stop``. Lines of another form are left out.
+    """
+    part = lambda k: F.get(F.split(line, ":"), F.lit(k))
+    lines = index.select(file, part(0).try_cast("int").alias("record"), part(1).try_cast("long").alias("start"), part(3).alias("variable"), part(4).alias("level"), part(5).alias("forecast"))
+    told = lines.where("record is not null and start is not null")
+    ends = told.withColumn("stop", F.lead("start").over(Window.partitionBy(file).orderBy("start", "record")) - 1)
+    return grid_records(ends, wanted)
+
+
+def catalogue_items(df: DataFrame, column: str, box: Sequence[float], since: str, until: str, most_cloud: float, keep: Sequence[str] = ()) -> DataFrame:
+    """Items of a scene catalogue that meet a box, are of a time span and not too cloudy, with one row for each asset: ``item, time, cloud, band, href`` and ``bbox``."""
+    kind = "id string, bbox array<double>, properties struct<datetime:string, `eo:cloud_cover`:double>, assets map<string, struct<href:string>>"
+    item = df.select(*keep, F.from_json(column, kind).alias("i")).select(*keep, F.col("i.id").alias("item"), "i.bbox", F.to_timestamp_ntz("i.properties.datetime").alias("time"), F.col("i.properties.`eo:cloud_cover`").alias("cloud"), "i.assets")
+    meets = (F.get("bbox", F.lit(0)) <= box[2]) & (F.get("bbox", F.lit(2)) >= box[0]) & (F.get("bbox", F.lit(1)) <= box[3]) & (F.get("bbox", F.lit(3)) >= box[1])
+    timed = (F.col("time") >= F.lit(since).cast("timestamp_ntz")) & (F.col("time") < F.lit(until).cast("timestamp_ntz"))
+    kept = item.where(meets & timed & (F.col("cloud") <= most_cloud))
+    return kept.select(*keep, "item", "time", "cloud", "bbox", F.explode("assets").alias("band", "asset")).select(*keep, "item", "time", "cloud", "bbox", "band", F.col("asset.href").alias("href"))
+
+
+def pixel_window(box: Sequence[Column], left: Column, top: Column, cell: float, width: int, height: int, block: int = 512) -> Column:
+    """Rows and columns of a raster that a box (xmin, ymin, xmax, ymax) touches, cut to the raster, and the blocks that hold them; null where it misses it."""
+    xmin, ymin, xmax, ymax = box
+    first = lambda far: F.greatest(F.lit(0), F.floor(far / cell)).cast("long")
+    last = lambda far, n: F.least(F.lit(n - 1), F.ceil(far / cell) - 1).cast("long")
+    edges = {"col0": first(xmin - left), "col1": last(xmax - left, width), "row0": first(top - ymax), "row1": last(top - ymin, height)}
+    blocks = [F.floor(v / block).alias(f"{k[:3]}_block{k[3]}") for k, v in edges.items()]
+    return F.when((edges["col0"] <= edges["col1"]) & (edges["row0"] <= edges["row1"]), F.struct(*[v.alias(k) for k, v in edges.items()], *blocks))
+
+
+def octree_points(points: DataFrame, nodes: DataFrame, box: Sequence[float], deepest: int) -> DataFrame:
+    """Points inside a box (xmin, ymin, xmax, ymax) of nodes down to a level that meet it.
+
+    ``nodes`` has ``node, level, xmin, ymin, size``. Where points are partitioned by ``node``, other nodes' files are not read.
+    """
+    xmin, ymin, xmax, ymax = box
+    meets = (F.col("xmin") <= xmax) & (F.col("xmin") + F.col("size") >= xmin) & (F.col("ymin") <= ymax) & (F.col("ymin") + F.col("size") >= ymin)
+    kept = nodes.where(meets & (F.col("level") <= deepest)).select("node")
+    return points.where(F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax)).join(kept, "node", "left_semi")
+
+
+def fetched(df: DataFrame, url: str, into: str = "answer", timeout: float = 60.0) -> DataFrame:
+    """``df`` with ``status, body, error`` of a GET of each row's URL; a failed request gives an error and ends nothing. Null URLs give nulls."""
+    @F.pandas_udf("status int, body string, error string")
+    def get(urls: pd.Series) -> pd.DataFrame:
+        from urllib.request import urlopen
+
+        def one(address: str | None) -> tuple:
+            if address is None:
+                return None, None, None
+            try:
+                with urlopen(address, timeout=timeout) as answer:
+                    return getattr(answer, "status", None) or 200, answer.read().decode("utf-8", "replace"), None
+            except (OSError, ValueError) as failure:
+                return getattr(failure, "code", None), None, str(failure)
+
+        out = pd.DataFrame([one(u) for u in urls], columns=["status", "body", "error"])
+        return out.astype({"status": "Int32"})
+
+    return df.withColumn(into, get(F.col(url)))
+
+
+def zip_members(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """``path, member, size, sha256, content, error``: members of ZIP files, one file a row as ``binaryFile`` reads it.
+
+    A member whose checksum fails, and a file that is no ZIP, give a row with an error and no content.
+    """
+    def open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        import io
+        import zipfile
+        import zlib
+
+        for batch in batches:
+            for name, data in zip(batch[path], batch[content]):
+                try:
+                    box = zipfile.ZipFile(io.BytesIO(data or b""))
+                except zipfile.BadZipFile as failure:
+                    yield pd.DataFrame([(name, None, None, None, None, str(failure))], columns=columns)
+                    continue
+                for info in box.infolist():
+                    try:
+                        body = box.read(info)
+                        row = (name, info.filename, len(body), hashlib.sha256(body).hexdigest(), body, None)
+                    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as failure:
+                        row = (name, info.filename, info.file_size, None, None, str(failure))
+                    yield pd.DataFrame([row], columns=columns)
+
+    columns = ["path", "member", "size", "sha256", "content", "error"]
+    return files.select(path, content).mapInPandas(open_all, "path string, member string, size long, sha256 string, content binary, error string")
+
+
+def zipped(df: DataFrame) -> DataFrame:
+    """``path, content``: a ZIP file of one member for each row ``path, member, text``."""
+    @F.pandas_udf("binary")
+    def pack(names: pd.Series, texts: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+
+        def one(name: str, text: str | None) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as box:
+                box.writestr(name, text or "")
+            return out.getvalue()
+
+        return pd.Series([one(n, t) for n, t in zip(names, texts)])
+
+    return df.select("path", pack("member", "text").alias("content"))
+
+
+def verified(members: DataFrame, expected: DataFrame) -> DataFrame:
+    """``members`` with ``verdict`` against ``expected`` (``member, sha256``): ok, changed, unlisted or unreadable; listed ones that are not there are ``missing``."""
+    listed = expected.select("member", F.col("sha256").alias("__sha"), F.lit(True).alias("__listed"))
+    both = members.join(listed, "member", "full_outer")
+    state = F.when(F.col("path").isNull(), "missing").when(F.col("error").isNotNull(), "unreadable").when(F.col("__listed").isNull(), "unlisted").when(F.col("sha256").eqNullSafe(F.col("__sha")), "ok").otherwise("changed")
+    return both.withColumn("verdict", state).drop("__sha", "__listed")
+
+
 class Page(InputPartition):
     def __init__(self, offset: int, url: str):
         self.offset, self.url = offset, url
