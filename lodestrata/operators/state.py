@@ -6,9 +6,11 @@ arguments, so a run can be repeated.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +159,117 @@ def completeness(df: DataFrame, keys: Sequence[str], time: str, zone: str, least
     hours = df.groupBy(*keys, day.alias("day")).agg(F.count_distinct(F.date_trunc("hour", F.col(time))).alias("hours"))
     expected = (F.unix_timestamp(end) - F.unix_timestamp(start)) / 3600
     return hours.withColumn("expected", expected.cast("int")).withColumn("complete", F.col("hours") >= least * F.col("expected")).withColumn("day", F.to_date("day"))
+
+
+def accepted(artifacts: DataFrame, leases: DataFrame, now: Column, job: str = "job") -> DataFrame:
+    """``artifacts`` (job, ``token``, ``declared_sha``, ``content_sha``) with ``reason``: null where one may be recorded.
+
+    ``leases`` has one row a job: ``holder`` (the token that has it) and ``lease_until``. The first reason counts:
+    ``no_lease``, ``other_holder``, ``lease_expired``, ``sha_differs``.
+    """
+    held = artifacts.join(leases.select(job, F.col("holder").alias("__holder"), F.col("lease_until").alias("__until")), job, "left")
+    reason = (
+        F.when(F.col("__holder").isNull(), "no_lease")
+        .when(~F.col("__holder").eqNullSafe(F.col("token")), "other_holder")
+        .when(F.col("__until").isNull() | (F.col("__until") < now), "lease_expired")
+        .when(~F.col("declared_sha").eqNullSafe(F.col("content_sha")), "sha_differs")
+    )
+    return held.withColumn("reason", reason).drop("__holder", "__until")
+
+
+def enforce(df: DataFrame, normal: dict[str, Column], rules: dict[str, Column]) -> DataFrame:
+    """What triggers do before a write: columns set by ``normal``, then ``violations``: the names of the ``rules`` that do not hold.
+
+    A rule that is null does not hold. Rows without violations may be written; the others keep why they may not.
+    """
+    ready = df.withColumns(normal) if normal else df
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+    return ready.withColumn("violations", failed)
+
+
+def keep_terminal(old: DataFrame, new: DataFrame, keys: Sequence[str], status: str, final: Sequence[str]) -> DataFrame:
+    """``new`` with the status of ``old`` where that is a final one, which no later write may change."""
+    was = old.where(F.col(status).isin(list(final))).select(*keys, F.col(status).alias("__was"))
+    return new.join(was, list(keys), "left").withColumn(status, F.coalesce("__was", status)).drop("__was")
+
+
+def orphans(df: DataFrame, parents: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose parent is not there: what a check of references at commit would refuse. A null key refers to nothing."""
+    present = reduce(lambda a, k: a & F.col(k).isNotNull(), on, F.lit(True))
+    return df.where(present).join(parents.select(*on), list(on), "left_anti")
+
+
+def source_identity(metadata: Column, volatile: Sequence[str] = ()) -> Column:
+    """SHA-256 of a source's metadata (a JSON object) by its sorted keys, without those that change on every request. Null for no object."""
+    fields = F.map_filter(F.from_json(metadata, "map<string,string>"), lambda k, v: ~k.isin(list(volatile)) if volatile else F.lit(True))
+    lines = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return F.sha2(F.array_join(lines, "\n").cast("binary"), 256)
+
+
+def probe(recorded: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """``key, verdict`` of each source by the ``identity`` on record and the present one: unchanged, changed, new or unreachable."""
+    both = recorded.select(key, F.col("identity").alias("was"), F.lit(True).alias("__old")).join(current.select(key, F.col("identity").alias("now")), key, "full_outer")
+    verdict = F.when(F.col("__old").isNull(), "new").when(F.col("now").isNull(), "unreachable").when(F.col("was").eqNullSafe(F.col("now")), "unchanged").otherwise("changed")
+    return both.select(key, verdict.alias("verdict"))
+
+
+def _filesystem(spark, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def run_phases(source: DataFrame, path: str, phases: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], chunk: Column, chunks: int, budget: int | None = None) -> str:
+    """Takes ``source`` through ``phases`` in ``chunks`` parts (numbers from ``chunk``) and returns the phase reached, or ``complete``.
+
+    A phase writes each part under its number and then notes how many rows came in and went out. A run that ended early is
+    taken up at the first part without a note; a part that was half written is written again. The next phase begins when every
+    part of the one before is noted and as many rows went out as came in, else the run raises. ``budget`` ends a run
+    after that many parts. What the driver holds is one note a part.
+    """
+    spark = source.sparkSession
+    current = source.withColumn("chunk", chunk)
+    for name, step in phases:
+        at, notes = f"{path}/{name}", f"{path}/{name}-notes"
+        fs, place = _filesystem(spark, notes)
+        done = {r["chunk"]: (r["came"], r["went"]) for r in spark.read.parquet(notes).collect()} if fs.exists(place) else {}
+        todo = [k for k in range(chunks) if k not in done]
+        if budget is not None:
+            todo, budget = todo[:budget], budget - len(todo[:budget])
+        if todo:
+            part = current.where(F.col("chunk").isin(todo))
+            step(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(at)
+            written = spark.read.schema(step(part).schema).parquet(at).where(F.col("chunk").isin(todo)).groupBy("chunk").agg(F.count("*").alias("went"))
+            numbers = spark.range(chunks).select(F.col("id").cast("int").alias("chunk")).where(F.col("chunk").isin(todo))
+            told = numbers.join(part.groupBy("chunk").agg(F.count("*").alias("came")), "chunk", "left").join(written, "chunk", "left").fillna(0).coalesce(1)
+            told.write.mode("append").parquet(notes)
+            done |= {r["chunk"]: (r["came"], r["went"]) for r in spark.read.parquet(notes).collect()}
+        if len(done) < chunks:
+            return name
+        if bad := sorted(k for k, (came, went) in done.items() if came != went):
+            raise ValueError(f"phase {name} lost or added rows in parts {bad}")
+        current = spark.read.schema(step(current).schema).parquet(at)
+    return "complete"
+
+
+@contextmanager
+def single_flight(spark, folder: str, name: str, stale_minutes: int = LEASE_MINUTES) -> Iterator[bool]:
+    """``with single_flight(…) as mine``: true for the one run that holds ``name`` at a time, by a file that only one can create.
+
+    A lock older than ``stale_minutes`` is taken for one of a driver that was lost. The folder's file system must create files
+    atomically, as HDFS and local disks do; object stores do not.
+    """
+    fs, place = _filesystem(spark, f"{folder}/{name}.lock")
+    if fs.exists(place) and spark._jvm.java.lang.System.currentTimeMillis() - fs.getFileStatus(place).getModificationTime() > stale_minutes * 60_000:
+        fs.delete(place, False)
+    try:
+        fs.create(place, False).close()
+        mine = True
+    except Py4JJavaError as refused:
+        if not fs.exists(place):
+            raise refused
+        mine = False
+    try:
+        yield mine
+    finally:
+        if mine:
+            fs.delete(place, False)

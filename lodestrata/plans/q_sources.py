@@ -84,7 +84,7 @@ def t01(spark, sf_dir):
     events.write.parquet(f"{folder}/landed")
     stream = sessions.event_stream(spark, f"{folder}/landed", events.schema, files_per_batch=64)
     sessions.upsert_batches(stream, f"{folder}/table", ["user_id"], f"{folder}/state").awaitTermination()
-    return sessions.latest_batch(spark, f"{folder}/table").select("user_id", "event_id", "event_type")
+    return sessions.latest_batch(spark, f"{folder}/table", events.schema).select("user_id", "event_id", "event_type")
 
 
 @query(

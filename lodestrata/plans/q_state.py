@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestrata.operators import state as S
+from lodestrata.operators.relational import checkpointed, shared_folder
+from lodestrata.sources import sinks
 
 from .catalog import query
 from .tables import table
@@ -52,8 +56,6 @@ def k05(spark, sf_dir):
 @query("K04_K06_K07_rebuild_returning", f"""WITH {_SPLIT} SELECT o_orderstatus, count(*) AS n FROM (SELECT * FROM d UNION ALL SELECT * FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d)) GROUP BY o_orderstatus""")
 def k04(spark, sf_dir):
     """Rebuild a table, write it whole, and summarise what was written."""
-    from lodestrata.operators.relational import checkpointed
-
     old, new = base_and_delta(spark, sf_dir)
     return checkpointed(S.upsert(old, new, ["o_orderkey"])).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
@@ -207,3 +209,91 @@ def k01_null(spark, sf_dir):
 def k08(spark, sf_dir):
     lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(x["n_nationkey"].cast("string"), F.lit(":"), x["n_name"]))
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, ";").cast("binary"), 256).alias("content_sha"))
+
+
+@query(
+    "K08_lease_check",
+    """WITH a AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 5 = 0 THEN 'other' ELSE 'w' || o_custkey END AS token, CASE WHEN o_orderkey % 7 = 0 THEN 'bad' ELSE sha256(o_orderpriority) END AS declared, sha256(o_orderpriority) AS content, o_orderstatus, o_custkey, o_orderdate FROM orders)
+    SELECT job, CASE WHEN o_orderstatus = 'P' THEN 'no_lease' WHEN token <> 'w' || o_custkey THEN 'other_holder' WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 'lease_expired' WHEN declared <> content THEN 'sha_differs' END AS reason FROM a""",
+)
+def k08_lease(spark, sf_dir):
+    orders, holder = table(spark, sf_dir, "orders"), F.concat(F.lit("w"), F.col("o_custkey").cast("string"))
+    content = F.sha2(F.col("o_orderpriority").cast("binary"), 256)
+    artifacts = orders.select(
+        F.col("o_orderkey").alias("job"), F.when(F.col("o_orderkey") % 5 == 0, "other").otherwise(holder).alias("token"),
+        F.when(F.col("o_orderkey") % 7 == 0, "bad").otherwise(content).alias("declared_sha"), content.alias("content_sha"),
+    )
+    leases = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("job"), holder.alias("holder"), F.col("o_orderdate").alias("lease_until"))
+    return S.accepted(artifacts, leases, F.lit("1995-01-01").cast("timestamp_ntz")).select("job", "reason")
+
+
+@query(
+    "K09_payloads",
+    """WITH r AS (SELECT o_custkey % 16 AS bucket, (row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) - 1) // 25 AS batch, o_orderkey, o_orderstatus FROM orders)
+    SELECT bucket, batch, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']' AS payload FROM r GROUP BY bucket, batch""",
+)
+def k09(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    return sinks.payloads(orders, ["o_orderkey", "o_orderstatus"], "o_orderkey", 25, F.col("o_custkey") % 16)
+
+
+@query(
+    "T05_resumed_phases",
+    """SELECT o_orderkey, upper(replace(o_orderpriority, '-', ' ')) AS priority, CASE WHEN o_totalprice > 100000 THEN 'large' ELSE 'small' END AS kind, sha256(o_orderkey || '|' || upper(replace(o_orderpriority, '-', ' '))) AS identity FROM orders""",
+)
+def t05_resumed(spark, sf_dir):
+    """Three phases over eight parts: a first run ends after eleven parts, in the second phase, and a second run takes it up."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    path = f"{shared_folder(spark)}/phases-{uuid.uuid4().hex}"
+    phases = [
+        ("normalising", lambda d: d.withColumn("priority", F.upper(F.replace("o_orderpriority", F.lit("-"), F.lit(" ")))).drop("o_orderpriority")),
+        ("materialising", lambda d: d.withColumn("kind", F.when(F.col("o_totalprice") > 100000, "large").otherwise("small")).drop("o_totalprice")),
+        ("identified", lambda d: d.withColumn("identity", S.identity(F.col("o_orderkey"), F.col("priority")))),
+    ]
+    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(8)).cast("int")
+    reached = [S.run_phases(orders, path, phases, part, 8, budget) for budget in (11, None)]
+    if reached != ["materialising", "complete"]:
+        raise AssertionError(f"phases reached: {reached}")
+    return spark.read.parquet(f"{path}/identified").drop("chunk")
+
+
+@query(
+    "T10_invariants",
+    """WITH n AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'X' END AS status, lower(trim(substr(o_orderpriority, 3))) AS priority, o_totalprice, o_orderdate FROM orders)
+    SELECT o_orderkey, status, priority, sha256(o_orderkey || '|' || priority) AS identity, concat_ws(',', CASE WHEN NOT o_totalprice > 1000 THEN 'price' END, CASE WHEN NOT o_orderdate < TIMESTAMP '1998-01-01' THEN 'date' END, CASE WHEN status = 'X' AND priority = 'urgent' THEN 'status' END) AS violations, o_custkey % 10 = 3 AS orphan FROM n""",
+)
+def t10(spark, sf_dir):
+    """A write that may not change a final status, sets a normal form and an identity, and tells what it breaks and what it refers to in vain."""
+    orders = table(spark, sf_dir, "orders")
+    old = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    new = S.keep_terminal(old, orders.withColumn("status", F.lit("X")), ["o_orderkey"], "status", ["F"])
+    priority = F.lower(F.trim(F.substring("o_orderpriority", 3, 100)))
+    rules = {"price": F.col("o_totalprice") > 1000, "date": F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"), "status": ~((F.col("status") == "X") & (F.col("priority") == "urgent"))}
+    held = S.enforce(new, {"priority": priority, "identity": S.identity(F.col("o_orderkey"), priority)}, rules)
+    parents = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("o_custkey"))
+    lost = S.orphans(held, parents, ["o_custkey"]).select("o_orderkey", F.lit(True).alias("orphan"))
+    return held.join(lost, "o_orderkey", "left").select("o_orderkey", "status", "priority", "identity", F.array_join("violations", ",").alias("violations"), F.coalesce("orphan", F.lit(False)).alias("orphan"))
+
+
+@query(
+    "I09_source_probe",
+    """SELECT s_suppkey AS source, CASE WHEN s_suppkey % 4 = 0 THEN 'new' WHEN s_suppkey % 4 = 1 AND s_suppkey % 3 = 0 THEN 'unreachable' WHEN s_suppkey % 3 = 1 THEN 'changed' ELSE 'unchanged' END AS verdict, CASE WHEN NOT (s_suppkey % 4 = 1 AND s_suppkey % 3 = 0) THEN sha256('name=' || s_name || chr(10) || 'version=' || CAST(s_suppkey % 3 = 1 AS INTEGER)) END AS identity FROM supplier""",
+)
+def i09(spark, sf_dir):
+    """Metadata as two requests saw it: fields in another order and with other times of the request, some with another version."""
+    k, suppliers = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    name = F.col("s_name").alias("name")
+    first = F.to_json(F.struct(name, F.lit(0).alias("version"), F.lit("morning").alias("asked")))
+    second = F.to_json(F.struct(F.lit("evening").alias("asked"), (k % 3 == 1).cast("int").alias("version"), name))
+    recorded = suppliers.where("s_suppkey % 4 <> 0").select(k.alias("source"), S.source_identity(first, ["asked"]).alias("identity"))
+    current = suppliers.where("not (s_suppkey % 4 = 1 and s_suppkey % 3 = 0)").select(k.alias("source"), S.source_identity(second, ["asked"]).alias("identity"))
+    return S.probe(recorded, current, "source").join(current, "source", "left")
+
+
+@query("T06_single_flight", """SELECT o_orderstatus, count(*) AS n, true AS held, false AS second FROM orders GROUP BY o_orderstatus""")
+def t06(spark, sf_dir):
+    """A rebuild that holds its name: a second run that comes meanwhile is turned away."""
+    folder = f"{shared_folder(spark)}/locks-{uuid.uuid4().hex}"
+    with S.single_flight(spark, folder, "rebuild") as held, S.single_flight(spark, folder, "rebuild") as second:
+        counted = checkpointed(table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")))
+    return counted.withColumns({"held": F.lit(held), "second": F.lit(second)})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,3 +29,44 @@ def artifact(df: DataFrame, root: str, kind: str) -> tuple[str, str]:
     path = f"{root}/{kind}/{identity}"
     df.write.mode("overwrite").parquet(path)
     return identity, path
+
+
+def payloads(df: DataFrame, columns: Sequence[str], key: str, size: int, bucket: Column) -> DataFrame:
+    """``bucket, batch, n, first, last, payload``: ``columns`` of the rows as JSON arrays of at most ``size``, by key within a bucket.
+
+    Batches are the same on every run, so one that is sent twice can be known again. Choose ``bucket`` so that none is large:
+    each is sorted in one task.
+    """
+    numbered = df.select(F.struct(*columns).alias("__row"), F.col(key).alias("__key"), bucket.alias("bucket"))
+    numbered = numbered.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("__key")) - 1) / size))
+    held = F.array_sort(F.collect_list(F.struct("__key", "__row")))
+    return numbered.groupBy("bucket", "batch").agg(F.count("*").alias("n"), F.min("__key").alias("first"), F.max("__key").alias("last"), F.to_json(F.transform(held, lambda r: r["__row"])).alias("payload"))
+
+
+def uploaded(batches: DataFrame, url: str, tries: int = 3, timeout: float = 60.0) -> DataFrame:
+    """``bucket, batch, n, tries, status, error`` of a POST of every payload, sent from the tasks that hold them.
+
+    Failed ones are tried again at once. A task that is run again sends its batches again, so the service must take the header
+    ``Idempotency-Key`` into account.
+    """
+
+    def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.request import Request, urlopen
+
+        def post(bucket: int, batch: int, payload: str) -> tuple:
+            head = {"Content-Type": "application/json", "Idempotency-Key": f"{bucket}-{batch}"}
+            status, error = None, None
+            for attempt in range(1, tries + 1):
+                try:
+                    with urlopen(Request(url, payload.encode(), head), timeout=timeout) as answer:
+                        return attempt, answer.status, None
+                except OSError as failure:
+                    status, error = getattr(failure, "code", None), str(failure)
+            return tries, status, error
+
+        for part in parts:
+            sent = [post(*row) for row in zip(part["bucket"], part["batch"], part["payload"])]
+            out = pd.concat([part[["bucket", "batch", "n"]].reset_index(drop=True), pd.DataFrame(sent, columns=["tries", "status", "error"])], axis=1)
+            yield out.astype({"status": "Int32"})
+
+    return batches.select("bucket", "batch", "n", "payload").mapInPandas(send, "bucket long, batch long, n long, tries int, status int, error string")

@@ -21,26 +21,47 @@ def windowed_counts(events: DataFrame, key: str, time: str, width: str, late: st
     return timed.groupBy(F.window(time, width), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("since"), "n")
 
 
-def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Keeps the last row of each key in a table that every micro-batch rewrites under its own number.
+def upsert_batches(stream: DataFrame, path: str, keys: list[str], checkpoint: str, buckets: int = 64):
+    """Keeps the newest row of each key (by ``ts``, then ``event_id``, however rows arrive) in a table of ``buckets`` parts by the keys' hash; a micro-batch rewrites the parts its keys fall in.
 
-    A batch that is run again writes the same folder, so a restart does not count twice.
+    A batch writes its parts under its own number, so one that is run again writes the same folders and counts nothing
+    twice. Of each part the two versions before the batch stay, for readers that are under way; older ones are deleted.
     """
     from lodestrata.operators.relational import distinct_on
-    from lodestrata.operators.state import upsert
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = distinct_on(batch, keys, [F.desc("ts"), F.desc("event_id")])
-        whole = new if number == 0 else upsert(spark.read.parquet(f"{path}/{number - 1}"), new, keys)
-        whole.write.mode("overwrite").parquet(f"{path}/{number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most ``buckets``
+        versions = _parts(spark, path)
+        standing = [f"{path}/{max(n for n in numbers if n < number)}/bucket={b}" for b, numbers in versions.items() if b in touched and min(numbers) < number]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*standing)) if standing else batch
+        whole = distinct_on(rows, keys, [F.desc("ts"), F.desc("event_id")])
+        whole.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{number}")
+        for b, numbers in versions.items():
+            for old in sorted(n for n in numbers if n < number)[:-2]:
+                _delete(spark, f"{path}/{old}/bucket={b}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_batch(spark, path: str) -> DataFrame:
-    """The table that the last micro-batch of ``upsert_batches`` left under ``path``."""
+def _parts(spark, path: str) -> dict[int, list[int]]:
+    """Numbers of the micro-batches that wrote each bucket."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/*/bucket=*")
+    out: dict[int, list[int]] = {}
+    for found in folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or []:
+        part = found.getPath()
+        out.setdefault(int(part.getName().removeprefix("bucket=")), []).append(int(part.getParent().getName()))
+    return out
+
+
+def _delete(spark, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    written = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    last = max(int(name) for f in written if (name := f.getPath().getName()).isdigit())
-    return spark.read.parquet(f"{path}/{last}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def latest_batch(spark, path: str, schema) -> DataFrame:
+    """The table that ``upsert_batches`` keeps under ``path``: the newest version of every bucket."""
+    parts = [f"{path}/{max(numbers)}/bucket={b}" for b, numbers in _parts(spark, path).items()]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)

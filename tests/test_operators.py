@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import geo, solar, text
+from lodestrata.functions import geo, overlay, solar, text
 from lodestrata.operators import cadence, grid, kernels, relational, rules, spatial, state, stats
+from lodestrata.operators.relational import distinct_on
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import sessions
 
@@ -211,12 +212,119 @@ def test_streams(spark, sf_dir, tmp_path):
     assert spark.sql("select sum(n) from counts").first()[0] == events.count()
     merged = sessions.upsert_batches(stream, str(tmp_path / "out"), ["user_id"], str(tmp_path / "ck"))
     merged.awaitTermination()
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
-    assert spark.read.parquet(f"{tmp_path}/out/{last}").count() == events.select("user_id").distinct().count()
+    kept = sessions.latest_batch(spark, str(tmp_path / "out"), events.schema)
+    newest = distinct_on(events, ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    assert sorted(map(tuple, kept.select("user_id", "event_id").collect())) == sorted(map(tuple, newest.select("user_id", "event_id").collect()))
     batch = sessions.sessions(events, "user_id", "ts", "30 minutes", "1 hour")
     assert batch.agg(F.sum("n")).first()[0] == events.count()
 
 
+def test_a_part_is_rewritten_only_by_batches_with_its_keys(spark, tmp_path):
+    kind = "user_id long, event_id long, ts timestamp_ntz"
+    for number, users in enumerate(([1, 2, 3, None], [1], [1], [1], [2, 9])):
+        rows = spark.createDataFrame([(u, 10 * number, None) for u in users], kind).withColumn("ts", F.lit(f"2024-01-0{number + 1}").cast("timestamp_ntz"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = sessions.event_stream(spark, str(tmp_path / "in"), rows.schema)
+        sessions.upsert_batches(stream, str(tmp_path / "out"), ["user_id"], str(tmp_path / "ck"), buckets=512).awaitTermination()
+    kept = sessions.latest_batch(spark, str(tmp_path / "out"), rows.schema)
+    assert {r["user_id"]: r["event_id"] for r in kept.collect()} == {1: 30, 2: 40, 3: 0, None: 0, 9: 40}
+    assert sorted(sorted(numbers) for numbers in sessions._parts(spark, str(tmp_path / "out")).values()) == [[0], [0], [0, 4], [2, 3], [4]]
+    assert sessions.latest_batch(spark, str(tmp_path / "none"), rows.schema).count() == 0
+
+
+def test_phases_end_at_lost_rows(spark, tmp_path):
+    df = spark.range(40)
+    part = (F.col("id") % 4).cast("int")
+    with pytest.raises(ValueError, match="lost or added"):
+        state.run_phases(df, str(tmp_path / "a"), [("thin", lambda d: d.where("id <> 7"))], part, 4)
+    seen = [state.run_phases(df, str(tmp_path / "b"), [("one", lambda d: d), ("two", lambda d: d)], part, 6, 5) for _ in range(3)]
+    assert seen == ["one", "two", "complete"] and spark.read.parquet(str(tmp_path / "b" / "two")).count() == 40
+
+
+def test_one_run_holds_a_name(spark, tmp_path):
+    with state.single_flight(spark, str(tmp_path), "x") as first, state.single_flight(spark, str(tmp_path), "x") as second, state.single_flight(spark, str(tmp_path), "y") as other:
+        assert (first, second, other) == (True, False, True)
+    with state.single_flight(spark, str(tmp_path), "x") as again, state.single_flight(spark, str(tmp_path), "x", stale_minutes=-1) as taken:
+        assert again and taken
+
+
+def test_archives_and_answers(spark):
+    made = readers.zipped(spark.createDataFrame([("a.zip", "m", "text"), ("b.zip", "n", None)], "path string, member string, text string"))
+    broken = spark.createDataFrame([("c.zip", bytearray(b"no archive")), ("d.zip", None)], "path string, content binary")
+    found = readers.zip_members(made.unionByName(broken))
+    assert {(r["path"], r["member"], r["size"], r["error"] is None) for r in found.collect()} == {("a.zip", "m", 4, True), ("b.zip", "n", 0, True), ("c.zip", None, None, False), ("d.zip", None, None, False)}
+    told = spark.createDataFrame([("m", "0"), ("gone", "1")], "member string, sha256 string")
+    assert sorted(r["verdict"] for r in readers.verified(found, told).collect()) == ["changed", "missing", "unlisted", "unreadable", "unreadable"]
+    asked = spark.createDataFrame([("data:,yes",), ("file:///nowhere/at/all",), ("no address",), (None,)], "url string")
+    answers = [r["answer"] for r in readers.fetched(asked, "url").collect()]
+    assert [(a["status"], a["body"], a["error"] is None) for a in answers] == [(200, "yes", True), (None, None, False), (None, None, False), (None, None, True)]
+
+
+def test_uploads_are_tried_again(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            rows = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            first = self.headers["Idempotency-Key"] not in [k for k, _ in seen]
+            seen.append((self.headers["Idempotency-Key"], rows))
+            self.send_response(503 if first and rows[0]["id"] == 0 else 200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        batches = sinks.payloads(spark.range(25), ["id"], "id", 4, F.col("id") % 3)
+        sent = sinks.uploaded(batches, f"http://127.0.0.1:{server.server_port}/").collect()
+    finally:
+        server.shutdown()
+    assert sum(r["n"] for r in sent) == 25 and {r["status"] for r in sent} == {200} and max(r["tries"] for r in sent) == 2
+    assert sorted(row["id"] for row in {k: rows for k, rows in seen}.values() for row in row) == list(range(25))
+
+
+def test_shared_areas_of_any_polygons(spark):
+    """Against sums over fine strips, for stars and triangles, one of them with a hole."""
+    import math
+    import random
+
+    def star(n, cx, cy, near, far):
+        return [(cx + (far if k % 2 else near) * math.cos(math.pi * k / n), cy + (far if k % 2 else near) * math.sin(math.pi * k / n)) for k in range(2 * n)]
+
+    def spans(rings, y):
+        cuts = sorted(p[0] + (y - p[1]) / (q[1] - p[1]) * (q[0] - p[0]) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1]) if (p[1] > y) != (q[1] > y))
+        return list(zip(cuts[::2], cuts[1::2]))
+
+    def strips(a, b, n=20000, low=-10.0, high=10.0):
+        step, total = (high - low) / n, 0.0
+        for k in range(n):
+            y = low + (k + 0.5) * step
+            total += sum(max(0.0, min(p[1], q[1]) - max(p[0], q[0])) for p in spans(a, y) for q in spans(b, y)) * step
+        return total
+
+    rng = random.Random(3)
+    pairs = []
+    for k in range(6):
+        a = [star(5, rng.uniform(-1, 1), rng.uniform(-1, 1), 1.5, 5)]
+        centre = rng.uniform(-2, 2), rng.uniform(-2, 2)
+        b = [star(3 + k, *centre, 2, 6)]
+        if k % 2:
+            b.append(star(3, *centre, 0.4, 0.9)[::-1])
+        pairs.append((a, b))
+    to_rows = lambda rings: [[{"x": x, "y": y} for x, y in ring] for ring in rings]
+    kind = "array<array<struct<x:double,y:double>>>"
+    df = spark.createDataFrame([(k, to_rows(a), to_rows(b)) for k, (a, b) in enumerate(pairs)] + [(6, [], to_rows(pairs[0][1])), (7, None, to_rows(pairs[0][1]))], f"k int, a {kind}, b {kind}")
+    found = [r[0] for r in df.orderBy("k").select(overlay.shared_area(F.col("a"), F.col("b"))).collect()]
+    assert found[:6] == pytest.approx([strips(a, b) for a, b in pairs], abs=2e-3) and found[6:] == [0.0, None]
+    swapped = [r[0] for r in df.where("k < 6").orderBy("k").select(overlay.shared_area(F.col("b"), F.col("a"))).collect()]
+    assert swapped == pytest.approx(found[:6])
+
+
 def test_entry_without_the_training_package(tmp_path):
     import shutil
 
