@@ -35,19 +35,30 @@ def lateral_top1(left: DataFrame, right: DataFrame, on: Sequence[str], order: Se
     return left.join(best, list(on), "left")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tie: str | None = None, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tie: str | None = None, strict: bool = False, period: str | None = None) -> DataFrame:
     """Latest ``values`` of ``right`` at or before (``strict``: before) each left row's time, by key.
 
     One union and one window over the key; neither side is broadcast or multiplied. Of right rows with equal
-    times the one with the largest ``tie`` counts.
+    times the one with the largest ``tie`` counts. Rows without a time match nothing. With a ``period`` (as ``date_trunc``
+    takes it) a key is dealt by period, so that one key may hold much of a table, and the last values of each period
+    are carried on to the next ones; the result is the same.
     """
     value = F.struct(F.col(right_time).alias("__time"), *[F.col(v) for v in values])
-    order = F.lit(0) if tie is None else F.col(tie).cast("long")
-    events = right.select(*by, F.col(right_time).alias("__at"), F.lit(1 if strict else 0).alias("__side"), order.alias("__tie"), value.alias("__value"))
+    order = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
+    events = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("__at"), F.lit(1 if strict else 0).alias("__side"), order.alias("__tie"), value.alias("__value"))
     kept = left.select(*by, F.col(left_time).alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.lit(0).cast("long").alias("__tie"), F.struct(*left.columns).alias("__row"))
     both = kept.unionByName(events, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    part = [] if period is None else ["__part"]
+    if period is not None:
+        both = both.withColumn("__part", F.date_trunc(period, "__at"))
+    w = Window.partitionBy(*by, *part).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__last", F.last("__value", ignorenulls=True).over(w)).where("__row is not null")
+    if period is not None:
+        ends = both.groupBy(*by, "__part").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct("__at", "__tie"))).alias("__end"))
+        before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], F.col("__part").alias("__in"), F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+        same = reduce(lambda on, k: on & F.col(k[1]).eqNullSafe(F.col(f"__{k[0]}")), enumerate(by), F.col("__part").eqNullSafe(F.col("__in")))
+        found = found.join(carried, same, "left").withColumn("__last", F.coalesce("__last", "__carried"))
     return found.select("__row.*", F.col("__last.__time").alias(f"asof_{right_time}"), *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
 
 

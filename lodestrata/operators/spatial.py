@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,20 +16,48 @@ from .relational import distinct_on, rank_pivot, top_n
 #: Distance up to which a match has a confidence.
 DISTANCE_BANDS = ((10.0, 0.95), (25.0, 0.85))
 FAR_CONFIDENCE = 0.70
+#: Cells of a level to a cell of the next.
+WIDTH = 8
 
 
-def box_cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
-    """One row for each cell that a box touches."""
-    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"{prefix}{low}") / size), F.floor(F.col(f"{prefix}{high}") / size)))
-    return df.withColumn("__cx", span("xmin", "xmax")).withColumn("__cy", span("ymin", "ymax"))
+def box_level(prefix: str, size: float) -> Column:
+    """Level of a box: on level n cells are ``size * 8**n`` wide, and a box is on the first one where it spans at most eight."""
+    span = F.greatest(F.col(f"{prefix}xmax") - F.col(f"{prefix}xmin"), F.col(f"{prefix}ymax") - F.col(f"{prefix}ymin")) / (size * WIDTH)
+    return F.when(span > 1, F.ceil(F.log(span) / math.log(WIDTH))).otherwise(0).cast("int")
+
+
+def levels_of(boxes: DataFrame, prefix: str, size: float) -> list[int]:
+    """Levels in use: a scan of four columns that gives a handful of numbers."""
+    return sorted(r[0] for r in boxes.select(box_level(prefix, size)).distinct().collect())
+
+
+def box_cells(df: DataFrame, prefix: str, size: float, levels: Column | None = None) -> DataFrame:
+    """One row for each cell that a box touches, on its own level or on each of ``levels``; on a level from its own upwards these are at most 81."""
+    width = F.lit(float(size)) * F.pow(F.lit(float(WIDTH)), F.col("__level"))
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(f"{prefix}{low}") / width), F.floor(F.col(f"{prefix}{high}") / width)))
+    placed = df.withColumn("__level", box_level(prefix, size) if levels is None else F.explode(levels))
+    return placed.withColumn("__cx", span("xmin", "xmax")).withColumn("__cy", span("ymin", "ymax"))
 
 
 def box_join(left: DataFrame, right: DataFrame, a: str, b: str, size: float) -> DataFrame:
-    """Pairs of boxes that overlap or touch. A pair is kept in the one cell that holds its lower left corner, so none comes twice."""
-    pairs = box_cells(left, a, size).join(box_cells(right, b, size), ["__cx", "__cy"])
+    """Pairs of boxes that overlap or touch, each once: in the cell that holds the lower left corner of what they share.
+
+    A pair meets on the level of its larger box, so the cells of a box are few however large it is; ``size`` should suit
+    most boxes. Smaller boxes enter a coarser level only where the other side has boxes on it.
+    """
+    on_left, on_right = levels_of(left, a, size), levels_of(right, b, size)
+
+    def among(levels: Sequence[int], prefix: str, least: int) -> Column:
+        return F.filter(F.array(*[F.lit(n) for n in levels]).cast("array<int>"), lambda n: n >= box_level(prefix, size) + least)
+
     touch = (F.col(f"{a}xmin") <= F.col(f"{b}xmax")) & (F.col(f"{b}xmin") <= F.col(f"{a}xmax")) & (F.col(f"{a}ymin") <= F.col(f"{b}ymax")) & (F.col(f"{b}ymin") <= F.col(f"{a}ymax"))
-    own = (F.col("__cx") == F.floor(F.greatest(f"{a}xmin", f"{b}xmin") / size)) & (F.col("__cy") == F.floor(F.greatest(f"{a}ymin", f"{b}ymin") / size))
-    return pairs.where(touch & own).drop("__cx", "__cy")
+    width = F.lit(float(size)) * F.pow(F.lit(float(WIDTH)), F.col("__level"))
+    own = (F.col("__cx") == F.floor(F.greatest(f"{a}xmin", f"{b}xmin") / width)) & (F.col("__cy") == F.floor(F.greatest(f"{a}ymin", f"{b}ymin") / width))
+    keys = ["__level", "__cx", "__cy"]
+    pairs = box_cells(left, a, size).join(box_cells(right, b, size, among(on_left, b, 0)), keys).where(touch & own)
+    if on_right and on_left and max(on_right) > min(on_left):  # left boxes that are smaller than those they meet
+        pairs = pairs.unionByName(box_cells(left, a, size, among(on_right, a, 1)).join(box_cells(right, b, size), keys).where(touch & own))
+    return pairs.drop(*keys)
 
 
 def distance_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], radius: float) -> DataFrame:
@@ -63,9 +92,12 @@ def polygon_join(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: s
     low = lambda k: F.array_min(F.transform(corners, lambda p: p[k]))
     high = lambda k: F.array_max(F.transform(corners, lambda p: p[k]))
     boxed = polygons.withColumns({"__xmin": low("x"), "__xmax": high("x"), "__ymin": low("y"), "__ymax": high("y")})
+    levels = levels_of(boxed, "__", size)
     cells = box_cells(boxed, "__", size).drop("__xmin", "__xmax", "__ymin", "__ymax")
-    own = points.withColumn("__cx", F.floor(F.col(x) / size)).withColumn("__cy", F.floor(F.col(y) / size))
-    return own.join(cells, ["__cx", "__cy"]).where((geo.in_rings if many else geo.in_ring)(F.col(x), F.col(y), F.col(ring))).drop("__cx", "__cy")
+    width = F.lit(float(size)) * F.pow(F.lit(float(WIDTH)), F.col("__level"))
+    own = points.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("__cx", F.floor(F.col(x) / width)).withColumn("__cy", F.floor(F.col(y) / width))
+    keys = ["__level", "__cx", "__cy"]
+    return own.join(cells, keys).where((geo.in_rings if many else geo.in_ring)(F.col(x), F.col(y), F.col(ring))).drop(*keys)
 
 
 def best_and_second(pairs: DataFrame, key: Sequence[str], other: str, score: str) -> DataFrame:

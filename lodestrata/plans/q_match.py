@@ -201,6 +201,24 @@ def j15(spark, sf_dir):
     return near.select("c_custkey", "s_suppkey", "rank", G.distance_confidence(F.col("distance")).alias("confidence"))
 
 
+_SIZES = """a AS (SELECT p_partkey AS a, (p_partkey * 37 % 5003)::DOUBLE AS axmin, (p_partkey * 91 % 4999)::DOUBLE AS aymin, CASE WHEN p_partkey % 97 = 0 THEN 3000 WHEN p_partkey % 13 = 0 THEN 120 ELSE 3 END::DOUBLE AS aw FROM part),
+b AS (SELECT o_orderkey AS b, (o_orderkey * 37 % 5009 + 0.5)::DOUBLE AS bxmin, (o_orderkey * 91 % 4993 + 0.25)::DOUBLE AS bymin, CASE WHEN o_orderkey % 101 = 0 THEN 900 ELSE 2 END::DOUBLE AS bw FROM orders)"""
+
+
+@query("J13_boxes_of_all_sizes", f"""WITH {_SIZES} SELECT a, count(*) AS n, min(b) AS first, max(b) AS last FROM a JOIN b ON axmin <= bxmin + bw AND bxmin <= axmin + aw AND aymin <= bymin + bw AND bymin <= aymin + aw GROUP BY a""")
+def j13_sizes(spark, sf_dir):
+    """Boxes of a few units up to most of the plane: each pair meets on the level of its larger box."""
+
+    def boxes(side, k, x, y, w):
+        low = {f"{side}xmin": x.cast("double"), f"{side}ymin": y.cast("double")}
+        return lambda df: df.select(k.alias(side), *[v.alias(c) for c, v in low.items()], (low[f"{side}xmin"] + w).alias(f"{side}xmax"), (low[f"{side}ymin"] + w).alias(f"{side}ymax"))
+
+    p, o = F.col("p_partkey"), F.col("o_orderkey")
+    left = boxes("a", p, p * 37 % 5003, p * 91 % 4999, F.when(p % 97 == 0, 3000.0).when(p % 13 == 0, 120.0).otherwise(3.0))(table(spark, sf_dir, "part"))
+    right = boxes("b", o, o * 37 % 5009 + 0.5, o * 91 % 4993 + 0.25, F.when(o % 101 == 0, 900.0).otherwise(2.0))(table(spark, sf_dir, "orders"))
+    return G.box_join(left, right, "a", "b", 10.0).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first"), F.max("b").alias("last"))
+
+
 @query(
     "G05_point_in_polygon",
     f"""WITH {_POINTS} SELECT c_custkey, s_suppkey FROM c, s WHERE abs(x - u) + abs(y - v) < 300.5 AND x <> u AND y <> v""",

@@ -223,6 +223,17 @@ def j16(spark, sf_dir):
     return found.select("event_id", "asof_ts", "asof_value")
 
 
+@query(
+    "J16_asof_by_period",
+    """SELECT event_id, max(CASE WHEN event_type = 'click' THEN ts END) OVER w AS asof_ts FROM events WINDOW w AS (PARTITION BY event_id % 3 ORDER BY ts, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def j16_period(spark, sf_dir):
+    """Three keys hold the whole table, so each is dealt by day."""
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 3).alias("k"), "event_type", "ts")
+    clicks = events.where("event_type = 'click'")
+    return R.asof_join(events, clicks, ["k"], "ts", "ts", [], tie="event_id", period="day").select("event_id", "asof_ts")
+
+
 @query(
     "J17_validity_join",
     """SELECT o.o_orderkey, count(l.l_linenumber) AS n_open FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey

@@ -42,6 +42,38 @@ def test_asof_keeps_every_left_row(spark):
     assert at(strict=True) == {("a", 1): None, ("a", 5): 1.0, ("b", 3): None}
 
 
+def test_asof_by_period_gives_the_same(spark):
+    import random
+
+    rng = random.Random(5)
+    day = lambda: None if rng.random() < 0.1 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(24 * 40))
+    key = lambda: rng.choice([1, 1, 1, 2, None])
+    left = spark.createDataFrame([(k, key(), day()) for k in range(300)], "n int, k int, t timestamp_ntz")
+    right = spark.createDataFrame([(key(), day(), k, k if k % 7 else None) for k in range(120)], "k int, u timestamp_ntz, id int, v int")
+    run = lambda **kw: sorted(map(str, relational.asof_join(left, right, ["k"], "t", "u", ["v"], tie="id", **kw).collect()))
+    for strict in (False, True):
+        plain = run(strict=strict)
+        assert len(plain) == 300 and run(strict=strict, period="day") == plain == run(strict=strict, period="month")
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    import random
+
+    rng = random.Random(8)
+
+    def boxes(n, side):
+        out = []
+        for k in range(n):
+            x, y, w, h = rng.uniform(-500, 500), rng.uniform(-500, 500), *[rng.choice([0, 0.5, 7, 90, 2500]) for _ in range(2)]
+            out.append((k, x, y, x + w, y + h))
+        return out, spark.createDataFrame(out, f"{side} int, {side}xmin double, {side}ymin double, {side}xmax double, {side}ymax double")
+
+    (a, left), (b, right) = boxes(120, "a"), boxes(150, "b")
+    want = sorted((p[0], q[0]) for p in a for q in b if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
+    assert sorted(map(tuple, spatial.box_join(left, right, "a", "b", 2.0).select("a", "b").collect())) == want
+    assert spatial.box_join(left.limit(0), right, "a", "b", 2.0).count() == spatial.box_join(left, right.limit(0), "a", "b", 2.0).count() == 0
+
+
 def test_ranges_refuse_what_is_too_large(spark):
     df = spark.createDataFrame([(1, 3), (5, 4), (None, 2)], "a long, b long")
     assert [r["m"] for r in relational.expand_range(df, "a", "b", "m").collect()] == [1, 2, 3]
