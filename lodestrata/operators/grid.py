@@ -77,7 +77,7 @@ def position_index(grid: DataFrame, radius: float, into: str, cell: float = 1.0)
     """Height over the window's mean, as a z-score over its grid."""
     with_mean = focal_mean(grid, radius, cell)
     stats = with_mean.groupBy("grid_id").agg(F.avg(F.col("value") - F.col("focal_mean")).alias("__m"), F.stddev_pop(F.col("value") - F.col("focal_mean")).alias("__s"))
-    scored = with_mean.join(broadcast_if_small(stats), "grid_id").withColumn(into, F.when(F.col("__s") > 0, (F.col("value") - F.col("focal_mean") - F.col("__m")) / F.col("__s")))
+    scored = with_mean.join(stats, "grid_id").withColumn(into, F.when(F.col("__s") > 0, (F.col("value") - F.col("focal_mean") - F.col("__m")) / F.col("__s")))
     return scored.drop("__m", "__s", "focal_mean", "relief")
 
 
@@ -110,7 +110,7 @@ def contours(grid: DataFrame) -> DataFrame:
     """
     extent = grid.groupBy("grid_id").agg(contour_interval(F.max("value") - F.min("value")).cast("double").alias("step"))
     corners = focal(grid.select(*CELL, "value"), [(0, 1), (1, 1), (1, 0)], at_offset(0, 1).alias("se"), at_offset(1, 1).alias("ne"), at_offset(1, 0).alias("nw"))
-    squares = corners.where("value is not null and se is not null and ne is not null and nw is not null").join(broadcast_if_small(extent), "grid_id")
+    squares = corners.where("value is not null and se is not null and ne is not null and nw is not null").join(extent, "grid_id")
     low, high = F.floor(F.least("value", "se", "ne", "nw") / F.col("step")) + 1, F.floor(F.greatest("value", "se", "ne", "nw") / F.col("step"))
     crossed = squares.where(low <= high).withColumn("level", F.explode(F.sequence(low, high))).withColumn("level", F.col("level") * F.col("step"))
     ends = [("value", 0, 0), ("se", 0, 1), ("ne", 1, 1), ("nw", 1, 0)]

@@ -482,18 +482,20 @@ def c05(spark, sf_dir):
 
 @query(
     "C05_recursive_cycles",
-    """WITH RECURSIVE e(a, b) AS (VALUES (1, 2), (2, 3), (3, 1), (3, 4), (4, 5)), w(root, node, path) AS (SELECT a, b, [a, b] FROM e UNION ALL SELECT root, b, list_append(path, b) FROM w JOIN e ON node = a WHERE NOT list_contains(path[2:], node) OR node <> root AND list_position(path, node) = len(path))
+    """WITH RECURSIVE e(a, b) AS (SELECT n_nationkey, n_nationkey // 2 FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation WHERE n_regionkey = 0), w(root, node, path) AS (SELECT a, b, [a, b] FROM e UNION ALL SELECT root, b, list_append(path, b) FROM w JOIN e ON node = a WHERE NOT list_contains(path[2:], node) OR node <> root AND list_position(path, node) = len(path))
     SELECT DISTINCT root FROM w WHERE node = root""",
 )
 def c05_cycles(spark, sf_dir):
     """Nodes on a cycle, by the engine's own recursive query."""
+    n, key = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    edges = n.where("n_nationkey > 0").select(key.alias("a"), F.floor(key / 2).alias("b")).union(n.where("n_regionkey = 0").select(key.alias("a"), ((key + 5) % 25).alias("b"))).distinct()
     return spark.sql("""
-      WITH RECURSIVE e AS (SELECT * FROM VALUES (1, 2), (2, 3), (3, 1), (3, 4), (4, 5) AS t(a, b)),
+      WITH RECURSIVE e AS (SELECT * FROM {edges}),
       w(root, node, path) AS (
         SELECT a, b, array(b) FROM e
         UNION ALL
         SELECT root, b, array_append(path, b) FROM w JOIN e ON node = a WHERE node <> root AND NOT array_contains(path, b))
-      SELECT DISTINCT root FROM w WHERE node = root""")
+      SELECT DISTINCT root FROM w WHERE node = root""", edges=edges)
 
 
 @query("C07_array_subquery", """SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names FROM nation GROUP BY n_regionkey""")
