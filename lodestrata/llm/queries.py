@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .codes import op11_vector_codes
 from .html import op1_html_extraction
 from .langid import op8_language_id
+from .merkle import op12_merkle_manifest
+from .neighbours import op13_neighbours
 from .packing import op9_packing
 from .pii import op6_pii
 from .quality import op5_quality_rules
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLES: dict[str, str] = {}
