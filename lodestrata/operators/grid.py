@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import network, terrain
 from .relational import broadcast_if_small
 
 CELL = ["grid_id", "row", "col"]
 EIGHT = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
-_NONE = object()
 FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
 
 
@@ -131,14 +131,10 @@ def contours(grid: DataFrame) -> DataFrame:
 
 
 def contour_lines(segments: DataFrame) -> DataFrame:
-    """Lines ``grid_id, level, line, place, r, c`` of the segments of ``contours``; ends that meet have equal coordinates."""
-    from .kernels import stitch
-
-    scale = 1_000_000
-    node = lambda k: F.shiftleft(F.round(F.col(f"r{k}") * scale).cast("long"), 32) + F.round(F.col(f"c{k}") * scale).cast("long")
-    pairs = segments.select("grid_id", F.col("level").cast("long").alias("level"), node(1).alias("a"), node(2).alias("b")).where("a <> b")
-    lines = stitch(pairs, ("grid_id", "level"))
-    return lines.select("grid_id", "level", "line", "place", (F.shiftright("node", 32) / scale).alias("r"), (F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)) / scale).alias("c"))
+    """Lines ``grid_id, level, line, place, r, c`` of the segments of ``contours``, from end to end or around; a line stops where more than two meet."""
+    node = lambda k: F.struct(F.round(f"r{k}", 6).alias("r"), F.round(f"c{k}", 6).alias("c"))
+    parts = segments.select("grid_id", F.col("level").cast("long").alias("level"), node(1).alias("a"), node(2).alias("b"))
+    return network.merged(parts, ["grid_id", "level"]).select("grid_id", "level", "line", "place", "node.r", "node.c")
 
 
 def edges(grid: DataFrame, column: str = "class") -> DataFrame:
@@ -155,30 +151,9 @@ def edge_density(grid: DataFrame, column: str = "class") -> DataFrame:
     return edges(grid, column).groupBy("grid_id").agg(F.count_if(F.col("one") != F.col("other")).alias("n_unlike"), F.count("*").alias("n_edges"), F.round(F.count_if(F.col("one") != F.col("other")) / F.count("*"), 6).alias("density"))
 
 
-def patches(grid: DataFrame, column: str = "class", offsets: Sequence[tuple[int, int]] = tuple(EIGHT)) -> DataFrame:
-    """``grid`` with ``patch``: the least (row, col) of the connected cells of equal class, one tile a group."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"])
-        kind = dict(zip(zip(pdf.row.tolist(), pdf.col.tolist()), pdf[column].tolist()))
-        label: dict[tuple, tuple] = {}
-        for start in kind:
-            if start in label:
-                continue
-            label[start], todo = start, [start]
-            while todo:
-                r, c = todo.pop()
-                for dr, dc in offsets:
-                    near = (r + dr, c + dc)
-                    if near not in label and kind.get(near, _NONE) == kind[start]:
-                        label[near] = start
-                        todo.append(near)
-        first = [label[k] for k in zip(pdf.row.tolist(), pdf.col.tolist())]
-        return pd.DataFrame({"grid_id": pdf.grid_id, "row": pdf.row, "col": pdf.col, "__r": [f[0] for f in first], "__c": [f[1] for f in first]})
-
-    found = grid.select(*CELL, column).groupBy("grid_id").applyInPandas(run, "grid_id long, row long, col long, __r long, __c long")
-    return grid.join(found.select(*CELL, F.struct(F.col("__r").alias("row"), F.col("__c").alias("col")).alias("patch")), CELL)
+def patches(grid: DataFrame, column: str = "class", offsets: Sequence[tuple[int, int]] = tuple(EIGHT), tile: int = terrain.TILE) -> DataFrame:
+    """``grid`` with ``patch``: the least (row, col) of the connected cells of equal class, over the borders of tiles too."""
+    return terrain.patches(grid, column, offsets, tile)
 
 
 def distance_to_segments(grid: DataFrame, segments: DataFrame, x: Column, y: Column) -> DataFrame:

@@ -6,7 +6,6 @@ sample; groups are spread over the cluster, and tiles bound their size.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,64 +16,6 @@ from pyspark.sql import functions as F
 AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
 
-def _array(pdf: pd.DataFrame, column: str = "value") -> tuple[np.ndarray, int, int]:
-    """Cells as a matrix with NaN where there are none, and its first row and column."""
-    r0, c0 = int(pdf.row.min()), int(pdf.col.min())
-    out = np.full((int(pdf.row.max()) - r0 + 1, int(pdf.col.max()) - c0 + 1), np.nan)
-    out[pdf.row.to_numpy() - r0, pdf.col.to_numpy() - c0] = pdf[column].to_numpy(float)
-    return out, r0, c0
-
-
-def fill(height: np.ndarray, with_source: bool = False):
-    """Heights with every pit raised to its lowest outlet; missing cells and the rim let water out.
-
-    ``with_source`` adds the flat index of the cell from which each was reached, -1 at the rim.
-    """
-    rows, cols = height.shape
-    out, done, heap = height.copy(), np.isnan(height), []
-    came = np.full(height.shape, -1)
-    for r in range(rows):
-        for c in range(cols):
-            if not done[r, c] and any(not (0 <= r + i < rows and 0 <= c + j < cols) or np.isnan(height[r + i, c + j]) for i, j in AROUND):
-                heapq.heappush(heap, (out[r, c], r, c))
-                done[r, c] = True
-    while heap:
-        level, r, c = heapq.heappop(heap)
-        for i, j in AROUND:
-            y, x = r + i, c + j
-            if 0 <= y < rows and 0 <= x < cols and not done[y, x]:
-                done[y, x] = True
-                out[y, x] = max(out[y, x], level)
-                came[y, x] = r * cols + c
-                heapq.heappush(heap, (out[y, x], y, x))
-    return (out, came) if with_source else out
-
-
-def priority_flood(grid: DataFrame) -> DataFrame:
-    """``grid_id, row, col, value, filled``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        height, r0, c0 = _array(pdf)
-        filled = fill(height)
-        return pdf[["grid_id", "row", "col", "value"]].assign(filled=filled[pdf.row - r0, pdf.col - c0])
-
-    return grid.select("grid_id", "row", "col", F.col("value").cast("double").alias("value")).groupBy("grid_id").applyInPandas(run, "grid_id long, row long, col long, value double, filled double")
-
-
-def route(height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Filled heights and, by flat index, where the water of each cell goes: -1 off the grid.
-
-    It goes to the steepest lower neighbour on the filled surface, on a flat (a filled pit) to the cell from which the
-    flood came; so all water reaches the rim.
-    """
-    rows, cols = height.shape
-    filled, came = fill(height, True)
-    to = downstream(filled).ravel()
-    flat = (to < 0) & (came.ravel() >= 0)
-    to[flat] = came.ravel()[flat]
-    return filled, to
-
-
 def gathered(to: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """What flows through each cell: its own weight and that of all above it."""
     total, waiting = weight.copy(), np.zeros(len(to), np.int64)
@@ -91,185 +32,6 @@ def gathered(to: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return total
 
 
-def downstream(height: np.ndarray) -> np.ndarray:
-    """Flat index of the steepest lower neighbour of each cell, -1 for none."""
-    rows, cols = height.shape
-    padded = np.full((rows + 2, cols + 2), np.nan)
-    padded[1:-1, 1:-1] = height
-    best, to = np.zeros((rows, cols)), np.full((rows, cols), -1)
-    index = np.arange(rows * cols).reshape(rows, cols)
-    for i, j in AROUND:
-        fall = (height - padded[1 + i : rows + 1 + i, 1 + j : cols + 1 + j]) / np.hypot(i, j)
-        better = fall > best
-        best[better] = fall[better]
-        to[better] = (index + i * cols + j)[better]
-    return to
-
-
-def flow_accumulation(grid: DataFrame) -> DataFrame:
-    """``grid_id, row, col, cells``: cells that drain through each cell of the filled surface, itself included."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        height, r0, c0 = _array(pdf)
-        total = gathered(route(height)[1], (~np.isnan(height)).astype(np.int64).ravel())
-        return pdf[["grid_id", "row", "col"]].assign(cells=total.reshape(height.shape)[pdf.row - r0, pdf.col - c0])
-
-    return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, row long, col long, cells long")
-
-
-def flow_paths(grid: DataFrame, least_cells: int, most_paths: int = 12) -> DataFrame:
-    """Paths down from the heads of streams of ``least_cells`` or more: ``grid_id, path, step, row, col``, the ``most_paths`` longest of a grid.
-
-    Streams run over the filled surface, so every path ends at the rim.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        height, r0, c0 = _array(pdf)
-        to = route(height)[1]
-        total = gathered(to, (~np.isnan(height)).astype(np.int64).ravel())
-        stream = total >= least_cells
-        fed = np.zeros(len(to), bool)
-        fed[to[stream & (to >= 0)]] = True
-        paths = []
-        for head in np.flatnonzero(stream & ~fed):
-            path = [head]
-            while to[path[-1]] >= 0:
-                path.append(to[path[-1]])
-            paths.append(path)
-        paths.sort(key=lambda p: (-len(p), p[0]))
-        rows = [(int(pdf.grid_id.iloc[0]), n, k, at // height.shape[1] + r0, at % height.shape[1] + c0) for n, p in enumerate(paths[:most_paths]) for k, at in enumerate(p)]
-        return pd.DataFrame(rows, columns=["grid_id", "path", "step", "row", "col"])
-
-    return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, path int, step int, row long, col long")
-
-
-#: Names of the eight sectors from north, clockwise.
-SECTORS = ["north", "northeast", "east", "southeast", "south", "southwest", "west", "northwest"]
-
-
-def sector(dr: float, dc: float, middle: float = 0.12) -> str:
-    """Direction of a place by its offset from the centre in parts of the grid's extent; rows grow to the north."""
-    if abs(dr) < middle and abs(dc) < middle:
-        return "central"
-    return SECTORS[int(np.floor(np.degrees(np.arctan2(dc, dr)) % 360 / 45 + 0.5)) % 8]
-
-
-def anatomy(grid: DataFrame, near: int = 2) -> DataFrame:
-    """Outlets, highest and lowest place of the cells marked ``inside``: ``grid_id, kind, direction, row, col, cells, percent``.
-
-    Water of an inside cell leaves at the first cell outside on its way over the filled surface; cells that leave at
-    places within ``near`` rows and columns of each other make one outlet, named by the place that takes most (of equal
-    ones the first in row order). ``kind`` is ``outlet``, ``high`` or ``low``; ``percent`` is of the inside cells.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        height, r0, c0 = _array(pdf)
-        rows, cols = height.shape
-        to = route(height)[1].tolist()
-        inside = np.zeros(height.size, bool)
-        inside[((pdf.row - r0) * cols + pdf.col - c0)[pdf.inside.to_numpy(bool)]] = True
-        cells = np.flatnonzero(inside & ~np.isnan(height.ravel()))
-        left: dict[int, int] = {}
-        for k in cells.tolist():
-            while k >= 0 and inside[k]:
-                k = to[k]
-            if k >= 0:
-                left[k] = left.get(k, 0) + 1
-        direction = lambda k: sector((k // cols - (rows - 1) / 2) / max(1, rows - 1), (k % cols - (cols - 1) / 2) / max(1, cols - 1))
-        found, waiting = [], set(left)
-        while waiting:
-            todo, members = [min(waiting)], []
-            waiting.discard(todo[0])
-            while todo:
-                k = todo.pop()
-                members.append(k)
-                close = [x for x in waiting if abs(x // cols - k // cols) <= near and abs(x % cols - k % cols) <= near]
-                waiting.difference_update(close)
-                todo += close
-            found.append(("outlet", min(members, key=lambda k: (-left[k], k)), sum(left[k] for k in members)))
-        if len(cells):
-            values = height.ravel()[cells]
-            found += [("high", int(cells[values.argmax()]), 1), ("low", int(cells[values.argmin()]), 1)]
-        out = [(int(pdf.grid_id.iloc[0]), kind, direction(k), k // cols + r0, k % cols + c0, n, 100 * n / len(cells)) for kind, k, n in found]
-        return pd.DataFrame(out, columns=["grid_id", "kind", "direction", "row", "col", "cells", "percent"])
-
-    return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, kind string, direction string, row long, col long, cells long, percent double")
-
-
-def stitch(segments: DataFrame, keys: Sequence[str] = ("grid_id",)) -> DataFrame:
-    """Lines from segments ``a, b`` (end points as numbers): ``line, place, node``; open lines from an end, closed ones from their least node."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        left = {n: sorted(x) for n, x in near.items()}
-        lines = []
-        for start in [*sorted(n for n in left if len(left[n]) % 2), *sorted(left)]:
-            while left[start]:
-                line = [start]
-                while left[line[-1]]:
-                    nxt = left[line[-1]].pop(0)
-                    left[nxt].remove(line[-1])
-                    line.append(nxt)
-                lines.append(line)
-        head = tuple(pdf[k].iloc[0] for k in keys)
-        return pd.DataFrame([(*head, n, k, node) for n, line in enumerate(lines) for k, node in enumerate(line)], columns=[*keys, "line", "place", "node"])
-
-    kept = ", ".join(f"{k} long" for k in keys)
-    return segments.groupBy(*keys).applyInPandas(run, f"{kept}, line int, place int, node long")
-
-
-def visible_distance(grid: DataFrame, heights: Sequence[float], reaches: Sequence[int]) -> DataFrame:
-    """Share of 16 rays along which a target at ground height is seen, by eye height and distance in cells, for every cell."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ground, r0, c0 = _array(pdf)
-        rows, cols = pdf.row.to_numpy() - r0, pdf.col.to_numpy() - c0
-        out = []
-        for eye in heights:
-            for reach in reaches:
-                seen, cast = np.zeros(len(pdf)), np.zeros(len(pdf))
-                for angle in np.arange(16) * np.pi / 8:
-                    steepest, end = np.full(len(pdf), -np.inf), None
-                    inside = np.ones(len(pdf), bool)
-                    for d in range(1, reach + 1):
-                        y, x = np.rint(rows + d * np.sin(angle)).astype(int), np.rint(cols + d * np.cos(angle)).astype(int)
-                        inside &= (y >= 0) & (x >= 0) & (y < ground.shape[0]) & (x < ground.shape[1])
-                        z = np.where(inside, ground[np.clip(y, 0, ground.shape[0] - 1), np.clip(x, 0, ground.shape[1] - 1)], np.nan)
-                        end = (z - ground[rows, cols] - eye) / d
-                        if d < reach:
-                            steepest = np.fmax(steepest, end)
-                    ok = inside & ~np.isnan(end)
-                    cast += ok
-                    seen += ok & (end >= steepest)
-                share = np.divide(seen, cast, out=np.full(len(pdf), np.nan), where=cast > 0)
-                out.append(pdf[["grid_id", "row", "col"]].assign(eye=eye, reach=reach, visible=share))
-        return pd.concat(out)
-
-    return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, row long, col long, eye double, reach int, visible double")
-
-
-def horizon(grid: DataFrame, sectors: int, reach: int, cell: float) -> DataFrame:
-    """Horizon angle in degrees by sector (from north, clockwise) within ``reach`` cells, as an array for each cell."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ground, r0, c0 = _array(pdf)
-        rows, cols = pdf.row.to_numpy() - r0, pdf.col.to_numpy() - c0
-        angles = np.zeros((len(pdf), sectors))
-        for k in range(sectors):
-            turn = 2 * np.pi * k / sectors
-            for d in range(1, reach + 1):
-                y, x = np.rint(rows - d * np.cos(turn)).astype(int), np.rint(cols + d * np.sin(turn)).astype(int)
-                ok = (y >= 0) & (x >= 0) & (y < ground.shape[0]) & (x < ground.shape[1])
-                z = np.where(ok, ground[np.clip(y, 0, ground.shape[0] - 1), np.clip(x, 0, ground.shape[1] - 1)], np.nan)
-                angles[:, k] = np.fmax(angles[:, k], np.degrees(np.arctan2(z - ground[rows, cols], d * cell)))
-        return pdf[["grid_id", "row", "col"]].assign(horizon=list(angles))
-
-    return grid.groupBy("grid_id").applyInPandas(run, "grid_id long, row long, col long, horizon array<double>")
-
-
 def regression_tree(df: DataFrame, key: str, features: Sequence[str], target: str, depth: int = 4, least: int = 100, cuts: int = 9) -> DataFrame:
     """Leaves of a least-squares tree for each key: ``rule, n, mean``; thresholds are quantiles of the node."""
 

@@ -10,6 +10,7 @@ from lodestrata.functions import solar
 from lodestrata.operators import grid as G
 from lodestrata.operators import kernels as K
 from lodestrata.operators import spatial as S
+from lodestrata.operators import terrain as T
 
 from .catalog import query
 from .tables import table
@@ -94,6 +95,13 @@ def x14_sizes(spark, sf_dir):
     return G.patches(tiles(spark, sf_dir)).groupBy("grid_id", "patch.row", "patch.col", "class").agg(F.count("*").alias("area"))
 
 
+@query("X14_patches_across_tiles", """WITH RECURSIVE g AS (SELECT 0 AS grid_id, p_partkey // 50 AS row, p_partkey % 50 AS col, p_size % 2 AS class FROM part), w AS (SELECT grid_id, row, col, class, row * 50 + col AS first FROM g UNION SELECT g.grid_id, g.row, g.col, g.class, w.first FROM w JOIN g ON g.class = w.class AND abs(g.row - w.row) + abs(g.col - w.col) = 1),
+m AS (SELECT row, col, class, min(first) AS first FROM w GROUP BY ALL) SELECT first // 50 AS row, first % 50 AS col, class, count(*) AS area FROM m GROUP BY ALL""")
+def x14_cut(spark, sf_dir):
+    """Areas on one surface cut into tiles."""
+    return G.patches(surface(spark, sf_dir), "class", G.FOUR, CUT).groupBy("patch.row", "patch.col", "class").agg(F.count("*").alias("area"))
+
+
 @query(
     "X14_G20_adjacency",
     f"""WITH {_G}, e AS (SELECT a.grid_id, a.class AS x, b.class AS y FROM g a JOIN g b ON a.grid_id = b.grid_id AND ((b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col))) SELECT grid_id, least(x, y) AS a, greatest(x, y) AS b, count(*) AS n_edges FROM e GROUP BY ALL""",
@@ -297,32 +305,65 @@ def x33(spark, sf_dir):
 
 
 # A cell's filled height is the least level at which it is joined to the rim by cells of that level or lower.
-_FILLED = f"""{_G}, {_H}, lv AS (SELECT DISTINCT grid_id, value AS level FROM h),
-rim AS (SELECT a.* FROM h a JOIN (SELECT x.grid_id, x.row, x.col FROM h x JOIN h y ON y.grid_id = x.grid_id AND abs(y.row - x.row) <= 1 AND abs(y.col - x.col) <= 1 GROUP BY ALL HAVING count(*) < 9) b USING (grid_id, row, col)),
+_FILLED = """lv AS (SELECT DISTINCT grid_id, value AS level FROM h),
+beside AS (SELECT x.grid_id, x.row, x.col, count(*) < 9 AS open FROM h x JOIN h y ON y.grid_id = x.grid_id AND abs(y.row - x.row) <= 1 AND abs(y.col - x.col) <= 1 GROUP BY ALL),
+rim AS (SELECT h.* FROM h JOIN beside USING (grid_id, row, col) WHERE open),
 w AS (SELECT rim.grid_id, row, col, level FROM rim JOIN lv ON lv.grid_id = rim.grid_id AND rim.value <= level UNION SELECT h.grid_id, h.row, h.col, w.level FROM w JOIN h ON h.grid_id = w.grid_id AND abs(h.row - w.row) <= 1 AND abs(h.col - w.col) <= 1 AND h.value <= w.level),
 filled AS (SELECT grid_id, row, col, h.value, min(level) AS filled FROM h JOIN w USING (grid_id, row, col) GROUP BY ALL)"""
 
+# Water goes down the steepest way; on flats it goes a step nearer to where the flat drains.
+_WAYS = f"""{_FILLED}, n AS (SELECT a.grid_id, a.row, a.col, b.row AS r, b.col AS c, (b.row - a.row) * 3 + b.col - a.col AS k, (a.filled - b.filled) / sqrt(abs(b.row - a.row) + abs(b.col - a.col)) AS fall FROM filled a JOIN filled b ON a.grid_id = b.grid_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row, a.col) <> (b.row, b.col)),
+steep AS (SELECT * FROM n WHERE fall > 0 QUALIFY row_number() OVER (PARTITION BY grid_id, row, col ORDER BY fall DESC, k) = 1),
+drained AS (SELECT grid_id, row, col FROM steep UNION SELECT grid_id, row, col FROM rim),
+s AS (SELECT grid_id, row, col, 0 AS steps FROM drained UNION SELECT n.grid_id, n.row, n.col, s.steps + 1 FROM s JOIN n ON n.grid_id = s.grid_id AND n.r = s.row AND n.c = s.col AND n.fall = 0 ANTI JOIN drained d ON d.grid_id = n.grid_id AND d.row = n.row AND d.col = n.col WHERE s.steps < 40),
+near AS (SELECT grid_id, row, col, min(steps) AS steps FROM s GROUP BY ALL),
+flat AS (SELECT n.* FROM n JOIN near a USING (grid_id, row, col) JOIN near b ON b.grid_id = n.grid_id AND b.row = n.r AND b.col = n.c WHERE a.steps > 0 AND n.fall = 0 AND b.steps = a.steps - 1 QUALIFY row_number() OVER (PARTITION BY n.grid_id, n.row, n.col ORDER BY k) = 1),
+ways AS (SELECT grid_id, row, col, r, c FROM steep UNION ALL SELECT grid_id, row, col, r, c FROM flat)"""
+
+#: One surface over all parts, 50 cells wide, that the queries below cut into tiles of 16.
+_SURFACE = "g AS (SELECT 0 AS grid_id, p_partkey // 50 AS row, p_partkey % 50 AS col, p_size % 2 AS class, CAST((p_partkey // 50 * (p_partkey // 50) + p_partkey % 50 * 7 + p_partkey // 50 * (p_partkey % 50)) % 13 AS DOUBLE) AS value FROM part), h AS (SELECT * FROM g)"
+CUT = 16
+
 
-@query("X06_priority_flood", f"""WITH RECURSIVE {_FILLED} SELECT * FROM filled""")
+def surface(spark, sf_dir):
+    k = F.col("p_partkey")
+    row, col = F.floor(k / 50), k % 50
+    return table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("grid_id"), row.alias("row"), col.alias("col"), (F.col("p_size") % 2).alias("class"), ((row * row + col * 7 + row * col) % 13).cast("double").alias("value"))
+
+
+@query("X06_priority_flood", f"""WITH RECURSIVE {_G}, {_H}, {_FILLED} SELECT * FROM filled""")
 def x06(spark, sf_dir):
-    return K.priority_flood(heights(spark, sf_dir))
+    return T.fill(heights(spark, sf_dir)).drop("open")
+
 
+@query("X06_fill_across_tiles", f"""WITH RECURSIVE {_SURFACE}, {_FILLED} SELECT * FROM filled""")
+def x06_cut(spark, sf_dir):
+    return T.fill(surface(spark, sf_dir), CUT, 2).drop("open")
 
-@query("X08_flow_accumulation")
+
+_DRAINED = "walk AS (SELECT grid_id, row, col, row AS r, col AS c FROM h UNION ALL SELECT walk.grid_id, walk.row, walk.col, ways.r, ways.c FROM walk JOIN ways ON ways.grid_id = walk.grid_id AND ways.row = walk.r AND ways.col = walk.c) SELECT grid_id, r AS row, c AS col, count(*) AS cells FROM walk GROUP BY ALL"
+
+
+@query("X08_flow_accumulation", f"""WITH RECURSIVE {_G}, {_H}, {_WAYS}, {_DRAINED}""")
 def x08(spark, sf_dir):
-    return K.flow_accumulation(heights(spark, sf_dir))
+    return T.flow_accumulation(heights(spark, sf_dir))
+
+
+@query("X07_X08_flow_across_tiles", f"""WITH RECURSIVE {_SURFACE}, {_WAYS}, {_DRAINED}""")
+def x08_cut(spark, sf_dir):
+    return T.flow_accumulation(surface(spark, sf_dir), CUT)
 
 
 @query("X10_flow_paths")
 def x10(spark, sf_dir):
-    return K.flow_paths(heights(spark, sf_dir), 3)
+    return T.flow_paths(heights(spark, sf_dir), 3)
 
 
 @query("X09_terrain_anatomy")
 def x09(spark, sf_dir):
     """The inner cells of each tile are the property; where their water leaves it, by direction."""
     inside = F.col("row").between(3, 16) & F.col("col").between(2, 15)
-    return K.anatomy(heights(spark, sf_dir).withColumn("inside", inside))
+    return T.anatomy(heights(spark, sf_dir).withColumn("inside", inside))
 
 
 _CONTOURS = f"""{_G}, x AS (SELECT grid_id, CASE WHEN max(value) - min(value) > 220 THEN 20 ELSE 10 END::DOUBLE AS step FROM g GROUP BY grid_id),
@@ -353,20 +394,30 @@ def x03(spark, sf_dir):
     return G.contour_lines(G.contours(tiles(spark, sf_dir)))
 
 
+@query("X03_contour_vertices", f"""WITH {_CONTOURS}, e AS (SELECT grid_id, level, round(round(a.r, 9), 6) AS r1, round(round(a.c, 9), 6) AS c1, round(round(b.r, 9), 6) AS r2, round(round(b.c, 9), 6) AS c2 FROM s),
+v AS (SELECT grid_id, level, r1 AS r, c1 AS c FROM e WHERE (r1, c1) <> (r2, c2) UNION ALL SELECT grid_id, level, r2, c2 FROM e WHERE (r1, c1) <> (r2, c2)) SELECT grid_id, CAST(level AS BIGINT) AS level, r, c, count(*) AS degree FROM v GROUP BY ALL""")
+def x03_vertices(spark, sf_dir):
+    """The vertices of the lines with how often lines come to or leave them: every segment is in one line once."""
+    lines = G.contour_lines(G.contours(tiles(spark, sf_dir)))
+    last = lines.groupBy("grid_id", "level", "line").agg(F.max("place").alias("last"))
+    degree = F.when(F.col("place").isin(0) | (F.col("place") == F.col("last")), 1).otherwise(2)
+    return lines.join(last, ["grid_id", "level", "line"]).groupBy("grid_id", "level", "r", "c").agg(F.sum(degree).alias("degree"))
+
+
 @query("X19_horizon")
 def x19(spark, sf_dir):
-    return K.horizon(heights(spark, sf_dir), 24, 6, 10.0)
+    return T.horizon(heights(spark, sf_dir), 24, 6, 10.0)
 
 
 @query("X22_visibility")
 def x22(spark, sf_dir):
-    return K.visible_distance(heights(spark, sf_dir), [0.5, 1.5, 3.0], [1, 3, 5])
+    return T.visible_distance(heights(spark, sf_dir), [0.5, 1.5, 3.0], [1, 3, 5])
 
 
 @query("X20_X21_exposure")
 def x20(spark, sf_dir):
     """Direct beam on sloped cells behind their horizon, added up over a day in steps of 15 minutes."""
-    facing = K.horizon(heights(spark, sf_dir), 24, 4, 10.0).withColumn("slope", F.lit(20.0)).withColumn("aspect", (F.col("col") % 4 * 90).cast("double"))
+    facing = T.horizon(heights(spark, sf_dir), 24, 4, 10.0).withColumn("slope", F.lit(20.0)).withColumn("aspect", (F.col("col") % 4 * 90).cast("double"))
     at = F.explode(F.sequence(F.lit("2024-06-21 00:00:00").cast("timestamp_ntz"), F.lit("2024-06-21 23:45:00").cast("timestamp_ntz"), F.expr("interval 15 minutes")))
     timed = facing.select("*", at.alias("at"))
     zenith, azimuth = solar.position(F.col("at"), F.lit(40.0), F.lit(-86.0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import geo
 from lodestrata.functions import text as X
+from lodestrata.operators import network as N
 from lodestrata.operators import relational as R
 from lodestrata.operators import spatial as G
 
@@ -345,6 +346,89 @@ def m15(spark, sf_dir):
     return R.over_fetch(left, [F.desc("c_acctbal"), F.asc("c_custkey")], F.col("fit") != "blocked", [order.asc(), F.asc("c_custkey")], 30).select("c_custkey", "fit")
 
 
+# Tracks of users by event, and a network of paths between suppliers; both over whole numbers, in metres.
+_TRACKS = """t AS (SELECT user_id, ts, event_id, (event_id * 37 % 400 + floor(value))::DOUBLE AS x, (event_id * 91 % 300)::DOUBLE AS y FROM events),
+n AS (SELECT (s_suppkey * 53 % 400)::DOUBLE AS x1, (s_suppkey * 29 % 300)::DOUBLE AS y1, (s_suppkey * 53 % 400 + 40)::DOUBLE AS x2, (s_suppkey * 29 % 300 + s_suppkey % 7 * 10)::DOUBLE AS y2 FROM supplier),
+p AS (SELECT user_id, x, y, lag(x) OVER w AS x0, lag(y) OVER w AS y0, row_number() OVER w AS idx FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, (x + x0) / 2 AS mx, (y + y0) / 2 AS my, sqrt((x - x0) ** 2 + (y - y0) ** 2) AS long FROM p WHERE x0 IS NOT NULL AND (x <> x0 OR y <> y0)),
+d AS (SELECT user_id, idx, any_value(long) AS long, min(sqrt((mx - x1 - u * (x2 - x1)) ** 2 + (my - y1 - u * (y2 - y1)) ** 2)) AS away FROM (SELECT *, greatest(0, least(1, ((mx - x1) * (x2 - x1) + (my - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS u FROM s, n) GROUP BY user_id, idx)"""
+
+
+def _tracks(spark, sf_dir):
+    e, s = F.col("event_id"), F.col("s_suppkey")
+    tracks = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (e * 37 % 400 + F.floor("value")).cast("double").alias("x"), (e * 91 % 300).cast("double").alias("y"))
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = s * 53 % 400, s * 29 % 300
+    paths = table(spark, sf_dir, "supplier").select(at(x, y).alias("a"), at(x + 40, y + s % 7 * 10).alias("b"))
+    return N.along_network(tracks, paths, "user_id", ["ts", "event_id"], 15.0, [5.0])
+
+
+@query(
+    "G09_track_shares",
+    f"""WITH {_TRACKS}, c AS (SELECT user_id, sum(long) AS total, coalesce(sum(long) FILTER (WHERE away <= 5), 0) AS w5, coalesce(sum(long) FILTER (WHERE away <= 15), 0) AS w15 FROM d GROUP BY user_id)
+    SELECT user_id, round(total, 4) AS total, round(w5, 4) AS within_5, round(w15, 4) AS within_15, round(100 * w5 / total, 1) AS within_5_pct, round(100 * w15 / total, 1) AS within_15_pct, round(total - w15, 4) AS new, round(100 * (total - w15) / total, 1) AS new_pct FROM c""",
+)
+def g09_shares(spark, sf_dir):
+    """Length of each track near the network, by the middles of its segments."""
+    totals = _tracks(spark, sf_dir)[1]
+    return totals.select("user_id", *[F.round(c, 4).alias(c) for c in ("total", "within_5", "within_15")], "within_5_pct", "within_15_pct", F.round("new", 4).alias("new"), "new_pct")
+
+
+@query(
+    "G09_track_runs",
+    f"""WITH {_TRACKS}, c AS (SELECT *, CASE WHEN away <= 15 THEN 'overlap' ELSE 'novel' END AS class FROM d), b AS (SELECT *, CASE WHEN lag(class) OVER w IS NOT DISTINCT FROM class THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY user_id ORDER BY idx)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM b)
+    SELECT user_id, CAST(run AS BIGINT) AS run, class, count(*) + 1 AS n_points, round(sum(long), 4) AS length FROM r GROUP BY ALL""",
+)
+def g09_runs(spark, sf_dir):
+    """Runs of segments of one class as merged lines."""
+    return _tracks(spark, sf_dir)[0].select("user_id", "run", "class", F.size("line").cast("long").alias("n_points"), F.round("length", 4).alias("length"))
+
+
+# Streets and avenues of a grid, dashed and in pieces that overlap, from parts: straight lines over whole numbers.
+_STREETS = """l AS (SELECT p_partkey AS id, p_partkey % 2 = 0 AS level, (p_partkey * 37 % 211)::INT AS lo, (p_partkey * 37 % 211 + p_size % 9 + 2)::INT AS hi, (p_partkey * 17 % 199)::INT AS pos FROM part),
+u AS (SELECT DISTINCT level, pos, unnest(range(lo, hi)) AS k FROM l)"""
+
+
+def _streets(spark, sf_dir):
+    k = F.col("p_partkey")
+    low, at, level = k * 37 % 211, k * 17 % 199, k % 2 == 0
+    spot = lambda x: F.struct(F.when(level, x).otherwise(at).cast("double").alias("x"), F.when(level, at).otherwise(x).cast("double").alias("y"))
+    return table(spark, sf_dir, "part").select(k.alias("id"), F.array(spot(low), spot(low + F.col("p_size") % 9 + 2)).alias("line"))
+
+
+# Pieces between crossings, ends and touches; on whole numbers each is made of steps of one.
+_NODED = f"""{_STREETS}, c AS (SELECT level, pos, k, CASE WHEN level THEN k ELSE pos END AS x, CASE WHEN level THEN pos ELSE k END AS y FROM u),
+ends AS (SELECT DISTINCT level, pos, lo AS k FROM l UNION SELECT level, pos, hi FROM l),
+cross_at AS (SELECT DISTINCT a.level, a.pos, b.pos AS k FROM l a JOIN l b ON a.level <> b.level AND b.pos BETWEEN a.lo AND a.hi AND a.pos BETWEEN b.lo AND b.hi),
+stops AS (SELECT * FROM ends UNION SELECT * FROM cross_at)"""
+
+
+@query(
+    "G09_noded_network",
+    f"""WITH {_NODED}, o AS (SELECT level, pos, k, lead(k) OVER (PARTITION BY level, pos ORDER BY k) AS next FROM stops)
+    SELECT level AS is_level, pos, k AS low, next AS high FROM o SEMI JOIN u ON u.level = o.level AND u.pos = o.pos AND u.k = o.k WHERE next IS NOT NULL""",
+)
+def g09_noded(spark, sf_dir):
+    """Lines cut where they cross, touch or end on each other; what several cover counts once."""
+    pieces = N.noded(N.parts_of(_streets(spark, sf_dir), "id", "line"), 16.0)
+    level = F.col("a.y") == F.col("b.y")
+    whole = lambda x: F.round(x).cast("int")
+    return pieces.select(level.alias("is_level"), whole(F.when(level, F.col("a.y")).otherwise(F.col("a.x"))).alias("pos"), whole(F.when(level, F.col("a.x")).otherwise(F.col("a.y"))).alias("low"), whole(F.when(level, F.col("b.x")).otherwise(F.col("b.y"))).alias("high"))
+
+
+@query(
+    "G09_linked_clusters",
+    f"""WITH RECURSIVE {_STREETS}, e AS (SELECT a.id, b.id AS other FROM l a JOIN l b ON CASE WHEN a.level = b.level THEN a.pos = b.pos AND a.lo <= b.hi AND b.lo <= a.hi ELSE b.pos BETWEEN a.lo AND a.hi AND a.pos BETWEEN b.lo AND b.hi END),
+    w AS (SELECT id, id AS first FROM l UNION SELECT e.other, w.first FROM w JOIN e ON e.id = w.id WHERE w.first < e.other), m AS (SELECT id, min(first) AS first FROM w GROUP BY id),
+    s AS (SELECT DISTINCT first, level, pos, unnest(range(lo, hi)) AS k FROM l JOIN m USING (id)) SELECT n_steps, count(*) AS n_clusters FROM (SELECT first, count(*) AS n_steps FROM s GROUP BY first) GROUP BY n_steps""",
+)
+def g09_clusters(spark, sf_dir):
+    """Clusters of lines that hang together, by the length of what they cover."""
+    pieces = N.clusters(N.noded(N.parts_of(_streets(spark, sf_dir), "id", "line"), 16.0))
+    long = F.abs(F.col("b.x") - F.col("a.x")) + F.abs(F.col("b.y") - F.col("a.y"))
+    return pieces.groupBy("cluster").agg(F.round(F.sum(long)).cast("long").alias("n_steps")).groupBy("n_steps").agg(F.count("*").alias("n_clusters"))
+
+
 @query(
     "G09_line_islands",
     """WITH w AS (SELECT *, o_totalprice > 150000 AS near, CASE WHEN lag(o_totalprice > 150000) OVER p IS NOT DISTINCT FROM (o_totalprice > 150000) AND row_number() OVER p > 1 THEN 0 ELSE 1 END AS new FROM orders WINDOW p AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),

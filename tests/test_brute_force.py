@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import grid as G
-from lodestrata.operators import kernels as K
+from lodestrata.operators import terrain as T
 from lodestrata.plans import catalog, q_grid
 
 AROUND = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
@@ -46,7 +46,8 @@ def test_contour_lines_use_every_segment_once(spark, sf_dir):
         line = [at[k] for k in range(len(at))]
         for p, q in zip(line, line[1:]):
             found[grid, level, frozenset((p, q))] += 1
-        assert line[0] == line[-1] or degree[grid, level, line[0]] % 2 and degree[grid, level, line[-1]] % 2
+        assert line[0] == line[-1] or degree[grid, level, line[0]] != 2 != degree[grid, level, line[-1]]
+        assert all(degree[grid, level, p] == 2 for p in line[1:-1])
     assert found == want and len(segments) > 100
     for s in segments:
         assert all(-1e-9 <= s[f"{x}{k}"] - s[of] <= 1 + 1e-9 for x, of in (("r", "row"), ("c", "col")) for k in (1, 2))
@@ -76,27 +77,19 @@ def test_water_leaves_by_the_filled_surface(spark, sf_dir, heights):
     paths = collections.defaultdict(dict)
     for r in catalog.queries()["X10_flow_paths"](spark, sf_dir).collect():
         paths[r["grid_id"], r["path"]][r["step"]] = (r["row"], r["col"])
+    ways = {(r["grid_id"], (r["row"], r["col"])): (r["filled"], r["to"]) for r in T.directions(T.fill(q_grid.heights(spark, sf_dir))).collect()}
     for g, height in heights.items():
         filled, rim = plain_routes(height)
-        r0, c0 = min(k[0] for k in height), min(k[1] for k in height)
-        rows, cols = max(k[0] for k in height) - r0 + 1, max(k[1] for k in height) - c0 + 1
-        matrix = np.full((rows, cols), np.nan)
-        for (r, c), v in height.items():
-            matrix[r - r0, c - c0] = v
-        level, to = K.route(matrix)
-        place = lambda k: (k // cols + r0, k % cols + c0)
         below = {}
-        for k in range(rows * cols):
-            if place(k) not in height:
-                continue
-            a = place(k)
-            assert level[a[0] - r0, a[1] - c0] == filled[a]
+        for a in height:
+            level, to = ways[g, a]
+            assert level == filled[a]
             near = {(a[0] + i, a[1] + j): (filled[a] - filled[a[0] + i, a[1] + j]) / math.hypot(i, j) for i, j in AROUND if (a[0] + i, a[1] + j) in filled}
             steepest = max(near.values())
-            if to[k] < 0:
+            if to is None:
                 assert a in rim and steepest <= 0
             else:
-                below[a] = place(to[k])
+                below[a] = (a[0] + AROUND[to][0], a[1] + AROUND[to][1])
                 assert near[below[a]] == steepest if steepest > 0 else near[below[a]] == 0
         want = collections.Counter()
         for a in height:
@@ -139,8 +132,9 @@ def test_water_leaves_by_the_filled_surface(spark, sf_dir, heights):
         assert [[paths[g, n][k] for k in range(len(paths[g, n]))] for n in range(min(12, len(walked)))] == walked[:12]
 
 
-def test_sectors():
-    assert [K.sector(*x) for x in ((0, 0), (0.5, 0), (0.3, 0.3), (0, 0.5), (-0.5, 0), (0, -0.4), (0.3, -0.3))] == ["central", "north", "northeast", "east", "south", "west", "northwest"]
+def test_sectors(spark):
+    at = lambda x: spark.range(1).select(T.sector(F.lit(float(x[0])), F.lit(float(x[1])))).first()[0]
+    assert [at(x) for x in ((0, 0), (0.5, 0), (0.3, 0.3), (0, 0.5), (-0.5, 0), (0, -0.4), (0.3, -0.3))] == ["central", "north", "northeast", "east", "south", "west", "northwest"]
 
 
 def test_horizon_and_visibility(spark, sf_dir, heights):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, overlay, solar, text
-from lodestrata.operators import cadence, grid, kernels, relational, rules, spatial, state, stats
+from lodestrata.operators import cadence, grid, kernels, network, relational, rules, spatial, state, stats, terrain
 from lodestrata.operators.relational import distinct_on
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import sessions
@@ -155,14 +155,56 @@ def test_sun(spark):
     assert value(spark, solar.incidence(F.lit(50.0), F.lit(180.0), F.lit(20.0), F.lit(180.0), F.lit(45.0))) == 0
 
 
-def test_pit_fills_to_its_outlet_and_water_runs_down():
-    height = np.array([[9, 9, 9, 9], [9, 1, 5, 3], [9, 9, 9, 9]], float)
-    assert kernels.fill(height)[1, 1] == 5
-    to = kernels.downstream(height)
-    assert to[1, 2] == 5 and to[1, 1] == -1
-    holed = height.copy()
-    holed[0, 1] = np.nan
-    assert kernels.fill(holed)[1, 1] == 1
+def cells_of(height, grid_id=0):
+    return [(grid_id, r, c, float(v)) for r, line in enumerate(height) for c, v in enumerate(line) if v is not None]
+
+
+GRID = "grid_id long, row long, col long, value double"
+
+
+def test_pit_fills_to_its_outlet_and_water_runs_down(spark):
+    height = [[9, 9, 9, 9], [9, 1, 5, 3], [9, 9, 9, 9]]
+    holed = [[9, None, 9, 9], *height[1:]]
+    filled = terrain.fill(spark.createDataFrame(cells_of(height) + cells_of(holed, 1), GRID), 2, 2)
+    at = {(r["grid_id"], r["row"], r["col"]): r["filled"] for r in filled.collect()}
+    assert (at[0, 1, 1], at[1, 1, 1], at[0, 1, 2]) == (5, 1, 5)
+    to = {(r["row"], r["col"]): r["to"] for r in terrain.directions(filled, 2).where("grid_id = 0").collect()}
+    assert to[1, 2] == kernels.AROUND.index((0, 1)) and to[1, 1] == kernels.AROUND.index((0, 1)) and to[1, 3] is None
+
+
+@pytest.fixture(scope="module")
+def uncut(spark):
+    """A rough surface with holes, a lake with a pit over many tiles, and negative rows and columns."""
+    draw = np.random.default_rng(4)
+    height = draw.integers(0, 9, (21, 26)).astype(float)
+    height[5:16, 4:20], height[7:13, 7:14] = 2, 1
+    rows = [(1, r - 5, c - 7, float(height[r, c])) for r in range(21) for c in range(26) if draw.random() > 0.01]
+    return spark.createDataFrame(rows + [(2, 0, 0, 1.0)], GRID).withColumn("inside", F.expr("row between -2 and 11 and col between -4 and 14"))
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("tile", [7, 5])
+def test_cut_and_uncut_terrain_agree(spark, uncut, tile):
+    whole, cut = terrain.fill(uncut), terrain.fill(uncut, tile, 2)
+    assert rows_of(whole) == rows_of(cut)
+    one, many = terrain.directions(whole), terrain.directions(cut, tile)
+    assert rows_of(one) == rows_of(many)
+    assert rows_of(terrain.accumulate(one.withColumn("w", F.lit(1)), "w")) == rows_of(terrain.accumulate(many.withColumn("w", F.lit(1)), "w", tile))
+
+
+@pytest.mark.parametrize("run", [lambda g, t: terrain.flow_paths(g, 4, 5, t), lambda g, t: terrain.anatomy(g, 2, t), lambda g, t: terrain.horizon(g, 8, 6, 10.0, t), lambda g, t: terrain.visible_distance(g, [1.5], [2, 6], t), lambda g, t: grid.patches(g, "value", grid.FOUR, t)], ids=["paths", "anatomy", "horizon", "sight", "patches"])
+def test_results_do_not_depend_on_tiles(uncut, run):
+    assert rows_of(run(uncut, terrain.TILE)) == rows_of(run(uncut, 5))
+
+
+def test_terrain_of_nothing(spark):
+    none = spark.createDataFrame([], GRID)
+    assert terrain.flow_accumulation(none).count() == 0 and terrain.flow_paths(none, 1).count() == 0
+    blank = spark.createDataFrame([(0, 0, 0, None)], GRID)
+    assert terrain.fill(blank).count() == 0
 
 
 def test_patches_and_flood(spark):
@@ -174,12 +216,15 @@ def test_patches_and_flood(spark):
     assert grid.flood(wall, g.where("row = 0 and col = 0"), "wall").count() == 2
 
 
-def test_stitching_uses_every_segment_once(spark):
-    s = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 5, 6), (0, 6, 7), (0, 7, 5)], "grid_id long, a long, b long")
+def test_lines_are_merged_through_nodes_of_two(spark):
+    place = lambda n: (float(n), -5000.5)
+    pairs = [(1, 2), (3, 2), (5, 6), (6, 7), (7, 5), (10, 11), (11, 12), (11, 13), *((k, k + 1) for k in range(20, 60))]
+    s = spark.createDataFrame([(0, *place(a), *place(b)) for a, b in pairs] + [(1, *place(1), *place(2))], "grid_id long, ax double, ay double, bx double, by double")
+    ends = lambda k: F.struct(F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y"))
     lines = {}
-    for r in kernels.stitch(s).orderBy("line", "place").collect():
-        lines.setdefault(r["line"], []).append(r["node"])
-    assert sorted(lines.values()) == [[1, 2, 3], [5, 6, 7, 5]]
+    for r in network.merged(s.select("grid_id", ends("a").alias("a"), ends("b").alias("b")), ["grid_id"]).orderBy("place").collect():
+        lines.setdefault((r["grid_id"], r["line"]), []).append(int(r["node"]["x"]))
+    assert sorted(lines.values()) == sorted([[1, 2, 3], [5, 6, 7, 5], [10, 11], [11, 12], [11, 13], list(range(20, 61)), [1, 2]])
 
 
 def test_ridge_and_quantiles(spark):
