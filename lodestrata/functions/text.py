@@ -82,18 +82,24 @@ def identity_confidence(text: Column, phrase: Column, core: Column) -> Column:
 def signals(df: DataFrame, keys: Sequence[str], text: str, families: dict[str, str], context: int = 20) -> DataFrame:
     """One row for each match of each family's pattern: its number, the match and the text around its own place.
 
-    A match begins after all the text between matches and all the matches before it. Patterns match no empty text.
+    A text is cut once into what lies between the matches, and a match is shown between the ends of what lies beside it; so
+    the work is that of the text and of its matches, and no match carries the text. Patterns match no empty text.
     """
     of = lambda f, p: F.struct(F.lit(f).alias("family"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found"), F.split(F.col(text), p, -1).alias("between"))
-    listed = df.select(*keys, F.col(text).alias("__text"), F.inline(F.array(*[of(f, p) for f, p in families.items()]))).where(F.size("found") > 0)
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("begins"))
-    steps = F.arrays_zip(F.slice("between", 1, F.size("found")).alias("b"), F.col("found").alias("f"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x["b"]) + F.length(x["f"])).alias("at"), F.array_append(s["begins"], s["at"] + F.length(x["b"])).alias("begins"))
-    begins = F.aggregate(steps, start, step, lambda s: s["begins"])
-    each = listed.select(*keys, "__text", "family", F.posexplode(F.arrays_zip(F.col("found").alias("match"), begins.alias("at"))).alias("place", "m"))
-    each = each.select(*keys, "__text", "family", "place", "m.match", "m.at")
-    around = F.substring(F.col("__text"), F.greatest(F.lit(1), F.col("at") - context), F.length("match") + 2 * context)
-    return each.select(*keys, "family", (F.col("place") + 1).alias("place"), "match", around.alias("context"))
+    listed = df.select(*keys, F.inline(F.array(*[of(f, p) for f, p in families.items()]))).where(F.size("found") > 0)
+    # Pieces and matches take turns, and no match is empty, so so many of them are enough for a context.
+    n, back, ahead = F.size("found"), 2 * context + 1, 4 * context + 1
+    pieces = F.concat(F.flatten(F.zip_with(F.slice("between", F.lit(1), n), F.col("found"), lambda b, f: F.array(b, f))), F.slice("between", n + 1, F.lit(1)))
+    laid = listed.select(*keys, "family", "found", F.inline(F.array(F.struct(F.transform(pieces, lambda p: F.right(p, F.lit(context))).alias("tails"), F.transform(pieces, lambda p: F.left(p, F.lit(2 * context))).alias("heads")))))
+
+    def shown(match: Column, k: Column) -> Column:
+        first = F.greatest(F.lit(0), 2 * k + 1 - back)
+        before = F.right(F.array_join(F.slice("tails", first + 1, 2 * k + 1 - first), ""), F.lit(context))
+        return F.struct(match.alias("match"), before.alias("before"), F.array_join(F.slice("heads", 2 * k + 3, F.lit(ahead)), "").alias("after"))
+
+    each = laid.select(*keys, "family", F.posexplode(F.transform("found", shown)).alias("place", "m"))
+    around = F.concat("m.before", "m.match", F.left("m.after", F.lit(2 * context) - F.length("m.before")))
+    return each.select(*keys, "family", (F.col("place") + 1).alias("place"), F.col("m.match").alias("match"), around.alias("context"))
 
 
 def page_codes(df: DataFrame, keys: Sequence[str], text: str, rules: dict[str, str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
 from .relational import modal
 
 #: Tier, least events, least days of history.
@@ -47,10 +48,9 @@ def cadence(events: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     dated = events.where(F.col(date).isNotNull()).select(*keys, F.col(date).cast("date").alias("day")).distinct()
     w = Window.partitionBy(*keys).orderBy("day")
     gaps = dated.withColumn("gap", F.datediff("day", F.lag("day").over(w)))
-    quartile = lambda p: F.percentile(F.when(F.col("gap") > 0, F.col("gap")), p)
-    stats = gaps.groupBy(*keys).agg(
-        F.count("*").alias("n_events"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), quartile(0.25).alias("p25"), quartile(0.5).alias("p50"), quartile(0.75).alias("p75")
-    )
+    stats = dated.groupBy(*keys).agg(F.count("*").alias("n_events"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    quartiles = percentiles(gaps.where("gap > 0"), keys, "gap", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    stats = stats.join(quartiles, list(keys), "left")
     quarters = dated.withColumn("quarter", fiscal_quarter(F.col("day")))
     peak = modal(quarters, keys, "quarter").withColumnRenamed("quarter", "peak_quarter").withColumnRenamed("n", "peak_n")
     return _described(stats.join(peak, list(keys), "left"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import network, terrain
+from .ranks import percentiles, with_keys
 from .relational import broadcast_if_small
 
 CELL = ["grid_id", "row", "col"]
@@ -182,9 +183,11 @@ def zonal(pixels: DataFrame, zone: str, qa_mask: int) -> DataFrame:
     ndvi = (F.col("nir") - F.col("red")) / F.nullif(F.col("nir") + F.col("red"), F.lit(0.0))
     evi = 2.5 * (F.col("nir") - F.col("red")) / F.nullif(F.col("nir") + 6 * F.col("red") - 7.5 * F.col("blue") + 1, F.lit(0.0))
     marked = pixels.select(zone, clear.alias("clear"), F.when(clear, ndvi).alias("ndvi"), F.when(clear, evi).alias("evi"))
-    return marked.groupBy(zone).agg(
-        F.count("*").alias("n"), F.round(F.count_if("clear") / F.count("*"), 6).alias("valid_fraction"), F.round(F.avg("ndvi"), 6).alias("ndvi_mean"), F.round(F.percentile("ndvi", 0.5), 6).alias("ndvi_median"), F.round(F.avg("evi"), 6).alias("evi_mean")
+    middle = percentiles(marked, [zone], "ndvi", {"ndvi_median": 0.5}).select(zone, F.round("ndvi_median", 6).alias("ndvi_median"))
+    sums = marked.groupBy(zone).agg(
+        F.count("*").alias("n"), F.round(F.count_if("clear") / F.count("*"), 6).alias("valid_fraction"), F.round(F.avg("ndvi"), 6).alias("ndvi_mean"), F.round(F.avg("evi"), 6).alias("evi_mean")
     )
+    return with_keys(sums, middle, [zone], "left")
 
 
 def coverage(samples: DataFrame, keys: Sequence[str], value: str, least: float = 0.70) -> DataFrame:

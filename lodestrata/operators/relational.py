@@ -144,9 +144,9 @@ def regex_join(df: DataFrame, text: str, patterns: DataFrame, pattern: str) -> D
 
 
 def update_from(df: DataFrame, changes: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``df`` with ``columns`` replaced where ``changes`` has the key (one row for each key)."""
-    new = changes.select(*on, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
-    joined = df.join(new, list(on), "left")
+    """``df`` with ``columns`` replaced where ``changes`` has the key (one row for each key); null keys are equal."""
+    new = changes.select(*[F.col(k).alias(f"__key_{k}") for k in on], F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = df.join(new, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in on]), "left")
     return joined.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 

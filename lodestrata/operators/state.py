@@ -1,11 +1,12 @@
 """Upserts, lease queues, expiry, identities and freshness as transforms of tables.
 
 What a database does in place is here a function from the old table (and the changes) to the new one; times are
-arguments, so a run can be repeated.
+arguments, so a run can be repeated. Null keys are equal to each other in all of them.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
@@ -34,14 +35,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], merge: dict[str,
 
 def insert_missing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``old`` and the rows of ``new`` whose key it lacks."""
-    return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti").select(*old.columns))
+    there = old.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    return old.unionByName(new.join(there, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti").select(*old.columns))
 
 
 def changed_rows(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows of ``new`` that are not in ``old`` or differ in ``columns``."""
-    was = old.select(*keys, F.lit(True).alias("__was"), *[F.col(c).alias(f"__{c}") for c in columns])
+    was = old.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.lit(True).alias("__was"), *[F.col(c).alias(f"__{c}") for c in columns])
     same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), columns, F.coalesce("__was", F.lit(False)))
-    return new.join(was, list(keys), "left").where(~same).select(*new.columns)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return new.join(was, on, "left").where(~same).select(*new.columns)
 
 
 def replace_scope(old: DataFrame, new: DataFrame, scope: Column) -> DataFrame:
@@ -218,17 +221,22 @@ def _filesystem(spark, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def run_phases(source: DataFrame, path: str, phases: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], chunk: Column, chunks: int, budget: int | None = None) -> str:
+#: What a phase may do to the number of rows of a part.
+ROW_RULES = {"same": lambda came, went: came == went, "fewer": lambda came, went: went <= came, "more": lambda came, went: went >= came, "any": lambda came, went: True}
+
+
+def run_phases(source: DataFrame, path: str, phases: Sequence[tuple], chunk: Column, chunks: int, budget: int | None = None) -> str:
     """Takes ``source`` through ``phases`` in ``chunks`` parts (numbers from ``chunk``) and returns the phase reached, or ``complete``.
 
-    A phase writes each part under its number and then notes how many rows came in and went out. A run that ended early is
-    taken up at the first part without a note; a part that was half written is written again. The next phase begins when every
-    part of the one before is noted and as many rows went out as came in, else the run raises. ``budget`` ends a run
-    after that many parts. What the driver holds is one note a part.
+    A phase is a name, a step and, where rows do not stay as many, a rule: ``same`` (the default), ``fewer``, ``more`` or
+    ``any``. A phase writes each part under its number and then notes how many rows came in (what the phase before noted
+    as gone out) and went out. A run that ended early is taken up at the first part without a note; a part that was half
+    written is written again. The next phase begins when every part of the one before is noted and holds to its rule, else
+    the run raises. ``budget`` ends a run after that many parts. What the driver holds is one note a part.
     """
     spark = source.sparkSession
-    current = source.withColumn("chunk", chunk)
-    for name, step in phases:
+    current, came = source.withColumn("chunk", chunk), None
+    for name, step, *rule in phases:
         at, notes = f"{path}/{name}", f"{path}/{name}-notes"
         fs, place = _filesystem(spark, notes)
         done = {r["chunk"]: (r["came"], r["went"]) for r in spark.read.parquet(notes).collect()} if fs.exists(place) else {}
@@ -237,39 +245,108 @@ def run_phases(source: DataFrame, path: str, phases: Sequence[tuple[str, Callabl
             todo, budget = todo[:budget], budget - len(todo[:budget])
         if todo:
             part = current.where(F.col("chunk").isin(todo))
-            step(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(at)
-            written = spark.read.schema(step(part).schema).parquet(at).where(F.col("chunk").isin(todo)).groupBy("chunk").agg(F.count("*").alias("went"))
-            numbers = spark.range(chunks).select(F.col("id").cast("int").alias("chunk")).where(F.col("chunk").isin(todo))
-            told = numbers.join(part.groupBy("chunk").agg(F.count("*").alias("came")), "chunk", "left").join(written, "chunk", "left").fillna(0).coalesce(1)
-            told.write.mode("append").parquet(notes)
-            done |= {r["chunk"]: (r["came"], r["went"]) for r in spark.read.parquet(notes).collect()}
+            stepped = step(part)
+            stepped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(at)
+            written = {r["chunk"]: r["went"] for r in spark.read.schema(stepped.schema).parquet(at).where(F.col("chunk").isin(todo)).groupBy("chunk").agg(F.count("*").alias("went")).collect()}
+            if came is None:
+                came = {r["chunk"]: r["came"] for r in part.groupBy("chunk").agg(F.count("*").alias("came")).collect()}
+            told = {k: (came.get(k, 0), written.get(k, 0)) for k in todo}
+            spark.createDataFrame([(k, *n) for k, n in told.items()], "chunk int, came long, went long").coalesce(1).write.mode("append").parquet(notes)
+            done |= told
         if len(done) < chunks:
             return name
-        if bad := sorted(k for k, (came, went) in done.items() if came != went):
+        if bad := sorted(k for k, (a, b) in done.items() if not ROW_RULES[rule[0] if rule else "same"](a, b)):
             raise ValueError(f"phase {name} lost or added rows in parts {bad}")
-        current = spark.read.schema(step(current).schema).parquet(at)
+        current, came = spark.read.schema(step(current).schema).parquet(at), {k: went for k, (_, went) in done.items()}
     return "complete"
 
 
+class Flight:
+    """A run's hold on a name: numbered claims in a folder, of which the highest counts.
+
+    A claim is a file that only one run can create; its number is one more than the highest there, and it is tried for only
+    if that one is done or was not renewed in time. The highest claim is never deleted, so a run that looked long ago finds
+    its number taken, or, if it was cleared away, a higher one, and gives way. The folder's file system must create
+    files atomically, as HDFS and local disks do; object stores do not.
+    """
+
+    def __init__(self, spark, folder: str, name: str, stale_minutes: float = LEASE_MINUTES):
+        self.spark, self.folder, self.name, self.stale = spark, folder, name, stale_minutes * 60_000
+        self.fs, _ = _filesystem(spark, folder)
+        self.number: int | None = None
+
+    def _file(self, number: int, kind: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.name}.{number}.{kind}")
+
+    def _now(self) -> int:
+        return self.spark._jvm.java.lang.System.currentTimeMillis()
+
+    def claims(self) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        names = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        own = [n.removeprefix(f"{self.name}.").removesuffix(".claim") for n in names if n.startswith(f"{self.name}.") and n.endswith(".claim")]
+        return sorted(int(n) for n in own if n.isdigit())
+
+    def next_number(self) -> int | None:
+        """The number to try for; None while another run holds the name."""
+        highest = max(self.claims(), default=0)
+        if highest and not self.fs.exists(self._file(highest, "done")):
+            if self._now() - self.fs.getFileStatus(self._file(highest, "claim")).getModificationTime() <= self.stale:
+                return None
+        return highest + 1
+
+    def take(self, number: int | None) -> bool:
+        if number is None:
+            return False
+        try:
+            self.fs.create(self._file(number, "claim"), False).close()
+        except Py4JJavaError as refused:
+            if not self.fs.exists(self._file(number, "claim")) and max(self.claims(), default=0) <= number:
+                raise refused
+            return False
+        if max(self.claims()) > number:
+            self.fs.delete(self._file(number, "claim"), False)
+            return False
+        self.number = number
+        for old in self.claims():
+            if old < number:
+                self.fs.delete(self._file(old, "claim"), False)
+                self.fs.delete(self._file(old, "done"), False)
+        return True
+
+    def renew(self) -> None:
+        self.fs.setTimes(self._file(self.number, "claim"), self._now(), -1)
+
+    def holds(self) -> bool:
+        return self.number is not None and max(self.claims(), default=0) == self.number
+
+    def release(self) -> None:
+        """Marks the run's own claim as done; a claim that another run has taken over since is left alone."""
+        if self.holds():
+            self.fs.create(self._file(self.number, "done"), True).close()
+
+
 @contextmanager
-def single_flight(spark, folder: str, name: str, stale_minutes: int = LEASE_MINUTES) -> Iterator[bool]:
-    """``with single_flight(…) as mine``: true for the one run that holds ``name`` at a time, by a file that only one can create.
+def single_flight(spark, folder: str, name: str, stale_minutes: float = LEASE_MINUTES) -> Iterator[bool]:
+    """``with single_flight(…) as mine``: true for the one run that holds ``name`` at a time.
 
-    A lock older than ``stale_minutes`` is taken for one of a driver that was lost. The folder's file system must create files
-    atomically, as HDFS and local disks do; object stores do not.
+    The hold is renewed every third of ``stale_minutes`` while the block runs, so only a driver that was lost loses it.
     """
-    fs, place = _filesystem(spark, f"{folder}/{name}.lock")
-    if fs.exists(place) and spark._jvm.java.lang.System.currentTimeMillis() - fs.getFileStatus(place).getModificationTime() > stale_minutes * 60_000:
-        fs.delete(place, False)
-    try:
-        fs.create(place, False).close()
-        mine = True
-    except Py4JJavaError as refused:
-        if not fs.exists(place):
-            raise refused
-        mine = False
+    flight = Flight(spark, folder, name, stale_minutes)
+    mine, ended = flight.take(flight.next_number()), threading.Event()
+
+    def renewed() -> None:
+        while not ended.wait(max(0.05, stale_minutes * 20)):
+            if flight.holds():
+                flight.renew()
+
+    keeper = threading.Thread(target=renewed, daemon=True)
+    if mine:
+        keeper.start()
     try:
         yield mine
     finally:
+        ended.set()
         if mine:
-            fs.delete(place, False)
+            keeper.join()
+            flight.release()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import average_ranks, running, with_keys
+
 
 def nearest_rank(values: Column, p: float) -> Column:
     """Element of the sorted array nearest to rank ``(n - 1) * p``; null for an empty one."""
@@ -19,14 +21,6 @@ def floor_median(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int")))
 
 
-def average_ranks(df: DataFrame, value: str, into: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1 with ties at their mean: a running count over distinct values, not over rows."""
-    sizes = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.withColumn(into, F.coalesce(F.sum("__n").over(below), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return df.join(ranked, [*keys, value])
-
-
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
     """Spearman and Pearson correlation for each key."""
     ranked = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "__rx", keys), y, "__ry", keys)
@@ -64,16 +58,16 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, key
 def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: str, p: float, into: str) -> DataFrame:
     """Least value at which the running weight reaches the share ``p``; weights are added up by value first."""
     bins = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-    running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = bins.withColumn("__run", F.sum("__w").over(running)).withColumn("__all", F.sum("__w").over(Window.partitionBy(*keys)))
+    summed = running(bins, keys, [value], {"__w": "__run"})
+    summed = with_keys(summed, summed.groupBy(*keys).agg(F.sum("__w").alias("__all")), keys)
     return summed.where(F.col("__run") >= F.col("__all") * p).groupBy(*keys).agg(F.min(value).alias(into))
 
 
 def quantile_groups(df: DataFrame, value: str, groups: int, into: str, keys: Sequence[str]) -> DataFrame:
     """Group from 0 by the average rank among the key's rows; equal values share a group."""
     ranked = average_ranks(df.where(F.col(value).isNotNull()), value, "__rank", keys)
-    size = F.count("*").over(Window.partitionBy(*keys))
-    return ranked.withColumn(into, F.least(F.lit(groups - 1), F.floor((F.col("__rank") - 0.5) * groups / size)).cast("int")).drop("__rank")
+    sized = with_keys(ranked, ranked.groupBy(*keys).agg(F.count("*").alias("__size")), keys)
+    return sized.withColumn(into, F.least(F.lit(groups - 1), F.floor((F.col("__rank") - 0.5) * groups / F.col("__size"))).cast("int")).drop("__rank", "__size")
 
 
 def points(*rules: tuple[Column, int]) -> Column:
@@ -95,16 +89,3 @@ def banded(value: Column, *bands: tuple[float, object], otherwise=None) -> Colum
 def robust_scale(value: Column, low: Column, high: Column) -> Column:
     """``value`` between two percentiles as 0 to 1, cut off outside; null where they coincide."""
     return F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))))
-
-
-def at_ranks(df: DataFrame, key: str, value: str, ranks: dict[str, Column]) -> DataFrame:
-    """``key`` and, for each rank from 0 (an expression over the number ``n`` of a key's values), the value in that place.
-
-    Values are counted first, and ranks are looked up in a running count, so that no key's values are gathered.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__c"))
-    run = F.sum("__c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    sizes = counted.groupBy(key).agg(F.sum("__c").alias("n"))
-    placed = counted.withColumn("__end", run).join(sizes, key)
-    inside = lambda r: (r >= F.col("__end") - F.col("__c")) & (r < F.col("__end"))
-    return placed.groupBy(key).agg(*[F.max(F.when(inside(r), F.col(value))).alias(name) for name, r in ranks.items()])

@@ -11,6 +11,7 @@ from lodestrata.operators import grid as G
 from lodestrata.operators import kernels as K
 from lodestrata.operators import spatial as S
 from lodestrata.operators import terrain as T
+from lodestrata.operators.ranks import percentiles
 
 from .catalog import query
 from .tables import table
@@ -281,8 +282,11 @@ def x25(spark, sf_dir):
 
 @query("X26_band_quantiles", f"""WITH {_POINTS} SELECT grid_id, CAST(floor(x / 5) AS BIGINT) AS col, round(percentile_cont(0.1) WITHIN GROUP (ORDER BY z), 6) AS p10, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY z), 6) AS p50, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY z), 6) AS p90 FROM p GROUP BY ALL HAVING count(*) >= 20""")
 def x26(spark, sf_dir):
-    q = lambda p: F.round(F.percentile("z", p), 6)
-    return cloud(spark, sf_dir).groupBy("grid_id", F.floor(F.col("x") / 5).alias("col")).agg(F.count("*").alias("n"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90")).where("n >= 20").drop("n")
+    points = cloud(spark, sf_dir).withColumn("col", F.floor(F.col("x") / 5))
+    enough = points.groupBy("grid_id", "col").count().where("count >= 20").drop("count")
+    shares = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    found = percentiles(points, ["grid_id", "col"], "z", shares).join(enough, ["grid_id", "col"], "left_semi")
+    return found.select("grid_id", "col", *[F.round(c, 6).alias(c) for c in shares])
 
 
 @query("X27_tile_owner", f"""WITH {_POINTS} SELECT grid_id, x, y, min(tile) AS tile, count(*) AS n_copies FROM p GROUP BY grid_id, x, y""")
@@ -301,7 +305,9 @@ def x28(spark, sf_dir):
 
 @query("X33_group_summary", """SELECT p_type AS species, count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY p_retailprice), 6) AS median, max(p_retailprice) AS most FROM part GROUP BY p_type""")
 def x33(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("species")).agg(F.count("*").alias("n"), F.round(F.percentile("p_retailprice", 0.5), 6).alias("median"), F.max("p_retailprice").alias("most"))
+    parts = table(spark, sf_dir, "part").withColumn("species", F.col("p_type"))
+    middle = percentiles(parts, ["species"], "p_retailprice", {"median": 0.5}).select("species", F.round("median", 6).alias("median"))
+    return parts.groupBy("species").agg(F.count("*").alias("n"), F.max("p_retailprice").alias("most")).join(middle, "species", "left")
 
 
 # A cell's filled height is the least level at which it is joined to the rim by cells of that level or lower.
@@ -462,6 +468,11 @@ def r26(spark, sf_dir):
     return K.regression_tree(table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey", "c_custkey", "c_acctbal"), "c_mktsegment", ["c_nationkey", "c_custkey"], "c_acctbal", 3, 20)
 
 
+@query("R27_patch_null")
+def r27_patches(spark, sf_dir):
+    return K.patch_null(tiles(spark, sf_dir), F.col("class") == 2, seed="parts|")
+
+
 @query("R27_permutation_null")
 def r27(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("block", F.floor(F.col("p_partkey") / 20))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import relational as R
+from lodestrata.operators.ranks import percentiles
 
 from .catalog import query
 from .tables import table
@@ -311,10 +312,10 @@ def a02(spark, sf_dir):
     round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 4) AS p90_finished FROM orders GROUP BY o_orderpriority""",
 )
 def a06(spark, sf_dir):
-    finished = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.round(F.percentile("o_totalprice", 0.25), 4).alias("p25"), F.round(F.percentile("o_totalprice", 0.5), 4).alias("p50"), F.round(F.percentile(finished, 0.9), 4).alias("p90_finished")
-    )
+    orders = table(spark, sf_dir, "orders")
+    found = percentiles(orders, ["o_orderpriority"], "o_totalprice", {"p25": 0.25, "p50": 0.5})
+    finished = percentiles(orders.where("o_orderstatus = 'F'"), ["o_orderpriority"], "o_totalprice", {"p90_finished": 0.9})
+    return found.join(finished, "o_orderpriority", "left").select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p90_finished")])
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import cadence as C
+from lodestrata.operators import ranks
 from lodestrata.operators import rules as K
 from lodestrata.operators import stats as S
 
@@ -82,7 +83,7 @@ def r11(spark, sf_dir):
 )
 def r12(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
-    cohort = customers.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", 0.5).alias("p50"), F.percentile("c_acctbal", 0.9).alias("p90"))
+    cohort = ranks.percentiles(customers, ["c_mktsegment"], "c_acctbal", {"p50": 0.5, "p90": 0.9})
     balance = F.col("c_acctbal")
     return customers.join(cohort, "c_mktsegment").select("c_custkey", F.when(balance >= F.col("p90"), 3).when(balance >= F.col("p50"), 1).otherwise(0).alias("points"))
 
@@ -248,8 +249,8 @@ def r28(spark, sf_dir):
 )
 def r29(spark, sf_dir):
     n = F.col("n")
-    ranks = {"nearest_p90": F.floor((n - 1) * 0.9 + 0.5), "floor_median": F.floor(n / 2)}
-    return S.at_ranks(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", ranks)
+    wanted = {"nearest_p90": F.floor((n - 1) * 0.9 + 0.5), "floor_median": F.floor(n / 2)}
+    return ranks.at_ranks(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", wanted)
 
 
 @query(
@@ -289,5 +290,5 @@ def g19(spark, sf_dir):
 )
 def x30(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    q = parts.agg(F.percentile("p_retailprice", 0.02).alias("lo"), F.percentile("p_retailprice", 0.98).alias("hi"))
+    q = ranks.percentiles(parts, [], "p_retailprice", {"lo": 0.02, "hi": 0.98})
     return parts.crossJoin(F.broadcast(q)).select("p_partkey", F.round(S.robust_scale(F.col("p_retailprice"), F.col("lo"), F.col("hi")), 6).alias("scaled"))

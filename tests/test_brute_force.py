@@ -229,3 +229,61 @@ def test_permutation_null(spark, sf_dir):
             beyond += abs(np.corrcoef(x, shuffled)[0, 1]) >= abs(truth) - 1e-12
         share = beyond / 2000
         assert abs(r["p"] - share) <= 5 * math.sqrt(max(share * (1 - share), 0.01) / 100)
+
+
+def plain_generator(seed):
+    while True:
+        seed = (seed ^ seed << 13) & 0xFFFFFFFF
+        seed ^= seed >> 17
+        seed = (seed ^ seed << 5) & 0xFFFFFFFF
+        yield seed / 2**32
+
+
+def test_patch_null(spark, sf_dir):
+    """Statistics of every dealing by hand, with hash and generator written out."""
+    masks = collections.defaultdict(dict)
+    for r in q_grid.tiles(spark, sf_dir).collect():
+        masks[r["grid_id"]][r["row"], r["col"]] = r["class"] == 2
+
+    def shares(mask):
+        left, sizes = {k for k, on in mask.items() if on}, []
+        while left:
+            front, n = [left.pop()], 0
+            while front:
+                r, c = front.pop()
+                n += 1
+                for i, j in AROUND:
+                    if (r + i, c + j) in left:
+                        left.remove((r + i, c + j))
+                        front.append((r + i, c + j))
+            sizes.append(n)
+        return sum(n for n in sizes if n > 1) / sum(sizes), max(sizes)
+
+    found = {(r["grid_id"], r["block"], r["statistic"]): r for r in catalog.queries()["R27_patch_null"](spark, sf_dir).collect()}
+    assert len(found) == 6 * len(masks)
+    for g, mask in masks.items():
+        rows, cols = max(k[0] for k in mask) + 1, max(k[1] for k in mask) + 1
+        for block in (3, 4, 6):
+            seed = 2166136261
+            for letter in f"parts|{g}|block={block}":
+                seed = (seed ^ ord(letter)) * 16777619 % 2**32
+            draw, null = plain_generator(seed), []
+            for _ in range(99):
+                kinds = {}
+                for r in range(0, rows, block):
+                    for c in range(0, cols, block):
+                        kinds.setdefault((min(block, cols - c), min(block, rows - r)), []).append((r, c))
+                moved = {}
+                for (w, h), places in kinds.items():
+                    order = list(range(len(places)))
+                    for k in reversed(range(1, len(order))):
+                        swap = math.floor(next(draw) * (k + 1))
+                        order[k], order[swap] = order[swap], order[k]
+                    for (r, c), k in zip(places, order):
+                        moved |= {(r + i, c + j): mask.get((places[k][0] + i, places[k][1] + j), False) for i in range(h) for j in range(w)}
+                null.append(shares(moved))
+            for k, name in enumerate(("multi_cell_fraction", "largest_patch")):
+                row, values = found[g, block, name], [x[k] for x in null]
+                assert row["observed"] == pytest.approx(shares(mask)[k])
+                assert (row["null_mean"], row["null_p95"]) == (pytest.approx(np.mean(values)), pytest.approx(np.quantile(values, 0.95)))
+                assert row["p"] == pytest.approx((sum(v >= shares(mask)[k] for v in values) + 1) / 100)

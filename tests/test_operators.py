@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, overlay, solar, text
-from lodestrata.operators import cadence, grid, kernels, network, relational, rules, spatial, state, stats, terrain
+from lodestrata.operators import cadence, grid, kernels, network, ranks, relational, rules, spatial, state, stats, terrain
 from lodestrata.operators.relational import distinct_on
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import sessions
@@ -318,11 +318,72 @@ def test_phases_end_at_lost_rows(spark, tmp_path):
     assert seen == ["one", "two", "complete"] and spark.read.parquet(str(tmp_path / "b" / "two")).count() == 40
 
 
+def test_phases_may_lose_or_add_rows_by_rule(spark, tmp_path):
+    df, part = spark.range(40), (F.col("id") % 4).cast("int")
+    phases = [("thin", lambda d: d.where("id <> 7"), "fewer"), ("spread", lambda d: d.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), "more"), ("kept", lambda d: d)]
+    assert state.run_phases(df, str(tmp_path), phases, part, 4) == "complete"
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 78
+    with pytest.raises(ValueError, match="lost or added"):
+        state.run_phases(df, str(tmp_path / "b"), [("grown", phases[1][1], "fewer")], part, 4)
+
+
 def test_one_run_holds_a_name(spark, tmp_path):
-    with state.single_flight(spark, str(tmp_path), "x") as first, state.single_flight(spark, str(tmp_path), "x") as second, state.single_flight(spark, str(tmp_path), "y") as other:
+    folder = str(tmp_path)
+    with state.single_flight(spark, folder, "x") as first, state.single_flight(spark, folder, "x") as second, state.single_flight(spark, folder, "y") as other:
         assert (first, second, other) == (True, False, True)
-    with state.single_flight(spark, str(tmp_path), "x") as again, state.single_flight(spark, str(tmp_path), "x", stale_minutes=-1) as taken:
-        assert again and taken
+    with state.single_flight(spark, folder, "x") as again:
+        assert again
+    # Two drivers see the same lost claim; one gets it, and the lost one neither holds it nor ends the other's hold.
+    lost, one, two, late = (state.Flight(spark, folder, "z", -1) for _ in range(4))
+    assert lost.take(lost.next_number())
+    seen = one.next_number(), two.next_number(), late.next_number()
+    assert (one.take(seen[0]), two.take(seen[1])) == (True, False)
+    assert one.holds() and not lost.holds()
+    lost.release()
+    assert one.holds() and not one.fs.exists(one._file(one.number, "done"))
+    # The name goes on twice before the last of those that saw the lost claim tries for its number.
+    one.release()
+    assert two.take(two.next_number()) and two.holds()
+    assert not late.take(seen[2]) and two.holds()
+
+
+def test_a_hold_is_renewed_while_its_run_works(spark, tmp_path):
+    import time
+
+    with state.single_flight(spark, str(tmp_path), "x", stale_minutes=0.02) as first:
+        time.sleep(2.5)
+        with state.single_flight(spark, str(tmp_path), "x", stale_minutes=0.02) as second:
+            assert (first, second) == (True, False)
+
+
+def test_null_keys_are_equal_everywhere(spark):
+    old = spark.createDataFrame([(None, 1), (1, 1)], "k int, v int")
+    new = spark.createDataFrame([(None, 2), (2, 2)], "k int, v int")
+    pairs = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert pairs(state.upsert(old, new, ["k"])) == [(1, 1), (2, 2), (None, 2)]
+    assert pairs(state.insert_missing(old, new, ["k"])) == [(1, 1), (2, 2), (None, 1)]
+    assert pairs(state.changed_rows(old, old, ["k"], ["v"])) == [] and pairs(state.changed_rows(old, new, ["k"], ["v"])) == [(2, 2), (None, 2)]
+    assert pairs(relational.update_from(old, new, ["k"], ["v"])) == [(1, 1), (None, 2)]
+
+
+@pytest.mark.parametrize("small", [None, 0])
+def test_quantiles_and_ranks_of_one_key(spark, small):
+    """One key with all rows and nearly all values distinct, by windows and by range partitions."""
+    values = [(k * 7919) % 1009 + (k % 3) / 7 for k in range(2000)]
+    df = spark.createDataFrame([(None, v) for v in values] + [("a", 1.0), ("b", None)], "k string, v double").repartition(5)
+    found = {r["k"]: (r["low"], r["high"]) for r in ranks.percentiles(df, ["k"], "v", {"low": 0.3, "high": 0.77}, small).collect()}
+    assert found == {None: (pytest.approx(np.quantile(values, 0.3)), pytest.approx(np.quantile(values, 0.77))), "a": (1.0, 1.0)}
+    placed = {r["v"]: r["r"] for r in ranks.average_ranks(df, "v", "r", ["k"], small).where("k is null").collect()}
+    assert all(placed[v] == sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values[:50])
+
+
+def test_running_totals_are_spread(spark):
+    """Range partitions hold about as many rows each, though one key has all of them."""
+    df = spark.range(4000).select(F.lit(1).alias("k"), F.xxhash64("id").alias("v"), F.lit(1).cast("long").alias("one"))
+    found = ranks.running(df, ["k"], ["v"], {"one": "run"}, 0)
+    assert sorted(r["run"] for r in found.collect()) == list(range(1, 4001))
+    sizes = [r["count"] for r in df.repartitionByRange(4, "k", "v").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
 
 
 def test_archives_and_answers(spark):
