@@ -51,3 +51,16 @@ def summed_down(nodes: DataFrame, value: str) -> DataFrame:
         on = state.join(further, F.col("up") == F.col("mid"), "left")
         state = checkpointed(on.select("node", F.col("beyond").alias("up"), (F.col(value) + F.coalesce("more", F.lit(0))).alias(value)))
     return state.select("node", value)
+
+
+def least_around(nodes: DataFrame) -> DataFrame:
+    """``node, least`` of nodes on rings (``node`` and ``up``, the next one; every node is the next of one): the least node of its ring.
+
+    A round doubles how far ahead a node has looked. When none has found less in a round, all have been around.
+    """
+    state = checkpointed(nodes.select("node", "up", F.col("node").alias("least"), F.lit(True).alias("changed")))
+    while not state.where("changed").isEmpty():
+        further = state.select(F.col("node").alias("mid"), F.col("up").alias("beyond"), F.col("least").alias("there"))
+        on = state.join(further, F.col("up") == F.col("mid"))
+        state = checkpointed(on.select("node", F.col("beyond").alias("up"), F.least("least", "there").alias("least"), (F.col("there") < F.col("least")).alias("changed")))
+    return state.select("node", "least")

@@ -32,19 +32,19 @@ def parts_of(lines: DataFrame, id_col: str, line_col: str) -> DataFrame:
     return found.select("id", "part", F.col("s.a").alias("a"), F.col("s.b").alias("b")).where("a <> b")
 
 
-def _boxed(parts: DataFrame, name: str, margin: float = 0.0) -> DataFrame:
+def _boxed(parts: DataFrame, name: str, margin: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
     low = lambda c: F.least(F.col(f"a.{c}"), F.col(f"b.{c}")) - margin
     high = lambda c: F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) + margin
-    return parts.select(*[F.col(c).alias(f"{name}_{c}") for c in parts.columns], low("x").alias(f"{name}xmin"), low("y").alias(f"{name}ymin"), high("x").alias(f"{name}xmax"), high("y").alias(f"{name}ymax"))
+    return parts.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in parts.columns if c not in keys], low("x").alias(f"{name}xmin"), low("y").alias(f"{name}ymin"), high("x").alias(f"{name}xmax"), high("y").alias(f"{name}ymax"))
 
 
-def noded(parts: DataFrame, size: float, tolerance: float = 1e-6) -> DataFrame:
-    """Segments ``a, b`` of ``parts`` cut wherever two of them cross or touch, rounded to ``tolerance``, each once.
+def noded(parts: DataFrame, size: float, tolerance: float = 1e-6, keys: Sequence[str] = ()) -> DataFrame:
+    """Segments ``a, b`` of ``parts`` cut wherever two of them (of equal ``keys``) cross or touch, rounded to ``tolerance``, each once.
 
     Segments meet in cells of ``size``. Of two that lie on one line the ends of each cut the other.
     """
-    parts = checkpointed(parts.select(rounded(F.col("a"), tolerance).alias("a"), rounded(F.col("b"), tolerance).alias("b")).where("a <> b").distinct())
-    pairs = box_join(_boxed(parts, "m"), _boxed(parts, "o"), "m", "o", size).where("m_a <> o_a or m_b <> o_b")
+    parts = checkpointed(parts.select(*keys, rounded(F.col("a"), tolerance).alias("a"), rounded(F.col("b"), tolerance).alias("b")).where("a <> b").distinct())
+    pairs = box_join(_boxed(parts, "m", keys=keys), _boxed(parts, "o", keys=keys), "m", "o", size, keys).where("m_a <> o_a or m_b <> o_b")
     c = F.col
     rx, ry = c("m_b.x") - c("m_a.x"), c("m_b.y") - c("m_a.y")
     sx, sy = c("o_b.x") - c("o_a.x"), c("o_b.y") - c("o_a.y")
@@ -57,14 +57,14 @@ def noded(parts: DataFrame, size: float, tolerance: float = 1e-6) -> DataFrame:
     # Ends of the other segment that lie on this one.
     on = lambda px, py: F.when(F.abs((px - c("m_a.x")) * ry - (py - c("m_a.y")) * rx) <= tolerance * F.sqrt(long), ((px - c("m_a.x")) * rx + (py - c("m_a.y")) * ry) / long)
     touching = F.array(on(c("o_a.x"), c("o_a.y")), on(c("o_b.x"), c("o_b.y")))
-    cuts = pairs.select("m_a", "m_b", F.explode(F.array_compact(F.concat(F.coalesce(crossing, F.array().cast("array<double>")), touching))).alias("t")).where("t > 0 and t < 1")
-    whole = parts.select(c("a").alias("m_a"), c("b").alias("m_b"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
+    cuts = pairs.select(*keys, "m_a", "m_b", F.explode(F.array_compact(F.concat(F.coalesce(crossing, F.array().cast("array<double>")), touching))).alias("t")).where("t > 0 and t < 1")
+    whole = parts.select(*keys, c("a").alias("m_a"), c("b").alias("m_b"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     at = F.struct((c("m_a.x") + c("t") * rx).alias("x"), (c("m_a.y") + c("t") * ry).alias("y"))
     point = F.when(c("t") == 0, c("m_a")).when(c("t") == 1, c("m_b")).otherwise(rounded(at, tolerance))
-    placed = cuts.unionByName(whole).withColumn("p", point).groupBy("m_a", "m_b").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("stops"))
+    placed = cuts.unionByName(whole).withColumn("p", point).groupBy(*keys, "m_a", "m_b").agg(F.array_sort(F.collect_list(F.struct("t", "p"))).alias("stops"))
     stops = F.transform("stops", lambda s: s["p"])
-    pieces = placed.select(F.explode(F.arrays_zip(F.slice(stops, 1, F.size(stops) - 1).alias("p"), F.slice(stops, 2, F.size(stops) - 1).alias("q"))).alias("s"))
-    return pieces.select(F.least("s.p", "s.q").alias("a"), F.greatest("s.p", "s.q").alias("b")).where("a <> b").distinct()
+    pieces = placed.select(*keys, F.explode(F.arrays_zip(F.slice(stops, 1, F.size(stops) - 1).alias("p"), F.slice(stops, 2, F.size(stops) - 1).alias("q"))).alias("s"))
+    return pieces.select(*keys, F.least("s.p", "s.q").alias("a"), F.greatest("s.p", "s.q").alias("b")).where("a <> b").distinct()
 
 
 def clusters(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions import geo
 
-from .relational import distinct_on, rank_pivot, top_n
+from .relational import broadcast_if_small, checkpointed, distinct_on, rank_pivot, top_n
 
 #: Distance up to which a match has a confidence.
 DISTANCE_BANDS = ((10.0, 0.95), (25.0, 0.85))
@@ -39,11 +39,12 @@ def box_cells(df: DataFrame, prefix: str, size: float, levels: Column | None = N
     return placed.withColumn("__cx", span("xmin", "xmax")).withColumn("__cy", span("ymin", "ymax"))
 
 
-def box_join(left: DataFrame, right: DataFrame, a: str, b: str, size: float) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, a: str, b: str, size: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of boxes that overlap or touch, each once: in the cell that holds the lower left corner of what they share.
 
     A pair meets on the level of its larger box, so the cells of a box are few however large it is; ``size`` should suit
-    most boxes. Smaller boxes enter a coarser level only where the other side has boxes on it.
+    most boxes. Smaller boxes enter a coarser level only where the other side has boxes on it. ``on`` names columns of both
+    sides that must be equal.
     """
     on_left, on_right = levels_of(left, a, size), levels_of(right, b, size)
 
@@ -53,11 +54,12 @@ def box_join(left: DataFrame, right: DataFrame, a: str, b: str, size: float) ->
     touch = (F.col(f"{a}xmin") <= F.col(f"{b}xmax")) & (F.col(f"{b}xmin") <= F.col(f"{a}xmax")) & (F.col(f"{a}ymin") <= F.col(f"{b}ymax")) & (F.col(f"{b}ymin") <= F.col(f"{a}ymax"))
     width = F.lit(float(size)) * F.pow(F.lit(float(WIDTH)), F.col("__level"))
     own = (F.col("__cx") == F.floor(F.greatest(f"{a}xmin", f"{b}xmin") / width)) & (F.col("__cy") == F.floor(F.greatest(f"{a}ymin", f"{b}ymin") / width))
-    keys = ["__level", "__cx", "__cy"]
+    cell = ["__level", "__cx", "__cy"]
+    keys = [*on, *cell]
     pairs = box_cells(left, a, size).join(box_cells(right, b, size, among(on_left, b, 0)), keys).where(touch & own)
     if on_right and on_left and max(on_right) > min(on_left):  # left boxes that are smaller than those they meet
         pairs = pairs.unionByName(box_cells(left, a, size, among(on_right, a, 1)).join(box_cells(right, b, size), keys).where(touch & own))
-    return pairs.drop(*keys)
+    return pairs.drop(*cell)
 
 
 def distance_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], radius: float) -> DataFrame:
@@ -75,6 +77,42 @@ def nearest(left: DataFrame, right: DataFrame, key: Sequence[str], a: tuple[str,
     return top_n(distance_join(left, right, a, b, radius), key, [F.asc("distance"), F.asc(tie)], k)
 
 
+def nearest_any(left: DataFrame, right: DataFrame, key: Sequence[str], a: tuple[str, str], b: tuple[str, str], tie: str, k: int = 1, size: float = 1.0, fan: int = 4) -> DataFrame:
+    """The ``k`` nearest right points of each left point however far, with ``distance`` and ``rank``, ties by ``tie``.
+
+    Cells of the right side are counted on levels, each ``fan`` times as wide as the one below, with the box of their points.
+    Every left point goes down from the top and keeps the cells whose box begins no farther off than ``k`` points surely
+    lie; so it meets the points of few cells of ``size``, which should suit where points lie densely. Left points without a
+    place have no rows; right ones take no part.
+    """
+    placed = right.where(F.col(b[0]).isNotNull() & F.col(b[1]).isNotNull()).withColumns({"__cx": F.floor(F.col(b[0]) / size), "__cy": F.floor(F.col(b[1]) / size)})
+    boxes = [f(c).alias(f"__{n}{e}") for c, n in zip(b, "xy") for e, f in (("0", F.min), ("1", F.max))]
+    level = placed.groupBy("__cx", "__cy").agg(F.count("*").alias("__n"), *boxes)
+    levels = [checkpointed(level)]
+    while levels[-1].count() > fan * fan:
+        up = levels[-1].groupBy(F.floor(F.col("__cx") / fan).alias("__cx"), F.floor(F.col("__cy") / fan).alias("__cy"))
+        levels.append(checkpointed(up.agg(F.sum("__n").alias("__n"), *[f(f"__{n}{e}").alias(f"__{n}{e}") for n in "xy" for e, f in (("0", F.min), ("1", F.max))])))
+    asked = left.where(F.col(a[0]).isNotNull() & F.col(a[1]).isNotNull()).select(*key, F.col(a[0]).alias("__ax"), F.col(a[1]).alias("__ay")).dropDuplicates(list(key))
+    out = lambda p, n: F.greatest(F.lit(0.0), F.col(f"__{n}0") - F.col(p), F.col(p) - F.col(f"__{n}1"))
+    far = lambda p, n: F.greatest(F.abs(F.col(f"__{n}0") - F.col(p)), F.abs(F.col(f"__{n}1") - F.col(p)))
+    both = lambda f: F.sqrt(f("__ax", "x") * f("__ax", "x") + f("__ay", "y") * f("__ay", "y"))
+    who = [*key, "__ax", "__ay"]
+    nearer = Window.partitionBy(*who).orderBy("__most").rowsBetween(Window.unboundedPreceding, 0)
+
+    def kept(cells: DataFrame) -> DataFrame:
+        told = cells.withColumns({"__least": both(out), "__most": both(far)}).withColumn("__sure", F.sum("__n").over(nearer))
+        bound = F.min(F.when(F.col("__sure") >= k, F.col("__most"))).over(Window.partitionBy(*who))
+        return told.withColumn("__bound", bound).where("__bound is null or __least <= __bound").select(*who, "__cx", "__cy")
+
+    front = kept(asked.join(F.broadcast(levels[-1])))
+    for below in reversed(levels[:-1]):
+        parts = below.select(F.floor(F.col("__cx") / fan).alias("__px"), F.floor(F.col("__cy") / fan).alias("__py"), F.struct(*below.columns).alias("__c"))
+        stepped = front.join(broadcast_if_small(parts), (F.col("__cx") == F.col("__px")) & (F.col("__cy") == F.col("__py")))
+        front = checkpointed(kept(stepped.select(*who, "__c.*")))
+    pairs = front.join(placed, ["__cx", "__cy"]).withColumn("distance", geo.distance(F.col("__ax"), F.col("__ay"), F.col(b[0]), F.col(b[1])))
+    return top_n(pairs, key, [F.asc("distance"), F.asc(tie)], k).select(*key, *right.columns, "distance", "rank")
+
+
 def distance_confidence(d: Column) -> Column:
     out = None
     for most, confidence in DISTANCE_BANDS:

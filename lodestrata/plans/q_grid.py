@@ -9,6 +9,7 @@ from lodestrata.functions import overlay as O
 from lodestrata.functions import solar
 from lodestrata.operators import grid as G
 from lodestrata.operators import kernels as K
+from lodestrata.operators import shapes as P
 from lodestrata.operators import spatial as S
 from lodestrata.operators import terrain as T
 from lodestrata.operators.ranks import percentiles
@@ -233,6 +234,67 @@ def g08_clip(spark, sf_dir):
     return pairs.select("id", "zone", F.round(area, 6).alias("area"), F.round(area / O.shape_area(F.col("ell")), 6).alias("share"), F.round(length, 6).alias("length"))
 
 
+def _meeting(spark, sf_dir):
+    """Parcels in the form of an L and zones with a hole whose boxes meet, as shapes."""
+    k, s, w = F.col("p_partkey"), F.col("s_suppkey"), F.col("w")
+    parcels = table(spark, sf_dir, "part").select(k.alias("id"), (k * 37 % 97).cast("double").alias("axmin"), (k * 91 % 89).cast("double").alias("aymin"), (F.col("p_size") % 7 + 4).cast("double").alias("w"))
+    parcels = parcels.withColumns({"axmax": F.col("axmin") + w, "aymax": F.col("aymin") + w})
+    zones = table(spark, sf_dir, "supplier").select(s.alias("zone"), (s * 13 % 90).cast("double").alias("bxmin"), (s * 29 % 80).cast("double").alias("bymin"))
+    zones = zones.withColumns({"bxmax": F.col("bxmin") + 12, "bymax": F.col("bymin") + 12})
+    at = lambda box, *steps: F.array(*[L.point(F.col(f"{box}xmin") + dx, F.col(f"{box}ymin") + dy) for dx, dy in steps])
+    ell = F.array(at("a", (0, 0), (w, 0), (w, w / 2), (w / 2, w / 2), (w / 2, w), (0, w)))
+    holed = F.array(at("b", (0, 0), (12, 0), (12, 12), (0, 12)), at("b", (4, 4), (4, 8), (8, 8), (8, 4)))
+    return S.box_join(parcels, zones, "a", "b", 16.0).select("id", "zone", ell.alias("ell"), holed.alias("holed"))
+
+
+_SHARED = f"""{_L}, a AS (SELECT id, zone, {_box("x", "y", "w", "w")} - {_box("x + w / 2", "y + w / 2", "w / 2", "w / 2")} AS area, 0.75 * w * w AS own FROM l, z WHERE x <= u + 12 AND u <= x + w AND y <= v + 12 AND v <= y + w)"""
+
+
+@query("G06_G08_intersection", f"""WITH {_SHARED} SELECT id, zone, round(area, 4) AS area FROM a WHERE area > 0""")
+def g08_intersection(spark, sf_dir):
+    """What parcels and zones share, as rings; the area is that of the rings."""
+    found = P.intersection(_meeting(spark, sf_dir), ["id", "zone"], "ell", "holed", 16.0)
+    return found.select("id", "zone", F.round(O.shape_area(F.col("rings")), 4).alias("area"))
+
+
+@query("G06_G08_difference", f"""WITH {_SHARED} SELECT id, zone, round(own - area, 4) AS area FROM a WHERE own > area""")
+def g08_difference(spark, sf_dir):
+    """What of parcels lies outside of each zone, as rings."""
+    found = P.difference(_meeting(spark, sf_dir), ["id", "zone"], "ell", "holed", 16.0)
+    return found.select("id", "zone", F.round(O.shape_area(F.col("rings")), 4).alias("area"))
+
+
+_BOXES = """b AS (SELECT p_brand, (p_partkey * 37 % 41)::INT AS x, (p_partkey * 91 % 43)::INT AS y, (p_size % 6 + 1)::INT AS w, (p_partkey % 5 + 1)::INT AS h FROM part),
+u AS (SELECT DISTINCT p_brand, c, r FROM (SELECT p_brand, y, h, unnest(range(x, x + w)) AS c FROM b), range(0, 60) t(r) WHERE r >= y AND r < y + h)"""
+
+
+def _brand_boxes(spark, sf_dir):
+    k = F.col("p_partkey")
+    x, y, w, h = k * 37 % 41, k * 91 % 43, F.col("p_size") % 6 + 1, k % 5 + 1
+    ring = F.array(L.point(x, y), L.point(x + w, y), L.point(x + w, y + h), L.point(x, y + h))
+    return table(spark, sf_dir, "part").select("p_brand", k.alias("id"), F.array(ring).alias("rings"))
+
+
+@query(
+    "A17_union",
+    f"""WITH {_BOXES}, e AS (SELECT p_brand, count(*) AS n FROM (SELECT p_brand, c + dc AS c, r + dr AS r FROM u, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dc, dr)) s ANTI JOIN u ON u.p_brand = s.p_brand AND u.c = s.c AND u.r = s.r GROUP BY p_brand)
+    SELECT p_brand, count(*)::DOUBLE AS area, any_value(n)::DOUBLE AS border FROM u JOIN e USING (p_brand) GROUP BY p_brand""",
+)
+def a17_union(spark, sf_dir):
+    """Unions of each brand's boxes: area and length of the border of their rings."""
+    found = P.union(_brand_boxes(spark, sf_dir), ["p_brand"], 8.0)
+    long = F.aggregate(O.ring_edges(F.col("rings")), F.lit(0.0), lambda s, e: s + F.abs(e["p"]["x"] - e["q"]["x"]) + F.abs(e["p"]["y"] - e["q"]["y"]))
+    return found.select("p_brand", F.round(O.shape_area(F.col("rings")), 6).alias("area"), F.round(long, 6).alias("border"))
+
+
+@query("A17_collect", f"""WITH {_BOXES} SELECT p_brand, count(*) AS n, sum(w * h)::DOUBLE AS area, min(x)::DOUBLE AS xmin, min(y)::DOUBLE AS ymin, max(x + w)::DOUBLE AS xmax, max(y + h)::DOUBLE AS ymax FROM b GROUP BY p_brand""")
+def a17_collect(spark, sf_dir):
+    """Each brand's boxes in one collection and the box around them; overlaps stay."""
+    found = P.collected(_brand_boxes(spark, sf_dir), ["p_brand"], "id")
+    total = F.aggregate("shapes", F.lit(0.0), lambda s, rings: s + O.shape_area(rings))
+    return found.select("p_brand", "n", total.alias("area"), "xmin", "ymin", "xmax", "ymax")
+
+
 @query(
     "X23_bilinear",
     f"""WITH {_G}, {_H}, p AS (SELECT p_partkey AS id, p_partkey // 400 AS grid_id, (p_partkey % 37) / 2 AS x, (p_partkey % 29) / 2 AS y FROM part), f AS (SELECT *, CAST(floor(x) AS BIGINT) AS c, CAST(floor(y) AS BIGINT) AS r FROM p)

@@ -346,6 +346,23 @@ def m15(spark, sf_dir):
     return R.over_fetch(left, [F.desc("c_acctbal"), F.asc("c_custkey")], F.col("fit") != "blocked", [order.asc(), F.asc("c_custkey")], 30).select("c_custkey", "fit")
 
 
+_SCATTERED = """c AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 7 THEN 90000 ELSE c_custkey * 37 % 997 END::DOUBLE AS ax, (c_custkey * 91 % 983)::DOUBLE AS ay FROM customer),
+s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 500 + s_suppkey % 2 ELSE s_suppkey * 53 % 991 END::DOUBLE AS px, CASE WHEN s_suppkey % 3 = 0 THEN 500 ELSE s_suppkey * 29 % 977 END::DOUBLE AS py FROM supplier)"""
+
+
+@query(
+    "J15_nearest_without_radius",
+    f"""WITH {_SCATTERED}, d AS (SELECT c_custkey, s_suppkey, sqrt((ax - px) ** 2 + (ay - py) ** 2) AS d FROM c, s) SELECT c_custkey, s_suppkey, round(d, 6) AS distance, CAST(row_number() OVER w AS INTEGER) AS rank FROM d WINDOW w AS (PARTITION BY c_custkey ORDER BY d, s_suppkey) QUALIFY row_number() OVER w <= 3""",
+)
+def j15_any(spark, sf_dir):
+    """The three nearest suppliers of each customer, some of whom are far from all; a third of the suppliers stands in two places."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    left = table(spark, sf_dir, "customer").select("c_custkey", F.when(c % 50 == 7, 90000).otherwise(c * 37 % 997).cast("double").alias("ax"), (c * 91 % 983).cast("double").alias("ay"))
+    right = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(s % 3 == 0, 500 + s % 2).otherwise(s * 53 % 991).cast("double").alias("bx"), F.when(s % 3 == 0, 500).otherwise(s * 29 % 977).cast("double").alias("by"))
+    found = G.nearest_any(left, right, ["c_custkey"], ("ax", "ay"), ("bx", "by"), "s_suppkey", 3, 8.0)
+    return found.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"), "rank")
+
+
 # Tracks of users by event, and a network of paths between suppliers; both over whole numbers, in metres.
 _TRACKS = """t AS (SELECT user_id, ts, event_id, (event_id * 37 % 400 + floor(value))::DOUBLE AS x, (event_id * 91 % 300)::DOUBLE AS y FROM events),
 n AS (SELECT (s_suppkey * 53 % 400)::DOUBLE AS x1, (s_suppkey * 29 % 300)::DOUBLE AS y1, (s_suppkey * 53 % 400 + 40)::DOUBLE AS x2, (s_suppkey * 29 % 300 + s_suppkey % 7 * 10)::DOUBLE AS y2 FROM supplier),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geo, overlay, solar, text
-from lodestrata.operators import cadence, grid, kernels, network, ranks, relational, rules, spatial, state, stats, terrain
+from lodestrata.operators import cadence, grid, kernels, network, ranks, relational, rules, shapes, spatial, state, stats, terrain
 from lodestrata.operators.relational import distinct_on
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import sessions
@@ -366,6 +366,36 @@ def test_null_keys_are_equal_everywhere(spark):
     assert pairs(relational.update_from(old, new, ["k"], ["v"])) == [(1, 1), (None, 2)]
 
 
+def ring(*points):
+    return [{"x": float(x), "y": float(y)} for x, y in points]
+
+
+RINGS = "id int, a array<array<struct<x:double,y:double>>>, b array<array<struct<x:double,y:double>>>"
+
+
+def test_shapes_of_shapes(spark):
+    """Concave shapes with holes, slanted edges, shared edges, touching corners, equal, disjoint, null and empty shapes."""
+    star = ring((0, 0), (4, 1), (8, 0), (7, 4), (8, 8), (4, 7), (0, 8), (1, 4))
+    frame = [ring((2, 2), (6, 2), (6, 6), (2, 6)), ring((3, 3), (3, 5), (5, 5), (5, 3))]
+    slanted = [ring((-1, 3.3), (9, 2.1), (9, 5.7), (-1, 6.2))]
+    box = lambda x, y: [ring((x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1))]
+    cases = [([star], frame), ([star], slanted), (frame, slanted), (box(0, 0), box(1, 0)), (box(0, 0), box(1, 1)), (frame, frame), (box(0, 0), box(5, 5)), (frame, None), (frame, [])]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], RINGS)
+    areas = {r["id"]: (r["own"], r["both"]) for r in df.select("id", overlay.shape_area(F.col("a")).alias("own"), F.when(F.size("b") > 0, overlay.shared_area(F.col("a"), F.col("b"))).otherwise(0.0).alias("both")).collect()}
+    named = lambda out: {r["id"]: r for r in out.collect()}
+    shared, rest = named(shapes.intersection(df, ["id"], "a", "b", 4.0)), named(shapes.difference(df, ["id"], "a", "b", 4.0))
+    for k, (own, both) in areas.items():
+        assert shared[k]["area"] == pytest.approx(both, abs=1e-5) if both > 1e-9 else k not in shared
+        assert rest[k]["area"] == pytest.approx(own - both, abs=1e-5) if own - both > 1e-9 else k not in rest
+    joined = named(shapes.union(df.select("id", F.explode(F.array("a", "b")).alias("rings")), ["id"], 4.0))
+    assert [len(joined[k]["rings"]) for k in (3, 4, 5, 6)] == [1, 2, 2, 2] and joined[3]["area"] == pytest.approx(2)
+    assert len(joined[3]["rings"][0]) == 4
+    for r in [*shared.values(), *rest.values(), *joined.values()]:
+        for way in r["rings"]:
+            places = [(p["x"], p["y"]) for p in way]
+            assert len(places) >= 3 and len(set(places)) == len(places)
+
+
 @pytest.mark.parametrize("small", [None, 0])
 def test_quantiles_and_ranks_of_one_key(spark, small):
     """One key with all rows and nearly all values distinct, by windows and by range partitions."""
