@@ -64,10 +64,12 @@ FOREIGN = "noscript template svg math iframe object".split()
 NEVER_TEXT = set("head button select option optgroup datalist audio video canvas map noframes frameset".split())
 ASIDE_TAGS = set("nav footer aside form label fieldset dialog menu menuitem".split())
 ASIDE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+SLOTS = set("div section aside article form ul ol dl table li fieldset center".split())
 CONTAINERS = set("html body div section aside nav header footer article main form fieldset details dialog center".split())
+HOLDERS = CONTAINERS - {"nav", "footer"}  # what may hold the main text
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}}
-COMMENT_NAMES = set("comment comments disqus respond replies reply".split())
+COMMENT_NAMES = set("comment comments disqus respond replies reply discussion discussions reactions guestbook".split())
 ASIDE_NAMES = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification "
     "alert popup modal overlay newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
@@ -75,6 +77,11 @@ ASIDE_NAMES = set(
 )
 #: What evidence leaves of an element's importance.
 AGAINST = {"never": 0.0, "tag": 0.15, "comment": 0.15, "name": 0.35, "repeated": 0.5}
+#: What is left, besides, of a container that evidence is against and that pages of the host share as a slot, whose form is
+#: the same on all of them; of one whose form differs as much as it can, all is.
+SLOT = 0.4
+#: What is left of a container beside the main branch that pages of the host share and that lists alike containers.
+ALIKE = 0.15
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW + FOREIGN}
@@ -358,11 +365,15 @@ def main_text(packed: bytes, known: dict[int, tuple]) -> tuple[str, int]:
             mass[parent[k]] += mass[k]
     path, main = [0], 0
     while True:
+        if len(below[main]) == 1 and not own[main] and tag[below[main][0]] in HOLDERS and tag[below[main][0]] not in ("article", "main"):
+            main = below[main][0]  # nothing to choose from
+            path.append(main)
+            continue
         worth: dict[int, list[float]] = {}
         for c in below[main]:
             worth.setdefault(key[c], []).append(mass[c] / chars[c])
         pooled = lambda c: share[c] * sum(worth[key[c]]) / len(worth[key[c]])
-        candidates = [(pooled(c) * (ARTICLE if tag[c] in ("article", "main") else 1.0), c) for c in below[main] if tag[c] in CONTAINERS and len(worth[key[c]]) == 1]
+        candidates = [(pooled(c) * (ARTICLE if tag[c] in ("article", "main") else 1.0), c) for c in below[main] if tag[c] in HOLDERS and len(worth[key[c]]) == 1]
         best, chosen = max(candidates, default=(0.0, 0))
         rest = sum(pooled(c) for c in {key[c]: c for c in below[main] if c != chosen}.values()) + own[main] * leaf[main] / max(1, chars[0])
         if not chosen or best < MAIN * (best + rest):
@@ -376,9 +387,20 @@ def main_text(packed: bytes, known: dict[int, tuple]) -> tuple[str, int]:
         for c in articles if len(articles) > 1 else ():  # items of a list, each an article elsewhere
             weight[c] *= AGAINST["repeated"]
     on_path, inside, suspect = set(path), [k == main for k in range(n)], [False] * n
-    low, holds, gone = [False] * n, [False] * n, [False] * n
+    listed = [False] * n
     for k in range(1, n):
         inside[k] = inside[k] or inside[parent[k]]
+        if k in on_path or tag[k] not in SLOTS or key[k] not in known:
+            continue
+        # Presentation and evidence weigh together: new text in a slot of one form is not enough to keep it.
+        if weight[k] < 1:
+            weight[k] *= SLOT + (1 - SLOT) * presentation[k]
+        of_one = [key[c] for c in below[k] if tag[c] in SLOTS]
+        listed[k] = not inside[k] and parent[k] in on_path and len(of_one) > len(set(of_one)) == 1
+        if listed[k]:
+            weight[k] *= ALIKE
+    low, holds, gone = [False] * n, [False] * n, [False] * n
+    for k in range(1, n):
         suspect[k] = k not in on_path and (suspect[parent[k]] or weight[k] < 1)
     # In the main branch links count half, unless evidence is against what holds them.
     part_of = [content[k] * (1 - link[k] * (0.5 if inside[k] and not suspect[k] else 1.0)) for k in range(n)]
@@ -399,7 +421,12 @@ def main_text(packed: bytes, known: dict[int, tuple]) -> tuple[str, int]:
     for k in range(1, n):
         gone[k] = gone[parent[k]] or low[k]
     left = [t for k, t, _ in blocks if not gone[k] and part_of[k] >= THRESHOLD]
-    return "\n\n".join(left or [t for _, t, _ in blocks]), sum(low[k] and not gone[parent[k]] for k in range(1, n))
+    if not left:  # a page of repeated text only; what evidence is against stays out
+        against = [False] * n
+        for k in range(1, n):
+            against[k] = tag[k] not in ("article", "main") and (against[parent[k]] or weight[k] < 1)
+        left = [t for k, t, _ in blocks if not against[k]]
+    return "\n\n".join(left), sum(low[k] and not gone[parent[k]] for k in range(1, n))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:

@@ -548,6 +548,33 @@ def test_style_tree_keeps_a_page_of_repeated_text_only(spark):
     assert "clause 8" in texts[0] and texts[1] == "Short news 1."
 
 
+SLOTS = {
+    "an advert in the article": lambda k, story, own: f"<article>{story}<div class='ad-slot'><p>{own}</p></div></article>",
+    "a newsletter in the article": lambda k, story, own: f"<article>{story}<div class='newsletter-signup'><h4>{own}</h4></div></article>",
+    "a sidebar beside the text": lambda k, story, own: f"<div class=cols><div class=text>{story}</div><div class='sidebar'><p>{own}</p></div></div>",
+    "a notice above the text": lambda k, story, own: f"<div class='notice'><p>{own}</p></div><div class=text>{story}</div>",
+    "a discussion": lambda k, story, own: f"<div class=text>{story}</div><div class='discussion'>" + "".join(f"<div class=entry><p>{own} {n}</p></div>" for n in range(2 + k % 4)) + "</div>",
+    "reader entries without a name": lambda k, story, own: f"<div class=text>{story}</div><div class=q>" + "".join(f"<div class=z><p>{own} {n}</p></div>" for n in range(2 + k % 4)) + "</div>",
+}
+
+
+@pytest.mark.parametrize("slot", SLOTS)
+def test_barred_blocks_with_texts_of_their_own(spark, slot):
+    """Twelve pages of a host, each with its own text in a block that is no part of the article."""
+    own = lambda k: f"Something else that only page {k} says, in words {k * 7} and {k * k} of its own"
+    story = lambda k: "".join(f"<p>Story {k} goes on with sentence {n}, which has {k * 13 + n} words more or less.</p>" for n in range(5 + k % 3))
+    rows = [(k, f"http://slots.example/{k}", f"<html><body><h1>Story {k}</h1>{SLOTS[slot](k, story(k), own(k))}<footer>All rights reserved</footer></body></html>") for k in range(12)]
+    found = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    for r in found.select("carried.page_id", "main_text").collect():
+        k, blocks = r["page_id"], r["main_text"].split("\n\n")
+        assert not any(own(k) in b for b in blocks)
+        assert blocks == [b for b in ([f"Story {k}"] if blocks[0] == f"Story {k}" else [])] + [f"Story {k} goes on with sentence {n}, which has {k * 13 + n} words more or less." for n in range(5 + k % 3)]
+
+
+def test_a_page_with_a_menu_only_has_no_text():
+    assert html.main_text(html.Page("<html><body><nav><ul><li>Home<li>About</ul></nav></body></html>", "h").pack(), {})[0] == ""
+
+
 CHINESE = "中文字符串没有空格所以整句是一个很长的单位" * 2
 
 
