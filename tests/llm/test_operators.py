@@ -197,6 +197,24 @@ def test_topk_defined_results(spark):
     assert topk.top_k(vectors.where("false"), vectors).count() == 0
 
 
+def test_topk_over_many_blocks_and_groups(spark, monkeypatch):
+    """Blocks that later passes leave out, floors from a share of them, ties over blocks, copies, and queries in groups."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 700)
+    monkeypatch.setattr(topk, "BIN_BITS", 4)
+    draw = np.random.default_rng(8)
+    data = [(int(k), (draw.integers(-40, 41, 6) / 16).tolist() if k % 5 else [1.0, 0.0, 0.5, 0.25, 0.0, 0.0]) for k in draw.permutation(700)]
+    vectors = topk.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5))
+    found = rows(topk.top_k(vectors.where("id % 50 = 0"), vectors, 7), "query_id", "rank", "vec_id", "score")
+    whole = {k: np.floor(256 * np.array(v)).astype(int) for k, v in data}
+    want = []
+    for q in range(0, 700, 50):
+        best = sorted((-int(whole[q] @ v), k) for k, v in whole.items() if k != q)[:7]
+        want += [(q, n, k, -s) for n, (s, k) in enumerate(best, 1)]
+    assert sorted(found) == sorted(want)
+
+
 def test_topk_huge_components(spark):
     data = [(50, [1e12, -3e12]), (1, [1e12, 1.0]), (2, [-1e12, 2e12]), (3, [7.25, 1.5])]
     vectors = topk.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
