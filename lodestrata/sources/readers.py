@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -179,36 +180,67 @@ def verified(members: DataFrame, expected: DataFrame) -> DataFrame:
     return both.withColumn("verdict", state).drop("__sha", "__listed")
 
 
-class Page(InputPartition):
-    def __init__(self, offset: int, url: str):
-        self.offset, self.url = offset, url
+class Lane(InputPartition):
+    def __init__(self, first: int):
+        self.first = first
 
 
 class PagedReader(DataSourceReader):
-    """One partition for each page of a feature service; a page is a JSON array of features with ``id`` and ``name``, or an object that has it as ``features``."""
+    """Pages of a feature service, read by lanes: lane n of L asks for pages n, n + L, n + 2L, … until one is short.
 
-    def __init__(self, options: dict):
-        self.url, self.size, self.total = options["url"], int(options.get("pageSize", "1000")), int(options["total"])
-        if self.size < 1:
-            raise ValueError("pageSize must be positive")
+    So nobody has to know how many there are, pages are read in parallel, and no lane asks more than once beyond the end.
+    """
+
+    def __init__(self, options: dict, schema):
+        self.url, self.size, self.lanes = options["url"], int(options.get("pageSize", "1000")), int(options.get("lanes", "8"))
+        self.total = int(options["total"]) if "total" in options else None
+        self.columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+        if self.size < 1 or self.lanes < 1:
+            raise ValueError("pageSize and lanes must be positive")
 
     def partitions(self) -> list[InputPartition]:
-        return [Page(at, self.url.format(offset=at, limit=self.size)) for at in range(0, self.total, self.size)]
+        return [Lane(k) for k in range(self.lanes)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Lane) -> Iterator[tuple]:
         import json
         from urllib.request import urlopen
 
-        with urlopen(partition.url, timeout=60) as answer:
-            page = json.load(answer)
-        for feature in page if isinstance(page, list) else page.get("features", []):
-            yield partition.offset, feature.get("id"), feature.get("name")
+        for at in itertools.count(partition.first * self.size, self.lanes * self.size):
+            if self.total is not None and at >= self.total:
+                return
+            with urlopen(self.url.format(offset=at, limit=self.size), timeout=60) as answer:
+                page = json.load(answer)
+            features = page if isinstance(page, list) else page.get("features") or []
+            for feature in features:
+                known = feature | (feature.get("properties") or {}) | (feature.get("attributes") or {})
+                yield tuple(at if name == "at" else self.fitted(known.get(name), kind, json.dumps) for name, kind in self.columns)
+            if len(features) < self.size:
+                return
+
+    @staticmethod
+    def fitted(value, kind: str, text):
+        """A JSON value as a column's; what does not fit is null, and a text column takes any value as JSON."""
+        if value is None:
+            return None
+        if kind == "string":
+            return value if isinstance(value, str) else text(value)
+        try:
+            if kind in ("bigint", "int"):
+                return int(value)
+            if kind == "double":
+                return float(value)
+        except (TypeError, ValueError):
+            return None
+        return value if kind == "boolean" and isinstance(value, bool) else None
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged_features").options(url="…?resultOffset={offset}&resultRecordCount={limit}", pageSize=…, total=…)``.
+    """``spark.read.format("paged_features").schema("…").options(url="…?resultOffset={offset}&resultRecordCount={limit}", pageSize=…, lanes=…)``.
 
-    A page is read by one task, which is run again if its executor is lost.
+    A page is a JSON array of features, or an object that has it as ``features``; it is asked for by offset until one is
+    short. Columns (long, int, double, boolean or string) take a feature's own members, its ``properties`` or its
+    ``attributes`` by name; ``at`` is the page's offset, and a string column holds what is no string as JSON. A ``total``
+    ends the paging early. A lane is one task, which is run again if its executor is lost.
     """
 
     @classmethod
@@ -219,4 +251,4 @@ class PagedSource(DataSource):
         return "at long, id long, name string"
 
     def reader(self, schema) -> DataSourceReader:
-        return PagedReader(self.options)
+        return PagedReader(self.options, schema)

@@ -261,7 +261,7 @@ def paged(spark):
     class Service(BaseHTTPRequestHandler):
         def do_GET(self):
             asked = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
-            features = [{"id": k, "name": f"f{k}"} for k in range(7)][asked["offset"] :][: asked["limit"]]
+            features = [{"id": k, "name": f"f{k}", "properties": {"deep": [k]}, "attributes": {"share": k / 2}} for k in range(7)][asked["offset"] :][: asked["limit"]]
             self.send_response(200)
             self.end_headers()
             self.wfile.write(json.dumps({"features": features}).encode())
@@ -274,6 +274,11 @@ def paged(spark):
     try:
         spark.dataSource.register(readers.PagedSource)
         url = f"http://127.0.0.1:{server.server_port}/?offset={{offset}}&limit={{limit}}"
+        read = lambda size, lanes, kind, **more: sorted(map(tuple, spark.read.format("paged_features").schema(kind).options(url=url, pageSize=size, lanes=lanes, **more).load().collect()), key=repr)
+        # Until a short page, whether the last one is short, full or empty, by one lane or more than there are pages.
+        for size, lanes in (("3", "1"), ("3", "2"), ("7", "2"), ("1", "3"), ("100", "8")):
+            assert [r[0] for r in read(size, lanes, "id long")] == list(range(7))
+        assert read("4", "2", "id int, deep string, share double, gone boolean", total="4") == [(k, f'[{k}]', k / 2, None) for k in range(4)]
         return sorted(map(tuple, spark.read.format("paged_features").options(url=url, pageSize="3", total="7").load().collect()))
     finally:
         server.shutdown()
