@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.geo import in_rings
+
 from . import network, terrain
 from .ranks import percentiles, with_keys
 from .relational import broadcast_if_small
@@ -35,6 +37,26 @@ def sample_grid(bounds: DataFrame, n: int, pad: float = 0.0) -> DataFrame:
     return grid.select("grid_id", "row", "col", (low("x") + F.col("col") * step("x")).alias("x"), (low("y") + F.col("row") * step("y")).alias("y"))
 
 
+#: Points to a side of a sampled parcel and the share of its box that is added on each side.
+SAMPLES, PADDING = 61, 0.08
+
+
+def sample_shapes(shapes: DataFrame, rings: str, n: int = SAMPLES, pad: float = PADDING) -> DataFrame:
+    """``grid_id, row, col, x, y, inside``: ``n`` by ``n`` points over the padded box of each shape (an array of rings), rows to the north.
+
+    ``inside`` is whether a point lies in an odd number of the rings. Null and empty shapes have no points.
+    """
+    corners = F.flatten(rings)
+    end = lambda f, c: f(F.transform(corners, lambda p: p[c]))
+    known = shapes.where(F.size(corners) > 0).withColumns({f"__{c}{k}": end(f, c) for c in "xy" for k, f in ((0, F.array_min), (1, F.array_max))})
+    low = lambda c: F.col(f"__{c}0") - (F.col(f"__{c}1") - F.col(f"__{c}0")) * pad
+    high = lambda c: F.col(f"__{c}1") + (F.col(f"__{c}1") - F.col(f"__{c}0")) * pad
+    axis = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    laid = known.withColumn("row", axis).withColumn("col", axis)
+    spots = laid.select("grid_id", "row", "col", rings, (low("x") + (high("x") - low("x")) * F.col("col") / (n - 1)).alias("x"), (low("y") + (high("y") - low("y")) * F.col("row") / (n - 1)).alias("y"))
+    return spots.select("grid_id", "row", "col", "x", "y", in_rings(F.col("x"), F.col("y"), F.col(rings)).alias("inside"))
+
+
 def scatter(grid: DataFrame, offsets: Sequence[tuple[int, int]], *columns: str) -> DataFrame:
     """Rows of the cell at ``dr, dc`` from which ``columns`` come: the cell that receives, where from, and the values."""
     steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets])

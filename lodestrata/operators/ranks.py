@@ -53,6 +53,28 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapp
     return joined.select(*df.columns, *[(F.col(into) + F.col(f"__{into}")).alias(into) for into in sums.values()])
 
 
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, into: str, small: int | None = None) -> DataFrame:
+    """``df`` with the latest ``value`` that is not null among the key's rows up to and with each row in ``order``.
+
+    Beyond ``small`` rows the latest value of each range partition is carried on to the next ones, as in ``running``.
+    """
+    df = checkpointed(df)
+    n = df.count()
+    latest = F.last(value, ignorenulls=True)
+    if n <= (SMALL if small is None else small):
+        return df.withColumn(into, latest.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // SPAN))
+    # Rows that are equal in the order are told apart, so that no partition gets all of them.
+    told = [*order, "__n"]
+    ranged = checkpointed(df.withColumn("__n", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, *told)).withColumn("__pid", F.spark_partition_id())
+    inside = Window.partitionBy("__pid", *keys).orderBy(*told).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ranged.groupBy("__pid", *keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*told))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__pid", *keys, F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    joined = with_keys(ranged.withColumn(into, latest.over(inside)), carried, ["__pid", *keys])
+    return joined.select(*df.columns, F.coalesce(into, "__carried").alias(into))
+
+
 def counted(df: DataFrame, keys: Sequence[str], value: str, small: int | None = None) -> DataFrame:
     """``keys, value, __c, __end, n``: how often each value occurs, how many of the key's values are not above it, and of how many."""
     found = running(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c")), keys, [value], {"__c": "__end"}, small)

@@ -35,30 +35,32 @@ def lateral_top1(left: DataFrame, right: DataFrame, on: Sequence[str], order: Se
     return left.join(best, list(on), "left")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tie: str | None = None, strict: bool = False, period: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], tie: str | None = None, strict: bool = False, period: str | None = None, small: int | None = None) -> DataFrame:
     """Latest ``values`` of ``right`` at or before (``strict``: before) each left row's time, by key.
 
     One union and one window over the key; neither side is broadcast or multiplied. Of right rows with equal
-    times the one with the largest ``tie`` counts. Rows without a time match nothing. With a ``period`` (as ``date_trunc``
-    takes it) a key is dealt by period, so that one key may hold much of a table, and the last values of each period
-    are carried on to the next ones; the result is the same.
+    times the one with the largest ``tie`` counts. Rows without a time match nothing. One key may hold much of a table: beyond
+    ``small`` rows (two million, if not given) both sides are dealt by ranges of key and time, and with a ``period`` (as
+    ``date_trunc`` takes it) by period; the last values of each are carried on to the next ones, and the result is the same.
     """
     value = F.struct(F.col(right_time).alias("__time"), *[F.col(v) for v in values])
     order = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
     events = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("__at"), F.lit(1 if strict else 0).alias("__side"), order.alias("__tie"), value.alias("__value"))
     kept = left.select(*by, F.col(left_time).alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.lit(0).cast("long").alias("__tie"), F.struct(*left.columns).alias("__row"))
     both = kept.unionByName(events, allowMissingColumns=True)
-    part = [] if period is None else ["__part"]
-    if period is not None:
-        both = both.withColumn("__part", F.date_trunc(period, "__at"))
-    w = Window.partitionBy(*by, *part).orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    if period is None:
+        from .ranks import last_known
+
+        found = last_known(both, by, ["__at", "__side", "__tie"], "__value", "__last", small).where("__row is not null")
+        return found.select("__row.*", F.col("__last.__time").alias(f"asof_{right_time}"), *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
+    both = both.withColumn("__part", F.date_trunc(period, "__at"))
+    w = Window.partitionBy(*by, "__part").orderBy("__at", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__last", F.last("__value", ignorenulls=True).over(w)).where("__row is not null")
-    if period is not None:
-        ends = both.groupBy(*by, "__part").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct("__at", "__tie"))).alias("__end"))
-        before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], F.col("__part").alias("__in"), F.last("__end", ignorenulls=True).over(before).alias("__carried"))
-        same = reduce(lambda on, k: on & F.col(k[1]).eqNullSafe(F.col(f"__{k[0]}")), enumerate(by), F.col("__part").eqNullSafe(F.col("__in")))
-        found = found.join(carried, same, "left").withColumn("__last", F.coalesce("__last", "__carried"))
+    ends = both.groupBy(*by, "__part").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct("__at", "__tie"))).alias("__end"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], F.col("__part").alias("__in"), F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    same = reduce(lambda on, k: on & F.col(k[1]).eqNullSafe(F.col(f"__{k[0]}")), enumerate(by), F.col("__part").eqNullSafe(F.col("__in")))
+    found = found.join(carried, same, "left").withColumn("__last", F.coalesce("__last", "__carried"))
     return found.select("__row.*", F.col("__last.__time").alias(f"asof_{right_time}"), *[F.col(f"__last.{v}").alias(f"asof_{v}") for v in values])
 
 
@@ -99,11 +101,17 @@ def suppress(df: DataFrame, *others: tuple[DataFrame, Sequence[str]]) -> DataFra
     return reduce(lambda d, o: d.join(o[0].select(*o[1]).distinct(), list(o[1]), "left_anti"), others, df)
 
 
-def expand_range(df: DataFrame, low: str, high: str, member: str, most: int = 1_000_000) -> DataFrame:
-    """One row for each whole number from ``low`` to ``high``; empty where reversed or null, refused beyond ``most``."""
+def expand_range(df: DataFrame, low: str, high: str, member: str, most: int | None = None, span: int = 100_000) -> DataFrame:
+    """One row for each whole number from ``low`` to ``high``; empty where reversed or null, refused beyond ``most`` if that is given.
+
+    Ranges are cut into spans first, so none is ever one array of all its members.
+    """
     size = F.col(high) - F.col(low) + 1
-    checked = F.when(size > most, F.raise_error(F.lit(f"a range has more than {most} members")).cast("array<bigint>")).when(size > 0, F.sequence(F.col(low).cast("long"), F.col(high).cast("long")))
-    return df.withColumn(member, F.explode(checked))
+    begins = F.when(size > 0, F.sequence(F.col(low).cast("long"), F.col(high).cast("long"), F.lit(span).cast("long")))
+    if most is not None:
+        begins = F.when(size > most, F.raise_error(F.lit(f"a range has more than {most} members")).cast("array<bigint>")).otherwise(begins)
+    spans = df.withColumn("__from", F.explode(begins))
+    return spans.withColumn(member, F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + span - 1, F.col(high).cast("long"))))).drop("__from")
 
 
 def optional_filters(df: DataFrame, **wanted) -> DataFrame:
@@ -136,11 +144,12 @@ def caller_order(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.where(F.col(column).isin(list(values))).withColumn("position", F.array_position(listed, F.col(column)).cast("int")).orderBy("position")
 
 
-def regex_join(df: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """Every row with every pattern that it matches. Patterns are a small table; a large one is refused."""
-    if patterns.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("too many patterns to try on every row")
-    return df.join(F.broadcast(patterns), F.expr(f"`{text}` rlike `{pattern}`"))
+def regex_join(df: DataFrame, text: str, patterns: DataFrame, pattern: str, group: int = BROADCAST_ROWS) -> DataFrame:
+    """Every row with every pattern that it matches. Patterns go out in groups of about ``group`` rows, each broadcast, however many there are."""
+    known = checkpointed(patterns)
+    groups = max(1, -(-known.count() // group))
+    parts = [known if groups == 1 else known.where(F.pmod(F.xxhash64(pattern, *[c for c in known.columns if c != pattern]), F.lit(groups)) == g) for g in range(groups)]
+    return reduce(DataFrame.unionByName, [df.join(F.broadcast(p), F.expr(f"`{text}` rlike `{pattern}`")) for p in parts])
 
 
 def update_from(df: DataFrame, changes: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -39,6 +39,22 @@ def x01(spark, sf_dir):
     return G.sample_grid(box, 5)
 
 
+@query(
+    "X01_sampled_parcels",
+    """WITH b AS (SELECT s_suppkey AS grid_id, (s_suppkey * 37 % 97)::DOUBLE AS x0, (s_suppkey * 91 % 89)::DOUBLE AS y0, (s_suppkey % 7 + 4)::DOUBLE AS w FROM supplier),
+    p AS (SELECT *, x0 - w * 0.08::DOUBLE + (x0 + w + w * 0.08::DOUBLE - (x0 - w * 0.08::DOUBLE)) * c / 60 AS x, y0 - w * 0.08::DOUBLE + (y0 + w + w * 0.08::DOUBLE - (y0 - w * 0.08::DOUBLE)) * r / 60 AS y FROM b, range(61) a(r), range(61) t(c))
+    SELECT grid_id, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, round(x, 9) AS x, round(y, 9) AS y, x > x0 AND x < x0 + w AND y > y0 AND y < y0 + w AND NOT (x > x0 + w / 3 AND y > y0 + w / 3) AS inside FROM p""",
+)
+def x01_parcels(spark, sf_dir):
+    """61 by 61 points over the padded box of each parcel, which has the form of an L, and whether they lie in it."""
+    k, w = F.col("s_suppkey"), (F.col("s_suppkey") % 7 + 4).cast("double")
+    at = lambda *steps: F.array(*[L.point(k * 37 % 97 + dx, k * 91 % 89 + dy) for dx, dy in steps])
+    zero = F.lit(0.0)
+    shape = F.array(at((zero, zero), (w, zero), (w, w / 3), (w / 3, w / 3), (w / 3, w), (zero, w)))
+    found = G.sample_shapes(table(spark, sf_dir, "supplier").select(k.alias("grid_id"), shape.alias("rings")), "rings")
+    return found.select("grid_id", "row", "col", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "inside")
+
+
 @query(
     "X02_X04_marching_squares",
     f"""WITH {_G}, {_H}, q AS (SELECT a.grid_id, a.row, a.col, (a.value >= 8)::INT * 8 + (e.value >= 8)::INT * 4 + (d.value >= 8)::INT * 2 + (s.value >= 8)::INT AS kase FROM h a JOIN h e ON e.grid_id = a.grid_id AND e.row = a.row AND e.col = a.col + 1 JOIN h s ON s.grid_id = a.grid_id AND s.row = a.row + 1 AND s.col = a.col JOIN h d ON d.grid_id = a.grid_id AND d.row = a.row + 1 AND d.col = a.col + 1)

@@ -53,7 +53,7 @@ def test_asof_by_period_gives_the_same(spark):
     run = lambda **kw: sorted(map(str, relational.asof_join(left, right, ["k"], "t", "u", ["v"], tie="id", **kw).collect()))
     for strict in (False, True):
         plain = run(strict=strict)
-        assert len(plain) == 300 and run(strict=strict, period="day") == plain == run(strict=strict, period="month")
+        assert len(plain) == 300 and run(strict=strict, period="day") == plain == run(strict=strict, period="month") == run(strict=strict, small=0)
 
 
 def test_boxes_of_all_sizes_meet_once(spark):
@@ -77,10 +77,19 @@ def test_boxes_of_all_sizes_meet_once(spark):
 def test_ranges_refuse_what_is_too_large(spark):
     df = spark.createDataFrame([(1, 3), (5, 4), (None, 2)], "a long, b long")
     assert [r["m"] for r in relational.expand_range(df, "a", "b", "m").collect()] == [1, 2, 3]
+    wide = relational.expand_range(spark.createDataFrame([(-5, 2_345_678)], "a long, b long"), "a", "b", "m").agg(F.count("*"), F.min("m"), F.max("m"), F.count_distinct("m")).first()
+    assert tuple(wide) == (2_345_684, -5, 2_345_678, 2_345_684)
     with pytest.raises(Exception, match="more than 2 members"):
         relational.expand_range(df, "a", "b", "m", 2).collect()
 
 
+def test_patterns_in_groups(spark):
+    texts = spark.createDataFrame([(k, f"word{k} of {k % 3}") for k in range(20)], "id int, text string")
+    patterns = spark.createDataFrame([(k, f"word{k}\\b") for k in range(20)], "n int, p string")
+    for group in (100, 3):
+        assert sorted((r["id"], r["n"]) for r in relational.regex_join(texts, "text", patterns, "p", group).collect()) == [(k, k) for k in range(20)]
+
+
 def test_clamp():
     assert [relational.clamp(n) for n in (None, 0, 7, 1000)] == [10, 1, 7, 100]
 
