@@ -105,6 +105,10 @@ def _forward(trie: ByteTrie, words: np.ndarray, scaled: np.ndarray, keep: list |
     return alpha
 
 
+#: Words times languages that are summed at a time.
+SUMS = 1 << 15
+
+
 def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 13):
     """(word numbers, bytes with a leading space) of words of one length up to ``LONGEST`` at a time."""
     lengths = ends - starts
@@ -129,7 +133,8 @@ def word_scores(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarra
     trie = _trie(path)
     scaled = np.ascontiguousarray((probabilities * _TILT ** trie.widths).T)
     out = np.empty((len(starts), len(probabilities)))
-    for which, words in _by_length(data, starts, ends):
+    # Sums are kept by position, word and language: fewer words at a time where there are more languages.
+    for which, words in _by_length(data, starts, ends, max(64, SUMS // len(probabilities))):
         out[which] = np.log(_forward(trie, words, scaled)[-1]) - words.shape[1] * np.log(_TILT)
     with_byte = np.vstack([scaled, np.full(scaled.shape[1], FALLBACK * _TILT)])
     for k, word in _long(data, starts, ends):

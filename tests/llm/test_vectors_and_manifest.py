@@ -256,3 +256,27 @@ def test_heavy_keys_meet_their_facts_where_they_are(spark, monkeypatch):
     got = vectors.with_facts(rows, facts, "k", "of").collect()
     want = {k: sum(n for n, x in enumerate(keys) if x == k) for k in set(keys)}
     assert len(got) == len(keys) and all(r["total"] == want[r["k"]] for r in got)
+
+
+# --- op8 ---
+
+
+def test_language_sums_are_bounded_by_languages(monkeypatch):
+    """Scores do not depend on how many words are summed at a time, and few are where languages are many."""
+    import public_tokenizers
+
+    from lodestrata.llm import langid
+
+    data = np.frombuffer(" ".join(f"word{k} is{k % 7}" for k in range(300)).encode(), np.uint8)
+    at = np.flatnonzero(np.r_[32, data] == 32)
+    starts, ends = at, np.r_[at[1:] - 1, len(data)]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    base = langid.start(path)
+    many = np.repeat(base, 40, axis=0)
+    most = []
+    forward = langid._forward
+    monkeypatch.setattr(langid, "_forward", lambda trie, words, scaled, keep=None: most.append(words.shape[0] * scaled.shape[1]) or forward(trie, words, scaled, keep))
+    found = langid.word_scores(path, data, starts, ends, many)
+    assert max(most) <= max(langid.SUMS, 64 * 40)
+    monkeypatch.setattr(langid, "SUMS", 1)
+    assert np.allclose(langid.word_scores(path, data, starts, ends, base)[:, 0], found[:, 17])
