@@ -1,4 +1,8 @@
-"""Position of the sun, its events and the exposure of slopes, as Column expressions (low-precision series, UTC times)."""
+"""Position of the sun, its events and the exposure of slopes, as Column expressions (UTC times).
+
+The series are the low-precision ones of Meeus, Astronomical Algorithms, chapter 25, in the form in which the NOAA solar
+calculator publishes them; their coefficients are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -13,11 +13,12 @@ LEGAL_FORMS = r"\b(inc|incorporated|llc|ltd|limited|corp|corporation|co|company|
 STREET_WORDS = {"street": "st", "avenue": "ave", "road": "rd", "drive": "dr", "boulevard": "blvd", "lane": "ln", "north": "n", "south": "s", "east": "e", "west": "w"}
 #: Words that mark an organisation.
 ORGANISATION_WORDS = (
-    "llc pllc lp llp inc incorporated corp corporation company co holdings properties property realty".split()
-    + ["real estate"]
-    + "partners partnership group services service construction contracting contractors engineering electric electrical mechanical heating cooling hvac".split()
-    + "solar energy power coop cooperative builders building roofing plumbing bank trust churc church ministry temple association foundation authority".split()
-    + "district school university college city county government commonwealth municipal apartments league".split()
+    "llc", "pllc", "lp", "llp", "inc", "incorporated", "corp", "corporation", "company", "co", "holdings", "properties",
+    "property", "realty", "real estate", "partners", "partnership", "group", "services", "service", "construction",
+    "contracting", "contractors", "engineering", "electric", "electrical", "mechanical", "heating", "cooling", "hvac", "solar",
+    "energy", "power", "coop", "cooperative", "builders", "building", "roofing", "plumbing", "bank", "trust", "churc", "church",
+    "ministry", "temple", "association", "foundation", "authority", "district", "school", "university", "college", "city",
+    "county", "government", "commonwealth", "municipal", "apartments", "league",
 )
 ORGANISATION = "(^|[^a-z])(" + "|".join(ORGANISATION_WORDS) + ")([^a-z]|$)"
 

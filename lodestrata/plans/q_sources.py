@@ -109,7 +109,7 @@ def s11(spark, sf_dir):
     """Scenes of 10 by 10 cells of 30 units: those a search finds, and the part of each to be read for a field's box."""
     k = F.col("o_orderkey")
     x, y = (k * 37 % 1000).cast("double"), (k * 91 % 1000).cast("double")
-    bands = F.map_from_arrays(F.array(F.lit("B04"), F.lit("B05")), F.array(*[F.struct(F.concat(F.lit(f"s3://scenes/{b}/"), k.cast("string")).alias("href")) for b in ("B04", "B05")]))
+    bands = F.map_from_arrays(F.array(F.lit("B04"), F.lit("B05")), F.array(*[F.struct(F.concat(F.lit(f"file:/scenes/{b}/"), k.cast("string")).alias("href")) for b in ("B04", "B05")]))
     properties = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("datetime"), (F.col("o_custkey") % 100).cast("double").alias("eo:cloud_cover"))
     item = F.to_json(F.struct(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.array(x, y, x + 300, y + 300).alias("bbox"), properties.alias("properties"), bands.alias("assets")))
     found = S.catalogue_items(table(spark, sf_dir, "orders").select(item.alias("item_json")), "item_json", (200, 100, 500, 600), "1994-01-01", "1996-01-01", 40.0)

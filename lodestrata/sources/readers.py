@@ -124,10 +124,11 @@ def fetched(df: DataFrame, url: str, into: str = "answer", timeout: float = 60.0
     return df.withColumn(into, get(F.col(url)))
 
 
-def zip_members(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def zip_members(files: DataFrame, path: str = "path", content: str = "content", most: int = 256 << 20) -> DataFrame:
     """``path, member, size, sha256, content, error``: members of ZIP files, one file a row as ``binaryFile`` reads it.
 
-    A member whose checksum fails, and a file that is no ZIP, give a row with an error and no content.
+    A member whose checksum fails or that is larger than ``most`` bytes, and a file that is no ZIP, give a row with an error and
+    no content; no member is opened beyond that size, whatever its entry says.
     """
     def open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -144,7 +145,10 @@ def zip_members(files: DataFrame, path: str = "path", content: str = "content")
                     continue
                 for info in box.infolist():
                     try:
-                        body = box.read(info)
+                        with box.open(info) as member:
+                            body = member.read(most + 1)
+                        if len(body) > most:
+                            raise zipfile.BadZipFile(f"{info.filename} is larger than {most} bytes")
                         row = (name, info.filename, len(body), hashlib.sha256(body).hexdigest(), body, None)
                     except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as failure:
                         row = (name, info.filename, info.file_size, None, None, str(failure))

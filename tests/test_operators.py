@@ -435,6 +435,8 @@ def test_archives_and_answers(spark):
     broken = spark.createDataFrame([("c.zip", bytearray(b"no archive")), ("d.zip", None)], "path string, content binary")
     found = readers.zip_members(made.unionByName(broken))
     assert {(r["path"], r["member"], r["size"], r["error"] is None) for r in found.collect()} == {("a.zip", "m", 4, True), ("b.zip", "n", 0, True), ("c.zip", None, None, False), ("d.zip", None, None, False)}
+    small = {(r["member"], r["content"] is None) for r in readers.zip_members(made, most=3).collect()}
+    assert small == {("m", True), ("n", False)}
     told = spark.createDataFrame([("m", "0"), ("gone", "1")], "member string, sha256 string")
     assert sorted(r["verdict"] for r in readers.verified(found, told).collect()) == ["changed", "missing", "unlisted", "unreadable", "unreadable"]
     asked = spark.createDataFrame([("data:,yes",), ("file:///nowhere/at/all",), ("no address",), (None,)], "url string")
