@@ -13,6 +13,7 @@ Null and empty shapes are nothing. A result without area gives no rings.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -127,3 +128,48 @@ def collected(shapes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     boxed = _boxes(shapes, "")
     ends = [f(f"{c}{e}").alias(f"{c}{e}") for e, f in (("min", F.min), ("max", F.max)) for c in "xy"]
     return boxed.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "rings"))), lambda s: s["rings"]).alias("shapes"), F.count("rings").alias("n"), *ends)
+
+
+def made_valid(shapes: DataFrame, keys: Sequence[str], size: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """``keys, rings, area``: each shape (one a key) with rings that do not cross themselves or each other, over the same places."""
+    return union(shapes, keys, size, tolerance)
+
+
+def stadium(p: Column, q: Column, distance: Column, quarter: int) -> Column:
+    """The ring at ``distance`` around a segment, its round ends with ``quarter`` edges to a quarter; around a point where it has no length."""
+    turn = F.atan2(q["y"] - p["y"], q["x"] - p["x"])
+    around = lambda c, first: F.transform(F.sequence(F.lit(0), F.lit(2 * quarter)), lambda k: F.struct((c["x"] + distance * F.cos(turn + first + k * (math.pi / 2 / quarter))).alias("x"), (c["y"] + distance * F.sin(turn + first + k * (math.pi / 2 / quarter))).alias("y")))
+    return F.concat(around(q, F.lit(-math.pi / 2)), around(p, F.lit(math.pi / 2)))
+
+
+def buffered(lines: DataFrame, keys: Sequence[str], line: str, distance: float, size: float, quarter: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
+    """``keys, rings, area``: what lies within ``distance`` of a key's lines (arrays of points; one point is a point), with arcs of ``quarter`` edges to a quarter."""
+    points = lines.where(F.size(line) > 0).withColumn("__p", F.when(F.size(line) == 1, F.concat(line, line)).otherwise(F.col(line)))
+    n = F.size("__p") - 1
+    pairs = points.select(*keys, F.explode(F.arrays_zip(F.slice("__p", F.lit(1), n).alias("p"), F.slice("__p", F.lit(2), n).alias("q"))).alias("s"))
+    rings = pairs.select(*keys, F.array(stadium(F.col("s.p"), F.col("s.q"), F.lit(float(distance)), quarter)).alias("rings"))
+    return union(rings, keys, size, tolerance)
+
+
+def part_with(rings: DataFrame, keys: Sequence[str], spots: DataFrame) -> DataFrame:
+    """``keys, rings, area``: of the ``rings`` of ``rings_of``, the part that holds the key's spot (``keys, x, y``), with its holes."""
+    shells, holes = rings.where("area > 0"), rings.where("area < 0")
+    own = checkpointed(shells.join(spots, list(keys)).where(geo.in_ring(F.col("x"), F.col("y"), F.col("ring"))).select(*keys, "ring", "area"))
+    inner = holes.join(own.select(*keys, F.col("ring").alias("__shell"), F.col("area").alias("__of")), list(keys))
+    first = F.get("ring", F.lit(0))
+    inner = inner.where((-F.col("area") < F.col("__of")) & geo.in_ring(first["x"], first["y"], F.col("__shell"))).select(*keys, "ring", "area")
+    return gathered(own.unionByName(inner), keys)
+
+
+def barrier_buffer(origins: DataFrame, keys: Sequence[str], barriers: DataFrame, distance: float, size: float, quarter: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
+    """``keys, rings, area``: the buffer of each origin (``keys, x, y``) less the barriers (``rings``) that it meets, of which the part around the origin stays.
+
+    An origin on a barrier has no rows. Barriers are brought to the origins whose buffers' boxes they meet.
+    """
+    boxed = origins.select(*keys, *[(F.col(c) + s * distance).alias(f"o{c}{e}") for c in "xy" for e, s in (("min", -1), ("max", 1))])
+    near = box_join(boxed, _boxes(barriers.where(F.size("rings") > 0).select("rings"), "b"), "o", "b", size).select(*keys, F.lit(1).alias("part"), "rings")
+    spot = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rounds = origins.select(*keys, F.lit(0).alias("part"), F.array(stadium(spot, spot, F.lit(float(distance)), quarter)).alias("rings"))
+    there = lambda n, part: F.coalesce(n[F.lit(part)], F.lit(0)) > 0
+    free = rings_of(border(rounds.unionByName(near), keys, lambda n: there(n, 0) & ~there(n, 1), size, tolerance), keys)
+    return part_with(free, keys, origins.select(*keys, "x", "y"))

@@ -280,6 +280,21 @@ def g08_difference(spark, sf_dir):
     return found.select("id", "zone", F.round(O.shape_area(F.col("rings")), 4).alias("area"))
 
 
+@query(
+    "G06_G07_barrier_buffer_shapes",
+    """WITH o AS (SELECT s_suppkey, (s_suppkey % 5 + 1)::DOUBLE AS d FROM supplier), v AS (SELECT k, 6 * cos(k * pi() / 16) AS x, 6 * sin(k * pi() / 16) AS y FROM range(33) t(k)),
+    e AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.k = a.k + 1), c AS (SELECT s_suppkey, x1, y1, x2, y2, least(x1, d) AS p, least(x2, d) AS q FROM o, e)
+    SELECT s_suppkey, round(-sum((q - p) * (2 * y1 + (p - x1 + q - x1) * (y2 - y1) / nullif(x2 - x1, 0)) / 2), 4) AS area FROM c WHERE p <> q GROUP BY s_suppkey""",
+)
+def g06_shapes(spark, sf_dir):
+    """Round buffers of 6 that end at a wall on the right, of which the part behind it is left out."""
+    k, x = F.col("s_suppkey"), F.col("s_suppkey") * 40
+    origins = table(spark, sf_dir, "supplier").select("s_suppkey", x.cast("double").alias("x"), (k % 7).cast("double").alias("y"))
+    wall = lambda dx, dy: L.point(x + k % 5 + dx, k % 7 + dy)
+    walls = table(spark, sf_dir, "supplier").select(F.array(F.array(wall(1, -9), wall(1.5, -9), wall(1.5, 9), wall(1, 9))).alias("rings"))
+    return P.barrier_buffer(origins, ["s_suppkey"], walls, 6.0, 16.0).select("s_suppkey", F.round("area", 4).alias("area"))
+
+
 _BOXES = """b AS (SELECT p_brand, (p_partkey * 37 % 41)::INT AS x, (p_partkey * 91 % 43)::INT AS y, (p_size % 6 + 1)::INT AS w, (p_partkey % 5 + 1)::INT AS h FROM part),
 u AS (SELECT DISTINCT p_brand, c, r FROM (SELECT p_brand, y, h, unnest(range(x, x + w)) AS c FROM b), range(0, 60) t(r) WHERE r >= y AND r < y + h)"""
 

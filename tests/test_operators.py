@@ -410,6 +410,24 @@ def test_shapes_of_shapes(spark):
             assert len(places) >= 3 and len(set(places)) == len(places)
 
 
+def test_buffers_and_valid_shapes(spark):
+    line = spark.createDataFrame([(1, ring((0, 0), (10, 0))), (2, ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (3, ring((5, 5))), (4, [])], "id int, line array<struct<x:double,y:double>>")
+    found = {r["id"]: r for r in shapes.buffered(line, ["id"], "line", 1.0, 8.0).collect()}
+    round_ = 16 * np.sin(np.pi / 16)  # of 32 edges
+    assert found[1]["area"] == pytest.approx(20 + round_, abs=1e-5) and found[3]["area"] == pytest.approx(round_, abs=1e-5)
+    assert len(found[2]["rings"]) == 2 and found[2]["area"] == pytest.approx(36 - 4 + round_ - 4, abs=1e-5)
+    assert set(found) == {1, 2, 3}
+    bow = spark.createDataFrame([(1, [ring((0, 0), (2, 2), (2, 0), (0, 2))])], "id int, rings array<array<struct<x:double,y:double>>>")
+    made = shapes.made_valid(bow, ["id"], 4.0).first()
+    assert len(made["rings"]) == 2 and made["area"] == pytest.approx(2)
+    # The part around the origin, with its hole, and nothing behind the wall; an origin in a wall has none.
+    walls = spark.createDataFrame([([ring((2, -9), (3, -9), (3, 9), (2, 9))],), ([ring((-3, -1), (-2, -1), (-2, 1), (-3, 1))],)], "rings array<array<struct<x:double,y:double>>>")
+    origins = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.5, 0.0)], "id int, x double, y double")
+    kept = shapes.barrier_buffer(origins, ["id"], walls, 6.0, 8.0).collect()
+    assert [r["id"] for r in kept] == [1] and len(kept[0]["rings"]) == 2
+    assert max(p["x"] for p in kept[0]["rings"][0]) == pytest.approx(2)
+
+
 @pytest.mark.parametrize("small", [None, 0])
 def test_quantiles_and_ranks_of_one_key(spark, small):
     """One key with all rows and nearly all values distinct, by windows and by range partitions."""
