@@ -38,7 +38,7 @@ from .textblocks import blocks, mix, span_hashes
 from .trie import ByteTrie, log_sums, sentence_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLES = 2
+SAMPLES = 4
 FALLBACK = 1e-7
 #: Below this part of a unit's probability, what is left is added up from the alternatives, not subtracted.
 SUBTRACT = 1e-6
