@@ -155,8 +155,8 @@ def pieces(leaves: DataFrame, runs: dict[int, Run]) -> DataFrame:
     return leaves.select("pid", "grp", "leaf").mapInArrow(run, "grp long, size long, level long, idx long, digest string")
 
 
-def nodes_over(handed: DataFrame, largest: int) -> DataFrame:
-    """``handed`` with the nodes above that are made of them, in trees of up to ``largest`` leaves."""
+def nodes_over(handed: DataFrame, largest: int, paths: list[str]) -> DataFrame:
+    """``handed`` with the nodes above that are made of them, in trees of up to ``largest`` leaves; tables go under ``paths``."""
     level, found = 0, handed
     above = handed.limit(0)
     in_order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "digest"))), lambda n: n["digest"]), "")
@@ -164,7 +164,8 @@ def nodes_over(handed: DataFrame, largest: int) -> DataFrame:
         here = above.unionByName(handed.where(F.col("level") == level)).where("size > 1")
         made = here.groupBy("grp", F.floor(F.col("idx") / FANOUT).alias("idx"), F.ceil(F.col("size") / FANOUT).alias("size")).agg(F.sha2(in_order, 256).alias("digest"))
         level, largest = level + 1, -(-largest // FANOUT)
-        above, _ = stored(made.select("grp", "size", F.lit(level).cast("long").alias("level"), "idx", "digest"))
+        above, path = stored(made.select("grp", "size", F.lit(level).cast("long").alias("level"), "idx", "digest"))
+        paths.append(path)
         found = found.unionByName(above)
     return found
 
@@ -264,12 +265,16 @@ def manifest(leaves: DataFrame) -> DataFrame:
     if not held:
         return spark.createDataFrame([], "id long, leaf string, subroot string, root string, proof string, folded string")
     runs, groups = {r.pid: r for r in held}, held[0].groups
-    handed, _ = stored(pieces(rows, runs))
+    handed, path = stored(pieces(rows, runs))
+    paths = [path]
     largest = max(max(r.first_size, r.last_size) for r in held)
-    inside = nodes_over(handed, largest)
+    inside = nodes_over(handed, largest, paths)
     over = inside.where("size = 1").select(F.lit(-1).cast("long").alias("grp"), F.lit(groups).cast("long").alias("size"), F.lit(0).cast("long").alias("level"), F.col("grp").alias("idx"), "digest")
-    nodes = inside.unionByName(nodes_over(stored(over)[0], groups)).select("grp", "level", "idx", "digest")
+    over, path = stored(over)
+    nodes = inside.unionByName(nodes_over(over, groups, paths)).select("grp", "level", "idx", "digest")
     fetched, _ = stored(wanted(spark, held).join(nodes, ["grp", "level", "idx"]))
+    for done in [path, *paths]:
+        remove(spark, done)
     return prove(rows, fetched, runs)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import partitions_for, release, stored, table, text_batches
+from .session import partitions_for, release, remove, stored, table, text_batches
 from .vectors import finite, matrices, with_facts
 
 PROJECTIONS = 64
@@ -228,8 +228,8 @@ def bounded(index: DataFrame, most: int) -> DataFrame:
     return index.mapInArrow(run, "key long, v array<double>, bound double")
 
 
-def met(index: DataFrame, queries: list, most: int) -> DataFrame:
-    """``key, distance, id``: for one group of queries, the best of every task over its blocks."""
+def met(index: DataFrame, queries: list, most: int) -> tuple[DataFrame, str]:
+    """``key, distance, id``: for one group of queries, the best of every task over its blocks, as a table, and its path."""
     held: dict[int, tuple[list[int], np.ndarray, list[float]]] = {}
     for width in {len(q["v"]) for q in queries}:
         own = [q for q in queries if len(q["v"]) == width]
@@ -249,7 +249,9 @@ def met(index: DataFrame, queries: list, most: int) -> DataFrame:
                         best[key] = sorted(so_far + hits)[:most]
         yield from _hits(best)
 
-    return index.mapInArrow(run, _HITS)
+    out = stored(index.mapInArrow(run, _HITS))
+    sent.destroy()
+    return out
 
 
 def nearest(vectors: DataFrame, asked: Column, k: int = 10) -> DataFrame:
@@ -257,22 +259,28 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     text_batches(spark)
     most = k + 1
-    classes, _ = stored(entries(vectors, asked, most))
-    index, _ = stored(indexed(classes.repartition(partitions_for(classes, 16 << 20))))
-    queries, _ = stored(bounded(index, most))
+    classes, of_classes = stored(entries(vectors, asked, most))
+    index, of_index = stored(indexed(classes.repartition(partitions_for(classes, 16 << 20))))
+    queries, of_queries = stored(bounded(index, most))
+    paths = [of_classes, of_index, of_queries]
     size = queries.agg(F.count("*").alias("n"), F.sum(F.size("v").cast("long") * 8 + 64).alias("bytes")).first()
     groups = -(-(size["bytes"] or 0) // GROUP_BYTES)
     found = spark.createDataFrame([], _HITS)
     for g in range(groups):
         own = queries.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == g).collect()
-        found = found.unionByName(stored(met(index, own, most))[0])
+        part, path = met(index, own, most)
+        paths.append(path)
+        found = found.unionByName(part)
     best = lambda hits: F.slice(F.sort_array(hits), 1, most)
     # Lists are cut in two steps, so that what a query gets from very many tasks is not gathered at once.
     some = found.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(32)).alias("salt")).agg(best(F.collect_list(F.struct("distance", "id"))).alias("hits"))
     ranked = some.groupBy("key").agg(best(F.flatten(F.collect_list("hits"))).alias("hits"))
     kind = vectors.schema["v"].dataType.simpleString()
     facts = queries.select("key", F.col("v").cast(kind).alias("v")).join(ranked, "key", "left").join(classes.where("n_asked > 0"), "v").select("v", F.coalesce("hits", F.array().cast("array<struct<distance:double,id:bigint>>")).alias("hits"), "n_asked")
-    rows = with_facts(vectors.where(asked), stored(facts)[0], "v", "n_asked")
+    known, _ = stored(facts)
+    for path in paths:
+        remove(spark, path)
+    rows = with_facts(vectors.where(asked), known, "v", "n_asked")
     own = F.array_position("hits", F.struct(F.lit(0.0).alias("distance"), F.col("id"))).cast("int")
     others = F.when(own > 0, F.concat(F.slice("hits", F.lit(1), own - 1), F.slice("hits", own + 1, F.lit(most)))).otherwise(F.col("hits"))
     each = rows.select(F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("place", "hit"))

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut, release, stored, table, text_batches
+from .session import cut, release, remove, stored, table, text_batches
 
 SCALE = 256
 QUERY_BLOCK = 2048
@@ -139,8 +139,8 @@ def _counted(block: Block, name: int, k: int, shift: int, query: np.ndarray, own
     return pa.RecordBatch.from_pydict({"query": pa.array(pairs[:, 0]), "block": pa.array(np.full(len(n), name)), "bin": pa.array(pairs[:, 1]), "n": pa.array(n.astype(np.int64))})
 
 
-def _all_counted(blocks: DataFrame, queries: DataFrame, floors: DataFrame | None, k: int, shift: int) -> DataFrame:
-    """Bins of all queries in all ``blocks``; queries go out in groups, and what comes back is stored."""
+def _all_counted(blocks: DataFrame, queries: DataFrame, floors: DataFrame | None, k: int, shift: int, paths: list[str]) -> DataFrame:
+    """Bins of all queries in all ``blocks``; queries go out in groups, and what comes back is stored (under ``paths``)."""
     size = queries.agg(F.count("*").alias("n"), F.sum(F.size("v").cast("long") * 8 + 32).alias("bytes")).first()
     groups = -(-(size["bytes"] or 0) // GROUP_BYTES)
     known = queries.withColumn("floor", F.lit(_LOW + 1)) if floors is None else queries.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(_LOW + 1)))
@@ -161,7 +161,10 @@ def _all_counted(blocks: DataFrame, queries: DataFrame, floors: DataFrame | None
                         yield _counted(_unpacked(row), row["block"], k, shift, query, number, vectors, none, none + 64, floor)
                         release()
 
-        found = found.unionByName(stored(blocks.mapInArrow(run, _BINS))[0])
+        part, path = stored(blocks.mapInArrow(run, _BINS))
+        sent.destroy()
+        paths.append(path)
+        found = found.unionByName(part)
     return found
 
 
@@ -213,7 +216,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     if not extent["n"] or not most["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     bits = min(63, 1 + math.ceil(math.log2(max(2.0, (SCALE * (extent["x"] or 0) + 1) * (SCALE * (most["x"] or 0) + 1) * extent["size"]))))
-    blocks, _ = stored(packed(candidates))
+    blocks, path = stored(packed(candidates))
+    paths = [path]
 
     # A query's state: its kth score lies in bin ``low`` of width 2**wide, and is the ``need``-th best there.
     begun = asked.select("query", F.lit(0).cast("long").alias("low"), F.lit(64).cast("long").alias("wide"), F.lit(k).cast("long").alias("need"))
@@ -221,9 +225,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     floors = None
     if blocks.count() >= FLOOR_SHARE:
         first = blocks.where(F.pmod(F.xxhash64("block"), F.lit(FLOOR_SHARE)) == 0)
-        among = _located(_all_counted(first, asked, None, k, shift), begun, shift, enough=True)
+        among = _located(_all_counted(first, asked, None, k, shift, paths), begun, shift, enough=True)
         floors = cut(among.select("query", F.col("low").alias("floor")))
-    bins = _all_counted(blocks, asked, floors, k, shift)
+    bins = _all_counted(blocks, asked, floors, k, shift, paths)
     state = cut(_located(bins, begun, shift))
     pairs = _surviving(bins, state)
     while shift:
@@ -233,13 +237,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
             return _counted(block, name, k, shift, columns["query"], columns["row"], vectors, columns["low"], columns["wide"], np.full(len(vectors), _LOW + 1))
 
         above = pairs.where("surely").select("query", "block", "surely")
-        bins, _ = stored(_again(blocks, asked, state, pairs.where("held").select("query", "block"), count, _BINS))
+        bins, path = stored(_again(blocks, asked, state, pairs.where("held").select("query", "block"), count, _BINS))
+        paths.append(path)
         state = cut(_located(bins, state, shift))
         again = _surviving(bins, state)
         pairs = cut(again.unionByName(above.withColumn("held", F.lit(False))).groupBy("query", "block").agg(F.max("surely").alias("surely"), F.max("held").alias("held")))
     found = _again(blocks, asked, state, pairs.select("query", "block"), _select, "query long, query_id long, vec_id long, score long")
     ranked = found.groupBy("query", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "score"))), 1, k).alias("best"))
-    return ranked.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    each = ranked.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "b.vec_id", "b.score")
+    result, _ = stored(each)
+    for path in paths:
+        remove(spark, path)
+    return result
 
 
 def _surviving(bins: DataFrame, state: DataFrame) -> DataFrame:
