@@ -267,3 +267,30 @@ def from_geojson(text: Column) -> Column:
     """The line of a GeoJSON LineString; null for anything else."""
     read = F.from_json(text, "type string, coordinates array<array<double>>")
     return F.when(read["type"] == "LineString", F.transform(read["coordinates"], lambda c: point(F.get(c, F.lit(0)), F.get(c, F.lit(1)))))
+
+
+def _toward(p: Column, s: Column) -> Column:
+    """The way from a point to the nearest place of a segment: ``d``, ``p``, ``q``."""
+    a, b = s["p"], s["q"]
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    t = F.coalesce(((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    return _bound(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), lambda u: _bound(point(a["x"] + u * dx, a["y"] + u * dy), lambda q: F.struct(distance(p["x"], p["y"], q["x"], q["y"]).alias("d"), point(p["x"], p["y"]).alias("p"), q.alias("q"))))
+
+
+def _crossing(s: Column, t: Column) -> Column:
+    """The place where two segments cross or touch, as a way of no length; null where they do not, or lie on one line."""
+    rx, ry, sx, sy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"], t["q"]["x"] - t["p"]["x"], t["q"]["y"] - t["p"]["y"]
+    dx, dy = t["p"]["x"] - s["p"]["x"], t["p"]["y"] - s["p"]["y"]
+    across = F.nullif(rx * sy - ry * sx, F.lit(0.0))
+    u, v = (dx * sy - dy * sx) / across, (dx * ry - dy * rx) / across
+    at = point(s["p"]["x"] + u * rx, s["p"]["y"] + u * ry)
+    return F.when(u.between(0, 1) & v.between(0, 1), F.struct(F.lit(0.0).alias("d"), at.alias("p"), at.alias("q")))
+
+
+def shortest(a: Column, b: Column) -> Column:
+    """The shortest line from one line to another, of two points; of equally short ones the least. Null where either has no segment."""
+    over = lambda one, two, use: F.flatten(F.transform(one, lambda x: F.transform(two, lambda y: use(x, y))))
+    back = lambda way: F.struct(way["d"].alias("d"), way["q"].alias("p"), way["p"].alias("q"))
+    there = over(a, segments(b), _toward)
+    ways = F.concat(there, F.transform(over(b, segments(a), _toward), back), F.array_compact(over(segments(a), segments(b), _crossing)))
+    return F.when((F.size(a) > 1) & (F.size(b) > 1), _bound(F.array_min(ways), lambda w: F.array(w["p"], w["q"])))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 import subprocess
 import sys
 from pathlib import Path
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import geo, overlay, solar, text
+from lodestrata.functions import geo, lines, overlay, solar, text
 from lodestrata.operators import cadence, grid, kernels, network, ranks, relational, rules, shapes, spatial, state, stats, terrain
 from lodestrata.operators.relational import distinct_on
 from lodestrata.sources import readers, sinks
@@ -410,6 +411,15 @@ def test_shapes_of_shapes(spark):
             assert len(places) >= 3 and len(set(places)) == len(places)
 
 
+def test_shortest_lines(spark):
+    rows = [(ring((0, 0), (10, 0)), ring((3, 4), (3, 9))), (ring((0, 0), (10, 0)), ring((4, -1), (6, 1))), (ring((0, 0), (1, 1), (2, 0)), ring((5, 5), (8, 1))), (ring((0, 0)), ring((1, 1), (2, 2)))]
+    df = spark.createDataFrame(rows, "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    found = [r[0] and [(p["x"], p["y"]) for p in r[0]] for r in df.select(lines.shortest(F.col("a"), F.col("b"))).collect()]
+    assert found[0] == [(3, 0), (3, 4)] and found[1] == [(5, 0), (5, 0)] and found[3] is None
+    along = [(1 + t / 500, 1 - t / 500) for t in range(501)], [(5 + 3 * t / 500, 5 - 4 * t / 500) for t in range(501)]
+    assert math.dist(*found[2]) == pytest.approx(min(math.dist(p, q) for p in along[0] for q in along[1]), abs=0.01)
+
+
 def test_buffers_and_valid_shapes(spark):
     line = spark.createDataFrame([(1, ring((0, 0), (10, 0))), (2, ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (3, ring((5, 5))), (4, [])], "id int, line array<struct<x:double,y:double>>")
     found = {r["id"]: r for r in shapes.buffered(line, ["id"], "line", 1.0, 8.0).collect()}
