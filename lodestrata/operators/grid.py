@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.geo import in_rings
+from lodestrata.functions.overlay import ring_edges
 
 from . import network, terrain
 from .ranks import percentiles, with_keys
@@ -39,6 +39,8 @@ def sample_grid(bounds: DataFrame, n: int, pad: float = 0.0) -> DataFrame:
 
 #: Points to a side of a sampled parcel and the share of its box that is added on each side.
 SAMPLES, PADDING = 61, 0.08
+#: Points that one task samples, about.
+POINTS = 500_000
 
 
 def sample_shapes(shapes: DataFrame, rings: str, n: int = SAMPLES, pad: float = PADDING) -> DataFrame:
@@ -52,9 +54,16 @@ def sample_shapes(shapes: DataFrame, rings: str, n: int = SAMPLES, pad: float =
     low = lambda c: F.col(f"__{c}0") - (F.col(f"__{c}1") - F.col(f"__{c}0")) * pad
     high = lambda c: F.col(f"__{c}1") + (F.col(f"__{c}1") - F.col(f"__{c}0")) * pad
     axis = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    laid = known.withColumn("row", axis).withColumn("col", axis)
-    spots = laid.select("grid_id", "row", "col", rings, (low("x") + (high("x") - low("x")) * F.col("col") / (n - 1)).alias("x"), (low("y") + (high("y") - low("y")) * F.col("row") / (n - 1)).alias("y"))
-    return spots.select("grid_id", "row", "col", "x", "y", in_rings(F.col("x"), F.col("y"), F.col(rings)).alias("inside"))
+    # A few shapes are some bytes in one file and many points, so rows of points are dealt, by how many these are.
+    tasks = max(1, min(20_000, known.count() * n * n // POINTS))
+    laid = known.withColumn("row", axis).withColumn("y", low("y") + (high("y") - low("y")) * F.col("row") / (n - 1))
+    laid = laid.repartition(tasks, "grid_id", "row") if tasks > 1 else laid
+    # Where edges cross the height of a row, once for its points; those to the right of a point tell whether it is inside.
+    crossed = F.filter(ring_edges(F.col(rings)), lambda e: (e["p"]["y"] > F.col("y")) != (e["q"]["y"] > F.col("y")))
+    over = F.transform(crossed, lambda e: (e["q"]["x"] - e["p"]["x"]) * (F.col("y") - e["p"]["y"]) / F.nullif(e["q"]["y"] - e["p"]["y"], F.lit(0.0)) + e["p"]["x"])
+    spots = laid.withColumn("__over", over).select("grid_id", "row", "y", "__over", F.struct(low("x").alias("low"), (high("x") - low("x")).alias("span")).alias("__x")).withColumn("col", axis)
+    spots = spots.select("grid_id", "row", "col", (F.col("__x.low") + F.col("__x.span") * F.col("col") / (n - 1)).alias("x"), "y", "__over")
+    return spots.select("grid_id", "row", "col", "x", "y", (F.size(F.filter("__over", lambda v: F.col("x") < v)) % 2 == 1).alias("inside"))
 
 
 def scatter(grid: DataFrame, offsets: Sequence[tuple[int, int]], *columns: str) -> DataFrame:
