@@ -38,12 +38,32 @@ def _boxed(parts: DataFrame, name: str, margin: float = 0.0, keys: Sequence[str]
     return parts.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in parts.columns if c not in keys], low("x").alias(f"{name}xmin"), low("y").alias(f"{name}ymin"), high("x").alias(f"{name}xmax"), high("y").alias(f"{name}ymax"))
 
 
+def _once_along_axes(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Segments with those parallel to an axis cut at the ends of others on their own line; what several of these cover is there once.
+
+    So lines that lie on each other many times are few when pairs are made. A line's ends are summed by place first and then
+    run through in order, with the number of segments under way.
+    """
+    level, upright = F.col("a.y") == F.col("b.y"), F.col("a.x") == F.col("b.x")
+    straight = parts.where(level | upright).withColumn("__level", level)
+    along = lambda p: F.when(F.col("__level"), F.col(f"{p}.x")).otherwise(F.col(f"{p}.y"))
+    across = F.when(F.col("__level"), F.col("a.y")).otherwise(F.col("a.x"))
+    ends = F.array(F.struct(F.least(along("a"), along("b")).alias("at"), F.lit(1).alias("n")), F.struct(F.greatest(along("a"), along("b")).alias("at"), F.lit(-1).alias("n")))
+    line = [*keys, "__level", "__across"]
+    places = straight.withColumn("__across", across).select(*line, F.inline(ends)).groupBy(*line, "at").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*line).orderBy("at")
+    under = places.select(*line, "at", F.lead("at").over(w).alias("to"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n")).where("n > 0 and to is not null")
+    spot = lambda c: F.struct(F.when(F.col("__level"), F.col(c)).otherwise(F.col("__across")).alias("x"), F.when(F.col("__level"), F.col("__across")).otherwise(F.col(c)).alias("y"))
+    return parts.where(~(level | upright)).select(*keys, "a", "b").unionByName(under.select(*keys, spot("at").alias("a"), spot("to").alias("b")))
+
+
 def noded(parts: DataFrame, size: float, tolerance: float = 1e-6, keys: Sequence[str] = ()) -> DataFrame:
     """Segments ``a, b`` of ``parts`` cut wherever two of them (of equal ``keys``) cross or touch, rounded to ``tolerance``, each once.
 
     Segments meet in cells of ``size``. Of two that lie on one line the ends of each cut the other.
     """
-    parts = checkpointed(parts.select(*keys, rounded(F.col("a"), tolerance).alias("a"), rounded(F.col("b"), tolerance).alias("b")).where("a <> b").distinct())
+    parts = parts.select(*keys, rounded(F.col("a"), tolerance).alias("a"), rounded(F.col("b"), tolerance).alias("b")).where("a <> b").distinct()
+    parts = checkpointed(_once_along_axes(parts, keys))
     pairs = box_join(_boxed(parts, "m", keys=keys), _boxed(parts, "o", keys=keys), "m", "o", size, keys).where("m_a <> o_a or m_b <> o_b")
     c = F.col
     rx, ry = c("m_b.x") - c("m_a.x"), c("m_b.y") - c("m_a.y")
@@ -121,15 +141,17 @@ def along_network(tracks: DataFrame, network: DataFrame, key: str, order: Sequen
     w = Window.partitionBy(key).orderBy(*order)
     point = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     steps = tracks.select(key, F.lag(point).over(w).alias("a"), point.alias("b"), F.row_number().over(w).alias("idx")).where("a is not null and a <> b")
-    steps = checkpointed(steps.withColumn("seg", F.monotonically_increasing_id()))
-    middle = steps.select("seg", ((F.col("a.x") + F.col("b.x")) / 2).alias("px"), ((F.col("a.y") + F.col("b.y")) / 2).alias("py"))
+    steps = checkpointed(steps)
+    # Equal middles, and equal segments of the network, are compared once.
+    steps = steps.withColumns({"px": (F.col("a.x") + F.col("b.x")) / 2, "py": (F.col("a.y") + F.col("b.y")) / 2})
+    middle = checkpointed(steps.select("px", "py").distinct())
     boxed = middle.select("*", *[F.col(p).alias(f"p{c}{e}") for p, c in (("px", "x"), ("py", "y")) for e in ("min", "max")])
     reach = max([radius, *within])
-    near = box_join(boxed, _boxed(network.select("a", "b"), "n", reach), "p", "n", 4 * reach)
+    near = box_join(boxed, _boxed(checkpointed(network.select("a", "b").distinct()), "n", reach), "p", "n", 4 * reach)
     away = geo.segment_distance(F.col("px"), F.col("py"), F.col("n_a.x"), F.col("n_a.y"), F.col("n_b.x"), F.col("n_b.y"))
-    nearest = near.groupBy("seg").agg(F.min(away).alias("away"))
+    nearest = near.groupBy("px", "py").agg(F.min(away).alias("away"))
     length = geo.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
-    classed = checkpointed(steps.join(nearest, "seg", "left").withColumns({"class": F.when(F.col("away") <= radius, "overlap").otherwise("novel"), "length": length}))
+    classed = checkpointed(steps.join(nearest, ["px", "py"], "left").drop("px", "py").withColumns({"class": F.when(F.col("away") <= radius, "overlap").otherwise("novel"), "length": length}))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "a", "b")))
     runs = islands(classed, [key], ["idx"], "class", "run").groupBy(key, "run", "class").agg(ordered.alias("s"), F.sum("length").alias("length"))
     # A run is one line where its segments follow on each other; a point that repeats leaves no gap.
