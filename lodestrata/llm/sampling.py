@@ -43,7 +43,10 @@ FALLBACK = 1e-7
 #: Below this part of a unit's probability, what is left is added up from the alternatives, not subtracted.
 SUBTRACT = 1e-6
 LONGEST = 48
-BLOCK_BYTES = 2 << 20
+#: Bytes of a block: samples do not depend on it, but lattices of few words cost as much as those of many.
+BLOCK_BYTES = 6 << 20
+
+WORD = (1 << 64) - 1
 
 _TILT = float(np.exp(2.2))
 
@@ -65,6 +68,8 @@ class Vocabulary:
         self.scaled = p / p.sum() * _TILT**widths
         self.byte_ids = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.scaled[self.byte_ids] = FALLBACK * _TILT
+        self.log_scaled = np.log(np.where(self.scaled > 0, self.scaled, 1.0))
+        self.widths = np.maximum(widths, 1)
         self.bytes = list(pieces)
         for b, k in enumerate(self.byte_ids):
             self.bytes[k] = bytes([b])
@@ -83,6 +88,8 @@ class Lattice:
 
     def __init__(self, v: Vocabulary, words: np.ndarray):
         rows, self.length = words.shape
+        self.log_scaled = v.log_scaled
+        self._options: dict[tuple[int, int], list] = {}
         self.arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.length + 1)]
         for i in range(self.length):
             alive, node = np.arange(rows), np.zeros(rows, np.int32)
@@ -108,13 +115,18 @@ class Lattice:
             for i, _, weight in self.arcs[j]:
                 self.shares[j].append(self.sums[i] * weight)
                 self.sums[j] += self.shares[j][-1]
+        self.logs = -np.log(self.sums[self.length])
         #: Words with more than one segmentation.
         self.many = sum((weight > 0).astype(np.int32) for arcs in self.arcs for _, _, weight in arcs) > self.length
 
     def options(self, word: int, j: int) -> list[tuple[int, int, float]]:
         """Arcs that end at ``j``: start, piece and share of what is there."""
-        total = self.sums[j, word]
-        return [(i, int(ids[word]), float(self.sums[i, word] * w / total)) for i, ids, weight in self.arcs[j] if (w := weight[word])]
+        found = self._options.get((word, j))
+        if found is None:
+            total = self.sums[j, word]
+            found = [(i, int(ids[word]), float(self.sums[i, word] * w / total)) for i, ids, weight in self.arcs[j] if (w := weight[word])]
+            self._options[word, j] = found
+        return found
 
     def log_prob(self, word: int, pieces: np.ndarray) -> float:
         out, at = -float(np.log(self.sums[self.length, word])), 0
@@ -123,34 +135,42 @@ class Lattice:
             at = j
         return out
 
-    def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A segmentation for each entry of ``word``: pieces by their end (-1: none), and its log-probability."""
+    def events(self, word: np.ndarray, seed: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        """A segmentation for each entry of ``word``: events (entries, pieces of each that come later, pieces, end), numbers of pieces and log-probabilities."""
         n = len(word)
-        pieces = np.full((n, self.length + 1), -1, np.int32)
-        log_prob = -np.log(self.sums[self.length, word])
-        at = np.full(n, self.length)
+        log_prob, counts, found = self.logs[word], np.zeros(n, np.int32), []
+        ahead: list[list[np.ndarray]] = [[] for _ in range(self.length)] + [[np.arange(n)]]
         for j in range(self.length, 0, -1):
-            here = np.flatnonzero(at == j)
-            if not len(here):
+            if not ahead[j]:
                 continue
+            here = ahead[j][0] if len(ahead[j]) == 1 else np.concatenate(ahead[j])
             w = word[here]
-            left = uniform(seed[here] + np.uint64(j)) * self.sums[j, w]
-            for k, (i, ids, weight) in enumerate(self.arcs[j]):
+            left = uniform(seed[here] + np.uint64(j)) * self.sums[j][w]
+            for k, (i, ids, _) in enumerate(self.arcs[j]):
                 share = self.shares[j][k][w]
-                last = k == len(self.arcs[j]) - 1
-                done = (share > 0) & ((left < share) | last)
-                if done.any():
-                    who, what = here[done], w[done]
-                    pieces[who, j] = ids[what]
-                    log_prob[who] += np.log(weight[what])
-                    at[who] = i
-                    keep = ~done
-                    here, w, left = here[keep], w[keep], left[keep] - share[keep]
-                    if not len(here):
-                        break
-                else:
+                done = share > 0
+                if k < len(self.arcs[j]) - 1:
+                    done &= left < share
+                if not done.any():
                     left = left - share
-        return pieces, log_prob
+                    continue
+                who, what = here[done], ids[w[done]]
+                log_prob[who] += self.log_scaled[what]
+                place = counts[who]
+                counts[who] = place + 1
+                found.append((who, place, what, j))
+                if i:
+                    ahead[i].append(who)
+                if len(who) == len(here):
+                    break
+                keep = ~done
+                here, w, left = here[keep], w[keep], left[keep] - share[keep]
+        return found, counts, log_prob
+
+    def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with pieces by their end (-1: none)."""
+        return by_ends(self, word, seed)
+
 
 class LongLattice:
     """``Lattice`` of one unit of any length: arcs by end in flat arrays, forward sums as logarithms."""
@@ -176,21 +196,36 @@ class LongLattice:
     def log_prob(self, word: int, pieces: np.ndarray) -> float:
         return float(np.log(self.scaled[pieces[pieces >= 0]]).sum() - self.sums[-1])
 
-    def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pieces = np.full((len(word), self.length + 1), -1, np.int32)
-        log_prob = np.full(len(word), -self.sums[-1])
+    def events(self, word: np.ndarray, seed: np.ndarray) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        found, counts, log_prob = [], np.zeros(len(word), np.int32), np.full(len(word), -self.sums[-1])
         for r in range(len(word)):
             noise, j = uniform(seed[r] + np.arange(self.length + 1, dtype=np.uint64)), self.length
+            ids, ends = [], []
             while j:
                 arcs = self.options(0, j)
                 left, k = float(noise[j]) * sum(a[2] for a in arcs), 0
                 while k < len(arcs) - 1 and left >= arcs[k][2]:
                     left -= arcs[k][2]
                     k += 1
-                pieces[r, j] = arcs[k][1]
+                ids.append(arcs[k][1])
+                ends.append(j)
                 j = arcs[k][0]
-            log_prob[r] += np.log(self.scaled[pieces[r][pieces[r] >= 0]]).sum()
-        return pieces, log_prob
+            counts[r] = len(ids)
+            found.append((np.full(len(ids), r), np.arange(len(ids)), np.array(ids, np.int32), np.array(ends)))
+            log_prob[r] += np.log(self.scaled[ids[::-1]]).sum()
+        return found, counts, log_prob
+
+    def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return by_ends(self, word, seed)
+
+
+def by_ends(lattice: Lattice | LongLattice, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segmentations as a matrix of pieces by their end (-1: none), and their log-probabilities."""
+    pieces = np.full((len(word), lattice.length + 1), -1, np.int32)
+    found, _, log_prob = lattice.events(word, seed)
+    for who, _, ids, end in found:
+        pieces[who, end] = ids
+    return pieces, log_prob
 
 
 class Others:
@@ -233,7 +268,7 @@ class Others:
         while j:
             arcs = self.arcs[j, live] if live else [(*a, ()) for a in self.lattice.options(self.word, j)]
             weights = [share * self._part(i, same) for i, _, share, same in arcs]
-            left = float(uniform(np.array([seed + np.uint64(j)]))[0]) * sum(weights)
+            left = uniform_of(int(seed) + j) * sum(weights)
             chosen = weights.index(max(weights))
             for k, weight in enumerate(weights):
                 if weight > 0:
@@ -251,6 +286,14 @@ def uniform(seed: np.ndarray) -> np.ndarray:
     return ((mix(seed + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+def uniform_of(seed: int) -> float:
+    """``uniform`` of one seed, without arrays."""
+    h = (seed + 0x9E3779B97F4A7C15) & WORD
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & WORD
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & WORD
+    return (((h ^ h >> 31) >> 11) + 0.5) / (1 << 53)
+
+
 def gumbel_below(seed: np.ndarray, place: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Gumbel variables placed at ``place``, each given that it is below ``bound``."""
     g = place - np.log(-np.log(uniform(seed)))
@@ -261,6 +304,7 @@ class Block:
     """The samples of a block of rows."""
 
     def __init__(self, v: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray):
+        self.widths = v.widths
         full = np.flatnonzero(np.diff(offsets) > 0)
         self.rows, self.keys = len(offsets) - 1, keys
         text = np.insert(data, offsets[:-1][full], 32)
@@ -289,53 +333,49 @@ class Block:
         self.unit_lattice, self.unit_word = self.lattice_of[inverse], self.word_of[inverse]
         begins = np.cumsum([0, *(len(x.many) for x in self.lattices)])
         many = np.concatenate([np.zeros(0, bool), *(x.many for x in self.lattices)])
-        self.many = many[begins[self.unit_lattice] + self.unit_word]
+        self.different = begins[self.unit_lattice] + self.unit_word
+        self.many = many[self.different]
+        self._whole = np.full(len(many), np.nan)  # what is left of different units where one piece is all of them
         self._known: dict[tuple, float] = {}  # what is left of equal segmentations of equal units
+        self._excluded: dict[int, list[np.ndarray]] = {}  # of the unit where the last sample of a row differs
         self.seeds = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
-    def draw(self, units: np.ndarray, turn: int, pieces: list, log_prob: np.ndarray) -> None:
-        """Fresh segmentations of ``units``; ``pieces`` gets (lattice, units, matrix) parts."""
+    def draw(self, units: np.ndarray, turn: int, counts: np.ndarray, log_prob: np.ndarray) -> list[tuple]:
+        """Fresh segmentations of ``units``: events (units, pieces of each that come later, pieces); numbers of pieces and log-probabilities are put in place."""
         by = units[np.argsort(self.unit_lattice[units], kind="stable")]
-        cuts = np.searchsorted(self.unit_lattice[by], np.arange(len(self.lattices) + 1))
-        for k, lattice in enumerate(self.lattices):
-            who = by[cuts[k] : cuts[k + 1]]
-            if len(who):
-                seed = self.seeds[self.row[who]] + mix(self.place[who].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(turn))
-                matrix, log_prob[who] = lattice.draw(self.unit_word[who], seed)
-                pieces.append((who, matrix))
-
-    def flat(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of all units in order, and where each unit's begin; later parts replace earlier ones."""
-        counts = np.zeros(len(self.row), np.int64)
-        owner = np.zeros(len(self.row), np.int32)
-        for k, (who, matrix) in enumerate(parts):
-            counts[who], owner[who] = (matrix >= 0).sum(axis=1), k
+        cuts = np.searchsorted(self.unit_lattice[by], np.arange(len(self.lattices) + 1)).tolist()
+        seeds = self.seeds[self.row[by]] + mix(self.place[by].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(turn))
+        words, found = self.unit_word[by], []
+        for lattice, a, b in zip(self.lattices, cuts, cuts[1:]):
+            if a < b:
+                who = by[a:b]
+                drawn, counts[who], log_prob[who] = lattice.events(words[a:b], seeds[a:b])
+                found += [(who[entry], place, ids) for entry, place, ids, _ in drawn]
+        return found
+
+    @staticmethod
+    def _flat(counts: np.ndarray, events: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of all units in order, those of ``events`` put in place, and where each unit's begin."""
         begin = np.r_[0, np.cumsum(counts)]
         out = np.empty(begin[-1], np.int32)
-        for k, (who, matrix) in enumerate(parts):
-            on = owner[who] == k
-            if on.any():
-                who, matrix = who[on], matrix[on]
-                here = matrix >= 0
-                n = here.sum(axis=1)
-                out[np.repeat(begin[who] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = matrix[here]
+        for who, place, ids in events:
+            out[begin[who + 1] - 1 - place] = ids
         return out, begin
 
     def samples(self, k: int) -> Iterator[tuple]:
         """Per sample number: rows that have it, log-probabilities, perturbed scores, pieces, bounds; then the left score by row."""
         n, units = len(self.row), np.arange(len(self.row))
         none = np.full(self.rows, -np.inf)
-        log_prob = np.zeros(n)
-        parts: list = []
-        self.draw(units, 0, parts, log_prob)
+        log_prob, counts = np.zeros(n), np.zeros(n, np.int64)
+        parts = self._flat(counts, self.draw(units, 0, counts, log_prob)) if n else (np.zeros(0, np.int32), np.zeros(1, np.int64))
         score = gumbel_below(self.seeds, np.zeros(self.rows), -none)
-        rest = self._left(log_prob, parts)
-        # A set: (sample it follows, first differing unit, probability left of that unit, excluded pieces); by row, best first.
+        rest = self._left(log_prob, parts, units)
+        # A set: (sample it follows, first differing unit, probability left of that unit, pieces excluded besides the sample's); by row, best first.
         agenda: list[list[tuple]] = [[] for _ in range(self.rows)]
         drawn = [(parts, log_prob)]
         active = np.ones(self.rows, bool)
         from_unit = self.first[:-1].copy()
-        yield (active.copy(), self._sums(log_prob), score.copy(), *self.flat(parts))
+        yield (active.copy(), self._sums(log_prob), score.copy(), *parts)
         for turn in range(1, k + 1):
             self._split(agenda, drawn, turn - 1, active, from_unit, rest, score, k + 1 - turn)
             chosen = [a.pop(0) if a else None for a in agenda]
@@ -349,53 +389,66 @@ class Block:
                     yield active, none, none, np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
                 yield none
                 return
-            follows = np.array([c[1] if c else 0 for c in chosen])
             from_unit = np.array([c[2] if c else self.first[r + 1] for r, c in enumerate(chosen)], np.int64)
-            new_parts: list = []
-            new_log = np.zeros(n)
-            before = units < from_unit[self.row]
-            for s, (old_parts, old_log) in enumerate(drawn):
-                copied = before & (follows == s)[self.row] & active[self.row]
-                if copied.any():
-                    new_log[copied] = old_log[copied]
-                    new_parts += [(who[on], matrix[on]) for who, matrix in old_parts if (on := copied[who]).any()]
+            new_log, counts = np.zeros(n), np.zeros(n, np.int64)
             fresh = np.flatnonzero((units > from_unit[self.row]) & active[self.row])
-            self.draw(fresh, turn, new_parts, new_log)
-            rest = self._left(new_log, new_parts, fresh)
+            events = self.draw(fresh, turn, counts, new_log)
+            rest, known = np.zeros(n), []
             for r, c in enumerate(chosen):
                 if c:
-                    unit, left, excluded = c[2], c[3], c[4]
+                    (old, begin), old_log = drawn[c[1]]
+                    unit, left, start = c[2], c[3], int(self.first[r])
+                    excluded = [*c[4], self._pieces_of((old, begin), unit)]
                     lattice = self.lattices[self.unit_lattice[unit]]
                     seed = np.uint64((int(self.seeds[r]) + 0xA0761D6478BD642F * (turn + 1)) % (1 << 63))
                     word = int(self.unit_word[unit])
                     pieces, lp = Others(lattice, word, excluded).draw(seed)
-                    new_parts.append((np.array([unit]), pieces[None, :]))
-                    new_log[unit] = lp
+                    # Units before the one that differs are those of the sample that is followed.
+                    counts[start:unit] = begin[start + 1 : unit + 1] - begin[start:unit]
+                    new_log[start:unit] = old_log[start:unit]
+                    counts[unit], new_log[unit] = (pieces >= 0).sum(), lp
+                    known.append((start, unit, old[begin[start] : begin[unit]], pieces[pieces >= 0]))
                     rest[unit] = left - np.exp(lp)
                     if rest[unit] < SUBTRACT and turn + 1 < k + 1:
                         rest[unit] = Others(lattice, word, [*excluded, pieces]).left()
-            drawn.append((new_parts, new_log))
-            self._excluded = {c[2]: c[4] for c in chosen if c}
-            yield (active.copy(), self._sums(new_log), score.copy(), *self.flat(new_parts))
-
-    def _left(self, log_prob: np.ndarray, parts: list, units: np.ndarray | None = None) -> np.ndarray:
-        """What each unit's segmentation leaves of its probability: 0 where there is no other one."""
-        rest = np.where(self.many, -np.expm1(log_prob), 0.0)
-        little = np.flatnonzero(self.many & (rest < SUBTRACT)) if units is None else units[self.many[units] & (rest[units] < SUBTRACT)]
-        for unit, pieces in self._pieces_of(parts, little).items() if len(little) else ():
-            lattice, word = int(self.unit_lattice[unit]), int(self.unit_word[unit])
-            key = (lattice, word, pieces.tobytes())
+                    self._excluded[unit] = excluded
+            parts = self._flat(counts, events)
+            for start, unit, before, own in known:
+                parts[0][parts[1][start] : parts[1][unit]] = before
+                parts[0][parts[1][unit] : parts[1][unit + 1]] = own
+            rest[fresh] = self._left(new_log, parts, fresh)[fresh]
+            drawn.append((parts, new_log))
+            yield (active.copy(), self._sums(new_log), score.copy(), *parts)
+
+    def _left(self, log_prob: np.ndarray, parts: tuple, units: np.ndarray) -> np.ndarray:
+        """What each of ``units``' segmentations leaves of its probability: 0 where there is no other one."""
+        units, rest = units[self.many[units]], np.zeros(len(self.row))
+        rest[units] = -np.expm1(log_prob[units])
+        little = units[rest[units] < SUBTRACT]
+        out, begin = parts
+        single = begin[little + 1] - begin[little] == 1
+        one, more = little[single], little[~single]
+        words, first = np.unique(self.different[one], return_index=True)
+        for k, unit in zip(words.tolist(), one[first].tolist()):
+            if np.isnan(self._whole[k]):
+                self._whole[k] = self._others(parts, unit)
+        rest[one] = self._whole[self.different[one]]
+        for unit, a, b in zip(more.tolist(), begin[more].tolist(), begin[more + 1].tolist()):
+            key = (int(self.different[unit]), out[a:b].tobytes())
             if key not in self._known:
-                self._known[key] = Others(self.lattices[lattice], word, [pieces]).left()
+                self._known[key] = self._others(parts, unit)
             rest[unit] = self._known[key]
         return rest
 
+    def _others(self, parts: tuple, unit: int) -> float:
+        return Others(self.lattices[self.unit_lattice[unit]], int(self.unit_word[unit]), [self._pieces_of(parts, unit)]).left()
+
     def _sums(self, log_prob: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, log_prob, self.rows) if len(self.row) else np.zeros(self.rows)
 
     def _split(self, agenda: list, drawn: list, turn: int, active: np.ndarray, from_unit: np.ndarray, rest: np.ndarray, score: np.ndarray, keep: int) -> None:
         """Put the parts of what the last samples left on the agenda; no row needs more than ``keep``."""
-        parts, log_prob = drawn[turn]
+        log_prob = drawn[turn][1]
         total = np.r_[0, np.cumsum(log_prob)]
         prefix = total[:-1] - total[self.first[:-1]][self.row]
         use = np.flatnonzero((np.arange(len(self.row)) >= from_unit[self.row]) & active[self.row] & (rest > 0))
@@ -412,20 +465,19 @@ class Block:
             best.append(top)
         best = np.sort(np.concatenate(best)) if best else np.zeros(0, np.int64)
         use, row, value = use[best], row[best], value[best]
-        chosen = self._pieces_of(parts, use)
         for u, r, x in zip(use.tolist(), row.tolist(), value.tolist()):
             again = self._excluded.get(u, []) if turn and u == from_unit[r] else []
-            agenda[r].append((x, turn, u, float(rest[u]), [*again, chosen[u]]))
+            agenda[r].append((x, turn, u, float(rest[u]), again))
         for r in np.unique(row).tolist():
             agenda[r].sort(key=lambda a: -a[0])
             del agenda[r][keep:]
 
-    def _pieces_of(self, parts: list, wanted: np.ndarray) -> dict[int, np.ndarray]:
-        out, mark = {}, np.zeros(len(self.row), bool)
-        mark[wanted] = True
-        for who, matrix in parts:
-            for k in np.flatnonzero(mark[who]).tolist():
-                out[int(who[k])] = matrix[k]
+    def _pieces_of(self, parts: tuple, unit: int) -> np.ndarray:
+        """A unit's pieces by their end."""
+        ids = parts[0][parts[1][unit] : parts[1][unit + 1]]
+        ends = np.cumsum(self.widths[ids])
+        out = np.full(ends[-1] + 1, -1, np.int32)
+        out[ends] = ids
         return out
 
 

@@ -222,3 +222,19 @@ def test_topk_huge_components(spark):
     limit = 2**63 - 1
     want = {k: min(max(sum(int(256 * a) * int(256 * b) for a, b in zip(data[0][1], v)), -limit), limit) for k, v in data[1:]}
     assert found == want
+
+
+def test_sampling_does_not_depend_on_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    path = sampling.public_tokenizers.path(sampling.VOCABULARY)
+    texts = ["the cat sat\non the mat", "", None, "x" * 60 + " unusually", "the the the", "naïve  Straße"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = {}
+    for size in (1, 40, 6 << 20):
+        monkeypatch.setattr(sampling, "BLOCK_BYTES", size)
+        near = lambda r: {c: round(v, 9) if isinstance(v, float) else v for c, v in r.items()}
+        rows[size] = sorted(str(near(r)) for b in sampling._sampler(path, 4, 1.0, True)(iter([batch])) for r in b.to_pylist())
+    assert rows[1] == rows[40] == rows[6 << 20]
+    seeds = [0, 7, 1 << 62, (1 << 63) - 5]
+    assert [sampling.uniform_of(s) for s in seeds] == sampling.uniform(np.array(seeds, np.uint64)).tolist()
