@@ -2,15 +2,67 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .relational import checkpointed
+from .relational import broadcast_if_small, checkpointed
 
+#: Links that one task looks at, at most about.
+LINKS = 2_000_000
 
-def connected_components(links: DataFrame) -> DataFrame:
+
+def connected_components(links: DataFrame, most: int = LINKS) -> DataFrame:
     """``node, component`` for every node of ``links`` (``a``, ``b``, of one type that can be ordered): the least node it reaches.
 
+    Nodes are numbered. While there are more than ``most`` links, tasks of about that many put a link from each node to one that stands for
+    those it reaches by these alone, as long as links become half as many; the rest is one task's, or else goes in rounds.
+    """
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    nodes = checkpointed(checkpointed(nodes).withColumn("__id", F.monotonically_increasing_id()))
+    of = lambda c: broadcast_if_small(nodes.select(F.col("node").alias(c), F.col("__id").alias(f"__{c}")))
+    edges = checkpointed(links.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    n = edges.count()
+    while n > most:
+        fewer = checkpointed(_stars(edges.repartition(-(-n // most), "a")))
+        left = fewer.count()
+        if left > n / 2:
+            break
+        edges, n = fewer, left
+    labels = _by_rounds(edges) if n > most else _stars(edges.coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    told = checkpointed(nodes.join(labels.withColumnRenamed("node", "__id"), "__id").select("node", F.col("component").alias("__root")))
+    return told.join(broadcast_if_small(told.groupBy("__root").agg(F.min("node").alias("component"))), "__root").select("node", "component")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """``a, b``: each node of a task's ``edges`` with the least number that it reaches by these alone."""
+
+    def of(parts):
+        rows = [part for part in parts if len(part)]
+        if not rows:
+            return
+        both = np.concatenate([part[c].to_numpy() for c in ("a", "b") for part in rows])
+        nodes, at = np.unique(both, return_inverse=True)
+        a, b = np.split(at, 2)
+        root = np.arange(len(nodes))
+        while True:
+            p, q = root[a], root[b]
+            apart = p != q
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+            while not np.array_equal(up := root[root], root):
+                root = up
+        yield pd.DataFrame({"a": nodes, "b": nodes[root]})
+
+    return edges.mapInPandas(of, "a long, b long")
+
+
+def _by_rounds(links: DataFrame) -> DataFrame:
+    """``node, component`` as above, all by joins.
+
     Each round a node takes the least label among its neighbours', tells it to the node that its own label names, and then
     takes that node's label; whole trees of labels join, so rounds are few on long chains too. Joins have one row a node on
     the side of the labels.

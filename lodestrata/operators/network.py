@@ -8,6 +8,7 @@ lines come in doubling steps.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from lodestrata.functions import geo
 
 from .graph import connected_components
 from .relational import checkpointed, islands
-from .spatial import box_join
+from .spatial import apart, box_join
 
 
 def rounded(p: Column, tolerance: float) -> Column:
@@ -73,11 +74,13 @@ def noded(parts: DataFrame, size: float, tolerance: float = 1e-6, keys: Sequence
     level = F.abs(across) <= 1e-12 * F.sqrt(long * far)
     t, u = (dx * sy - dy * sx) / F.nullif(across, F.lit(0.0)), (dx * ry - dy * rx) / F.nullif(across, F.lit(0.0))
     slack = tolerance / F.sqrt(far)
-    crossing = F.when(~level & u.between(-slack, 1 + slack), F.array(t))
+    crossing = F.when(~level & u.between(-slack, 1 + slack), t)
     # Ends of the other segment that lie on this one.
     on = lambda px, py: F.when(F.abs((px - c("m_a.x")) * ry - (py - c("m_a.y")) * rx) <= tolerance * F.sqrt(long), ((px - c("m_a.x")) * rx + (py - c("m_a.y")) * ry) / long)
-    touching = F.array(on(c("o_a.x"), c("o_a.y")), on(c("o_b.x"), c("o_b.y")))
-    cuts = pairs.select(*keys, "m_a", "m_b", F.explode(F.array_compact(F.concat(F.coalesce(crossing, F.array().cast("array<double>")), touching))).alias("t")).where("t > 0 and t < 1")
+    found = (crossing, on(c("o_a.x"), c("o_a.y")), on(c("o_b.x"), c("o_b.y")))
+    # Most pairs only meet at their ends, so an array is made for those alone that are cut, and apart from the join, whose loop stays small.
+    inside = reduce(lambda x, y: x | y, [F.coalesce((f > 0) & (f < 1), F.lit(False)) for f in found])
+    cuts = apart(pairs).select(*keys, "m_a", "m_b", F.explode(F.when(inside, F.array(*found))).alias("t")).where("t > 0 and t < 1")
     whole = parts.select(*keys, c("a").alias("m_a"), c("b").alias("m_b"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     at = F.struct((c("m_a.x") + c("t") * rx).alias("x"), (c("m_a.y") + c("t") * ry).alias("y"))
     point = F.when(c("t") == 0, c("m_a")).when(c("t") == 1, c("m_b")).otherwise(rounded(at, tolerance))
@@ -90,6 +93,7 @@ def noded(parts: DataFrame, size: float, tolerance: float = 1e-6, keys: Sequence
 def clusters(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``parts`` (``a, b``) with ``cluster``: the least node of those that hang together, by ``keys``."""
     node = lambda k: F.struct(*keys, F.col(k).alias("at"))
+    parts = checkpointed(parts)
     linked = connected_components(parts.select(node("a").alias("a"), node("b").alias("b")))
     return parts.withColumn("__a", node("a")).join(linked, F.col("__a") == F.col("node")).select(*parts.columns, F.col("component.at").alias("cluster"))
 

@@ -1,8 +1,11 @@
 """Pairs of what repeats are made where they are returned: neither kept nor moved, and each form is worked out once."""
 
+import random
+
 import duckdb
 import pytest
 
+from lodestrata.operators import graph
 from lodestrata.plans import catalog
 
 from .test_oracles import plain
@@ -20,7 +23,7 @@ def repeated(spark, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["G06_G08_difference", "G06_G08_intersection"])
+@pytest.mark.parametrize("name", ["G06_G08_difference", "G06_G08_intersection", "G08_clip_area_and_length"])
 def test_pairs_are_not_kept(name, spark, repeated, monkeypatch):
     folder, con = repeated
     kept, checkpoint = [], type(spark.range(1)).checkpoint
@@ -31,3 +34,22 @@ def test_pairs_are_not_kept(name, spark, repeated, monkeypatch):
     want = sorted(tuple(plain(v) for v in r) for r in cursor.fetchall())
     assert sorted(tuple(plain(r[c]) for c in names) for r in found.collect()) == want
     assert len(want) >= 24_000 and kept and max(kept) < 2_000
+
+
+@pytest.mark.parametrize("most", [20, 10_000])
+def test_components_by_parts_and_rounds(spark, most):
+    draw = random.Random(most)
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 700)]
+    root = {n: n for link in links for n in link}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([({"at": a}, {"at": b}) for a, b in links], "a struct<at:long>, b struct<at:long>")
+    found = graph.connected_components(df, most)
+    assert sorted((r["node"]["at"], r["component"]["at"]) for r in found.collect()) == sorted((n, top(n)) for n in root)
