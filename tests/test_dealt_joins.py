@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestrata.operators import grid, spatial
+from lodestrata.plans import catalog
 
 
 def rows(df, *columns):
@@ -74,3 +75,12 @@ def test_sampled_shapes_are_dealt(spark):
     found = grid.sample_shapes(shapes, "rings", 61)
     assert found.rdd.getNumPartitions() > 1
     assert found.where("inside").count() == 400 * found.where("grid_id = 0 and x > 0 and y > 0 and x + y < 4").count()
+
+
+def joins(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+
+
+def test_bands_are_literals(spark, sf_dir):
+    found = catalog.queries()["G07_G11_G12_distance_bands"](spark, sf_dir)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
