@@ -81,6 +81,12 @@ def joins(df):
     return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
 
 
+def test_few_edges_are_columns(spark, sf_dir):
+    for name, among in (("G05_point_in_polygon", 1), ("G05_holes_and_parts", 2)):
+        plans = joins(catalog.queries()[name](spark, sf_dir))
+        assert len(plans) == among and "lambda" not in plans[0]
+
+
 def test_bands_are_literals(spark, sf_dir):
     found = catalog.queries()["G07_G11_G12_distance_bands"](spark, sf_dir)
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
